@@ -210,7 +210,7 @@ def sarimax_grid_fit(
 
 
 def _recent(df: DataFrame, cols: Sequence[str], keys: Sequence[str], count: int, pos: str, ts: str) -> DataFrame:
-    rows = keep_last(df.select(*keys, pos, ts, *cols), count, keys, [pos])
+    rows = keep_last(df.select(*keys, pos, ts, *cols), count, keys, pos)
     packed = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"), F.max(ts).alias("_last")
     )

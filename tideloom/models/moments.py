@@ -99,8 +99,8 @@ def lag_moments(
         F.count("*").alias("n"), F.array(*[F.sum(c).cast("double") for c in cols]).alias("sums")
     )
     reach = 2 * max_lag + 1
-    head = _edge(keep_first(df, reach, keys, [pos]), cols, keys, pos, "head")
-    tail = _edge(keep_last(df, reach, keys, [pos]), cols, keys, pos, "tail")
+    head = _edge(keep_first(df, reach, pos), cols, keys, pos, "head")
+    tail = _edge(keep_last(df, reach, keys, pos), cols, keys, pos, "tail")
     out = table
     for part in (totals, head, tail):
         out = out.join(part, list(keys))

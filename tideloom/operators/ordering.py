@@ -150,20 +150,26 @@ def with_length(df: DataFrame, keys: Sequence[str], name: str = "n_rows") -> Dat
     return attach(df, series_length(df, keys, name), keys)
 
 
-def keep_last(
-    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str] = ("pos",)
-) -> DataFrame:
-    """The last ``n`` rows of every series.
+def keep_first(df: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    """The first ``n`` rows of every series, by position."""
+    return df.filter(F.col(pos) < n)
 
-    The rank filter becomes a group limit on the map side, so at most ``n`` rows per series
-    and task are shuffled.
-    """
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n).drop("_rank")
 
+def keep_last(df: DataFrame, n: int, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+    """The last ``n`` rows of every series, by position."""
+    end = df.groupBy(*keys).agg(F.max(pos).alias("_end"))
+    return attach(df, end, keys).filter(F.col(pos) > F.col("_end") - n).drop("_end")
 
-def keep_first(
-    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str] = ("pos",)
-) -> DataFrame:
-    oldest = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(oldest)).filter(F.col("_rank") <= n).drop("_rank")
+
+def tail_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last ``n`` rows of every series of a table without positions.
+
+    While ``n`` is within Spark's group-limit threshold every task forwards at most ``n``
+    rows of a series; beyond it the rows are numbered by a range sort first.
+    """
+    spark = df.sparkSession
+    if n > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        return keep_last(row_position(df, keys, order, "_place"), n, keys, "_place").drop("_place")
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    ranked = df.withColumn("_rank", F.row_number().over(newest))
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")

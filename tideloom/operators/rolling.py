@@ -94,10 +94,10 @@ def _carry(
     summary = rows.groupBy(*keys, "_chunk").agg(
         *[edge(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in cols]
     )
-    above = _carry(summary, cols, keys, "_chunk", chunk, levels - 1, forward)
+    above = _carry(summary.withColumnRenamed("_chunk", pos), cols, keys, pos, chunk, levels - 1, forward)
     carried = above.select(
         *keys,
-        (F.col("_chunk") + (1 if forward else -1)).alias("_chunk"),
+        (F.col(pos) + (1 if forward else -1)).alias("_chunk"),
         *[F.col(c).alias(f"_carry_{c}") for c in cols],
     )
     window = chunk_window(keys, pos).rowsBetween(*frame)
@@ -132,16 +132,26 @@ def bfill(
     return _carry(df, cols, keys, pos, chunk, levels, forward=False)
 
 
-def fill_head(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pos: str = "pos") -> DataFrame:
+def first_present(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pos: str = "pos") -> DataFrame:
+    """First non-null value of every column per series, as ``_first_<c>``."""
+    return df.groupBy(*keys).agg(
+        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_first_{c}") for c in cols]
+    )
+
+
+def fill_head(
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str],
+    pos: str = "pos",
+    firsts: DataFrame | None = None,
+) -> DataFrame:
     """Give the missing rows of a series its first present value, column by column.
 
     After ``ffill`` only rows ahead of the first present value can be missing, so this is
-    ``bfill`` for that case at the price of one aggregation.
+    ``bfill`` for that case at the price of one aggregation (or none when ``firsts`` is given).
     """
-    firsts = df.groupBy(*keys).agg(
-        *[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_first_{c}") for c in cols]
-    )
-    rows = attach(df, firsts, keys)
+    rows = attach(df, first_present(df, cols, keys, pos) if firsts is None else firsts, keys)
     return rows.select(
         *[F.coalesce(c, f"_first_{c}").alias(c) if c in cols else F.col(c) for c in df.columns]
     )

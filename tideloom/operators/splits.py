@@ -32,6 +32,12 @@ def split_train_test(
     return rows.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("n_rows")
 
 
+def three_way_label(pos: Column, n: Column, train: float, valid: float) -> Column:
+    n_train, n_valid = fraction(n, train), fraction(n, valid)
+    label = F.when(pos < n_train, "train").when(pos < n_train + n_valid, "valid")
+    return label.otherwise("test")
+
+
 def split_three_way(
     df: DataFrame,
     keys: Sequence[str],
@@ -40,13 +46,7 @@ def split_three_way(
     pos: str = "pos",
 ) -> DataFrame:
     rows = with_length(df, keys)
-    n_train = fraction(F.col("n_rows"), train)
-    n_valid = fraction(F.col("n_rows"), valid)
-    label = (
-        F.when(F.col(pos) < n_train, "train")
-        .when(F.col(pos) < n_train + n_valid, "valid")
-        .otherwise("test")
-    )
+    label = three_way_label(F.col(pos), F.col("n_rows"), train, valid)
     return rows.withColumn("split", label).drop("n_rows")
 
 
@@ -171,5 +171,6 @@ __all__ = [
     "split_panel",
     "split_three_way",
     "split_train_test",
+    "three_way_label",
     "window_count_border",
 ]
