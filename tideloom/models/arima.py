@@ -312,17 +312,21 @@ def ar1_forecast(
     df: DataFrame,
     models: DataFrame,
     keys: Sequence[str],
-    horizon: int,
+    horizon: int | str,
     period: timedelta = HOUR,
     value: str = "value",
     pos: str = "pos",
     ts: str = "ts",
 ) -> DataFrame:
-    """Closed form ``m + phi^h (y - m)`` around the mean ``m = c / (1 - phi)``."""
+    """Closed form ``m + phi^h (y - m)`` around the mean ``m = c / (1 - phi)``.
+
+    ``horizon`` may name a column of ``models`` that gives each series its own.
+    """
+    steps = F.col(horizon).cast("int") if isinstance(horizon, str) else F.lit(horizon)
     last = df.groupBy(*keys).agg(
         F.max_by(value, pos).alias("_y"), F.max(ts).alias("_last")
     )
-    rows = attach(models, last, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    rows = attach(models, last, keys).withColumn("step", F.explode(F.sequence(F.lit(1), steps)))
     mean = F.col("intercept") / (1 - F.col("phi"))
     path = F.when(
         F.col("phi") == 1, F.col("_y") + F.col("step") * F.col("intercept")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.operators.ordering import attach, running_total
+from tideloom.session import settle
 
 
 def to_long(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -49,13 +50,14 @@ def exact_quantiles(
             F.max(place - F.floor(place)).alias(f"{name}_part"),
         ]
     found = ranked.groupBy(*group).agg(*picks)
-    return found.select(
+    # One short row per series and channel that callers use more than once.
+    return settle(found.select(
         *group,
         *[
             (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n)
             for n in probs
         ],
-    )
+    ))
 
 
 def by_channel(stats: DataFrame, cols: Sequence[str], names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

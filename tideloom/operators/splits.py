@@ -87,6 +87,24 @@ def split_overlap(
     return label_spans(with_length(df, keys), spans, pos).drop("n_rows")
 
 
+def calendar_spans(
+    seq_len: int,
+    ticks_per_hour: int = 1,
+    months: Sequence[int] = CALENDAR_MONTHS,
+    month_days: int = MONTH_DAYS,
+) -> list[Span]:
+    month = month_days * 24 * ticks_per_hour
+    ends, total = [], 0
+    for m in months:
+        total += m * month
+        ends.append(total)
+    starts = [0] + [max(e - seq_len, 0) for e in ends[:-1]]
+    return [
+        Span(name, F.lit(low), F.lit(high))
+        for name, low, high in zip(("train", "valid", "test"), starts, ends)
+    ]
+
+
 def split_calendar(
     df: DataFrame,
     seq_len: int,
@@ -99,17 +117,7 @@ def split_calendar(
 
     ``ticks_per_hour`` is 1 for hourly and 4 for quarter-hour data.
     """
-    month = month_days * 24 * ticks_per_hour
-    ends, total = [], 0
-    for m in months:
-        total += m * month
-        ends.append(total)
-    starts = [0] + [e - seq_len for e in ends[:-1]]
-    spans = [
-        Span(name, F.lit(max(low, 0)), F.lit(high))
-        for name, low, high in zip(("train", "valid", "test"), starts, ends)
-    ]
-    return label_spans(df, spans, pos)
+    return label_spans(df, calendar_spans(seq_len, ticks_per_hour, months, month_days), pos)
 
 
 def split_by_date(
@@ -162,6 +170,7 @@ def split_panel(
 
 __all__ = [
     "Span",
+    "calendar_spans",
     "fraction",
     "label_spans",
     "panel_tail_border",

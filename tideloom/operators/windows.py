@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions import arrays
+from tideloom.functions.calendar import calendar_by_freq, calendar_cyclic
 from tideloom.functions.times import shift
 from tideloom.operators.ordering import CHUNK, attach, series_length, with_halo
+from tideloom.operators.scaling import fit_standard, scale
+from tideloom.operators.splits import MONTH_DAYS, calendar_spans, label_spans
 
 
 def _constant(value: int | str) -> Column:
@@ -100,6 +103,70 @@ def strided_panel_windows(
     )
 
 
+def windows_with_time_features(
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str],
+    context: int,
+    horizon: int,
+    stride: int = 1,
+    ts: str = "ts",
+    pos: str = "pos",
+    chunk: int | None = None,
+) -> DataFrame:
+    """Windows whose rows carry the eight cyclic calendar features beside the channels, with
+    ``past_observed_mask`` (1 where the first channel is present)."""
+    features = calendar_cyclic(F.col(ts))
+    rows = df.withColumns(features)
+    windows = cut_windows(rows, [*cols, *features], keys, context, horizon, stride, pos=pos, chunk=chunk)
+    return with_observed_mask(windows, cols[0])
+
+
+def windows_with_marks(
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str],
+    seq_len: int,
+    pred_len: int,
+    ticks_per_hour: int = 1,
+    month_days: int = MONTH_DAYS,
+    freq: str = "h",
+    inverse: bool = False,
+    ts: str = "ts",
+    pos: str = "pos",
+    chunk: int | None = None,
+) -> DataFrame:
+    """Calendar split, standard scaling fit on the training rows, normalised calendar marks,
+    then stride-1 windows inside each split. With ``inverse`` the future keeps raw values."""
+    spans = calendar_spans(seq_len, ticks_per_hour, month_days=month_days)
+    marks = calendar_by_freq(F.col(ts), freq)
+    raw = {f"{c}_raw": F.col(c) for c in cols} if inverse else {}
+    fitted = fit_standard(df.filter(F.col(pos) < spans[0].high), cols, keys)
+    rows = scale(df.withColumns(raw), fitted, cols, keys) if inverse else scale(df, fitted, cols, keys)
+    start = F.coalesce(*[F.when(F.col("split") == s.name, s.low) for s in spans])
+    rows = label_spans(rows.withColumns(marks), spans, pos)
+    rows = rows.withColumn(pos, (F.col(pos) - start).cast("bigint"))
+    windows = cut_windows(
+        rows, [*cols, *raw, *marks], [*keys, "split"], seq_len, pred_len, pos=pos, chunk=chunk
+    )
+
+    def part(name: str, picked: dict[str, str]) -> Column:
+        return F.transform(name, lambda r: F.struct(*[r[c].alias(n) for n, c in picked.items()]))
+
+    channels = {c: c for c in cols}
+    future = {c: f"{c}_raw" for c in cols} if inverse else channels
+    names = {m: m for m in marks}
+    return windows.select(
+        *keys,
+        "split",
+        "window_id",
+        part("past", channels).alias("past"),
+        part("future", future).alias("future"),
+        part("past", names).alias("past_marks"),
+        part("future", names).alias("future_marks"),
+    )
+
+
 def with_observed_mask(windows: DataFrame, column: str | None = None) -> DataFrame:
     """All-ones mask beside ``past``, or real flags of one column of it."""
     if column is None:

@@ -29,6 +29,7 @@ from tideloom.plans.base import (
     wide,
 )
 from tideloom.plans.registry import register
+from tideloom.session import settle
 
 # ---- 36-43 calendar and covariates ---------------------------------------------------------
 
@@ -256,7 +257,8 @@ FROM derived CROSS JOIN size"""
 
 @register("feature_matrix", feature_matrix_sql())
 def feature_matrix_query(spark, sf_dir):
-    rows = feature_matrix(wide(spark, sf_dir, fill=None), CHANNELS, chunk=CHUNK)
+    # The filter, the quartiles and the fill all read the table, so it is built once.
+    rows = feature_matrix(settle(wide(spark, sf_dir, fill=None)), CHANNELS, chunk=CHUNK)
     return rows.select("ts", "pos", *[rounded(c).alias(c) for c in feature_names(CHANNELS)], "split")
 
 
