@@ -31,7 +31,15 @@ from tideloom.models.solve import (
     integrate,
     ridge,
 )
-from tideloom.operators.ordering import CHUNK, attach, chunk_window, drop_halo, keep_last, with_halo
+from tideloom.operators.ordering import (
+    CHUNK,
+    attach,
+    chunk_window,
+    drop_halo,
+    keep_last,
+    spread,
+    with_halo,
+)
 
 LAGS = 128
 NO_SEASON = (0, 0, 0, 1)
@@ -150,9 +158,7 @@ def fit_orders(
         reach = max([lags, *[season * (1 + s[0]) + o[0] for o, s in group]])
         table = attach(lag_moments(rows, cols, keys, reach, pos, chunk), means, keys)
         table = table.withColumn("order_id", F.explode(F.lit(list(range(len(group))))))
-        if len(group) > 1:
-            table = table.repartition(*keys, "order_id")
-        part = table.mapInPandas(_solver(keys, model, group, len(exog), names), schema)
+        part = spread(table, [*keys, "order_id"]).mapInPandas(_solver(keys, model, group, len(exog), names), schema)
         fitted = part if fitted is None else fitted.unionByName(part)
     return fitted
 
@@ -376,4 +382,4 @@ def ar_fit(
                 out.append([*label, coefs.tolist(), float(constant), float(rss / nobs), moments.n])
             yield pd.DataFrame(out, columns=[f.name for f in fields])
 
-    return table.mapInPandas(solve, T.StructType(fields))
+    return spread(table, keys).mapInPandas(solve, T.StructType(fields))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tideloom.models.moments import SeriesMoments, lag_moments
 from tideloom.models.solve import adf_p_value, adf_statistic
-from tideloom.operators.ordering import CHUNK, attach, chunk_window, drop_halo, with_halo
+from tideloom.operators.ordering import CHUNK, attach, chunk_window, drop_halo, spread, with_halo
 
 
 def default_adf_lags(n: int) -> int:
@@ -72,7 +72,7 @@ def stationarity_test(
                 out.append([*label, stat, lags, nobs, p, p < significance])
             yield pd.DataFrame(out, columns=[f.name for f in fields])
 
-    return table.mapInPandas(test, T.StructType(fields))
+    return spread(table, keys).mapInPandas(test, T.StructType(fields))
 
 
 def dickey_fuller(

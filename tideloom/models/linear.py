@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tideloom.functions.arrays import dot
 from tideloom.models.moments import SeriesMoments, lag_moments
 from tideloom.models.solve import ridge
-from tideloom.operators.ordering import attach
+from tideloom.operators.ordering import attach, spread
 
 
 def window_linear_fit(
@@ -69,7 +69,7 @@ def window_linear_fit(
                 )
             yield pd.DataFrame(out, columns=[f.name for f in fields])
 
-    return table.mapInPandas(solve, T.StructType(fields))
+    return spread(table, keys).mapInPandas(solve, T.StructType(fields))
 
 
 def flatten_past(cols: Sequence[str], past: str = "past") -> Column:

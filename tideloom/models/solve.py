@@ -29,15 +29,16 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.convolve(a, b)[: len(a)]
 
 
-def divide(numerator: np.ndarray, denominator: np.ndarray) -> np.ndarray:
-    """Power series quotient; the leading coefficient of the denominator is 1."""
-    taps = np.nonzero(denominator[1:])[0] + 1
-    out = numerator.copy()
-    if len(taps):
-        weights = denominator[taps]
-        for i in range(1, len(out)):
-            use = taps <= i
-            out[i] -= weights[use] @ out[i - taps[use]]
+def inverse_series(poly: np.ndarray) -> np.ndarray:
+    """Power series of ``1 / poly`` (leading coefficient 1), doubling the known terms."""
+    out = np.ones(1)
+    while len(out) < len(poly):
+        size = min(2 * len(out), len(poly))
+        known = np.zeros(size)
+        known[: len(out)] = out
+        rest = -times(known, poly[:size])
+        rest[0] += 2.0
+        out = times(known, rest)
     return out
 
 
@@ -70,10 +71,30 @@ class ArmaShape:
 
     def filter(self, params: np.ndarray, length: int) -> np.ndarray:
         """Coefficients of the residual filter: autoregressive over moving-average part."""
+        return self.filter_and_slopes(params, length)[0]
+
+    def filter_and_slopes(self, params: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The residual filter and its derivative by every ARMA parameter."""
         _, phi, theta, s_phi, s_theta = self.parts(params)
-        top = times(lag_polynomial(phi, -1, 1, length), lag_polynomial(s_phi, -1, self.season, length))
-        bottom = times(lag_polynomial(theta, 1, 1, length), lag_polynomial(s_theta, 1, self.season, length))
-        return divide(top, bottom)
+        ar, s_ar = lag_polynomial(phi, -1, 1, length), lag_polynomial(s_phi, -1, self.season, length)
+        ma = inverse_series(lag_polynomial(theta, 1, 1, length))
+        s_ma = inverse_series(lag_polynomial(s_theta, 1, self.season, length))
+        inverse = times(ma, s_ma)
+        taps = times(times(ar, s_ar), inverse)
+        sources = (
+            (self.p, 1, times(s_ar, inverse)),
+            (self.q, 1, times(taps, ma)),
+            (self.P, self.season, times(ar, inverse)),
+            (self.Q, self.season, times(taps, s_ma)),
+        )
+        slopes = np.zeros((self.p + self.q + self.P + self.Q, length + 1))
+        row = 0
+        for count, step, series in sources:
+            for k in range(1, count + 1):
+                if k * step <= length:
+                    slopes[row, k * step :] = -series[: length + 1 - k * step]
+                row += 1
+        return taps, slopes
 
     def admissible(self, params: np.ndarray) -> bool:
         _, phi, theta, s_phi, s_theta = self.parts(params)
@@ -100,40 +121,44 @@ class ArmaShape:
         return out
 
 
-def fit_arma(moments: SeriesMoments, shape: ArmaShape, steps: int = 60, tolerance: float = 1e-9):
-    """Minimise the conditional sum of squares of ``filter * (y - beta'x)``.
+class SquaredResiduals:
+    """Conditional sum of squares of ``filter * (y - beta'x)`` as a function of parameters.
 
-    Channel 0 is the differenced target, channels 1… its regressors. Gauss-Newton from a
-    few starting points; a step is halved while it raises the sum or leaves the stable
-    region. Returns ``(params, sum_of_squares)``.
+    Channel 0 is the differenced target, channels 1… its regressors.
     """
-    lags = moments.max_lag
-    terms = [(channel, range(lags + 1)) for channel in range(1 + shape.regressors)]
-    block = moments.gram(terms, 0, moments.n - 1)
-
-    def residual(params: np.ndarray) -> np.ndarray:
-        taps = shape.filter(params, lags)
-        return np.kron(np.concatenate([[1.0], -np.asarray(params[: shape.regressors])]), taps)
-
-    def sum_of_squares(params: np.ndarray) -> float:
-        r = residual(params)
-        return float(r @ block @ r)
-
-    best = (None, np.inf)
-    for params in shape.starts():
-        value = sum_of_squares(params)
-        for _ in range(steps if shape.size else 0):
-            r = residual(params)
-            nudge = 1e-6
-            slope = np.array(
-                [(residual(params + nudge * unit) - r) / nudge for unit in np.eye(shape.size)]
-            )
-            move = ridge(slope @ block @ slope.T, -(slope @ (block @ r)), 1e-10)
-            size = 1.0
-            while size > 1e-8:
+
+    def __init__(self, moments: SeriesMoments, shape: ArmaShape):
+        self.shape = shape
+        self.lags = moments.max_lag
+        terms = [(channel, range(self.lags + 1)) for channel in range(1 + shape.regressors)]
+        self.block = moments.gram(terms, 0, moments.n - 1)
+
+    def weights(self, params: np.ndarray, taps: np.ndarray) -> np.ndarray:
+        """Weight of every lagged value in the residual."""
+        return np.kron(np.append(1.0, -params[: self.shape.regressors]), taps)
+
+    def value(self, params: np.ndarray) -> float:
+        r = self.weights(params, self.shape.filter(params, self.lags))
+        return float(r @ self.block @ r)
+
+    def move(self, params: np.ndarray) -> np.ndarray:
+        """Gauss-Newton step."""
+        taps, slopes = self.shape.filter_and_slopes(params, self.lags)
+        regressors = self.shape.regressors
+        by_beta = [np.kron(-np.eye(1 + regressors)[1 + k], taps) for k in range(regressors)]
+        by_arma = [self.weights(params, slope) for slope in slopes]
+        slope = np.array([*by_beta, *by_arma])
+        half = slope @ self.block
+        return ridge(half @ slope.T, -(half @ self.weights(params, taps)), 1e-10)
+
+    def descend(self, params: np.ndarray, value: float, steps: int, tolerance: float):
+        """Up to ``steps`` moves, halved while they raise the sum or leave the stable region."""
+        for _ in range(steps):
+            move, size = self.move(params), 1.0
+            while size > 1e-4:
                 trial = params + size * move
-                if shape.admissible(trial):
-                    trial_value = sum_of_squares(trial)
+                if self.shape.admissible(trial):
+                    trial_value = self.value(trial)
                     if trial_value <= value:
                         break
                 size /= 2
@@ -141,11 +166,23 @@ def fit_arma(moments: SeriesMoments, shape: ArmaShape, steps: int = 60, toleranc
                 break
             gain = value - trial_value
             params, value = trial, trial_value
-            if gain <= tolerance * max(value, 1e-300):
+            if gain <= tolerance * value:
                 break
-        if np.isfinite(value) and value < best[1]:
-            best = (params, value)
-    return best
+        return params, value
+
+
+def fit_arma(moments: SeriesMoments, shape: ArmaShape, steps: int = 60, tolerance: float = 1e-10):
+    """``(params, sum_of_squares)``: a few moves from each start, then the best to the end."""
+    target = SquaredResiduals(moments, shape)
+    starts = [(start, target.value(start)) for start in shape.starts()]
+    if not shape.size:
+        return starts[0]
+    runs = [target.descend(start, value, 6, tolerance) for start, value in starts]
+    runs = [run for run in runs if np.isfinite(run[1])]
+    if not runs:
+        return None, np.inf
+    params, value = min(runs, key=lambda run: run[1])
+    return target.descend(params, value, steps, tolerance)
 
 
 def gaussian_aic(sum_of_squares: float, n: int, size: int) -> tuple[float, float]:

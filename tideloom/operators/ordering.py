@@ -44,6 +44,16 @@ def attach_left(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFr
     return df.join(params, list(keys), "left") if keys else attach(df, params, keys)
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition short but costly rows over all shuffle partitions.
+
+    The rows of a solve are few bytes and much work; sized by bytes they would be merged into
+    a handful of tasks.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *keys)
+
+
 def grid_position(
     df: DataFrame, period: timedelta, keys: Sequence[str], ts: str = "ts", pos: str = "pos"
 ) -> DataFrame:

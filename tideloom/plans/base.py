@@ -34,6 +34,15 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def steady(c: Column | str, digits: int = 6) -> Column:
+    """Round after a nudge, so that an exact tie falls the same way in both engines."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(1e-9), digits)
+
+
+def steady_sql(expression: str) -> str:
+    return f"round({expression} + 1e-9::DOUBLE, 6)"
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
 
