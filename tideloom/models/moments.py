@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.operators.ordering import CHUNK, keep_first, keep_last, with_halo
+from tideloom.session import settle
 
 
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
@@ -52,7 +53,9 @@ def lag_moments(
     """
     chunk = chunk or max(CHUNK, 4 * max_lag)
     width = len(cols)
-    rows = with_halo(df.select(*keys, pos, *[F.col(c).cast("double") for c in cols]), chunk, before=max_lag, pos=pos)
+    # Products, totals and both edges read the same rows, which are often differenced or centred.
+    df = settle(df.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols]))
+    rows = with_halo(df, chunk, before=max_lag, pos=pos)
     fields = [
         *_key_fields(df, keys),
         T.StructField("cell", T.IntegerType()),
@@ -96,7 +99,7 @@ def lag_moments(
         ).alias("moments"),
     )
     totals = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c).cast("double") for c in cols]).alias("sums")
+        F.count("*").alias("n"), F.array(*[F.sum(c) for c in cols]).alias("sums")
     )
     reach = 2 * max_lag + 1
     head = _edge(keep_first(df, reach, pos), cols, keys, pos, "head")

@@ -47,7 +47,7 @@ def dickey_fuller(spark, sf_dir):
 
 @register("stationarity_test")
 def stationarity_test(spark, sf_dir):
-    rows = diagnostics.stationarity_test(user_hourly(spark, sf_dir), KEY, max_lag=20)
+    rows = diagnostics.stationarity_test(settle(user_hourly(spark, sf_dir)), KEY, max_lag=20)
     return rows.select(
         *KEY, rounded("adf_stat").alias("adf_stat"), "adf_lags", "nobs", rounded("p_value").alias("p_value"), "stationary"
     )
@@ -97,12 +97,12 @@ def rounded_params(models):
 @register("arima_fit")
 def arima_fit(spark, sf_dir):
     """ARIMA(1,1,1) for every user, behind the stationarity gate."""
-    return rounded_params(arima.arima_fit(user_hourly(spark, sf_dir), KEY, (1, 1, 1)))
+    return rounded_params(arima.arima_fit(settle(user_hourly(spark, sf_dir)), KEY, (1, 1, 1)))
 
 
 @register("arima_forecast")
 def arima_forecast(spark, sf_dir):
-    rows = user_hourly(spark, sf_dir)
+    rows = settle(user_hourly(spark, sf_dir))
     models = arima.arima_fit(rows, KEY, (1, 1, 1))
     out = arima.arima_forecast(rows, models, KEY, 24)
     return out.select(*KEY, "model", "step", "ts", rounded("yhat", 4).alias("yhat"))
