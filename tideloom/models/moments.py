@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideloom.operators.ordering import CHUNK, keep_first, keep_last, with_halo
+from tideloom.operators.ordering import CHUNK, keep_first, keep_last, spread, with_halo
 from tideloom.session import settle
 
 
@@ -81,7 +81,7 @@ def lag_moments(
                 out.append([*label, a * width + b, products[a].tolist()])
         return pd.DataFrame(out, columns=[f.name for f in fields])
 
-    partial = rows.groupBy(*keys, "_chunk").applyInPandas(multiply, T.StructType(fields))
+    partial = spread(rows, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(multiply, T.StructType(fields))
     by_lag = (
         partial.select(*keys, "cell", F.posexplode("products").alias("lag", "product"))
         .groupBy(*keys, "cell", "lag")

@@ -45,10 +45,11 @@ def attach_left(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash-partition short but costly rows over all shuffle partitions.
+    """Hash-partition rows that cost more than their bytes over all shuffle partitions.
 
-    The rows of a solve are few bytes and much work; sized by bytes they would be merged into
-    a handful of tasks.
+    Rows that are solved or cut into windows are small and much work; partitions sized by
+    bytes would merge them into a handful of tasks. A later grouping by ``keys`` reuses this
+    partitioning.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(tasks, *keys)

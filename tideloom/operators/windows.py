@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tideloom.functions import arrays
 from tideloom.functions.calendar import calendar_by_freq, calendar_cyclic
 from tideloom.functions.times import shift
-from tideloom.operators.ordering import CHUNK, attach, series_length, with_halo
+from tideloom.operators.ordering import CHUNK, attach, series_length, spread, with_halo
 from tideloom.operators.scaling import fit_standard, scale
 from tideloom.operators.splits import MONTH_DAYS, calendar_spans, label_spans
 
@@ -47,7 +47,8 @@ def cut_windows(
     chunk = chunk or max(CHUNK, 4 * length)
     rows = with_halo(df, chunk, after=length - 1, pos=pos)
     entry = F.struct(F.col(pos).alias("_at"), *cols)
-    blocks = rows.groupBy(*keys, "_chunk").agg(
+    # Sized by its input a task could be given far more windows than its neighbours.
+    blocks = spread(rows, [*keys, "_chunk"]).groupBy(*keys, "_chunk").agg(
         F.array_sort(F.collect_list(entry)).alias("_rows"),
         F.max(_constant(first)).cast("bigint").alias("_first"),
         (F.max(_constant(count)) if count is not None else F.lit(None)).cast("bigint").alias("_count"),

@@ -75,14 +75,14 @@ def pairs(spark, sf_dir):
 @register(
     "metrics5",
     f"""WITH {PAIRS}
-SELECT series_id, round(avg(abs(yhat - value)), 6) AS mae, round(avg(pow(yhat - value, 2)), 6) AS mse,
-  round(sqrt(avg(pow(yhat - value, 2))), 6) AS rmse, round(avg(abs((yhat - value) / nullif(value, 0))), 6) AS mape,
-  round(avg(pow((yhat - value) / nullif(value, 0), 2)), 6) AS mspe, count(*) AS n, count(nullif(value, 0)) AS n_relative
+SELECT series_id, {steady_sql('avg(abs(yhat - value))')} AS mae, {steady_sql('avg(pow(yhat - value, 2))')} AS mse,
+  {steady_sql('sqrt(avg(pow(yhat - value, 2)))')} AS rmse, {steady_sql('avg(abs((yhat - value) / nullif(value, 0)))')} AS mape,
+  {steady_sql('avg(pow((yhat - value) / nullif(value, 0), 2))')} AS mspe, count(*) AS n, count(nullif(value, 0)) AS n_relative
 FROM pairs GROUP BY 1""",
 )
 def metrics5(spark, sf_dir):
     rows = evaluation.metrics5(pairs(spark, sf_dir), KEY)
-    scores = [rounded(c).alias(c) for c in ("mae", "mse", "rmse", "mape", "mspe")]
+    scores = [steady(c).alias(c) for c in ("mae", "mse", "rmse", "mape", "mspe")]
     return rows.select(*KEY, *scores, "n", "n_relative")
 
 
@@ -189,27 +189,27 @@ def best_epoch(spark, sf_dir):
 @register(
     "repeat_mean",
     f"""WITH {PAIRS}, runs AS (SELECT series_id, day, avg(pow(value - yhat, 2)) AS mse, avg(abs(value - yhat)) AS mae FROM pairs GROUP BY 1, 2)
-SELECT series_id, round(avg(mse), 6) AS mse, round(avg(mae), 6) AS mae, count(*) AS runs FROM runs GROUP BY 1""",
+SELECT series_id, {steady_sql('avg(mse)')} AS mse, {steady_sql('avg(mae)')} AS mae, count(*) AS runs FROM runs GROUP BY 1""",
 )
 def repeat_mean(spark, sf_dir):
     """Each day counts as one run of a user's configuration."""
     runs = evaluation.metrics5(pairs(spark, sf_dir), [*KEY, "day"])
     rows = evaluation.repeat_mean(runs, KEY, ["mse", "mae"])
-    return rows.select(*KEY, rounded("mse").alias("mse"), rounded("mae").alias("mae"), "runs")
+    return rows.select(*KEY, steady("mse").alias("mse"), steady("mae").alias("mae"), "runs")
 
 
 @register(
     "pooled_loss",
     f"""WITH {PAIRS}, batches AS (
   SELECT series_id, day, sum(pow(value - yhat, 2)) AS loss_sum, count(*) AS n FROM pairs WHERE value <> 0 GROUP BY 1, 2)
-SELECT series_id, round(sum(loss_sum) / sum(n), 6) AS loss FROM batches GROUP BY 1""",
+SELECT series_id, {steady_sql('sum(loss_sum) / sum(n)')} AS loss FROM batches GROUP BY 1""",
 )
 def pooled_loss(spark, sf_dir):
     counted = pairs(spark, sf_dir).filter("value <> 0")
     error = evaluation.squared_error(F.col("value"), F.col("yhat"))
     batches = counted.groupBy(*KEY, "day").agg(F.sum(error).alias("loss_sum"), F.count("*").alias("n"))
     rows = evaluation.pooled_loss(batches, KEY)
-    return rows.select(*KEY, rounded("loss").alias("loss"))
+    return rows.select(*KEY, steady("loss").alias("loss"))
 
 
 @register(

@@ -5,11 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tideloom
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone: the engine treats every naive timestamp as UTC."""
+    """Prepare a session: naive timestamps are UTC, and tasks carry the package's functions.
+
+    Pickling the package by value means executors need not have it installed.
+    """
+    cloudpickle.register_pickle_by_value(tideloom)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
