@@ -122,54 +122,68 @@ class SeriesMoments:
         self.head = np.array([np.asarray(h, dtype=float) for h in head])
         self.tail = np.array([np.asarray(t, dtype=float) for t in tail])
 
-    def _at(self, channel: int, places: np.ndarray) -> np.ndarray:
-        """Values at absolute positions near either end of the series."""
-        tail_start = self.n - self.tail.shape[1]
-        from_tail = places >= tail_start
-        values = np.empty(len(places))
-        values[from_tail] = self.tail[channel, places[from_tail] - tail_start]
-        values[~from_tail] = self.head[channel, places[~from_tail]]
-        return values
+    def _run(self, channel: int, low: int, high: int) -> np.ndarray:
+        """Values at positions ``[low, high)``, which lie within the head or within the tail."""
+        if high <= self.head.shape[1]:
+            return self.head[channel, low:high]
+        start = self.n - self.tail.shape[1]
+        return self.tail[channel, low - start : high - start]
+
+    def _backward(self, channel: int, newest: int, count: int) -> np.ndarray:
+        """Values at ``newest, newest - 1, …``; positions outside the series are 0."""
+        out = np.zeros(count)
+        low, high = max(newest - count + 1, 0), min(newest, self.n - 1)
+        if low <= high:
+            out[newest - high : newest - low + 1] = self._run(channel, low, high + 1)[::-1]
+        return out
 
     def total(self, channel: int, low: int, high: int) -> float:
         """Sum of positions ``low … high`` (both included); the ends lie near the edges."""
         low, high = max(low, 0), min(high, self.n - 1)
         if high < low:
             return 0.0
-        before = self._at(channel, np.arange(0, low)).sum()
-        after = self._at(channel, np.arange(high + 1, self.n)).sum()
+        before = self._run(channel, 0, low).sum()
+        after = self._run(channel, high + 1, self.n).sum()
         return float(self.sums[channel] - before - after)
 
-    def _diagonal(self, a: int, b: int, lag: int, i: np.ndarray, low: int, high: int) -> np.ndarray:
-        """``sum(a[t-i] * b[t-i-lag])`` over ``t = low … high`` for a vector of ``i``.
+    def product(self, a: int, i: int, b: int, j: int, low: int, high: int) -> float:
+        """``sum(a[t-i] * b[t-j])`` for ``t = low … high``; positions outside count as 0.
 
-        The whole-series moment less the products before the first and after the last row of
-        the sample; both are running sums along the diagonal.
+        The whole-series moment less the products before and after the sample.
         """
-        if lag < 0:
-            return self._diagonal(b, a, -lag, i + lag, low, high)
-        if lag >= self.n:
-            return np.zeros(len(i))
-        first = np.clip(low - i, lag, self.n)
-        last = np.clip(high - i, lag - 1, self.n - 1)
-        early = np.arange(lag, first.max())
-        late = np.arange(self.n - 1, last.min(), -1)
-        before = np.cumsum(np.append(0.0, self._at(a, early) * self._at(b, early - lag)))
-        after = np.cumsum(np.append(0.0, self._at(a, late) * self._at(b, late - lag)))
-        whole = self.moments[a * self.width + b, lag]
-        line = whole - before[first - lag] - after[self.n - 1 - last]
-        return np.where(last >= first, line, 0.0)
+        if i > j:
+            a, i, b, j = b, j, a, i
+        lag = j - i
+        first, last = max(low - i, lag), min(high - i, self.n - 1)
+        if last < first:
+            return 0.0
+        out = self.moments[a * self.width + b, lag]
+        if first > lag:
+            out = out - self._run(a, lag, first) @ self._run(b, 0, first - lag)
+        if last < self.n - 1:
+            out = out - self._run(a, last + 1, self.n) @ self._run(b, last + 1 - lag, self.n - lag)
+        return float(out)
 
     def block(self, a: int, b: int, lags_a: range, lags_b: range, low: int, high: int) -> np.ndarray:
-        """``sum(a[t-i] * b[t-j])`` over ``t = low … high`` for all ``i`` and ``j`` given.
+        """``product`` for all ``i`` in ``lags_a`` and ``j`` in ``lags_b``.
 
-        Positions outside the series count as 0. Negative lags look ahead. Differences of
-        lags must stay within ``max_lag``, and the sample within that reach of both ends.
+        Negative lags look ahead. Differences of lags must stay within ``max_lag``, and the
+        sample within that reach of both ends. One step down a diagonal moves the sample back
+        by one row: one product enters at the front and one leaves at the end.
         """
         out = np.zeros((len(lags_a), len(lags_b)))
-        for lag in range(lags_b.start - lags_a.stop + 1, lags_b.stop - lags_a.start):
-            i = np.arange(max(lags_a.start, lags_b.start - lag), min(lags_a.stop, lags_b.stop - lag))
-            out[i - lags_a.start, i + lag - lags_b.start] = self._diagonal(a, b, lag, i, low, high)
+        if high < low:
+            return out
+        out[0] = [self.product(a, lags_a[0], b, j, low, high) for j in lags_b]
+        out[1:, 0] = [self.product(a, i, b, lags_b[0], low, high) for i in lags_a[1:]]
+        steps = len(lags_b) - 1
+        front_a = self._backward(a, low - 1 - lags_a[0], len(lags_a))
+        end_a = self._backward(a, high - lags_a[0], len(lags_a))
+        front_b = self._backward(b, low - 1 - lags_b[0], steps)
+        end_b = self._backward(b, high - lags_b[0], steps)
+        change = np.outer(front_a, front_b) - np.outer(end_a, end_b)
+        for row in range(1, len(lags_a)):
+            out[row, 1:] = out[row - 1, :-1] + change[row - 1]
         return out
 
     def gram(self, terms: Sequence[tuple[int, range]], low: int, high: int) -> np.ndarray:

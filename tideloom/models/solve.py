@@ -29,6 +29,15 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.convolve(a, b)[: len(a)]
 
 
+def product_of(length: int, *factors: np.ndarray | None) -> np.ndarray:
+    """Product of power series up to ``length``; ``None`` stands for 1."""
+    present = [f for f in factors if f is not None]
+    out = present[0] if present else np.eye(1, length + 1)[0]
+    for factor in present[1:]:
+        out = times(out, factor)
+    return out
+
+
 def inverse_series(poly: np.ndarray) -> np.ndarray:
     """Power series of ``1 / poly`` (leading coefficient 1), doubling the known terms."""
     out = np.ones(1)
@@ -69,27 +78,34 @@ class ArmaShape:
         cuts = np.cumsum([self.regressors, self.p, self.q, self.P])
         return np.split(np.asarray(params, dtype=float), cuts)
 
+    def factors(self, params: np.ndarray, length: int) -> list[np.ndarray | None]:
+        """Series of the four parts of the residual filter; ``None`` for an absent part."""
+        _, phi, theta, s_phi, s_theta = self.parts(params)
+        return [
+            lag_polynomial(phi, -1, 1, length) if self.p else None,
+            inverse_series(lag_polynomial(theta, 1, 1, length)) if self.q else None,
+            lag_polynomial(s_phi, -1, self.season, length) if self.P else None,
+            inverse_series(lag_polynomial(s_theta, 1, self.season, length)) if self.Q else None,
+        ]
+
     def filter(self, params: np.ndarray, length: int) -> np.ndarray:
         """Coefficients of the residual filter: autoregressive over moving-average part."""
-        return self.filter_and_slopes(params, length)[0]
+        return product_of(length, *self.factors(params, length))
 
     def filter_and_slopes(self, params: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The residual filter and its derivative by every ARMA parameter."""
-        _, phi, theta, s_phi, s_theta = self.parts(params)
-        ar, s_ar = lag_polynomial(phi, -1, 1, length), lag_polynomial(s_phi, -1, self.season, length)
-        ma = inverse_series(lag_polynomial(theta, 1, 1, length))
-        s_ma = inverse_series(lag_polynomial(s_theta, 1, self.season, length))
-        inverse = times(ma, s_ma)
-        taps = times(times(ar, s_ar), inverse)
+        ar, ma, s_ar, s_ma = self.factors(params, length)
+        taps = product_of(length, ar, ma, s_ar, s_ma)
         sources = (
-            (self.p, 1, times(s_ar, inverse)),
-            (self.q, 1, times(taps, ma)),
-            (self.P, self.season, times(ar, inverse)),
-            (self.Q, self.season, times(taps, s_ma)),
+            (self.p, 1, (ma, s_ar, s_ma)),
+            (self.q, 1, (taps, ma)),
+            (self.P, self.season, (ar, ma, s_ma)),
+            (self.Q, self.season, (taps, s_ma)),
         )
         slopes = np.zeros((self.p + self.q + self.P + self.Q, length + 1))
         row = 0
-        for count, step, series in sources:
+        for count, step, factors in sources:
+            series = product_of(length, *factors) if count else None
             for k in range(1, count + 1):
                 if k * step <= length:
                     slopes[row, k * step :] = -series[: length + 1 - k * step]
