@@ -279,7 +279,7 @@ def forecast_models(
         return pd.Series(out)
 
     extended = F.pandas_udf(extend, T.ArrayType(T.DoubleType()))
-    rows = rows.withColumn("_path", extended("_recent", "_ahead", "order", "params", "mean"))
+    rows = spread(rows, keys).withColumn("_path", extended("_recent", "_ahead", "order", "params", "mean"))
     steps = rows.select(*keys, "model", "order", "_last", F.posexplode("_path").alias("_at", "yhat"))
     return steps.select(
         *keys,
@@ -332,7 +332,8 @@ def ar1_forecast(
     last = df.groupBy(*keys).agg(
         F.max_by(value, pos).alias("_y"), F.max(ts).alias("_last")
     )
-    rows = attach(models, last, keys).withColumn("step", F.explode(F.sequence(F.lit(1), steps)))
+    rows = spread(attach(models, last, keys), keys)
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), steps)))
     mean = F.col("intercept") / (1 - F.col("phi"))
     path = F.when(
         F.col("phi") == 1, F.col("_y") + F.col("step") * F.col("intercept")

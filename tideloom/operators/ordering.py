@@ -100,17 +100,56 @@ def row_position(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, name: str = "total"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    weight: str,
+    name: str = "total",
+    whole: str | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``weight`` in ``order``, as column ``name``."""
+    """Inclusive running sum of ``weight`` in ``order``, as column ``name``.
+
+    ``whole`` names a further column for the sum over the series.
+    """
     rows = ordered_slices(df, keys, order)
     inside = Window.partitionBy(*keys, "_slice").orderBy("_idx").rowsBetween(*SO_FAR)
     runs = rows.groupBy(*keys, "_slice").agg(F.sum(weight).alias("_sum"))
+    extra = []
+    if whole is not None:
+        runs = runs.withColumn(whole, F.sum("_sum").over(Window.partitionBy(*keys)))
+        extra = [whole]
     placed = rows.withColumn("_inside", F.sum(weight).over(inside)).join(
         _run_offsets(runs, keys, "_sum"), [*keys, "_slice"]
     )
     total = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_inside")
-    return placed.select(*df.columns, total.alias(name))
+    return placed.select(*df.columns, total.alias(name), *extra)
+
+
+def earlier_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    size: str,
+    name: str,
+    chunk: int = CHUNK,
+    levels: int = 1,
+) -> DataFrame:
+    """Sum of ``size`` over the rows of a series with a smaller ``at``.
+
+    For tables with a row per chunk: blocks of ``chunk`` rows are summed first and only the
+    block sums are run through per series, once more for every level.
+    """
+    before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(*BEFORE)), F.lit(0))
+    if levels == 0:
+        return df.withColumn(name, before)
+    rows = df.withColumn("_block", chunk_of(at, chunk))
+    sums = rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
+    sums = earlier_sum(sums.withColumnRenamed("_block", "_at"), keys, "_at", "_sum", "_earlier", chunk, levels - 1)
+    sums = sums.select(*keys, F.col("_at").alias("_block"), "_earlier")
+    block = Window.partitionBy(*keys, "_block").orderBy(at).rowsBetween(*BEFORE)
+    inside = F.coalesce(F.sum(size).over(block), F.lit(0))
+    rows = rows.withColumn("_inside", inside).join(sums, [*keys, "_block"])
+    return rows.withColumn(name, F.col("_earlier") + F.col("_inside")).drop("_block", "_earlier", "_inside")
 
 
 def chunk_of(pos: str, chunk: int) -> Column:
@@ -145,8 +184,7 @@ def compact_position(
     """Renumber ``pos`` without holes after rows were filtered out."""
     rows = df.withColumn("_chunk", chunk_of(pos, chunk))
     sizes = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*BEFORE)
-    sizes = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    sizes = earlier_sum(sizes, keys, "_chunk", "_n", "_offset", chunk).drop("_n")
     inside = F.row_number().over(chunk_window(keys, pos)) - 1
     ranked = rows.withColumn("_inside", inside).join(sizes, [*keys, "_chunk"])
     position = (F.col("_offset") + F.col("_inside")).cast("bigint")

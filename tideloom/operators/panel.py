@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.calendar import calendar_fraction
 from tideloom.functions.times import HOUR, bin_start, shift, steps_between
-from tideloom.operators.ordering import attach, row_position, with_length
+from tideloom.operators.ordering import attach, row_position, spread, with_length
+from tideloom.session import settle
 
 GRID_BLOCK = 4096
 
@@ -48,15 +49,18 @@ def dense_grid(
     """Every tick between the first and the last of the table, for every series.
 
     Also numbers the ticks. The grid is laid out in blocks that are spread over the cluster
-    before their ticks are generated.
+    before their ticks are generated. The input, usually a fresh aggregate much smaller than
+    what it was made from, is read for its bounds, its keys and its values, so it is written
+    once first.
     """
+    df = settle(df)
     bounds = df.agg(F.min(ts).alias("_start"), F.max(ts).alias("_end"))
     series = df.select(*keys).distinct() if keys else bounds.select()
     grid = attach(series, bounds, [])
     last = steps_between(F.col("_start"), F.col("_end"), period)
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor(last / F.lit(GRID_BLOCK)).cast("bigint"))
     grid = grid.withColumn("_last", last).withColumn("_block", F.explode(blocks))
-    grid = grid.repartition(*keys, "_block")
+    grid = spread(grid, [*keys, "_block"])
     ticks = F.sequence(
         F.col("_block") * GRID_BLOCK,
         F.least(F.col("_last"), F.col("_block") * GRID_BLOCK + (GRID_BLOCK - 1)),

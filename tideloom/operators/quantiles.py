@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideloom.operators.ordering import attach, running_total
+from tideloom.operators.ordering import running_total
 from tideloom.session import settle
 
 
@@ -34,9 +34,7 @@ def exact_quantiles(
     """
     group = [*keys, "channel"]
     counts = to_long(df, keys, cols).groupBy(*group, "value").agg(F.count("*").alias("_count"))
-    ranked = running_total(counts, group, ["value"], "_count", "_upto")
-    sizes = ranked.groupBy(*group).agg(F.max("_upto").alias("_size"))
-    ranked = attach(ranked, sizes, group)
+    ranked = running_total(counts, group, ["value"], "_count", "_upto", whole="_size")
 
     def value_at(rank):
         return F.min(F.when(F.col("_upto") > rank, F.col("value")))

@@ -363,7 +363,7 @@ def future_index(
 ) -> DataFrame:
     """``steps`` timestamps after the last one of every series."""
     last = df.groupBy(*keys).agg(F.max(ts).alias("_last"))
-    rows = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    rows = spread(last, keys).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     return rows.select(*keys, "step", shift(F.col("_last"), F.col("step"), period).alias(ts))
 
 

@@ -105,15 +105,15 @@ def topk_window_mse(spark, sf_dir):
     return rows.withColumn("loss", steady("loss"))
 
 
-EPOCHS = f"""{LOSSES}, log AS (SELECT series_id, day % 6 AS epoch, series_id % 8 AS batch, series_id * 100 + day AS window_id, loss FROM losses)"""
+EPOCHS = f"""{LOSSES}, log AS (SELECT series_id, day % 6 AS epoch, series_id // 8 AS batch, series_id * 100 + day AS window_id, loss FROM losses)"""
 
 
 def loss_log(spark, sf_dir):
-    """Window losses laid out as a training log: the day gives the epoch, the user the batch."""
+    """Window losses laid out as a training log: the day gives the epoch, eight users a batch."""
     return losses(spark, sf_dir).select(
         *KEY,
         (F.col("day") % 6).alias("epoch"),
-        (F.col("series_id") % 8).alias("batch"),
+        F.floor(F.col("series_id") / F.lit(8)).alias("batch"),
         (F.col("series_id") * 100 + F.col("day")).alias("window_id"),
         "loss",
     )
