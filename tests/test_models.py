@@ -301,6 +301,9 @@ def test_window_linear_matches_least_squares(spark, features):
     picked = [s for s in starts if s % 50 == 0]
     np.testing.assert_allclose(got["yhat"], (design[picked] @ beta).ravel(), atol=1e-8)
     np.testing.assert_allclose(got["value"], future[picked].ravel())
+    ahead = collected(linear.window_linear_forecast(df, models, KEY, context, cols), ["step"])
+    np.testing.assert_allclose(ahead["yhat"], np.r_[values[-context:].T.ravel(), 1.0] @ beta, atol=1e-8)
+    assert ahead["ts"].tolist() == pd.date_range(part["ts"].max(), periods=4, freq="h")[1:].tolist()
 
 
 def test_requests_are_routed(spark):

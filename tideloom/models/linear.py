@@ -7,6 +7,7 @@ equations come from lag moments, so no window is materialised for fitting.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.functions.arrays import dot
+from tideloom.functions.times import HOUR, shift
 from tideloom.models.moments import SeriesMoments, lag_moments
 from tideloom.models.solve import ridge
-from tideloom.operators.ordering import attach, spread
+from tideloom.operators.ordering import attach, keep_last, spread
 
 
 def window_linear_fit(
@@ -79,6 +81,31 @@ def flatten_past(cols: Sequence[str], past: str = "past") -> Column:
     return F.concat(*[F.transform(past, lambda r: r[c].cast("double")) for c in cols])
 
 
+def window_linear_forecast(
+    df: DataFrame,
+    models: DataFrame,
+    keys: Sequence[str],
+    context: int,
+    cols: Sequence[str] = ("value",),
+    period: timedelta = HOUR,
+    pos: str = "pos",
+    ts: str = "ts",
+) -> DataFrame:
+    """``keys, step, ts, yhat`` after the last row of every series, from its last context."""
+    newest = keep_last(df.select(*keys, pos, ts, *cols), context, keys, pos)
+    packed = newest.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"), F.max(ts).alias("_last")
+    )
+    full = packed.filter(F.size("_rows") == context)
+    if len(cols) == 1:
+        past = F.transform("_rows", lambda r: r[cols[0]].cast("double"))
+    else:
+        past = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in cols]))
+    windows = full.select(*keys, "_last", past.alias("past"))
+    steps = window_linear_predict(windows, models, keys, cols)
+    return steps.select(*keys, "step", shift(F.col("_last"), F.col("step"), period).alias(ts), "yhat")
+
+
 def window_linear_predict(
     windows: DataFrame, models: DataFrame, keys: Sequence[str], cols: Sequence[str] = ("value",)
 ) -> DataFrame:

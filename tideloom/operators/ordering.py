@@ -145,11 +145,11 @@ def earlier_sum(
     rows = df.withColumn("_block", chunk_of(at, chunk))
     sums = rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
     sums = earlier_sum(sums.withColumnRenamed("_block", "_at"), keys, "_at", "_sum", "_earlier", chunk, levels - 1)
-    sums = sums.select(*keys, F.col("_at").alias("_block"), "_earlier")
+    sums = sums.select(*keys, F.col("_at").alias("_block"), F.col("_earlier").alias("_above"))
     block = Window.partitionBy(*keys, "_block").orderBy(at).rowsBetween(*BEFORE)
     inside = F.coalesce(F.sum(size).over(block), F.lit(0))
     rows = rows.withColumn("_inside", inside).join(sums, [*keys, "_block"])
-    return rows.withColumn(name, F.col("_earlier") + F.col("_inside")).drop("_block", "_earlier", "_inside")
+    return rows.withColumn(name, F.col("_above") + F.col("_inside")).drop("_block", "_above", "_inside")
 
 
 def chunk_of(pos: str, chunk: int) -> Column:

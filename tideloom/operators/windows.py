@@ -19,6 +19,7 @@ from tideloom.functions.times import shift
 from tideloom.operators.ordering import CHUNK, attach, series_length, spread, with_halo
 from tideloom.operators.scaling import fit_standard, scale
 from tideloom.operators.splits import MONTH_DAYS, calendar_spans, label_spans
+from tideloom.session import settle
 
 
 def _constant(value: int | str) -> Column:
@@ -332,11 +333,13 @@ def pyramid_gather(
     """Each base row with its ancestor's value at every level (``value_0``, ``value_1``, …).
 
     The ancestor of row ``i`` one level up is ``min(i // w, size - 1)``. Levels are joined
-    from the coarsest down, so the base rows are joined once.
+    from the coarsest down, so the base rows are joined once. The pyramid is written first:
+    every level is a filter on it.
     """
+    pyramid = settle(pyramid)
     sizes = pyramid.groupBy(*keys).agg(
         *[
-            F.count(F.when(F.col("level") == level, 1)).alias(f"_size_{level}")
+            (F.max(F.when(F.col("level") == level, F.col("idx"))) + 1).alias(f"_size_{level}")
             for level in range(1, len(window_sizes) + 1)
         ]
     )

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Time column and channels of the main hourly file and of tool requests.
+MAIN_TIME = "date"
+MAIN_CHANNELS = ["HUFL", "HULL", "MUFL", "MULL", "LUFL", "LULL", "OT"]
 # Columns of the headerless panel file.
 PANEL_SCHEMA = "app_name STRING, zone STRING, time TIMESTAMP_NTZ, value DOUBLE"
 
@@ -61,7 +64,10 @@ def panel_array_scan(df: DataFrame, keys: Sequence[str], column: str) -> DataFra
 
 
 def typed_ingest(
-    df: DataFrame, time_column: str, channels: Sequence[str], keys: Sequence[str] = ()
+    df: DataFrame,
+    time_column: str = MAIN_TIME,
+    channels: Sequence[str] = tuple(MAIN_CHANNELS),
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Untyped text rows to a typed table, with ``error`` naming the columns that do not parse.
 
