@@ -40,6 +40,7 @@ from tideloom.operators.ordering import (
     spread,
     with_halo,
 )
+from tideloom.session import settle
 
 LAGS = 128
 NO_SEASON = (0, 0, 0, 1)
@@ -138,8 +139,13 @@ def fit_orders(
     lags: int = LAGS,
     pos: str = "pos",
     chunk: int | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """A model row per series and order; a fit that fails says so in ``status``."""
+    """A model row per series and order; a fit that fails says so in ``status``.
+
+    ``only`` lists the series to solve. It is joined to the moments, one row per series, not
+    to the data.
+    """
     schema = model_schema(df, keys)
     names = schema.fieldNames()
     fitted = None
@@ -151,12 +157,14 @@ def fit_orders(
         rows = differenced(df, cols, keys, d, seasonal_d, season, pos, chunk or CHUNK)
         rows = rows.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols])
         centred = constant and d == 0 and seasonal_d == 0 and not exog
-        mean = F.avg(value) if centred else F.lit(0.0)
-        means = rows.groupBy(*keys).agg(mean.alias("mean"))
+        means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
         if centred:
             rows = attach(rows, means, keys).withColumn(value, F.col(value) - F.col("mean"))
         reach = max([lags, *[season * (1 + s[0]) + o[0] for o, s in group]])
-        table = attach(lag_moments(rows, cols, keys, reach, pos, chunk), means, keys)
+        table = lag_moments(rows, cols, keys, reach, pos, chunk)
+        table = attach(table, means, keys) if centred else table.withColumn("mean", F.lit(0.0))
+        if only is not None:
+            table = table.join(only, list(keys), "left_semi")
         table = table.withColumn("order_id", F.explode(F.lit(list(range(len(group))))))
         part = spread(table, [*keys, "order_id"]).mapInPandas(_solver(keys, model, group, len(exog), names), schema)
         fitted = part if fitted is None else fitted.unionByName(part)
@@ -176,27 +184,21 @@ def arima_fit(
 ) -> DataFrame:
     """ARIMA for every series that passes the stationarity test.
 
-    A series that fails the test gets a row with status ``non-stationary`` and no parameters.
-    Undifferenced models have a constant.
+    A series that fails the test gets a row with status ``non-stationary`` and no parameters,
+    and is not solved. Undifferenced models have a constant.
     """
-    models = fit_orders(
-        df, keys, [(tuple(order), NO_SEASON)], "arima", value, constant=True, lags=lags, pos=pos, chunk=chunk
-    )
+    grid = [(tuple(order), NO_SEASON)]
+    options = {"constant": True, "lags": lags, "pos": pos, "chunk": chunk}
     if not gate:
-        return models
-    tested = stationarity_test(df, keys, adf_lags, value, pos, chunk=chunk).select(*keys, "stationary")
-    rows = attach(models, tested, keys)
-    passed = F.col("stationary")
-    hidden = ["params", "mean", "sigma2", "aic"]
-    return rows.select(
-        *keys,
-        *[
-            F.when(passed, F.col(f.name)).otherwise(F.lit("non-stationary" if f.name == "status" else None)).alias(f.name)
-            if f.name in (*hidden, "status")
-            else F.col(f.name)
-            for f in MODEL_FIELDS
-        ],
-    )
+        return fit_orders(df, keys, grid, "arima", value, **options)
+    tested = settle(stationarity_test(df, keys, adf_lags, value, pos, chunk=chunk))
+    passed = tested.filter("stationary").select(*keys)
+    fitted = fit_orders(df, keys, grid, "arima", value, only=passed, **options)
+    code = F.array(*[F.lit(v) for v in (*order, *NO_SEASON)])
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in MODEL_FIELDS}
+    empty |= {"model": F.lit("arima"), "order": code, "status": F.lit("non-stationary")}
+    refused = tested.filter("NOT stationary").select(*keys, *[c.alias(name) for name, c in empty.items()])
+    return fitted.unionByName(refused)
 
 
 def sarimax_grid_fit(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tideloom.models.moments import SeriesMoments, lag_moments
 from tideloom.models.solve import adf_p_value, adf_statistic
 from tideloom.operators.ordering import CHUNK, attach, chunk_window, drop_halo, spread, with_halo
+from tideloom.session import settle
 
 
 def default_adf_lags(n: int) -> int:
@@ -118,7 +119,8 @@ def seasonal_decompose(
     if period % 2 == 0:
         total = total - F.lit(0.5) * (F.lag(value, half).over(order) + F.lead(value, half).over(order))
     full = F.count(value).over(frame) == 2 * half + 1
-    rows = drop_halo(rows.withColumn("trend", F.when(full, total / F.lit(float(period)))))
+    # The phase means and the output both need the trend.
+    rows = settle(drop_halo(rows.withColumn("trend", F.when(full, total / F.lit(float(period))))))
     phases = (
         rows.groupBy(*keys, (F.col(pos) % period).alias("_phase"))
         .agg(F.avg(F.col(value) - F.col("trend")).alias("_effect"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.calendar import calendar_fraction
 from tideloom.functions.times import HOUR, bin_start, shift, steps_between
-from tideloom.operators.ordering import attach, row_position, spread, with_length
+from tideloom.operators.ordering import attach, row_position, series_length, spread
 from tideloom.session import settle
 
 GRID_BLOCK = 4096
@@ -125,11 +125,9 @@ def tail_align(
     df: DataFrame, keys: Sequence[str], cap: int = 10_000, pos: str = "pos"
 ) -> DataFrame:
     """Cut all series to the shortest length (at most ``cap``), keeping the newest rows."""
-    rows = with_length(df, keys)
-    shortest = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(
-        F.least(F.min("_n"), F.lit(cap)).alias("_keep")
-    )
-    rows = attach(rows, shortest, []).withColumn(pos, F.col(pos) - F.col("n_rows") + F.col("_keep"))
+    sizes = settle(series_length(df, keys))
+    shortest = sizes.agg(F.least(F.min("n_rows"), F.lit(cap)).alias("_keep"))
+    rows = attach(attach(df, sizes, keys), shortest, []).withColumn(pos, F.col(pos) - F.col("n_rows") + F.col("_keep"))
     return rows.filter(F.col(pos) >= 0).drop("n_rows", "_keep")
 
 

@@ -161,4 +161,5 @@ def fill(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str], pos: str = "pos", chunk: int = CHUNK
 ) -> DataFrame:
     """Forward fill, then backward fill of what is left at the head."""
-    return fill_head(ffill(df, cols, keys, pos, chunk), cols, keys, pos)
+    firsts = first_present(df, cols, keys, pos)
+    return fill_head(ffill(df, cols, keys, pos, chunk), cols, keys, pos, firsts)

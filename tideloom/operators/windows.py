@@ -233,7 +233,8 @@ def zero_pad_front(
         F.count("*").alias("_n"),
         F.min(F.when(F.col(pos) == 0, F.col(ts))).alias("_t0"),
         F.min(F.when(F.col(pos) == 1, F.col(ts))).alias("_t1"),
-    ).withColumn("_need", F.greatest(F.lit(min_length) - F.col("_n"), F.lit(0)))
+    )
+    shape = settle(shape.withColumn("_need", F.greatest(F.lit(min_length) - F.col("_n"), F.lit(0))))
     short = shape.filter("_need > 0").withColumn("_back", F.explode(F.expr("sequence(1L, _need)")))
     stamp = (F.unix_micros(F.col("_t1").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp")))
     zeros = {f.name: F.lit(0).cast(f.dataType) for f in df.schema.fields if f.name in cols}
