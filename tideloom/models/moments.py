@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,24 +64,27 @@ def lag_moments(
     names = list(cols)
     key_names = list(keys)
 
-    def multiply(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(pos)
-        values = group[names].to_numpy(dtype=float)
+    def multiply(group: pa.Table) -> pa.Table:
+        order = np.argsort(group[pos].to_numpy())
+        values = np.column_stack([group[c].to_numpy()[order] for c in names])
         home = int((~group["_home"].to_numpy()).sum())
-        padded = np.vstack([np.zeros((max_lag - home, width)), values])
         own = values[home:]
-        if not len(own):
-            return pd.DataFrame(columns=[f.name for f in fields])
-        label = group[key_names].iloc[0].tolist()
-        out = []
-        for b in range(width):
-            lagged = np.lib.stride_tricks.sliding_window_view(padded[:, b], max_lag + 1)[:, ::-1]
-            products = own.T @ lagged
-            for a in range(width):
-                out.append([*label, a * width + b, products[a].tolist()])
-        return pd.DataFrame(out, columns=[f.name for f in fields])
-
-    partial = spread(rows, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(multiply, T.StructType(fields))
+        cells, products = [], []
+        if len(own):
+            padded = np.vstack([np.zeros((max_lag - home, width)), values])
+            for b in range(width):
+                lagged = np.lib.stride_tricks.sliding_window_view(padded[:, b], max_lag + 1)[:, ::-1]
+                products.extend((own.T @ lagged).tolist())
+                cells.extend(a * width + b for a in range(width))
+        label = [pa.array([group[k][0].as_py()] * len(cells), group.schema.field(k).type) for k in key_names]
+        columns = [*label, pa.array(cells, pa.int32()), pa.array(products, pa.list_(pa.float64()))]
+        return pa.table(columns, names=[f.name for f in fields])
+
+    partial = (
+        spread(rows, [*keys, "_chunk"])
+        .groupBy(*keys, "_chunk")
+        .applyInArrow(multiply, T.StructType(fields))
+    )
     by_lag = (
         partial.select(*keys, "cell", F.posexplode("products").alias("lag", "product"))
         .groupBy(*keys, "cell", "lag")
