@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import DAY, HOUR
-from tideloom.operators.panel import dense_grid, panel_pivot, resample_sum
+from tideloom.operators.panel import dense_grid, resample_sum
 
 # The event types of the test tables.
 CHANNELS = ["click", "error", "purchase", "signup", "view"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideloom.functions import calendar
-from tideloom.functions.times import HOUR
 from tideloom.operators import panel, rolling
 from tideloom.operators.features import feature_matrix, feature_names
 from tideloom.operators.ordering import row_position

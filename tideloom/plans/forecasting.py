@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideloom.functions.times import DAY, HOUR
+from tideloom.functions.times import DAY
 from tideloom.models import arima, diagnostics, linear, selection
 from tideloom.operators.evaluation import complete_horizons
 from tideloom.operators.ordering import attach, with_length
+from tideloom.operators.rolling import lag1
 from tideloom.operators.splits import fraction
 from tideloom.operators.windows import cut_windows, future_index
 from tideloom.plans.base import (
@@ -164,8 +166,6 @@ SELECT series_id, arg_min(model, aic) AS model, round(min(aic), 4) AS aic FROM s
 )
 def best_by_aic(spark, sf_dir):
     """AR(1) against the random walk, on a candidate table made with aggregates."""
-    from tideloom.operators.rolling import lag1
-
     rows = user_hourly(spark, sf_dir)
     models = arima.ar1_fit(rows, KEY, chunk=CHUNK)
     pairs = attach(lag1(rows, ["value"], KEY, chunk=CHUNK), models, KEY).filter(F.col("value_lag1").isNotNull())
@@ -256,8 +256,6 @@ scores AS (SELECT series_id, model, sqrt(avg(pow(value - yhat, 2))) AS rmse FROM
 
 def backtest_scores(spark, sf_dir):
     """Hold-out RMSE of two autoregressions per user: on levels and on changes."""
-    from pyspark.sql import Window
-
     rows = with_length(settle(user_hourly(spark, sf_dir)), KEY)
     border = fraction(F.col("n_rows"), 0.8)
     train = rows.filter(F.col("pos") < border)

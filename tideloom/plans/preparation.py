@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideloom.functions.times import HOUR, shift
 from tideloom.models.arima import ar1_fit
 from tideloom.operators import filters, scaling, splits
-from tideloom.operators.ordering import keep_last, row_position, tail_n, with_length
+from tideloom.operators.ordering import row_position, tail_n, with_length
 from tideloom.operators.windows import (
-    cut_windows,
     strided_panel_windows,
     window_mean_scale,
     window_mean_unscale,
@@ -19,14 +19,12 @@ from tideloom.operators.windows import (
 from tideloom.plans.base import (
     CHANNELS,
     CHUNK,
-    HOURLY,
     KEY,
     TICKS,
     USER_HOURLY,
     WIDE,
     WIDE_GAPS,
     events,
-    hourly,
     hourly_sparse,
     rounded,
     sparse_sql,
@@ -147,8 +145,6 @@ steps AS (SELECT unnest(generate_series(1, 6)) AS step)"""
 
 def last_value_forecast(spark, sf_dir):
     """The last hour of every user carried six steps ahead, under two model names."""
-    from tideloom.functions.times import HOUR, shift
-
     rows = user_hourly(spark, sf_dir)
     ends = rows.groupBy(*KEY).agg(F.max("ts").alias("last"), F.max_by("value", "pos").alias("y"))
     steps = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(6))))
