@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from tideloom.llm import chat_format, decontaminate, exact_dedup, langid, minhash, mixing, sharding  # noqa: F401
+from tideloom.llm import chat_format, decontaminate, exact_dedup, langid, minhash, mixing, sharding, toxicity  # noqa: F401
 from tideloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
