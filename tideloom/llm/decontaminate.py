@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideloom.llm.registry import register, table
+from tideloom.llm.registry import packed, register, table
 from tideloom.llm.textual import rolling, words_of
 
 #: Words that documents and benchmark items must share in a row, and the shortest tile.
@@ -127,7 +127,8 @@ def contamination(
     item_text_col: str = "text",
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: the ``keep`` columns, ``_doc_id, _contaminated, _coverage, _items``.
+    """One row per row of ``docs``: ``_kept`` (a struct of the ``keep`` columns), ``_doc_id, _contaminated,
+    _coverage, _items``.
 
     ``_items`` lists, in order, the benchmark items of which tiles of at least ``seed_words`` words
     cover at least ``coverage`` percent of the words, in whatever order the passages stand in the
@@ -142,18 +143,18 @@ def contamination(
 
     Words are lower-cased (A-Z) runs other than white space. Null, empty or blank documents and
     items match nothing, and such a document is clean with coverage 0. Repeated items are listed
-    as often as their ids differ. Column names that begin with an underscore are not allowed in
-    ``keep``.
+    as often as their ids differ; an item without an id is ignored.
     """
-    text = text_col if text_col in keep else "_text"
-    read = [] if text_col in keep else [F.col(text_col).alias(text)]
-    named = docs.select(*keep, F.col(id_col).alias("_doc_id"), *read)
+    inside = text_col if text_col in keep else None
+    read = [] if inside else [F.col(text_col).alias("_text")]
+    named = docs.select(*packed(keep), F.col(id_col).alias("_doc_id"), *read)
+    out = [c for c in named.columns if c != "_text"]
     found = named.withColumns({"_coverage": F.lit(0).cast("int"), "_items": F.array().cast("array<long>")})
     for block in _blocks(benchmark, item_col, item_text_col):
-        found = _tiled(found, text, block, seed_words, coverage)
+        found = _tiled(found, inside, block, seed_words, coverage)
     flag = F.size("_items") > 0
     items = F.array_sort(F.array_distinct("_items"))
-    return found.select(*keep, "_doc_id", flag.alias("_contaminated"), "_coverage", items.alias("_items"))
+    return found.select(*out, flag.alias("_contaminated"), "_coverage", items.alias("_items"))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -170,7 +171,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield held
 
 
-def _tiled(docs: DataFrame, text: str, block: list[tuple[int, str]], seed_words: int, coverage: int) -> DataFrame:
+def _tiled(docs: DataFrame, inside: str | None, block: list[tuple[int, str]], seed_words: int, coverage: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +179,9 @@ def _tiled(docs: DataFrame, text: str, block: list[tuple[int, str]], seed_words:
         own = [(i, w) for i, w in zip(ids, words_of(texts)) if i is not None and len(w)]
         items = Items([i for i, _ in own], [w for _, w in own], seed_words)
         for batch in batches:
+            texts = batch["_kept"].field(inside) if inside else batch["_text"]
             best, lists = batch["_coverage"].to_pylist(), batch["_items"].to_pylist()
-            for n, words in enumerate(words_of(x.as_py() for x in batch[text])):
+            for n, words in enumerate(words_of(x.as_py() for x in texts)):
                 for at in items.sharing(words):
                     item = items.words[at]
                     share = 100 * tile(item, words, seed_words) // len(item)

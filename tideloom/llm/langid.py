@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideloom.llm.registry import register, table
+from tideloom.llm.registry import packed, register, table
 from tideloom.session import settle
 
 #: The fixed public vocabulary; another sentencepiece model may be named instead.
@@ -253,20 +253,19 @@ class _Scorer:
 def identify(
     docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per row of ``docs``: the ``keep`` columns, ``_doc_id, _lang_pred, _score``.
+    """One row per row of ``docs``: ``_kept`` (a struct of the ``keep`` columns), ``_doc_id, _lang_pred, _score``.
 
     The lower-cased runs of letters of the whole text are scored under every language, each by the
     sum over all its segmentations into pieces (the forward algorithm), and multiplied. The most
     probable language, the first by name of equal ones, is ``_lang_pred`` and its share of the
     total probability ``_score``. A null text, or one without a letter, is ``und`` with score 0.
-    Every row is judged alone, so repeated rows agree. Column names that begin with an underscore
-    are not allowed in ``keep``. An empty table gives an empty result.
+    Every row is judged alone, so repeated rows agree. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = text_col if text_col in keep else "_text"
-    read = [] if text_col in keep else [F.col(text_col).alias(text)]
-    named = docs.select(*keep, F.col(id_col).alias("_doc_id"), *read)
-    out = [*keep, "_doc_id"]
+    inside = text_col if text_col in keep else None
+    read = [] if inside else [F.col(text_col).alias("_text")]
+    named = docs.select(*packed(keep), F.col(id_col).alias("_doc_id"), *read)
+    out = [c for c in named.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -274,8 +273,9 @@ def identify(
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                texts = part["_kept"].field(inside) if inside else part["_text"]
                 langs, scores = [], []
-                for row in scorer.score(part[text].to_pylist()):
+                for row in scorer.score(texts.to_pylist()):
                     if row is None or not len(row):
                         langs.append(UNKNOWN)
                         scores.append(0.0)

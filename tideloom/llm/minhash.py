@@ -8,6 +8,7 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,25 +68,28 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, words: int, signature: Signature) -> DataFrame:
-    """``doc_id, n_shingles, set_id, keys`` of ``docs (doc_id, text)``; no keys for an empty set."""
+    """``doc_id, text_hash, n_shingles, set_id, keys`` of ``docs (doc_id, text_hash, text)``; an empty set has no keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = words_of(batch["text"])
-            for at in range(0, len(batch), _SKETCHED):
-                ids = batch["doc_id"].iloc[at : at + _SKETCHED]
-                sets = [shingles(next(found), words) for _ in range(len(ids))]
+            found = words_of(x.as_py() for x in batch["text"])
+            for at in range(0, batch.num_rows, _SKETCHED):
+                part = batch.slice(at, _SKETCHED)
+                sets = [shingles(next(found), words) for _ in range(part.num_rows)]
                 keys = signature.keys(signature.values(sets))
-                yield pd.DataFrame(
+                empty = np.array([not len(s) for s in sets])
+                offsets = np.concatenate(([0], np.cumsum(np.where(empty, 0, keys.shape[1]))))
+                yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": ids.to_numpy(),
-                        "n_shingles": [len(s) for s in sets],
-                        "set_id": [set_id(s) for s in sets],
-                        "keys": [k if len(s) else None for k, s in zip(keys, sets)],
+                        "doc_id": part["doc_id"],
+                        "text_hash": part["text_hash"],
+                        "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                        "set_id": pa.array([set_id(s) for s in sets], pa.int64()),
+                        "keys": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[~empty].ravel())),
                     }
                 )
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_id long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_id long, keys array<long>")
 
 
 class Forest:
@@ -177,7 +181,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, text_hash``.
 
     A document's set holds its distinct shingles of ``words`` words (``textual.shingles``).
     Documents are linked when 100 * intersection >= ``percent`` * union, and ``component_id`` is
@@ -195,7 +199,9 @@ def near_duplicates(
     texts. A row without an id links with nothing and is kept, its ``component_id`` null. Other
     columns of ``docs`` are not read; an empty table gives an empty result.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")
+    )
     rows = settle(sketches(source, words, signature))
     sound = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(sound.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")))
@@ -209,13 +215,14 @@ def near_duplicates(
     linked = linked.select("set_id", "rep", F.coalesce("component", "set_id").alias("component"))
     least = linked.groupBy("component").agg(F.min("rep").alias("_least"))
     labels = linked.join(least, "component").select("set_id", "_least")
-    found = rows.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
+    found = rows.select("doc_id", "text_hash", "n_shingles", "set_id").join(labels, "set_id", "left")
     mine = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_least")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id",
         "n_shingles",
         mine.alias("component_id"),
         F.col("doc_id").eqNullSafe(mine).alias("kept"),
+        "text_hash",
     )
 
 
@@ -223,6 +230,8 @@ def _confirmed(source: DataFrame, families: DataFrame, words: int, percent: int)
     """``id, component`` of the classes in families, by links confirmed on full sets."""
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     members = families.join(sizes, "component").select("id", "rep", F.col("component").alias("family"), "size")
+    # Only the ids are sorted out by hash; sorting whole texts would spill.
+    members = members.hint("shuffle_hash")
     texts = source.join(members, source["doc_id"] == members["rep"]).select("id", "family", "size", "text")
     texts = settle(texts.withColumn("component", F.col("id")))
     blocks = F.ceil(F.col("size") / BLOCK)

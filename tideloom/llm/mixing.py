@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideloom.llm.registry import register, table
+from tideloom.llm.registry import packed, register, table
 from tideloom.session import settle
 
 #: How often the mix may take one word, at a cost that grows by one with each repetition.
@@ -154,8 +154,8 @@ def mix_sources(
     seed: int = 0,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: the ``keep`` columns, then ``_doc_id, _pattern, _size, _source_size,
-    _target, _taken, _copies``.
+    """One row per row of ``docs``: ``_kept`` (a struct of the ``keep`` columns), ``_doc_id, _pattern, _size,
+    _source_size, _target, _taken, _copies``.
 
     ``sources`` is a column or an array of all sources a document belongs to. Sources in code
     point order, null last, weigh ``weights``, repeating. ``targets`` gives each source its words;
@@ -174,8 +174,7 @@ def mix_sources(
 
     A null text, or one without words, has size 0 and is never taken; a source with no words has
     target 0. An empty membership array counts as a null source. Rows that repeat an id share a
-    key: at the end place they are taken in proportion to their sizes. Column names of ``docs``
-    that begin with an underscore are not allowed in ``keep``.
+    key: at the end place they are taken in proportion to their sizes.
     """
     spark = docs.sparkSession
     of = F.col(sources) if isinstance(sources, str) else sources
@@ -185,13 +184,13 @@ def mix_sources(
     of = F.when(F.size(of) > 0, of).otherwise(F.array(F.lit(None).cast("string")))
     ids = F.col(id_col)
     rows = docs.select(
-        *keep,
+        *packed(keep),
         ids.alias("_doc_id"),
         F.to_json(of).alias("_pattern"),
         word_count(F.col(text_col)).alias("_size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), ids.cast("string"))).alias("_key"),
     )
-    slim = settle(rows.drop(*keep))
+    slim = settle(rows.drop("_kept"))
     rows = rows if keep else slim
     totals = slim.groupBy("_pattern").agg(F.sum("_size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
@@ -237,7 +236,7 @@ def mix_sources(
     last = F.when(inside, F.col("_size")).when(at_end, F.floor(F.col("_size") * F.col("_part") / F.col("_whole")))
     whole = inside | (at_end & (F.col("_part") * 2 >= F.col("_whole")))
     return rows.join(plan, "_pattern").select(
-        *keep,
+        *(["_kept"] if keep else []),
         "_doc_id",
         "_pattern",
         "_size",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideloom.session import configure
 
@@ -29,3 +30,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def packed(keep: Sequence[str]) -> list[Column]:
+    """Columns that an operator hands through, as one struct ``_kept``, so that no name can clash."""
+    return [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept")] if keep else []

@@ -10,7 +10,7 @@ from hashlib import blake2b
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideloom.llm.registry import register, table
+from tideloom.llm.registry import packed, register, table
 from tideloom.session import settle
 
 #: Places on the ring at which keys may lie; the driver sees one sum per place.
@@ -79,7 +79,8 @@ def shard_documents(
     keep: Sequence[str] = (),
     ring: Ring | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: the ``keep`` columns, ``_doc_id, _size, _text_crc32, _shard, _slot``.
+    """One row per row of ``docs``: ``_kept`` (a struct of the ``keep`` columns), ``_doc_id, _size,
+    _text_crc32, _shard, _slot``.
 
     The law is ``bytes``: the sizes of the shards (UTF-8 bytes of the text, null being none, plus
     one per row) are near equal. A row's place on the ring is a hash of its text, so equal texts
@@ -93,21 +94,20 @@ def shard_documents(
     ``_slot`` numbers a shard's rows without gaps from 0: rows are numbered within the cells of a
     shard, whose first numbers come from the counts of the cells, so no shard is sorted in one
     task. Rows that repeat an id share a cell; a null id has a cell of its own. Null and empty
-    texts have size 1. Column names of ``docs`` that begin with an underscore are not allowed in
-    ``keep``. An empty table gives an empty result.
+    texts have size 1. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ring = ring or Ring(shards)
     text, ids = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)
     rows = docs.select(
-        *keep,
+        *packed(keep),
         ids.alias("_doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("_size"),
         F.crc32(text.cast("binary")).alias("_text_crc32"),
         F.xxhash64(text).alias("_text"),
         F.pmod(F.xxhash64(ids, F.lit(17)), F.lit(CELLS)).cast("int").alias("_cell"),
     ).withColumn("_place", F.pmod("_text", F.lit(ring.places)).cast("int"))
-    slim = settle(rows.drop(*keep))
+    slim = settle(rows.drop("_kept"))
     rows = rows if keep else slim
     loads = {r["_place"]: r["load"] for r in slim.groupBy("_place").agg(F.sum("_size").alias("load")).collect()}
     dealt = ring.deal(loads) or [(0, 0, 0, 0)]
@@ -135,10 +135,10 @@ def shard_documents(
     pieces = settle(pieces.select("_text", "_part", "_shard"))
     whole = rows.join(F.broadcast(plain), "_place")
     moved = parted(rows.join(divided, "_place", "left_semi")).join(pieces, ["_text", "_part"]).drop("_part")
-    return _numbered(whole.unionByName(moved).drop("_place", "_text"), keep)
+    return _numbered(whole.unionByName(moved).drop("_place", "_text"))
 
 
-def _numbered(placed: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _numbered(placed: DataFrame) -> DataFrame:
     placed = settle(placed)
     counts = placed.groupBy("_shard", "_cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +146,8 @@ def _numbered(placed: DataFrame, keep: Sequence[str]) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("_shard", "_cell").orderBy("_doc_id", "_text_crc32", "_size"))
     slot: Column = (F.col("_first") + within - 1).cast("long")
     numbered = placed.join(first, ["_shard", "_cell"]).withColumn("_slot", slot)
-    return numbered.select(*keep, "_doc_id", "_size", "_text_crc32", "_shard", "_slot")
+    kept = [c for c in placed.columns if c == "_kept"]
+    return numbered.select(*kept, "_doc_id", "_size", "_text_crc32", "_shard", "_slot")
 
 
 @register("op3_shard")
