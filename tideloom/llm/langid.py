@@ -131,7 +131,7 @@ def _batches(words: Sequence[str], models: int) -> Iterator[np.ndarray]:
     order = np.argsort([len(w) for w in words], kind="stable")
     at = 0
     while at < len(order):
-        n = max(1, min(4096, _CELLS // ((len(words[order[at]]) + 2) * models)))
+        n = max(1, min(4096, _CELLS // ((len(words[order[at]]) + 2) * max(1, models))))
         part = order[at : at + n]
         while len(part) > 1 and (len(words[part[-1]]) + 2) * models * len(part) > 2 * _CELLS:
             part = part[: (len(part) + 1) // 2]

@@ -29,14 +29,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[int], repeats: int = REPEATS) -> list[float]:
-    """Shares of the total by weight, at most ``repeats`` times a size, the excess reshared by weight.
+def targets(
+    sizes: Sequence[int], weights: Sequence[int], repeats: int = REPEATS, total: int | None = None
+) -> list[float]:
+    """Shares of the total (that of the sizes, unless documents have several sources) by weight, at most ``repeats`` times a size, the excess reshared by weight.
 
     Sources are capped in order of cap over weight; once one stays below its cap, so do the rest.
     """
-    total = sum(sizes)
     order = sorted(range(len(sizes)), key=lambda i: repeats * sizes[i] / weights[i])
-    left, weight = total, sum(weights)
+    left, weight = sum(sizes) if total is None else total, sum(weights)
     out = [0.0] * len(sizes)
     for place, i in enumerate(order):
         level = left / weight
@@ -202,7 +203,7 @@ def mix_sources(
             size[member] += words
     names = sorted(size, key=lambda s: (s is None, s or ""))
     repeating = [weights[i % len(weights)] for i in range(len(names))]
-    wanted = dict(zip(names, targets([size[n] for n in names], repeating, repeats)))
+    wanted = dict(zip(names, targets([size[n] for n in names], repeating, repeats, sum(supply.values()))))
     given = route(supply, {n: int(w + 0.5) for n, w in wanted.items()}, repeats)
     plan = []
     for r in totals:

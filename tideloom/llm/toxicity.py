@@ -204,7 +204,7 @@ def calibrate(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray
             last = blocks.pop()
             blocks[-1] = [mine + more for mine, more in zip(blocks[-1], last)]
     total, hits, weight = np.array(blocks).T
-    return total / weight, np.maximum.accumulate((hits + prior) / (weight + 1))
+    return np.maximum.accumulate(total / weight), np.maximum.accumulate((hits + prior) / (weight + 1))
 
 
 def toxicity(
