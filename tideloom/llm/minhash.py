@@ -112,35 +112,28 @@ class Forest:
 def link_sets(sets: list[np.ndarray], groups: list[int], percent: int, queries: int = 0) -> Forest:
     """Join the groups of all pairs of sets that are similar enough.
 
-    Pairs of one group are not compared, nor pairs whose sizes are too far apart, nor pairs that
-    the triangle inequality of the Jaccard distance rules out by their distances from the first
-    few sets. All others are compared in full. With ``queries``, only pairs of one of the first
-    ``queries`` sets with one of the rest count.
+    The elements of all sets are numbered once; one look-up of all of them then counts what a set
+    shares with every other, so a pair costs a few operations per element. With ``queries``, only
+    pairs of one of the first ``queries`` sets with one of the rest count. An empty set joins none.
     """
     forest = Forest(groups)
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    limit = 1 - percent / 100 + 1e-9
-    pivots = 0 if queries or n <= 16 else 3
-    distance = np.zeros((pivots, n))
-    for i in range(queries or n):
-        rest = np.arange(queries or i + 1, n)
-        if i >= pivots:
-            small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-            rest = rest[100 * small >= percent * large]
-            for d in distance:
-                rest = rest[np.abs(d[rest] - d[i]) <= limit]
-        for j in rest:
-            if i >= pivots and forest.root(groups[i]) == forest.root(groups[j]):
-                continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            union = sizes[i] + sizes[j] - shared
-            if i < pivots:
-                distance[i, j] = 1 - shared / union
-                if j < pivots:
-                    distance[j, i] = distance[i, j]
-            if 100 * shared >= percent * union:
-                forest.join(groups[i], groups[j])
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if not sizes.sum():
+        return forest
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    distinct, elements = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    marked = np.zeros(len(distinct), bool)
+    for i in range(queries or len(sets)):
+        first = queries or i + 1
+        own = elements[starts[i] : starts[i + 1]]
+        marked[own] = True
+        hits = owners[starts[first] :][marked[elements[starts[first] :]]]
+        marked[own] = False
+        shared = np.bincount(hits - first, minlength=len(sets) - first)
+        union = sizes[i] + sizes[first:] - shared
+        for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * union)):
+            forest.join(groups[i], groups[first + j])
     return forest
 
 
