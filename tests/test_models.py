@@ -317,3 +317,15 @@ def test_requests_are_routed(spark):
     assert rows[2].error == "no forecast at this horizon"
     assert rows[3].error == rows[5].error == "no such model"
     assert rows[4].error == "unknown series"
+
+
+def test_missing_value_fails_its_own_series_only(spark):
+    series = {"whole": arma(400, 0.5, seed=5), "holed": arma(400, 0.5, seed=6)}
+    frame = long_frame(series)
+    frame.loc[frame.index[(frame.series_id == "holed")][100], "value"] = None
+    rows = to_spark(spark, frame)
+    tested = {r.series_id: r.stationary for r in diagnostics.stationarity_test(rows, KEY, 4).collect()}
+    assert tested == {"whole": True, "holed": None}
+    for gate in (True, False):
+        fits = {r.series_id: r.status for r in arima.arima_fit(rows, KEY, (1, 0, 0), adf_lags=4, gate=gate).collect()}
+        assert fits == {"whole": "ok", "holed": "failed: missing values"}

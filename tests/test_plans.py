@@ -62,3 +62,17 @@ def test_topk_does_not_sort_everything(spark):
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
     assert not any(re.match(r"op\d", n) or "pipeline" in n for n in QUERIES)
+
+
+def test_chunks_are_shuffled_after_a_keyed_join(spark):
+    from tideloom.models.diagnostics import level_and_change
+
+    rows = spark.range(100).selectExpr("id % 2 AS series_id", "id DIV 2 AS pos", "id * 1.0D AS value")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = level_and_change(rows, ["series_id"], "value", "pos", 16)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plan
+    assert "_chunk" in next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)

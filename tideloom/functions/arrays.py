@@ -42,6 +42,9 @@ def array_mean(x: Column) -> Column:
 
 def array_spread(x: Column, ddof: int = 0) -> Column:
     """Standard deviation of an array around its mean."""
-    mean = array_mean(x)
-    squares = F.aggregate(x, F.lit(0.0), lambda total, v: total + (v - mean) * (v - mean))
+    # The mean is bound by a lambda; standing inside the sum it would be worked out for every element.
+    squares = F.transform(
+        F.array(array_mean(x)),
+        lambda mean: F.aggregate(x, F.lit(0.0), lambda total, v: total + (v - mean) * (v - mean)),
+    )[0]
     return F.sqrt(squares / F.nullif(F.size(x) - F.lit(ddof), F.lit(0)))

@@ -86,7 +86,7 @@ def differenced(
     reach = max(weights)
     if reach == 0:
         return df.select(*keys, pos, *cols)
-    rows = with_halo(df.select(*keys, pos, *cols), chunk, before=reach, pos=pos)
+    rows = with_halo(df.select(*keys, pos, *cols), chunk, before=reach, pos=pos, keys=keys)
     order = chunk_window(keys, pos)
 
     def change(c: str) -> Column:
@@ -111,6 +111,8 @@ def _solver(keys: Sequence[str], model: str, orders: Sequence[tuple], regressors
         def failed(reason):
             return [*label, model, code, None, None, None, None, moments.n, f"failed: {reason}"]
 
+        if not np.isfinite(moments.moments).all():
+            return failed("missing values")
         if moments.n < shape.size + 3:
             return failed("too few rows")
         if moments.moments[0, 0] <= 1e-12:
@@ -185,7 +187,8 @@ def arima_fit(
     """ARIMA for every series that passes the stationarity test.
 
     A series that fails the test gets a row with status ``non-stationary`` and no parameters,
-    and is not solved. Undifferenced models have a constant.
+    and is not solved; one with missing values has status ``failed: missing values``. Undifferenced
+    models have a constant.
     """
     grid = [(tuple(order), NO_SEASON)]
     options = {"constant": True, "lags": lags, "pos": pos, "chunk": chunk}
@@ -196,8 +199,9 @@ def arima_fit(
     fitted = fit_orders(df, keys, grid, "arima", value, only=passed, **options)
     code = F.array(*[F.lit(v) for v in (*order, *NO_SEASON)])
     empty = {f.name: F.lit(None).cast(f.dataType) for f in MODEL_FIELDS}
-    empty |= {"model": F.lit("arima"), "order": code, "status": F.lit("non-stationary")}
-    refused = tested.filter("NOT stationary").select(*keys, *[c.alias(name) for name, c in empty.items()])
+    reason = F.when(F.col("stationary").isNull(), "failed: missing values").otherwise("non-stationary")
+    empty |= {"model": F.lit("arima"), "order": code, "status": reason}
+    refused = tested.filter("stationary IS NULL OR NOT stationary").select(*keys, *[c.alias(name) for name, c in empty.items()])
     return fitted.unionByName(refused)
 
 
@@ -307,7 +311,7 @@ def ar1_fit(
     df: DataFrame, keys: Sequence[str], value: str = "value", pos: str = "pos", chunk: int = CHUNK
 ) -> DataFrame:
     """Least squares of a value on the one before it: ``phi``, ``intercept``, ``n_pairs``."""
-    rows = with_halo(df.select(*keys, pos, value), chunk, before=1, pos=pos)
+    rows = with_halo(df.select(*keys, pos, value), chunk, before=1, pos=pos, keys=keys)
     rows = drop_halo(rows.withColumn("_before", F.lag(value).over(chunk_window(keys, pos))))
     return rows.groupBy(*keys).agg(
         F.regr_slope(value, "_before").alias("phi"),

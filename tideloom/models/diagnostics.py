@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def level_and_change(df: DataFrame, keys: Sequence[str], value: str, pos: str, c
     """Level around the series mean and change from the row before (0 in the first row)."""
     means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     rows = attach(df.select(*keys, pos, value), means, keys)
-    rows = with_halo(rows.withColumn("level", F.col(value) - F.col("_mean")), chunk, before=1, pos=pos)
+    rows = with_halo(rows.withColumn("level", F.col(value) - F.col("_mean")), chunk, before=1, pos=pos, keys=keys)
     change = F.col("level") - F.lag("level").over(chunk_window(keys, pos))
     rows = drop_halo(rows.withColumn("change", change))
     return rows.select(*keys, pos, "level", F.coalesce("change", F.lit(0.0)).alias("change"))
@@ -44,7 +45,7 @@ def stationarity_test(
 
     ``max_lag`` is the largest lag count any series may choose; shorter series stay within
     ``default_adf_lags`` of their own length. Returns ``adf_stat, adf_lags, nobs, p_value,
-    stationary``.
+    stationary``; all are NULL for a series with missing values.
     """
     rows = level_and_change(df, keys, value, pos, chunk or CHUNK)
     table = lag_moments(rows, ["level", "change"], keys, max_lag + 1, pos, chunk)
@@ -64,6 +65,9 @@ def stationarity_test(
             for row in batch.itertuples(index=False):
                 label = [getattr(row, k) for k in key_names]
                 moments = SeriesMoments(row.n, row.sums, row.moments, row.head, row.tail)
+                if not np.isfinite(moments.moments).all():
+                    out.append([*label, None, None, None, None, None])
+                    continue
                 varies = moments.n >= 6 and moments.moments[0, 0] > 1e-12
                 if not varies:
                     out.append([*label, None, None, None, None, False])
@@ -83,7 +87,7 @@ def dickey_fuller(
 
     ``z`` is the normal quantile of the p-value in the region where rejection is decided.
     """
-    rows = with_halo(df.select(*keys, pos, value), chunk, before=1, pos=pos)
+    rows = with_halo(df.select(*keys, pos, value), chunk, before=1, pos=pos, keys=keys)
     rows = drop_halo(rows.withColumn("_before", F.lag(value).over(chunk_window(keys, pos))))
     change = F.col(value) - F.col("_before")
     sums = rows.groupBy(*keys).agg(
@@ -112,7 +116,7 @@ def seasonal_decompose(
     detrended values less the mean of the phase means.
     """
     half = period // 2
-    rows = with_halo(df, chunk, before=half, after=half, pos=pos)
+    rows = with_halo(df, chunk, before=half, after=half, pos=pos, keys=keys)
     order = chunk_window(keys, pos)
     frame = order.rowsBetween(-half, half)
     total = F.sum(value).over(frame)

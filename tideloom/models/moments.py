@@ -55,7 +55,7 @@ def lag_moments(
     width = len(cols)
     # Products, totals and both edges read the same rows, which are often differenced or centred.
     df = settle(df.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols]))
-    rows = with_halo(df, chunk, before=max_lag, pos=pos)
+    rows = with_halo(df, chunk, before=max_lag, pos=pos, keys=keys)
     fields = [
         *_key_fields(df, keys),
         T.StructField("cell", T.IntegerType()),

@@ -157,17 +157,19 @@ def chunk_of(pos: str, chunk: int) -> Column:
 
 
 def with_halo(
-    df: DataFrame, chunk: int, before: int = 0, after: int = 0, pos: str = "pos"
+    df: DataFrame, chunk: int, before: int = 0, after: int = 0, pos: str = "pos", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Assign rows to chunks of ``chunk`` positions, copying the rows that neighbours need.
 
     Chunk ``j`` owns positions ``[j*chunk, (j+1)*chunk)`` (``_home`` is true there) and also
-    sees ``before`` rows ahead of them and ``after`` rows behind them.
+    sees ``before`` rows ahead of them and ``after`` rows behind them. Rows are shuffled by series
+    and chunk: where they lie by series already, as after a join, a window over chunks would
+    otherwise stay there and leave a hot series to one task.
     """
     first = F.greatest(F.lit(0), F.floor((F.col(pos) - after) / F.lit(chunk))).cast("bigint")
     last = F.floor((F.col(pos) + before) / F.lit(chunk)).cast("bigint")
     spread = df.withColumn("_chunk", F.explode(F.sequence(first, last)))
-    return spread.withColumn("_home", F.col("_chunk") == chunk_of(pos, chunk))
+    return spread.withColumn("_home", F.col("_chunk") == chunk_of(pos, chunk)).repartition(*keys, "_chunk")
 
 
 def chunk_window(keys: Sequence[str], pos: str = "pos") -> WindowSpec:

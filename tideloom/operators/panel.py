@@ -122,11 +122,11 @@ def panel_quality_filter(
 
 
 def tail_align(
-    df: DataFrame, keys: Sequence[str], cap: int = 10_000, pos: str = "pos"
+    df: DataFrame, keys: Sequence[str], cap: int | None = None, pos: str = "pos"
 ) -> DataFrame:
-    """Cut all series to the shortest length (at most ``cap``), keeping the newest rows."""
+    """Cut all series to the shortest length (at most ``cap``, if given), keeping the newest rows."""
     sizes = settle(series_length(df, keys))
-    shortest = sizes.agg(F.least(F.min("n_rows"), F.lit(cap)).alias("_keep"))
+    shortest = sizes.agg(F.least(F.min("n_rows"), F.lit(cap).cast("long")).alias("_keep"))
     rows = attach(attach(df, sizes, keys), shortest, []).withColumn(pos, F.col(pos) - F.col("n_rows") + F.col("_keep"))
     return rows.filter(F.col(pos) >= 0).drop("n_rows", "_keep")
 

@@ -42,7 +42,7 @@ def row_features(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """``<c>_lag1``, ``<c>_rolling_mean`` and ``<c>_rolling_std`` of every channel, in one sort."""
-    rows = with_halo(df, chunk, before=max(width - 1, 1), pos=pos)
+    rows = with_halo(df, chunk, before=max(width - 1, 1), pos=pos, keys=keys)
     added = []
     for c in cols:
         mean, std = rolling_columns(c, keys, width, pos)
@@ -55,14 +55,14 @@ def row_features(
 
 
 def lag1(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pos: str = "pos", chunk: int = CHUNK) -> DataFrame:
-    rows = with_halo(df, chunk, before=1, pos=pos)
+    rows = with_halo(df, chunk, before=1, pos=pos, keys=keys)
     return drop_halo(rows.select("*", *[lag_column(c, keys, pos).alias(f"{c}_lag1") for c in cols]))
 
 
 def rolling_mean(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str], width: int = 5, pos: str = "pos", chunk: int = CHUNK
 ) -> DataFrame:
-    rows = with_halo(df, chunk, before=width - 1, pos=pos)
+    rows = with_halo(df, chunk, before=width - 1, pos=pos, keys=keys)
     added = [rolling_columns(c, keys, width, pos)[0].alias(f"{c}_rolling_mean") for c in cols]
     return drop_halo(rows.select("*", *added))
 
@@ -70,7 +70,7 @@ def rolling_mean(
 def rolling_std(
     df: DataFrame, cols: Sequence[str], keys: Sequence[str], width: int = 5, pos: str = "pos", chunk: int = CHUNK
 ) -> DataFrame:
-    rows = with_halo(df, chunk, before=width - 1, pos=pos)
+    rows = with_halo(df, chunk, before=width - 1, pos=pos, keys=keys)
     added = [rolling_columns(c, keys, width, pos)[1].alias(f"{c}_rolling_std") for c in cols]
     return drop_halo(rows.select("*", *added))
 

@@ -46,7 +46,7 @@ def cut_windows(
     """
     length = context + horizon
     chunk = chunk or max(CHUNK, 4 * length)
-    rows = with_halo(df, chunk, after=length - 1, pos=pos)
+    rows = with_halo(df, chunk, after=length - 1, pos=pos, keys=keys)
     entry = F.struct(F.col(pos).alias("_at"), *cols)
     # Sized by its input a task could be given far more windows than its neighbours.
     blocks = spread(rows, [*keys, "_chunk"]).groupBy(*keys, "_chunk").agg(

@@ -332,7 +332,7 @@ def panel_quality_filter(spark, sf_dir):
 @register(
     "tail_align",
     f"""WITH {GROUPED}, sizes AS (SELECT event_type, user_id, count(*) AS n FROM grouped GROUP BY 1, 2),
-shortest AS (SELECT least(min(n), 10000) AS keep FROM sizes)
+shortest AS (SELECT min(n) AS keep FROM sizes)
 SELECT event_type, user_id, event_id, pos - n + keep AS pos FROM grouped JOIN sizes USING (event_type, user_id)
 CROSS JOIN shortest WHERE pos >= n - keep""",
 )

@@ -49,11 +49,11 @@ def mse_aligned(spark, sf_dir):
 @register(
     "mse_positional",
     f"""WITH {FLAGSHIP}
-SELECT series_id, round(avg(pow(value - yhat, 2)), 6) AS mse, count(*) AS n FROM paths WHERE step <= 24 GROUP BY 1""",
+SELECT series_id, round(avg(pow(value - yhat, 2)), 6) AS mse, count(*) AS n FROM paths GROUP BY 1""",
 )
 def mse_positional(spark, sf_dir):
     test, forecast = hold_out_forecast(spark, sf_dir)
-    rows = evaluation.mse_positional(test.filter("step <= 24"), forecast, KEY)
+    rows = evaluation.mse_positional(test, forecast, KEY)
     return rows.select(*KEY, rounded("mse").alias("mse"), "n")
 
 
