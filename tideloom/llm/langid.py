@@ -54,19 +54,22 @@ class Lattice:
 
     def __init__(self, pieces: Sequence[str]):
         self.number = {p: i + 1 for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
+        self.beginnings = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
 
     def edges(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
         """Word, start, end and piece of each edge, ordered by end, then length."""
-        number, longest, found = self.number, self.longest, []
+        number, beginnings, found = self.number, self.beginnings, []
         for w, word in enumerate(words):
             word = _MARK + word
             n = len(word)
             for s in range(n):
                 if word[s] not in number:
                     found.append((w, s, s + 1, 0))
-                for e in range(s + 1, min(n, s + longest) + 1):
-                    piece = number.get(word[s:e])
+                for e in range(s + 1, n + 1):
+                    part = word[s:e]
+                    if part not in beginnings:
+                        break
+                    piece = number.get(part)
                     if piece is not None:
                         found.append((w, s, e, piece))
         table = np.array(found, np.int64).reshape(-1, 4)
