@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,27 +19,26 @@ from tideloom.session import settle
 
 #: The fixed public vocabulary; another sentencepiece model may be named instead.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: About so many labelled documents per language are drawn by a hash of their ids to fit the model.
-FIT_DOCS = 3000
 #: Rounds of expectation maximisation.
 ROUNDS = 3
 #: Words of pooled evidence with which each language starts.
 PRIOR_WORDS = 1000.0
 UNKNOWN = "und"
-#: Words whose scores a task remembers at most; forgetting them changes time, not results.
+#: Tokens whose scores a task remembers at most; forgetting them changes time, not results.
 _REMEMBERED = 300_000
 _CELLS = 1 << 21
 _MARK = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_in(text: str | None) -> Counter:
-    """The lower-cased runs of letters of a text, counted."""
-    return Counter(_LETTERS.findall(text.lower())) if text else Counter()
+def tokens_in(text: str | None) -> list[str]:
+    """The lower-cased text between white space; runs of letters never reach over it."""
+    return text.lower().split() if text else []
 
 
-def has_letter(words: Iterable[str]) -> bool:
-    return any(w.isalpha() or any(c.isalpha() for c in w) for w in words)
+def words_in(token: str) -> list[str]:
+    """The runs of letters of a token."""
+    return [token] if token.isalpha() else _LETTERS.findall(token)
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
@@ -54,27 +55,30 @@ class Lattice:
 
     def __init__(self, pieces: Sequence[str]):
         self.number = {p: i + 1 for i, p in enumerate(pieces)}
-        self.beginnings = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
+        self.lengths = np.array([1, *map(len, pieces)], np.int64)
+        self.finder = ahocorasick.Automaton()
+        for piece, number in self.number.items():
+            self.finder.add_word(piece, number)
+        self.finder.make_automaton()
 
     def edges(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
         """Word, start, end and piece of each edge, ordered by end, then length."""
-        number, beginnings, found = self.number, self.beginnings, []
-        for w, word in enumerate(words):
-            word = _MARK + word
-            n = len(word)
-            for s in range(n):
-                if word[s] not in number:
-                    found.append((w, s, s + 1, 0))
-                for e in range(s + 1, n + 1):
-                    part = word[s:e]
-                    if part not in beginnings:
-                        break
-                    piece = number.get(part)
-                    if piece is not None:
-                        found.append((w, s, e, piece))
-        table = np.array(found, np.int64).reshape(-1, 4)
-        table = table[np.lexsort((table[:, 2] - table[:, 1], table[:, 2]))]
-        return tuple(table.T)
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        line = "".join(f"{_MARK}{w}\n" for w in words)
+        found = self.finder.iter(line) if self.number else ()
+        found = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2)
+        ends, piece = found[:, 0] + 1, found[:, 1]
+        unknown = np.ones(len(line), bool)
+        unknown[starts + sizes - 1] = False
+        unknown[ends[self.lengths[piece] == 1] - 1] = False
+        alone = np.flatnonzero(unknown) + 1
+        ends, piece = np.concatenate([ends, alone]), np.concatenate([piece, np.zeros(len(alone), np.int64)])
+        length = self.lengths[piece]
+        word = np.repeat(np.arange(len(words)), sizes)[ends - 1]
+        ends -= starts[word]
+        order = np.lexsort((length, ends))
+        return word[order], (ends - length)[order], ends[order], piece[order]
 
     def forward(self, words: Sequence[str], logs: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """Log probabilities ``[word, end, model]`` of all beginnings, and the edges.
@@ -159,41 +163,37 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     path: str = VOCABULARY,
-    fit_docs: int = FIT_DOCS,
     rounds: int = ROUNDS,
 ) -> LanguageModel:
     """Piece probabilities per language from labelled rows outside the held-out third.
 
-    The rows are drawn by a hash of their ids at a rate per language that gives about
-    ``fit_docs`` of them (all, where there are fewer). Their words are counted per language over
-    the cluster; each round then adds up, over the cluster, how often the forward-backward
-    algorithm expects each piece, and the driver receives one number per language and piece of
-    the vocabulary. A language starts from ``PRIOR_WORDS`` words of the pooled distribution.
-    Without labelled rows there are no languages, and every text is ``und``.
+    The words of all these rows are counted per language over the cluster; each round then adds
+    up, over the cluster, how often the forward-backward algorithm expects each piece in the
+    distinct words, and the driver receives one number per language and piece of the vocabulary.
+    A language starts from ``PRIOR_WORDS`` words of the pooled distribution. Without labelled
+    rows there are no languages, and every text is ``und``.
     """
-    spark = docs.sparkSession
     pieces = vocabulary(path)
     labelled = docs.where(F.col(lang_col).isNotNull() & ~F.coalesce(_held_out(F.col(id_col)), F.lit(True)))
-    counts = labelled.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
-    rates = counts.select("_lang", F.least(F.lit(1.0), F.lit(float(fit_docs)) / F.col("_n")).alias("_rate")).collect()
-    languages = sorted(r["_lang"] for r in rates)
-    if not languages:
-        return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(23)), F.lit(1_000_003)) / 1_000_003
-    rate = spark.createDataFrame([(r["_lang"], r["_rate"]) for r in rates], "_lang string, _rate double")
-    drawn = labelled.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"), chance.alias("_chance"))
-    drawn = drawn.join(F.broadcast(rate), "_lang").where("_chance < _rate").select("_lang", "_text")
+    labelled = labelled.select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, part in batch.groupby("_lang"):
-                found: Counter = Counter()
+                tokens: Counter = Counter()
                 for text in part["_text"]:
-                    found.update(words_in(text))
+                    tokens.update(tokens_in(text))
+                found: Counter = Counter()
+                for token, n in tokens.items():
+                    for word in words_in(token):
+                        found[word] += n
                 yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
 
-    words = drawn.mapInPandas(count, "lang string, word string, n long")
+    words = labelled.mapInPandas(count, "lang string, word string, n long")
     words = settle(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    languages = sorted(r["_lang"] for r in labelled.select("_lang").distinct().collect())
+    if not languages:
+        return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
     logs = np.full((len(pieces) + 1, len(languages)), -np.log(len(pieces) + 1))
     for _ in range(rounds):
         logs = _improved(words, languages, pieces, logs)
@@ -224,32 +224,46 @@ def _improved(words: DataFrame, languages: list[str], pieces: list[str], logs: n
 
 
 class _Scorer:
-    """Scores texts, remembering the scores of words."""
+    """Scores texts, remembering the scores of words and of tokens."""
 
     def __init__(self, model: LanguageModel):
         self.lattice, self.logs = Lattice(model.pieces), model.logs
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.scores = np.empty((0, self.logs.shape[1]))
+        self.words: dict[str, int] = {}
+        self.tokens: dict[str, int] = {}
+        self.of_words = np.empty((0, self.logs.shape[1]))
+        self.of_tokens = np.empty((0, self.logs.shape[1]))
+        self.letters = np.empty(0, bool)
+
+    def _learn(self, tokens: list[str]) -> None:
+        split = [words_in(t) for t in tokens]
+        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.words))
+        if fresh:
+            self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+            self.of_words = np.concatenate([self.of_words, self.lattice.score(fresh, self.logs)])
+        sums = np.zeros((len(tokens), self.logs.shape[1]))
+        owners = np.repeat(np.arange(len(tokens)), [len(words) for words in split])
+        np.add.at(sums, owners, self.of_words[np.array([self.words[w] for words in split for w in words], np.int64)])
+        letters = [t.isalpha() or any(map(str.isalpha, t)) for t in tokens]
+        self.tokens.update(zip(tokens, range(len(self.tokens), len(self.tokens) + len(tokens))))
+        self.of_tokens = np.concatenate([self.of_tokens, sums])
+        self.letters = np.concatenate([self.letters, np.array(letters, bool)])
 
     def score(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
         """For each text the log probability under every language; None where it has no letter."""
-        counted = [words_in(t) for t in texts]
-        if len(self.place) > _REMEMBERED:
+        counted = [Counter(tokens_in(t)) for t in texts]
+        if len(self.tokens) > _REMEMBERED:
             self._forget()
-        fresh = list(dict.fromkeys(w for c in counted for w in c if w not in self.place))
+        fresh = list(dict.fromkeys(t for c in counted for t in c if t not in self.tokens))
         if fresh:
-            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
-            self.scores = np.concatenate([self.scores, self.lattice.score(fresh, self.logs)])
+            self._learn(fresh)
         out: list[np.ndarray | None] = []
         for c in counted:
-            if not has_letter(c):
-                out.append(None)
-                continue
-            at = np.fromiter(map(self.place.__getitem__, c), np.int64, len(c))
-            out.append(np.fromiter(c.values(), np.float64, len(c)) @ self.scores[at])
+            at = np.fromiter(map(self.tokens.__getitem__, c), np.int64, len(c))
+            has_letter = self.letters[at].any()
+            out.append(np.fromiter(c.values(), np.float64, len(c)) @ self.of_tokens[at] if has_letter else None)
         return out
 
 
