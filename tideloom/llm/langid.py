@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -55,30 +55,48 @@ class Lattice:
 
     def __init__(self, pieces: Sequence[str]):
         self.number = {p: i + 1 for i, p in enumerate(pieces)}
-        self.lengths = np.array([1, *map(len, pieces)], np.int64)
-        self.finder = ahocorasick.Automaton()
-        for piece, number in self.number.items():
-            self.finder.add_word(piece, number)
-        self.finder.make_automaton()
+        letters = sorted({c for p in pieces for c in p})
+        self.kind = np.zeros(sys.maxunicode + 1, np.int64)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        # A tree of all beginnings of pieces: from a node and the kind of a character to the next node.
+        nodes = {"": 0}
+        for p in pieces:
+            for n in range(1, len(p) + 1):
+                nodes.setdefault(p[:n], len(nodes))
+        steps = sorted((nodes[x[:-1]] * (len(letters) + 1) + int(self.kind[ord(x[-1])]), n) for x, n in nodes.items() if x)
+        steps.append((np.iinfo(np.int64).max, 0))
+        self.steps, self.next = np.array(steps, np.int64).T.copy()
+        self.width = len(letters) + 1
+        self.piece_at = np.array([self.number.get(x, 0) for x in nodes], np.int64)
 
     def edges(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
         """Word, start, end and piece of each edge, ordered by end, then length."""
-        sizes = np.array([len(w) + 2 for w in words], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        line = "".join(f"{_MARK}{w}\n" for w in words)
-        found = self.finder.iter(line) if self.number else ()
-        found = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 2)
-        ends, piece = found[:, 0] + 1, found[:, 1]
-        unknown = np.ones(len(line), bool)
-        unknown[starts + sizes - 1] = False
-        unknown[ends[self.lengths[piece] == 1] - 1] = False
-        alone = np.flatnonzero(unknown) + 1
-        ends, piece = np.concatenate([ends, alone]), np.concatenate([piece, np.zeros(len(alone), np.int64)])
-        length = self.lengths[piece]
-        word = np.repeat(np.arange(len(words)), sizes)[ends - 1]
-        ends -= starts[word]
-        order = np.lexsort((length, ends))
-        return word[order], (ends - length)[order], ends[order], piece[order]
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        line = "".join(f"{_MARK}{w}\n" for w in words).encode("utf-32-le", "surrogatepass")
+        line = np.frombuffer(line, np.uint32)
+        kinds = self.kind[line]
+        unknown = line != ord("\n")
+        place, node, length = np.flatnonzero(kinds), np.int64(0), 0
+        starts, lengths, found = [], [], []
+        while len(place):
+            step = node * self.width + kinds[place + length]
+            at = np.searchsorted(self.steps, step)
+            alive = self.steps[at] == step
+            place, node, length = place[alive], self.next[at[alive]], length + 1
+            piece = self.piece_at[node]
+            whole = piece > 0
+            starts.append(place[whole])
+            lengths.append(np.full(len(starts[-1]), length))
+            found.append(piece[whole])
+            if length == 1:
+                unknown[starts[0]] = False
+        alone = np.flatnonzero(unknown)
+        start, length = np.concatenate([*starts, alone]), np.concatenate([*lengths, np.ones(len(alone), np.int64)])
+        piece = np.concatenate([*found, np.zeros(len(alone), np.int64)])
+        word = np.repeat(np.arange(len(words)), sizes)[start]
+        start -= (np.cumsum(sizes) - sizes)[word]
+        order = np.lexsort((length, start + length))
+        return word[order], start[order], (start + length)[order], piece[order]
 
     def forward(self, words: Sequence[str], logs: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
         """Log probabilities ``[word, end, model]`` of all beginnings, and the edges.
@@ -239,13 +257,13 @@ class _Scorer:
 
     def _learn(self, tokens: list[str]) -> None:
         split = [words_in(t) for t in tokens]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.words))
+        fresh = list(set(chain.from_iterable(split)).difference(self.words))
         if fresh:
             self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
             self.of_words = np.concatenate([self.of_words, self.lattice.score(fresh, self.logs)])
         sums = np.zeros((len(tokens), self.logs.shape[1]))
-        owners = np.repeat(np.arange(len(tokens)), [len(words) for words in split])
-        np.add.at(sums, owners, self.of_words[np.array([self.words[w] for words in split for w in words], np.int64)])
+        owners = np.repeat(np.arange(len(tokens)), np.fromiter(map(len, split), np.int64, len(split)))
+        np.add.at(sums, owners, self.of_words[np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)])
         letters = [t.isalpha() or any(map(str.isalpha, t)) for t in tokens]
         self.tokens.update(zip(tokens, range(len(self.tokens), len(self.tokens) + len(tokens))))
         self.of_tokens = np.concatenate([self.of_tokens, sums])
@@ -256,7 +274,7 @@ class _Scorer:
         counted = [Counter(tokens_in(t)) for t in texts]
         if len(self.tokens) > _REMEMBERED:
             self._forget()
-        fresh = list(dict.fromkeys(t for c in counted for t in c if t not in self.tokens))
+        fresh = list(set().union(*counted).difference(self.tokens))
         if fresh:
             self._learn(fresh)
         out: list[np.ndarray | None] = []
