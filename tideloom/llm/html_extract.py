@@ -201,24 +201,24 @@ def weak_labels(blocks: Sequence[Block]) -> list[int | None]:
     return [0 if b.boiler else 1 if b.main else None for b in blocks]
 
 
+#: Weights where no page labels itself, and to which few labels are pulled: prose is long, closed by marks and free of links.
+DEFAULT = np.array([4.0, -4.0, 2.0, -6.0, 6.0, 0.5, -1.0, 0.5, 0.0, 0.0, -1.0, -1.5])
+
+
 def train(design: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 30) -> np.ndarray:
-    """Logistic regression of rows that occur ``times`` often, by Newton steps with a pull to zero."""
-    beta = np.zeros(FEATURES)
+    """Logistic regression of rows that occur ``times`` often, by Newton steps with a pull to ``DEFAULT``."""
+    beta = DEFAULT.copy()
     pull = np.eye(FEATURES) * max(1.0, 0.002 * times.sum())
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         hessian = (design * (times * p * (1 - p))[:, None]).T @ design + pull
-        step = np.linalg.solve(hessian, design.T @ (times * (y - p)) - pull @ beta)
+        step = np.linalg.solve(hessian, design.T @ (times * (y - p)) - pull @ (beta - DEFAULT))
         beta += step
         if np.abs(step).max() < 1e-8:
             break
     return beta
 
 
-#: Weights where no page labels itself: prose is long, closed by marks and free of links.
-DEFAULT = np.array([4.0, -4.0, 2.0, -6.0, 6.0, 0.5, -1.0, 0.5, 0.0, 0.0, -1.0, -1.5])
-
-
 def min_cut(content: np.ndarray, boiler: np.ndarray, edges: Sequence[tuple[int, int, float]]) -> np.ndarray:
     """Which nodes are on the source's side of a minimum cut.
 
