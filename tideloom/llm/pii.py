@@ -255,12 +255,16 @@ def op6_pii(spark, sf_dir):
     found = find_pii(table(spark, sf_dir, "documents"), redact=False)
     plain = F.filter("_spans", lambda s: ~s["disguised"])
 
+    def count(kind):
+        # A second parameter of the function would be the place in the array, not the kind.
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long")
+
     def text_of(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     return found.select(
         F.col("_doc_id").alias("doc_id"),
-        *[F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(text_of(plain), 256).alias("base_sha256"),
         text_of(F.col("_spans")).alias("spans"),
     )
