@@ -59,6 +59,19 @@ def test_disguises_are_found_in_place(text, kind, part):
     assert (kind, part) in found
 
 
+@pytest.mark.parametrize(
+    "text, base",
+    [("jоhn@mail.com", "hn@mail.com"), ("john@mail.cоm", "john@mail.c"), ("jo\u200bhn@mail.com", "hn@mail.com")],
+)
+def test_a_plain_fragment_does_not_hide_the_whole(text, base):
+    line = f"to {text}, a@b.cd"
+    plain = plain_spans(line)
+    more = disguised_spans(line, plain)
+    assert [line[a:b] for a, b, _ in plain] == [base, "a@b.cd"]
+    assert [line[a:b] for a, b, _ in more] == [text]
+    assert redacted(line, sorted([*plain, *more])) == "to [email], [email]"
+
+
 @pytest.mark.parametrize(
     "text",
     ["he looked at the dot and one two three", "Look at house dot", "Москва и point (at) night", "one two", "(dot) [at]"],

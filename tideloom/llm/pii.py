@@ -178,7 +178,8 @@ def normalise(text: str) -> Mapped | None:
 def disguised_spans(text: str, plain: Sequence[Span]) -> list[Span]:
     """Identifiers that only show once disguises are undone, as spans of the source text.
 
-    One that overlaps a plain span of its kind is not reported again.
+    One that lies within a plain span of its kind is not reported again. One that reaches beyond
+    it stands beside it: an undisguised part of an address may look like an address itself.
     """
     mapped = normalise(text)
     if mapped is None:
@@ -187,8 +188,8 @@ def disguised_spans(text: str, plain: Sequence[Span]) -> list[Span]:
     for start, end, kind in plain_spans(mapped.text):
         a, b = int(mapped.starts[start]), int(mapped.ends[end - 1])
         own = [s for s in plain if s[2] == kind]
-        at = bisect_right(own, (b, -1, ""))
-        if not any(s[0] < b and a < s[1] for s in own[max(0, at - 1) : at]):
+        at = bisect_right(own, a, key=lambda s: s[0])
+        if not at or own[at - 1][1] < b:
             found.append((a, b, kind))
     return found
 
