@@ -50,6 +50,12 @@ def test_plain_spans_are_the_regexes(text):
         ("a​b@c­d.org", "email", "a​b@c­d.org"),
         ("４１１１ 1111 1111 １１１１", "card", "４１１１ 1111 1111 １１１１"),
         ("call plus four four two zero seven nine four six zero one two three ok", "phone", "plus four four two zero seven nine four six zero one two three"),
+        ("call plus one four one five 555 0199 ok", "phone", "plus one four one five 555 0199"),
+        ("call +1 415 555 oh one nine nine ok", "phone", "+1 415 555 oh one nine nine"),
+        ("at one two seven dot zero dot zero dot one", "ip", "one two seven dot zero dot zero dot one"),
+        ("at one zero dot zero dot zero dot one", "ip", "one zero dot zero dot zero dot one"),
+        ("at 10 dot zero dot 0 dot 1", "ip", "10 dot zero dot 0 dot 1"),
+        ("at 10.zero.0.one", "ip", "10.zero.0.one"),
         ("at one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
     ],
 )
@@ -80,6 +86,16 @@ def test_clean_texts_stay_clean(text):
     assert plain_spans(text) == [] and disguised_spans(text, []) == []
 
 
+@pytest.mark.parametrize("text", ["One. Two. Three. Four!", "in 2019 one of 10, two of 20", "one 2.5 two", "someone 20 199 120"])
+def test_counted_words_stay_words(text):
+    assert plain_spans(text) == [] and disguised_spans(text, []) == []
+
+
+def test_leading_zeros_are_read():
+    text = "at " + "0" * 5000 + ".0.0.1 on"
+    assert plain_spans(text) == [(3, len(text) - 3, "ip")]
+
+
 def test_rewriting_keeps_offsets():
     mapped = Mapped("ab(at)c")
     mapped.rewrite(re.compile(r"\(at\)"), lambda m: [("@", m.start(), m.end())])

@@ -43,7 +43,7 @@ def _ips(text: str) -> Iterator[Span]:
         for run in _DOTTED.finditer(text):
             if run.group().count(".") >= 3:
                 for m in _IP.finditer(run.group()):
-                    if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+                    if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m.group().split(".")):
                         yield run.start() + m.start(), run.start() + m.end(), "ip"
 
 
@@ -124,8 +124,11 @@ _HIDDEN = re.compile(f"[{_UNSEEN}]")
 #: The stretches of Unicode in which the characters above lie.
 _STRANGE = re.compile("[\xad\u0370-\u06ff\u2000-\u206f\u2219\u3002\ufe60-\uff5e\U0001d400-\U0001d7ff]")
 _DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-#: Spelled digits in a row that are read as a number; shorter runs are ordinary words.
-SPELLED = 7
+#: Spelled digits in a row that are always read as a number. Runs with fewer are where, with their numerals, they
+#: have the digits of the shortest telephone number or the parts of an IP address; others are ordinary words.
+SPELLED, DIGITS = 7, 9
+#: Tokens of the shortest of these: four digits and three dots.
+_LEAST = 7
 
 # Top-level names after which a bare "at ... dot ..." is read as an address.
 _TOP = "com|org|net|edu|gov|mil|info|biz|io|ai|app|dev|tv|de|fr|nl|uk|eu|ca|au|jp|cn|br|ch|pl|ru|se|example|test|invalid"
@@ -136,8 +139,10 @@ _DOT = re.compile(rf"\s*{_OPEN}(?:dot|point|\.){_SHUT}\s*|(?<=[A-Za-z0-9])\s+dot
 _BRACKETED = re.compile(rf"{_OPEN}(?:at|@|dot|point|\.){_SHUT}", re.IGNORECASE)
 _WORD = "|".join(_DIGITS)
 _TOKEN = rf"(?:(?:{_WORD})(?![A-Za-z])|[0-9.])"
-_NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?{_TOKEN}(?:[\s,-]*{_TOKEN}){{{SPELLED - 1},}}", re.IGNORECASE)
-_THREE = re.compile(rf"(?:{_WORD})[\s,.-]+(?:{_WORD})[\s,.-]+(?:{_WORD})(?![a-z])")
+_NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:plus\s+)?{_TOKEN}(?:[\s,-]*{_TOKEN}){{{_LEAST - 1},}}", re.IGNORECASE)
+_NEAR = re.compile(rf"(?:{_WORD})[\s,.-]*(?:(?:{_WORD})(?![a-z])|[0-9])|[0-9][\s,.-]*(?:{_WORD})(?![a-z])")
+#: Four parts whose dots have nothing after them: a dot and a space end a sentence.
+_QUAD = re.compile(rf"{_TOKEN}(?:\.(?=\S)(?:[\s,-]*(?:(?:{_WORD})(?![A-Za-z])|[0-9]))+){{3}}", re.IGNORECASE)
 _PARTS = re.compile(rf"plus|{_WORD}|[0-9.]", re.IGNORECASE)
 
 
@@ -147,7 +152,8 @@ def _one(sign: str) -> Callable[[re.Match], list[tuple[str, int, int]]]:
 
 def _spelled(m: re.Match) -> list[tuple[str, int, int]]:
     parts = [(p.group().lower(), m.start() + p.start(), m.start() + p.end()) for p in _PARTS.finditer(m.group())]
-    if sum(p in _DIGITS for p, _, _ in parts) < SPELLED:
+    words, numerals = sum(p in _DIGITS for p, _, _ in parts), sum(p.isdigit() for p, _, _ in parts)
+    if not words or words < SPELLED and words + numerals < DIGITS and not _QUAD.search(m.group()):
         return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m.group())]
     return [(_DIGITS.get(p, "+" if p == "plus" else p), a, b) for p, a, b in parts]
 
@@ -156,7 +162,7 @@ def normalise(text: str) -> Mapped | None:
     """The text with disguises undone, or None if it shows none.
 
     Look-alikes and unseen marks first, then at and dot, in brackets or between words of an
-    address, then runs of at least ``SPELLED`` spelled digits. Texts without any sign of these
+    address, then runs of spelled digits and numerals long enough for a detector. Texts without any sign of these
     are told apart by a few searches and not rewritten.
     """
     # Look-alikes stand for one character each, so offsets stay as they are.
@@ -164,7 +170,7 @@ def normalise(text: str) -> Mapped | None:
     latin = text.translate(_AS_LATIN) if strange else text
     hidden = strange and _HIDDEN.search(latin)
     low = latin.lower()
-    spelled = sum(map(low.count, _DIGITS)) >= SPELLED and _THREE.search(low)
+    spelled = _NEAR.search(low)
     if not (latin != text or hidden or spelled or "dot" in low or _BRACKETED.search(latin)):
         return None
     mapped = Mapped(latin)
