@@ -44,6 +44,25 @@ def test_blocks():
     assert blocks_of(None) == blocks_of("") == blocks_of(" <p> </p><script>x</script>") == []
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>a</p><p>b</p></body></html>", ["a", "b"]),
+        ("<head><title>T</title><script>x</script><p>a</p>", ["a"]),
+        ("<head><link rel=x>\n bare text", ["bare text"]),
+        ("<head><title>T<body><p>a", ["a"]),
+        ("<head><title>T<body><p>a<title>U</title><p>b", ["a", "b"]),
+        ("<head><title>The <b> tag</title></head><p>a", ["a"]),
+        ("<p>a</p><![foo]><p>b</p>", ["a", "b"]),
+        ("<p>a</p><![ x ]><p>b</p>", ["a", "b"]),
+        ("<p>a</p><![endif]--><p>b</p><![if x]><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><p>b &#" + "9" * 5000 + "; c</p><p>&#" + "0" * 5000 + "65;</p>", ["a", "b \ufffd c", "A"]),
+    ],
+)
+def test_the_whole_page_is_read(html, texts):
+    assert [b.text for b in blocks_of(html)] == texts
+
+
 def test_edge_cases(spark):
     prose = "The river rose in the night, and the people of the town left their houses. They came back in spring."
     page = f"<nav><a href=x>Home</a></nav><article><h1>Flood</h1><p>{prose}</p></article><footer>Imprint</footer>"

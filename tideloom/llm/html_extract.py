@@ -43,6 +43,10 @@ BOILER = re.compile(
 #: Elements whose opening ends an open one of the same kind, since its end tag may be left out.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
          "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that leave a head open; any other ends it, since its end tag may be left out.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+_TITLE_ENDS = re.compile(r"</\s*title\s*>|<(?:body|title)\b", re.IGNORECASE)
+_MANY_DIGITS = re.compile(r"&#([0-9]{20,})")
 _SCOPES = frozenset("article aside body div dl footer form header html main nav ol section table ul".split())
 FEATURES = 12
 
@@ -80,6 +84,7 @@ class _Reader(HTMLParser):
         self.silent = 0
         self.links = 0
         self.head = 0
+        self.place = 0
         self.pieces: list[str] = []
         self.linked = 0
         self.blocks: list[Block] = []
@@ -97,7 +102,23 @@ class _Reader(HTMLParser):
                 self.blocks.append(block)
             self.pieces, self.linked = [], 0
 
+    def parse_starttag(self, i):
+        self.place = i
+        return super().parse_starttag(i)
+
+    def parse_marked_section(self, i, report=1):
+        # HTML has none: what looks like one is a comment up to the next ">".
+        return self.parse_bogus_comment(i, report)
+
+    def end_head(self) -> None:
+        for at, node in enumerate(self.open):
+            if node.tag in ("head", "title"):
+                self.close_to(at)
+                return
+
     def handle_starttag(self, tag, attrs):
+        if self.head and not self.silent and tag not in _IN_HEAD:
+            self.end_head()
         if tag in VOID:
             if tag == "br":
                 self.pieces.append(" ")
@@ -121,6 +142,11 @@ class _Reader(HTMLParser):
             self.links += 1
         if tag in ("head", "title"):
             self.head += 1
+        if tag == "title" and not self.get_starttag_text().endswith("/>"):
+            # Tags in a title are text of it, but one that is never closed ends with the head.
+            end = _TITLE_ENDS.search(self.rawdata, self.place + 1)
+            if end and end.group().startswith("</"):
+                self.set_cdata_mode(tag)
 
     def close_implied(self, tag: str) -> None:
         ends = _ENDS.get(tag, {"p"} if tag not in ("span",) else set())
@@ -152,6 +178,8 @@ class _Reader(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.head and not self.silent and self.open[-1].tag == "head" and not data.isspace():
+            self.end_head()
         if self.silent or self.head:
             return
         self.pieces.append(data)
@@ -162,12 +190,9 @@ class _Reader(HTMLParser):
 def blocks_of(html: str | None) -> list[Block]:
     """The blocks of a page in order; none for a null, empty or text-free page."""
     reader = _Reader()
-    try:
-        reader.feed(html or "")
-        reader.close()
-    except (AssertionError, ValueError):
-        # Declarations that the parser can't read; what stands before them counts.
-        pass
+    # Python refuses to read thousands of digits as a number.
+    reader.feed(_MANY_DIGITS.sub(lambda m: f"&#{m[1].lstrip('0')[:8] or 0}", html or ""))
+    reader.close()
     reader.end_block()
     return reader.blocks
 
@@ -351,7 +376,8 @@ def extract(
     order by one space.
 
     A null, empty or text-free page has the empty text, and so has a page of boilerplate only.
-    Broken markup is read as far as it goes. Every page is judged alone, so repeated rows agree.
+    A head ends where anything opens that cannot stand in one, also without its end tag, and a
+    declaration that HTML does not know is a comment up to its ``>``. Every page is judged alone, so repeated rows agree.
     """
     named = pages.select(*packed(keep), F.col(id_col).alias("_page_id"), F.col(html_col).alias("_html"))
     out = named.columns[:-1]
