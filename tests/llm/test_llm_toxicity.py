@@ -1,12 +1,14 @@
 import re
 import zlib
+from itertools import product
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
 from tideloom.llm.registry import QUERIES, table
-from tideloom.llm.toxicity import THRESHOLD, calibrate, toxicity
+from tideloom.llm.toxicity import THRESHOLD, calibrate, evidence, fit, grams_of, toxicity
 
 #: Words that the data's toxic documents hold and others do not.
 LEXICON = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "loser", "scum", "moron"}
@@ -45,6 +47,26 @@ def test_edge_cases(spark):
     assert scores(spark, [], labels) == []
 
 
+def test_a_rare_expression_keeps_its_own_evidence(spark):
+    # Frequent clean n-grams whose CRC-32 agrees in its last 20 bits with one of the rare word's n-grams.
+    def cell(gram):
+        return zlib.crc32(gram.encode()) & ((1 << 20) - 1)
+
+    rare = {cell(gram) for gram in grams_of("zqxjkv")}
+    letters = "abcdefghilmnoprstuwyабвгдежзиклмнопрст"
+    twins = [g for g in map("".join, product(letters, repeat=4)) if cell(g) in rare]
+    assert len({cell(g) for g in twins}) >= 5
+    clean = " ".join(twins) + " a kind and quiet day"
+    docs = [(i, "zqxjkv day" if i % 20 == 0 else f"{clean} {clean}") for i in range(400)]
+    docs += [(1000, "zqxjkv"), (1001, "kind")]
+    teach = spark.createDataFrame([(t, int(i % 20 == 0)) for i, t in docs[:400]], "_text string, _toxic int")
+    got = evidence(spark.createDataFrame(docs, "doc_id long, text string"), fit(teach), "doc_id", "text").collect()
+    x = {r["_doc_id"]: r["_x"] for r in got}
+    own = {r["key"]: r["llr"] for r in fit(teach).collect()}
+    assert x[1000] == pytest.approx(sum(own[g] for g in grams_of("zqxjkv")) / 107)
+    assert x[1000] > 0.1 > 0 > x[1001]
+
+
 @given(st.lists(st.tuples(st.floats(-1, 1), st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=20))
 def test_calibration_rises(rows):
     x, n0, n1 = np.array(rows, float).T

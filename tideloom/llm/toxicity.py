@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from tideloom.session import settle
 ORDER = 4
 #: Neutral characters that every text has besides its own, so that a few words decide little.
 NEUTRAL = 100
-#: Numbers a broadcast model has for n-grams, and for contexts, whatever the corpus.
-CELLS = 1 << 20
+#: Pairs of a document and a word, and characters, from which on a block of documents is closed.
+PAIRS, CHARACTERS = 1 << 18, 1 << 24
 #: Bins of the length-normalised scores from which the calibration is fitted.
 BINS = 4096
 #: A score from here on is predicted toxic.
@@ -105,23 +107,15 @@ def _shared(grams: DataFrame) -> DataFrame:
     return below
 
 
-def _mean_by_cell(rows: DataFrame, key: str) -> np.ndarray:
-    """Evidence by cell of a hash of ``key``, averaged by weight; at most ``CELLS`` numbers reach the driver."""
-    cell = F.crc32(F.col(key).cast("binary")).bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell")
-    sums = rows.groupBy(cell).agg((F.sum(F.col("llr") * F.col("w")) / F.sum("w")).cast("float").alias("llr"))
-    found = sums.toArrow()
-    out = np.full(CELLS, np.nan, np.float32)
-    out[found["cell"].to_numpy()] = found["llr"].to_numpy()
-    return out
+def fit(labelled: DataFrame) -> DataFrame:
+    """``key, llr``: log-likelihood ratios, toxic to ordinary, of n-grams and of contexts whose n-gram is new.
 
-
-def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratios, toxic to ordinary, of n-grams and of contexts whose n-gram is new.
+    Contexts are one character shorter than n-grams, so one table holds both.
 
     Each class has a Kneser-Ney model of the highest order over its own counts; both back off to
     one shared model, so an expression that neither class has seen often tells them apart little,
     and one whose context neither has seen not at all. Counts cover all rows of ``labelled``; the
-    model is ``2 * CELLS`` numbers whatever their number.
+    model is written, a row for every n-gram and context, and never held in one place.
     """
     grams = settle(count_grams(labelled))
     sums = [f(c) for c in ("n0", "n1") for f in (F.sum, lambda n: F.count_if(F.col(n) > 0))]
@@ -141,48 +135,115 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = grams.select("*", context, F.substring("gram", 2, ORDER - 1).alias("low"))
     rows = rows.join(contexts, "context").join(shared, "low")
     prob = {c: own(c) + backoff(c) * F.col("p") for c in "01"}
-    known = rows.select("gram", F.log(prob["1"] / prob["0"]).alias("llr"), (F.col("n0") + F.col("n1")).alias("w"))
-    new = contexts.select(
-        "context", F.log(backoff("1") / backoff("0")).alias("llr"), (F.col("all0") + F.col("all1")).alias("w")
-    )
-    return _mean_by_cell(known, "gram"), _mean_by_cell(new, "context")
+    known = rows.select(F.col("gram").alias("key"), F.log(prob["1"] / prob["0"]).alias("llr"))
+    new = contexts.select(F.col("context").alias("key"), F.log(backoff("1") / backoff("0")).alias("llr"))
+    return settle(known.unionByName(new))
+
+
+def _pressed(values: array) -> bytes:
+    """Small numbers as bytes: all lowest ones first, then the higher ones, which are mostly zero."""
+    return zlib.compress(np.array(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpressed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    """Blocks of ``(_doc_id, _text)``: the documents' ids, the block's distinct words, and how often each has which.
+
+    Document n has the next ``_kinds[n]`` entries of ``_at``, places in ``_words``, and of ``_times``;
+    these three are ``_pressed``.
+    """
+    ids = F.array("_doc_id").alias("_ids")
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("_kinds", "_at", "_times")]
+    words = F.lit(None).cast("array<string>").alias("_words")
+    schema = named.select(F.lit(0).cast("long").alias("_block"), ids, words, *empty).schema
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        places: dict[str, int] = {}
+        held, kinds, at, times, size = [], array("i"), array("i"), array("q"), 0
+
+        def packed() -> pa.RecordBatch:
+            one = [pa.array([number], pa.int64())]
+            for values in (pa.concat_arrays(held), pa.array(list(places), pa.string())):
+                one.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+            one += [pa.array([_pressed(values)], pa.binary()) for values in (kinds, at, times)]
+            return pa.RecordBatch.from_arrays(one, names=["_block", "_ids", "_words", "_kinds", "_at", "_times"])
 
-def evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str, text_col: str) -> DataFrame:
-    """``_doc_id, _x``: the log-likelihood ratio of each whole text per character, ``NEUTRAL`` ones added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    named = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))
+        for batch in batches:
+            first = 0
+            for row, text in enumerate(batch["_text"]):
+                text = text.as_py()
+                words = words_in(text)
+                kinds.append(len(words))
+                at.extend([places.setdefault(word, len(places)) for word in words])
+                times.extend(words.values())
+                size += len(text or "")
+                if len(at) >= PAIRS or size >= CHARACTERS:
+                    held.append(batch["_doc_id"].slice(first, row + 1 - first))
+                    yield packed()
+                    number, first, size = number + 1, row + 1, 0
+                    places, held, kinds, at, times = {}, [], array("i"), array("i"), array("q")
+            if first < batch.num_rows:
+                held.append(batch["_doc_id"].slice(first))
+        if held:
+            yield packed()
+
+    return named.mapInArrow(run, schema)
+
+
+def _keys_of(blocks: DataFrame) -> DataFrame:
+    """``_block, key``: the distinct n-grams and contexts of every block's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, new = shared.value
-        remembered: dict[str, float] = {}
-
-        def of(word: str) -> float:
-            total = 0.0
-            for gram in grams_of(word):
-                found = known[zlib.crc32(gram.encode("utf-8", "surrogatepass")) & (CELLS - 1)]
-                if found != found:
-                    found = new[zlib.crc32(gram[:-1].encode("utf-8", "surrogatepass")) & (CELLS - 1)]
-                if found == found:
-                    total += float(found)
-            return total
+        for batch in batches:
+            for block, words in zip(batch["_block"], batch["_words"]):
+                keys = {gram for word in words.as_py() for gram in grams_of(word)}
+                keys |= {gram[:-1] for gram in keys}
+                found = pa.array(list(keys), pa.string())
+                numbers = pa.array(np.full(len(found), block.as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([numbers, found], names=["_block", "key"])
+
+    return blocks.select("_block", "_words").mapInArrow(run, "_block long, key string")
 
+
+def evidence(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_doc_id, _x``: the log-likelihood ratio of each whole text per character, ``NEUTRAL`` ones added.
+
+    Documents are written in blocks of a bounded number of words. A block's distinct n-grams and
+    contexts are joined with the model, in which a key meets each block once at most, so a
+    frequent one weighs little; a task holds the model's rows for one block.
+    """
+    blocks = settle(_blocks(docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))))
+    found = _keys_of(blocks).join(model, "key").groupBy("_block")
+    found = found.agg(F.collect_list(F.struct("key", "llr")).alias("_model"))
+    joined = blocks.join(found, "_block", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch["_text"]:
-                total, size = 0.0, 0
-                for word, n in words_in(text.as_py()).items():
-                    ratio = remembered.get(word)
-                    if ratio is None:
-                        if len(remembered) >= _REMEMBERED:
-                            remembered.clear()
-                        ratio = remembered[word] = of(word)
-                    total += n * ratio
-                    size += n * (len(word) + 1)
-                out.append(total / (size + NEUTRAL))
-            yield pa.RecordBatch.from_pydict({"_doc_id": batch["_doc_id"], "_x": pa.array(out, pa.float64())})
-
-    return named.mapInArrow(run, named.select("_doc_id", F.lit(0.0).alias("_x")).schema)
+            for row in range(batch.num_rows):
+                part = batch["_model"][row].values
+                llr = {}
+                if part is not None:
+                    llr = dict(zip(part.field("key").to_pylist(), part.field("llr").to_pylist()))
+
+                def of(word: str) -> float:
+                    return sum(llr[g] if g in llr else llr.get(g[:-1], 0.0) for g in grams_of(word))
+
+                words = batch["_words"][row].as_py()
+                ratios, sizes = np.array([of(w) for w in words], float), np.array([len(w) + 1 for w in words], float)
+                kinds, at, times = (_unpressed(batch[c][row].as_py()) for c in ("_kinds", "_at", "_times"))
+                owner = np.repeat(np.arange(len(kinds)), kinds)
+                total = np.bincount(owner, times * ratios[at], len(kinds))
+                size = np.bincount(owner, times * sizes[at], len(kinds))
+                x = pa.array(total / (size + NEUTRAL), pa.float64())
+                yield pa.RecordBatch.from_arrays([batch["_ids"][row].values, x], names=["_doc_id", "_x"])
+
+    out = blocks.select(F.col("_ids")[0].alias("_doc_id"), F.lit(0.0).alias("_x")).schema
+    return joined.mapInArrow(run, out)
 
 
 def calibrate(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
