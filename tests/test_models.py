@@ -217,6 +217,30 @@ def test_forecast_follows_the_recursion(spark):
         assert got["ts"].tolist() == pd.date_range(frame["ts"].max(), periods=7, freq="h")[1:].tolist()
 
 
+def test_forecast_reads_what_its_order_needs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=1500)
+    df = to_spark(spark, long_frame({"a": x}))
+    models = arima.sarimax_grid_fit(df, KEY, ((0, 0, 0),), ((1, 1, 0, 168),))
+    got = collected(arima.sarimax_forecast(df, models, KEY, 5), ["step"])
+    ahead = x[-168:-163] + models.first().params[0] * (x[-168:-163] - x[-336:-331])
+    np.testing.assert_allclose(got["yhat"], ahead, atol=1e-9)
+    slow = arima.arima_fit(df, KEY, (0, 0, 1), gate=False).withColumn("params", F.array(F.lit(-0.98)))
+    model = slow.first()
+    got = collected(arima.arima_forecast(df, slow, KEY, 2), ["step"])
+    error = brute_css(x - model.mean, (0, 0, 1), model.params)[-1]
+    np.testing.assert_allclose(got["yhat"], [model.mean - 0.98 * error, model.mean], atol=1e-6)
+
+
+def test_lags_of_the_stationarity_test_grow_with_the_series(spark):
+    x = np.random.default_rng(6).normal(size=2000)
+    for t in range(26, len(x)):
+        x[t] += 0.7 * x[t - 26]
+    row = diagnostics.stationarity_test(to_spark(spark, long_frame({"a": x})), KEY).first()
+    assert 20 < row.adf_lags <= 26
+    assert diagnostics.stationarity_test(to_spark(spark, long_frame({"a": x})), KEY, 20).first().adf_lags <= 20
+
+
 def test_sarimax_forecast_with_regressors(spark):
     n, period = 480, 24
     t = np.arange(n)

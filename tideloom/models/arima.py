@@ -36,7 +36,6 @@ from tideloom.operators.ordering import (
     attach,
     chunk_window,
     drop_halo,
-    keep_last,
     spread,
     with_halo,
 )
@@ -179,7 +178,7 @@ def arima_fit(
     order: tuple[int, int, int] = (1, 1, 1),
     value: str = "value",
     pos: str = "pos",
-    adf_lags: int = 20,
+    adf_lags: int | None = None,
     gate: bool = True,
     lags: int = LAGS,
     chunk: int | None = None,
@@ -188,7 +187,8 @@ def arima_fit(
 
     A series that fails the test gets a row with status ``non-stationary`` and no parameters,
     and is not solved; one with missing values has status ``failed: missing values``. Undifferenced
-    models have a constant.
+    models have a constant. ``adf_lags`` bounds the lag search of the test; without it every
+    series' own length does.
     """
     grid = [(tuple(order), NO_SEASON)]
     options = {"constant": True, "lags": lags, "pos": pos, "chunk": chunk}
@@ -221,8 +221,24 @@ def sarimax_grid_fit(
     return fit_orders(df, keys, grid, "sarimax", value, exog, lags=lags, pos=pos, chunk=chunk)
 
 
-def _recent(df: DataFrame, cols: Sequence[str], keys: Sequence[str], count: int, pos: str, ts: str) -> DataFrame:
-    rows = keep_last(df.select(*keys, pos, ts, *cols), count, keys, pos)
+#: Weight of the residual filter that a forecast may leave out.
+NEGLECTED = 1e-8
+
+
+def _filter_length(order: Sequence[int], params: Sequence[float], rows: int, lags: int, regressors: int) -> int:
+    """Terms after which the residual filter weighs nothing, or as many as there are rows."""
+    p, d, q, P, D, Q, s = (int(v) for v in order)
+    shape = ArmaShape((p, d, q), (P, D, Q, s), regressors)
+    length = max(lags, s * (1 + P) + p)
+    while (q or Q) and length < rows:
+        if np.abs(shape.filter(np.asarray(params, dtype=float), 2 * length)[length + 1 :]).sum() <= NEGLECTED:
+            break
+        length *= 2
+    return length
+
+
+def _recent(df: DataFrame, cols: Sequence[str], keys: Sequence[str], first: DataFrame, pos: str, ts: str) -> DataFrame:
+    rows = attach(df.select(*keys, pos, ts, *cols), first, keys).filter(F.col(pos) > F.col("_before"))
     packed = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"), F.max(ts).alias("_last")
     )
@@ -241,19 +257,31 @@ def forecast_models(
     future: DataFrame | None = None,
     period: timedelta = HOUR,
     lags: int = LAGS,
-    reach: int = 49,
     pos: str = "pos",
     ts: str = "ts",
 ) -> DataFrame:
     """``keys, model, order, step, ts, yhat`` for every usable model row.
 
-    Needs the last ``lags + reach`` rows of a series, where ``reach`` covers the differencing
-    (``d + D * s``). Without a ``future`` table (``keys, step, exog…``) the regressors of the
+    Each model reads as many of the last rows as its differencing (``d + D * s``) and its residual
+    filter take: all autoregressive terms, and moving-average ones until those left out weigh less
+    than ``NEGLECTED``; at least ``lags`` terms. Without a ``future`` table (``keys, step, exog…``) the regressors of the
     last ``horizon`` rows stand in for the coming ones.
     """
     cols = [value, *exog]
     usable = models.filter(F.col("status") == "ok").select(*keys, "model", "order", "params", "mean")
-    rows = attach(usable, _recent(df, cols, keys, max(lags + reach, horizon), pos, ts), keys)
+    count = len(exog)
+
+    @F.pandas_udf("int")
+    def length_of(order: pd.Series, params: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([_filter_length(o, t, n, lags, count) for o, t, n in zip(order, params, rows)], dtype="int32")
+
+    ends = df.groupBy(*keys).agg(F.max(pos).alias("_end"), F.count("*").alias("_n"))
+    usable = attach(usable, ends, keys).withColumn("_length", length_of("order", "params", "_n"))
+    span = F.col("order")[1] + F.col("order")[4] * F.col("order")[6]
+    need = F.max(F.greatest(F.col("_length") + span, F.lit(horizon)))
+    first = usable.groupBy(*keys).agg((F.max("_end") - need).alias("_before"))
+    usable = usable.drop("_end", "_n")
+    rows = attach(usable, _recent(df, cols, keys, first, pos, ts), keys)
     if exog and future is not None:
         packed = future.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", *exog))).alias("_rows"))
         ahead = packed.select(
@@ -263,11 +291,12 @@ def forecast_models(
     else:
         rows = rows.withColumn("_ahead", F.transform("_recent", lambda c: F.slice(c, -horizon, horizon)))
         rows = rows.withColumn("_ahead", F.slice("_ahead", 2, max(len(exog), 1)))
-    count = len(exog)
 
-    def extend(recent: pd.Series, ahead: pd.Series, order: pd.Series, params: pd.Series, mean: pd.Series) -> pd.Series:
+    def extend(
+        recent: pd.Series, ahead: pd.Series, order: pd.Series, params: pd.Series, mean: pd.Series, length: pd.Series
+    ) -> pd.Series:
         out = []
-        for channels, coming, code, theta, level in zip(recent, ahead, order, params, mean):
+        for channels, coming, code, theta, level, terms in zip(recent, ahead, order, params, mean, length):
             p, d, q, P, D, Q, s = (int(v) for v in code)
             shape = ArmaShape((p, d, q), (P, D, Q, s), count)
             history = np.array([np.asarray(c, dtype=float) for c in channels])
@@ -275,7 +304,7 @@ def forecast_models(
             beta = theta[:count]
             disturbance = history[0] - (beta @ history[1:] if count else 0.0)
             changes = difference(disturbance, d, D, s) - level
-            taps = shape.filter(theta, max(lags, s * (1 + P) + p))
+            taps = shape.filter(theta, int(terms))
             path = forecast_arma(changes, taps, horizon) + level
             path = integrate(disturbance, path, d, D, s)
             if count:
@@ -285,7 +314,7 @@ def forecast_models(
         return pd.Series(out)
 
     extended = F.pandas_udf(extend, T.ArrayType(T.DoubleType()))
-    rows = spread(rows, keys).withColumn("_path", extended("_recent", "_ahead", "order", "params", "mean"))
+    rows = spread(rows, keys).withColumn("_path", extended("_recent", "_ahead", "order", "params", "mean", "_length"))
     steps = rows.select(*keys, "model", "order", "_last", F.posexplode("_path").alias("_at", "yhat"))
     return steps.select(
         *keys,

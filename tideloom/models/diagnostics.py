@@ -35,7 +35,7 @@ def level_and_change(df: DataFrame, keys: Sequence[str], value: str, pos: str, c
 def stationarity_test(
     df: DataFrame,
     keys: Sequence[str],
-    max_lag: int,
+    max_lag: int | None = None,
     value: str = "value",
     pos: str = "pos",
     significance: float = 0.05,
@@ -43,10 +43,13 @@ def stationarity_test(
 ) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant for every series.
 
-    ``max_lag`` is the largest lag count any series may choose; shorter series stay within
-    ``default_adf_lags`` of their own length. Returns ``adf_stat, adf_lags, nobs, p_value,
+    Every series chooses within ``default_adf_lags`` of its own length, and within ``max_lag`` where
+    that is given. Returns ``adf_stat, adf_lags, nobs, p_value,
     stationary``; all are NULL for a series with missing values.
     """
+    if max_lag is None:
+        longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        max_lag = default_adf_lags(longest)
     rows = level_and_change(df, keys, value, pos, chunk or CHUNK)
     table = lag_moments(rows, ["level", "change"], keys, max_lag + 1, pos, chunk)
     fields = [
