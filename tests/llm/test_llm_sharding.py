@@ -51,6 +51,13 @@ def test_edge_cases(spark):
     assert sharded(spark, []) == []
 
 
+def test_tiny_tables_keep_their_rows(spark):
+    for rows in ([(1, None), (2, None), (3, None)], [(i, "ab" * (i % 5)) for i in range(9)]):
+        assert sorted(r["_doc_id"] for r in sharded(spark, rows)) == [i for i, _ in rows]
+    for total in (1, 3, 31, 1000):
+        assert sum(b - a for _, _, a, b in Ring(16).deal({5: total})) == total
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 5000), min_size=50, max_size=400), st.integers(2, 12))
 def test_loads_are_bounded_and_all_dealt(sizes, shards):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -59,7 +60,7 @@ class Ring:
             done, load = 0, loads[place]
             for step in range(len(positions)):
                 shard = owners[(at + step) % len(positions)]
-                room = int(full - held[shard])
+                room = math.ceil(full) - held[shard]
                 if room <= 0:
                     continue
                 part = min(room, load - done)
@@ -68,6 +69,7 @@ class Ring:
                 done += part
                 if done >= load:
                     break
+            assert done == load, f"place {place}: {done} of {load} bytes dealt"
         return out
 
 
