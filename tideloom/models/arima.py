@@ -1,46 +1,35 @@
 """ARIMA and SARIMAX over many series and candidate orders.
 
-Estimation minimises the conditional sum of squares with zero pre-sample values. The residual
-filter is cut after ``lags`` terms, which lets the sum be written with the lag moments of
-``tideloom.models.moments``: one pass over the data per differencing serves every order, and
-the optimiser never sees the rows. The cut is exact for series of up to ``lags`` rows and
-for pure autoregressions; otherwise the neglected weight is the moving-average root to the
-power ``lags``.
+Estimation minimises the conditional sum of squares with zero pre-sample values. A fit starts
+from the lag moments of ``tideloom.models.moments``: one pass over the data per differencing gives
+every order a starting point, with the residual filter cut after ``lags`` terms. From there
+``tideloom.models.scan`` goes on with the exact residuals of whole series until the sum of squares
+is at its minimum, so neither the cut nor the chunks have a part in the result.
+
+A model row holds all that a forecast needs: the last levels and the last residuals.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.functions.times import HOUR, shift
 from tideloom.models.diagnostics import stationarity_test
 from tideloom.models.moments import SeriesMoments, lag_moments
-from tideloom.models.solve import (
-    ArmaShape,
-    difference,
-    fit_arma,
-    forecast_arma,
-    gaussian_aic,
-    integrate,
-    ridge,
-)
-from tideloom.operators.ordering import (
-    CHUNK,
-    attach,
-    chunk_window,
-    drop_halo,
-    spread,
-    with_halo,
-)
+from tideloom.models.scan import Model, refine
+from tideloom.models.solve import ArmaShape, difference, fit_arma, integrate, ridge
+from tideloom.operators.ordering import CHUNK, attach, chunk_window, drop_halo, keep_last, spread, with_halo
 from tideloom.session import settle
 
+#: Terms of the residual filter in the search for a starting point.
 LAGS = 128
 NO_SEASON = (0, 0, 0, 1)
 
@@ -53,11 +42,11 @@ MODEL_FIELDS = [
     T.StructField("aic", T.DoubleType()),
     T.StructField("n", T.LongType()),
     T.StructField("status", T.StringType()),
+    T.StructField("residuals", T.ArrayType(T.DoubleType())),
+    T.StructField("tail", T.ArrayType(T.ArrayType(T.DoubleType()))),
+    T.StructField("last", T.TimestampNTZType()),
 ]
-
-
-def model_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType([*[df.schema[k] for k in keys], *MODEL_FIELDS])
+START_FIELDS = [*[f for f in MODEL_FIELDS if f.name in ("order", "params", "mean", "n", "status")], T.StructField("_id", T.IntegerType())]
 
 
 def difference_weights(d: int, seasonal: int, season: int) -> dict[int, int]:
@@ -97,7 +86,7 @@ def differenced(
     return rows.withColumn(pos, F.col(pos) - reach)
 
 
-def _solver(keys: Sequence[str], model: str, orders: Sequence[tuple], regressors: int, names: list[str]):
+def _starter(keys: Sequence[str], orders: Sequence[tuple], ids: Sequence[int], regressors: int, names: list[str]):
     key_names = list(keys)
 
     def fit_row(row):
@@ -107,20 +96,19 @@ def _solver(keys: Sequence[str], model: str, orders: Sequence[tuple], regressors
         moments = SeriesMoments(row.n, row.sums, row.moments, row.head, row.tail)
         shape = ArmaShape(order, seasonal, regressors)
 
-        def failed(reason):
-            return [*label, model, code, None, None, None, None, moments.n, f"failed: {reason}"]
+        def result(params, status):
+            return [*label, code, params, row.mean, moments.n, status, ids[row.order_id]]
 
         if not np.isfinite(moments.moments).all():
-            return failed("missing values")
+            return result(None, "failed: missing values")
         if moments.n < shape.size + 3:
-            return failed("too few rows")
+            return result(None, "failed: too few rows")
         if moments.moments[0, 0] <= 1e-12:
-            return failed("constant series")
-        params, value = fit_arma(moments, shape)
+            return result(None, "failed: constant series")
+        params, _ = fit_arma(moments, shape)
         if params is None:
-            return failed("no stable solution")
-        sigma2, aic = gaussian_aic(value, moments.n, shape.size)
-        return [*label, model, code, params.tolist(), row.mean, sigma2, aic, moments.n, "ok"]
+            return result(None, "failed: no stable solution")
+        return result(params.tolist(), "ok")
 
     def solve(batches):
         for batch in batches:
@@ -129,47 +117,110 @@ def _solver(keys: Sequence[str], model: str, orders: Sequence[tuple], regressors
     return solve
 
 
-def fit_orders(
+def _starts(
     df: DataFrame,
     keys: Sequence[str],
     orders: Sequence[tuple[tuple, tuple]],
-    model: str,
-    value: str = "value",
-    exog: Sequence[str] = (),
-    constant: bool = False,
-    lags: int = LAGS,
-    pos: str = "pos",
-    chunk: int | None = None,
-    only: DataFrame | None = None,
+    cols: Sequence[str],
+    constant: bool,
+    lags: int,
+    pos: str,
+    chunk: int | None,
+    only: DataFrame | None,
 ) -> DataFrame:
-    """A model row per series and order; a fit that fails says so in ``status``.
-
-    ``only`` lists the series to solve. It is joined to the moments, one row per series, not
-    to the data.
-    """
-    schema = model_schema(df, keys)
-    names = schema.fieldNames()
-    fitted = None
+    """``START_FIELDS`` per series and order, from lag moments; ``_id`` is the order's place in ``orders``."""
+    schema = T.StructType([*[df.schema[k] for k in keys], *START_FIELDS])
+    value, exog = cols[0], cols[1:]
+    found = None
     by_difference: dict[tuple, list] = {}
-    for order, seasonal in orders:
-        by_difference.setdefault((order[1], seasonal[1], seasonal[3]), []).append((order, seasonal))
+    for at, (order, seasonal) in enumerate(orders):
+        by_difference.setdefault((order[1], seasonal[1], seasonal[3]), []).append((at, (order, seasonal)))
     for (d, seasonal_d, season), group in by_difference.items():
-        cols = [value, *exog]
         rows = differenced(df, cols, keys, d, seasonal_d, season, pos, chunk or CHUNK)
         rows = rows.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols])
         centred = constant and d == 0 and seasonal_d == 0 and not exog
         means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
         if centred:
             rows = attach(rows, means, keys).withColumn(value, F.col(value) - F.col("mean"))
-        reach = max([lags, *[season * (1 + s[0]) + o[0] for o, s in group]])
+        reach = max([lags, *[season * (1 + s[0]) + o[0] for _, (o, s) in group]])
         table = lag_moments(rows, cols, keys, reach, pos, chunk)
         table = attach(table, means, keys) if centred else table.withColumn("mean", F.lit(0.0))
         if only is not None:
             table = table.join(only, list(keys), "left_semi")
         table = table.withColumn("order_id", F.explode(F.lit(list(range(len(group))))))
-        part = spread(table, [*keys, "order_id"]).mapInPandas(_solver(keys, model, group, len(exog), names), schema)
-        fitted = part if fitted is None else fitted.unionByName(part)
-    return fitted
+        solve = _starter(keys, [o for _, o in group], [at for at, _ in group], len(exog), schema.fieldNames())
+        part = spread(table, [*keys, "order_id"]).mapInPandas(solve, schema)
+        found = part if found is None else found.unionByName(part)
+    return settle(found)
+
+
+def _ends(df: DataFrame, cols: Sequence[str], keys: Sequence[str], rows: int, pos: str, ts: str) -> DataFrame:
+    """``keys, tail, last``: the last ``rows`` rows of every series as one array per channel, and the last time."""
+    newest = keep_last(df, max(rows, 1), keys, pos)
+    last = F.max(ts) if ts in df.columns else F.lit(None)
+    packed = newest.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"), last.cast("timestamp_ntz").alias("last")
+    )
+    tail = F.array(*[F.transform("_rows", lambda r: r[c].cast("double")) for c in cols])
+    return packed.select(*keys, tail.alias("tail"), "last")
+
+
+def _order_code(orders: Sequence[tuple[tuple, tuple]]) -> tuple[int, int]:
+    """The largest halo, and the most rows lost to differencing, of the orders."""
+    models = [Model((*o, *s), np.zeros(0)) for o, s in orders]
+    return max(m.halo for m in models), max(m.reach for m in models)
+
+
+def fit_orders(
+    df: DataFrame,
+    keys: Sequence[str],
+    orders: Sequence[tuple[tuple, tuple]],
+    model: str,
+    value: str = "value",
+    exog: Sequence[str] = (),
+    constant: bool = False,
+    lags: int = LAGS,
+    pos: str = "pos",
+    ts: str = "ts",
+    chunk: int | None = None,
+    only: DataFrame | None = None,
+) -> DataFrame:
+    """A model row per series and order; a fit that fails says so in ``status``.
+
+    ``sigma2`` is the mean square of all residuals. ``aic`` counts those behind the rows that any
+    of ``orders`` loses to differencing, so orders of different differencing compare on one
+    sample; it is NULL where that sample has no rows. A model that has not converged has status
+    ``not converged``. ``residuals`` and ``tail`` are the last values that a forecast looks back
+    on, ``last`` the time of the last row. ``lags`` bounds the search for a starting point
+    and has no part in the result. ``only`` lists the series to solve: it is joined to the moments,
+    one row per series, not to the data.
+    """
+    cols = [value, *exog]
+    halo, common = _order_code(orders)
+    starts = _starts(df, keys, orders, cols, constant, lags, pos, chunk, only)
+    ready = starts.filter("status = 'ok'").select(*keys, "_id", F.col("order").alias("code"), "params", "mean", F.lit(True).alias("free"))
+    solved = refine(df, ready, cols, keys, halo, common, pos, chunk or CHUNK)
+    solved = solved.select(*keys, "_id", *[F.col(c).alias(f"_{c}") for c in ("params", "squares", "common_squares", "residuals", "status")])
+    rows = starts.join(solved, [*keys, "_id"], "left").join(_ends(df, cols, keys, halo, pos, ts), list(keys))
+    code = F.col("order")
+    counted = F.col("n") + code[1] + code[4] * code[6] - F.lit(common)
+    size = code[0] + code[2] + code[3] + code[5] + F.lit(len(exog))
+    noise = F.greatest(F.col("_common_squares") / counted, F.lit(1e-300))
+    aic = F.when(counted > 0, counted * (F.log(F.lit(2 * math.pi) * noise) + 1) + 2 * (size + 1))
+    return rows.select(
+        *keys,
+        F.lit(model).alias("model"),
+        "order",
+        F.col("_params").alias("params"),
+        F.when(F.col("_params").isNotNull(), F.col("mean")).alias("mean"),
+        F.greatest(F.col("_squares") / F.col("n"), F.lit(1e-300)).alias("sigma2"),
+        aic.alias("aic"),
+        "n",
+        F.coalesce("_status", "status").alias("status"),
+        F.col("_residuals").alias("residuals"),
+        F.when(F.col("_params").isNotNull(), F.col("tail")).alias("tail"),
+        "last",
+    )
 
 
 def arima_fit(
@@ -181,6 +232,7 @@ def arima_fit(
     adf_lags: int | None = None,
     gate: bool = True,
     lags: int = LAGS,
+    ts: str = "ts",
     chunk: int | None = None,
 ) -> DataFrame:
     """ARIMA for every series that passes the stationarity test.
@@ -191,7 +243,7 @@ def arima_fit(
     series' own length does.
     """
     grid = [(tuple(order), NO_SEASON)]
-    options = {"constant": True, "lags": lags, "pos": pos, "chunk": chunk}
+    options = {"constant": True, "lags": lags, "pos": pos, "ts": ts, "chunk": chunk}
     if not gate:
         return fit_orders(df, keys, grid, "arima", value, **options)
     tested = settle(stationarity_test(df, keys, adf_lags, value, pos, chunk=chunk))
@@ -214,118 +266,139 @@ def sarimax_grid_fit(
     exog: Sequence[str] = (),
     pos: str = "pos",
     lags: int = LAGS,
+    ts: str = "ts",
     chunk: int | None = None,
 ) -> DataFrame:
     """Every order with every seasonal order, with regressors, for every series."""
     grid = [(tuple(o), tuple(s)) for o in orders for s in seasonal_orders]
-    return fit_orders(df, keys, grid, "sarimax", value, exog, lags=lags, pos=pos, chunk=chunk)
-
-
-#: Weight of the residual filter that a forecast may leave out.
-NEGLECTED = 1e-8
+    return fit_orders(df, keys, grid, "sarimax", value, exog, lags=lags, pos=pos, ts=ts, chunk=chunk)
 
 
-def _filter_length(order: Sequence[int], params: Sequence[float], rows: int, lags: int, regressors: int) -> int:
-    """Terms after which the residual filter weighs nothing, or as many as there are rows."""
-    p, d, q, P, D, Q, s = (int(v) for v in order)
-    shape = ArmaShape((p, d, q), (P, D, Q, s), regressors)
-    length = max(lags, s * (1 + P) + p)
-    while (q or Q) and length < rows:
-        if np.abs(shape.filter(np.asarray(params, dtype=float), 2 * length)[length + 1 :]).sum() <= NEGLECTED:
-            break
-        length *= 2
-    return length
-
-
-def _recent(df: DataFrame, cols: Sequence[str], keys: Sequence[str], first: DataFrame, pos: str, ts: str) -> DataFrame:
-    rows = attach(df.select(*keys, pos, ts, *cols), first, keys).filter(F.col(pos) > F.col("_before"))
-    packed = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"), F.max(ts).alias("_last")
-    )
-    return packed.select(
-        *keys, "_last", F.array(*[F.transform("_rows", lambda r: r[c].cast("double")) for c in cols]).alias("_recent")
-    )
-
-
-def forecast_models(
+def end_states(
     df: DataFrame,
     models: DataFrame,
     keys: Sequence[str],
-    horizon: int,
     value: str = "value",
     exog: Sequence[str] = (),
-    future: DataFrame | None = None,
-    period: timedelta = HOUR,
-    lags: int = LAGS,
     pos: str = "pos",
     ts: str = "ts",
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """``keys, model, order, step, ts, yhat`` for every usable model row.
+    """The usable ``models``, their parameters as they stand, brought to the end of ``df``.
 
-    Each model reads as many of the last rows as its differencing (``d + D * s``) and its residual
-    filter take: all autoregressive terms, and moving-average ones until those left out weigh less
-    than ``NEGLECTED``; at least ``lags`` terms. Without a ``future`` table (``keys, step, exog…``) the regressors of the
-    last ``horizon`` rows stand in for the coming ones.
+    For models fitted earlier, or on part of a series: ``residuals``, ``tail`` and ``last`` are
+    those after the last row of ``df``. Models of series that ``df`` does not have are left out.
     """
     cols = [value, *exog]
-    usable = models.filter(F.col("status") == "ok").select(*keys, "model", "order", "params", "mean")
-    count = len(exog)
+    usable = models.filter("status = 'ok'").select(*keys, "model", "order", "params", "mean")
+    numbered = Window.partitionBy(*keys).orderBy("model", "order")
+    usable = settle(usable.withColumn("_id", F.row_number().over(numbered)))
+    code = F.col("order")
+    halo = usable.agg(F.max(code[0] + code[1] + (code[3] + code[4]) * code[6])).first()[0] or 0
+    asked = usable.select(*keys, "_id", code.alias("code"), "params", "mean", F.lit(False).alias("free"))
+    found = refine(df, asked, cols, keys, halo, 0, pos, chunk).select(*keys, "_id", "residuals")
+    rows = usable.join(found, [*keys, "_id"]).join(_ends(df, cols, keys, halo, pos, ts), list(keys))
+    return rows.drop("_id").withColumn("status", F.lit("ok"))
+
+
+def _path(model: Model, tail: np.ndarray, residuals: np.ndarray, coming: np.ndarray) -> np.ndarray:
+    """Levels after the end of a series: no noise to come, regressors ``coming`` (a row per regressor)."""
+    _, d, _, _, D, _, s = model.code
+    k, horizon = model.regressors, coming.shape[1]
+    ar, ma, *_ = model.factors()
+    levels = tail[0] - model.params[:k] @ tail[1:]
+    known = difference(levels, d, D, s) - model.mean
+    w = np.concatenate([np.zeros(len(ar)), known, np.zeros(horizon)])
+    e = np.concatenate([residuals, np.zeros(horizon)])
+    first, r = len(ar) + len(known), len(residuals)
+    for h in range(horizon):
+        w[first + h] = ma[1:] @ e[h : h + r][::-1] - ar[1:] @ w[first + h - len(ar) + 1 : first + h][::-1]
+    return integrate(levels, w[first:] + model.mean, d, D, s) + model.params[:k] @ coming
+
+
+def forecast_stored(
+    models: DataFrame,
+    keys: Sequence[str],
+    horizon: int | str,
+    exog: Sequence[str] = (),
+    future: DataFrame | None = None,
+    period: timedelta = HOUR,
+    ts: str = "ts",
+) -> DataFrame:
+    """``keys, model, order, step, ts, yhat`` from model rows alone, without their series.
 
-    @F.pandas_udf("int")
-    def length_of(order: pd.Series, params: pd.Series, rows: pd.Series) -> pd.Series:
-        return pd.Series([_filter_length(o, t, n, lags, count) for o, t, n in zip(order, params, rows)], dtype="int32")
-
-    ends = df.groupBy(*keys).agg(F.max(pos).alias("_end"), F.count("*").alias("_n"))
-    usable = attach(usable, ends, keys).withColumn("_length", length_of("order", "params", "_n"))
-    span = F.col("order")[1] + F.col("order")[4] * F.col("order")[6]
-    need = F.max(F.greatest(F.col("_length") + span, F.lit(horizon)))
-    first = usable.groupBy(*keys).agg((F.max("_end") - need).alias("_before"))
-    usable = usable.drop("_end", "_n")
-    rows = attach(usable, _recent(df, cols, keys, first, pos, ts), keys)
-    if exog and future is not None:
-        packed = future.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", *exog))).alias("_rows"))
-        ahead = packed.select(
-            *keys, F.array(*[F.transform("_rows", lambda r: r[c].cast("double")) for c in exog]).alias("_ahead")
-        )
-        rows = attach(rows, ahead, keys)
+    ``horizon`` may name a column of ``models``. Models with regressors need ``future (keys, step,
+    exog…)``; from the first step on that a series' rows do not cover, ``yhat`` is NULL.
+    """
+    count = len(exog)
+    rows = models.filter("status = 'ok'")
+    rows = rows.withColumn("_horizon", F.col(horizon).cast("int") if isinstance(horizon, str) else F.lit(horizon))
+    if count:
+        if future is None:
+            raise ValueError("models with regressors need a table of their future values")
+        packed = future.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", *exog))).alias("_future"))
+        # Steps count from 1 without a hole; what follows a hole is not known.
+        packed = packed.withColumn("_future", F.filter("_future", lambda r, i: r["step"] == i + 1))
+        ahead = F.array(*[F.transform("_future", lambda r: r[c].cast("double")) for c in exog])
+        rows = rows.join(packed.select(*keys, ahead.alias("_ahead")), list(keys), "left")
     else:
-        rows = rows.withColumn("_ahead", F.transform("_recent", lambda c: F.slice(c, -horizon, horizon)))
-        rows = rows.withColumn("_ahead", F.slice("_ahead", 2, max(len(exog), 1)))
+        rows = rows.withColumn("_ahead", F.array().cast("array<array<double>>"))
 
     def extend(
-        recent: pd.Series, ahead: pd.Series, order: pd.Series, params: pd.Series, mean: pd.Series, length: pd.Series
+        tail: pd.Series, residuals: pd.Series, ahead: pd.Series, code: pd.Series, params: pd.Series, mean: pd.Series, steps: pd.Series
     ) -> pd.Series:
         out = []
-        for channels, coming, code, theta, level, terms in zip(recent, ahead, order, params, mean, length):
-            p, d, q, P, D, Q, s = (int(v) for v in code)
-            shape = ArmaShape((p, d, q), (P, D, Q, s), count)
-            history = np.array([np.asarray(c, dtype=float) for c in channels])
-            theta = np.asarray(theta, dtype=float)
-            beta = theta[:count]
-            disturbance = history[0] - (beta @ history[1:] if count else 0.0)
-            changes = difference(disturbance, d, D, s) - level
-            taps = shape.filter(theta, int(terms))
-            path = forecast_arma(changes, taps, horizon) + level
-            path = integrate(disturbance, path, d, D, s)
-            if count:
-                drivers = np.array([np.asarray(c, dtype=float)[:horizon] for c in coming])
-                path = path[: drivers.shape[1]] + beta @ drivers
-            out.append(path.tolist())
+        for channels, errors, coming, order, theta, level, n in zip(tail, residuals, ahead, code, params, mean, steps):
+            x = np.full((count, n), np.nan)
+            for row, values in zip(x, coming if coming is not None else []):
+                known = np.asarray(values, dtype=float)[:n]
+                row[: len(known)] = known
+            model = Model.of(order, theta, level, count)
+            levels = np.array([np.asarray(c, dtype=float) for c in channels])
+            out.append(_path(model, levels, np.asarray(errors, dtype=float), x).tolist())
         return pd.Series(out)
 
     extended = F.pandas_udf(extend, T.ArrayType(T.DoubleType()))
-    rows = spread(rows, keys).withColumn("_path", extended("_recent", "_ahead", "order", "params", "mean", "_length"))
-    steps = rows.select(*keys, "model", "order", "_last", F.posexplode("_path").alias("_at", "yhat"))
+    rows = spread(rows, keys).withColumn("_path", extended("tail", "residuals", "_ahead", "order", "params", "mean", "_horizon"))
+    steps = rows.select(*keys, "model", "order", "last", F.posexplode("_path").alias("_at", "yhat"))
     return steps.select(
         *keys,
         "model",
         "order",
         (F.col("_at") + 1).alias("step"),
-        shift(F.col("_last"), F.col("_at") + 1, period).alias(ts),
-        "yhat",
+        shift(F.col("last"), F.col("_at") + 1, period).alias(ts),
+        F.nanvl("yhat", F.lit(None)).alias("yhat"),
     )
 
 
+def forecast_models(
+    df: DataFrame,
+    models: DataFrame,
+    keys: Sequence[str],
+    horizon: int,
+    value: str = "value",
+    exog: Sequence[str] = (),
+    future: DataFrame | None = None,
+    period: timedelta = HOUR,
+    pos: str = "pos",
+    ts: str = "ts",
+    lags: int = LAGS,
+) -> DataFrame:
+    """``keys, model, order, step, ts, yhat`` after the last row of ``df`` for every usable model row.
+
+    The models are brought to the end of ``df`` first (``end_states``); rows as ``fit_orders``
+    returns them, at the end of their series already, go to ``forecast_stored`` directly. Without a
+    ``future`` table the regressors of the last ``horizon`` rows stand in for the coming ones.
+    ``lags`` has no effect and is kept for callers that pass it.
+    """
+    if exog and future is None:
+        newest = keep_last(df, horizon, keys, pos)
+        ends = df.groupBy(*keys).agg((F.max(pos) - horizon).alias("_before"))
+        future = attach(newest, ends, keys).select(*keys, (F.col(pos) - F.greatest("_before", F.lit(-1))).cast("int").alias("step"), *exog)
+    states = end_states(df, models, keys, value, exog, pos, ts)
+    return forecast_stored(states, keys, horizon, exog, future, period, ts)
+
+
 def arima_forecast(df: DataFrame, models: DataFrame, keys: Sequence[str], horizon: int, **options) -> DataFrame:
     return forecast_models(df, models, keys, horizon, **options)
 

@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 
 def best_by_aic(models: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The usable model with the lowest AIC per series; equals are settled by order."""
+    """The usable model with the lowest AIC per series; equals are settled by order.
+
+    Rows with a ``status`` other than ``ok`` are not usable.
+    """
     rest = [c for c in models.columns if c not in keys]
     best = F.min_by(F.struct(*rest), F.struct("aic", "order"))
     usable = models.filter(F.col("aic").isNotNull())
+    if "status" in rest:
+        usable = usable.filter("status = 'ok'")
     return usable.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
 
 
