@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tideloom.llm.components import components
 from tideloom.llm.registry import register, table
+from tideloom.operators.ordering import spread
 from tideloom.session import settle
 
 BITS = 64
@@ -111,7 +112,8 @@ def _crowded(fps: DataFrame, distance: int) -> DataFrame:
     """
     masks = _longs([sum(1 << b for b in bits) for bits in combinations(range(BITS), distance)])
     left_out = F.transform(masks, lambda m: F.struct(m.alias("mask"), F.col("fp").bitwiseAND(F.bitwise_not(m)).alias("part")))
-    variants = fps.select("fp", F.explode(left_out).alias("v")).select("fp", "v.*")
+    # A fingerprint is a few bytes but many variants: it is dealt out before it is multiplied.
+    variants = spread(fps, ["fp"]).select("fp", F.explode(left_out).alias("v")).select("fp", "v.*")
     groups = variants.groupBy("mask", "part").agg(F.array_sort(F.collect_list("fp")).alias("fps")).where(F.size("fps") > 1)
     return groups.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 2**distance)).alias("b"))
 
@@ -130,7 +132,7 @@ def hamming_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     masks = segment_variants(distance)
     kept, wildcards = _longs([m for m, _ in masks]), _longs([w for _, w in masks])
     parts = F.transform(kept, lambda m, i: F.struct(i.alias("tag"), F.col("fp").bitwiseAND(m).alias("part")))
-    keyed = fps.select("fp", F.explode(parts).alias("k")).select("fp", "k.*")
+    keyed = spread(fps, ["fp"]).select("fp", F.explode(parts).alias("k")).select("fp", "k.*")
     sizes = keyed.groupBy("tag", "part").agg(F.count("*").alias("n")).where("n > 1")
     # Written, as both paths below read it; few variants are shared.
     shared = settle(keyed.join(sizes, ["tag", "part"]))
