@@ -371,6 +371,13 @@ def forecast_stored(
     )
 
 
+def repeated_regressors(df: DataFrame, keys: Sequence[str], horizon: int, exog: Sequence[str], pos: str = "pos") -> DataFrame:
+    """``keys, step, exog…``: the last ``horizon`` rows of every series, as if they came again."""
+    ends = df.groupBy(*keys).agg(F.greatest(F.max(pos) - horizon, F.lit(-1)).alias("_before"))
+    newest = attach(df, ends, keys).filter(F.col(pos) > F.col("_before"))
+    return newest.select(*keys, (F.col(pos) - F.col("_before")).cast("int").alias("step"), *exog)
+
+
 def forecast_models(
     df: DataFrame,
     models: DataFrame,
@@ -392,9 +399,7 @@ def forecast_models(
     ``lags`` has no effect and is kept for callers that pass it.
     """
     if exog and future is None:
-        newest = keep_last(df, horizon, keys, pos)
-        ends = df.groupBy(*keys).agg((F.max(pos) - horizon).alias("_before"))
-        future = attach(newest, ends, keys).select(*keys, (F.col(pos) - F.greatest("_before", F.lit(-1))).cast("int").alias("step"), *exog)
+        future = repeated_regressors(df, keys, horizon, exog, pos)
     states = end_states(df, models, keys, value, exog, pos, ts)
     return forecast_stored(states, keys, horizon, exog, future, period, ts)
 

@@ -55,6 +55,36 @@ def stationarity_test(spark, sf_dir):
     )
 
 
+@register(
+    "stationarity_one_lag",
+    f"""WITH {USER_HOURLY},
+centred AS (SELECT series_id, pos, value - avg(value) OVER (PARTITION BY series_id) AS level FROM user_hourly),
+changes AS (SELECT *, lag(level) OVER o AS a, level - lag(level) OVER o AS y FROM centred WINDOW o AS (PARTITION BY series_id ORDER BY pos)),
+terms AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY pos) AS b FROM changes),
+sums AS (
+  SELECT series_id, count(b) AS m, count(a) AS n, regr_sxx(y, a) AS aa, regr_syy(y, a) AS yy, covar_pop(a, y) * count(a) AS ay,
+    regr_sxx(y, a) FILTER (b IS NOT NULL) AS caa, regr_syy(y, a) FILTER (b IS NOT NULL) AS cyy, regr_sxx(y, b) AS cbb,
+    covar_pop(a, b) * count(b) AS cab, covar_pop(b, y) * count(b) AS cby, covar_pop(a, y) FILTER (b IS NOT NULL) * count(b) AS cay
+  FROM terms GROUP BY 1),
+solved AS (
+  SELECT *, caa * cbb - cab * cab AS det, (cay * cbb - cby * cab) / (caa * cbb - cab * cab) AS beta,
+    cyy - (cay * cbb - cby * cab) / (caa * cbb - cab * cab) * cay - (cby * caa - cay * cab) / (caa * cbb - cab * cab) * cby AS rss1,
+    cyy - cay * cay / caa AS rss0, yy - ay * ay / aa AS rss FROM sums),
+tested AS (
+  SELECT series_id, CASE WHEN m * ln(rss1 / m) + 2 < m * ln(rss0 / m) THEN 1 ELSE 0 END AS adf_lags,
+    beta / sqrt(rss1 / (m - 3) * cbb / det) AS one, ay / aa / sqrt(rss / (n - 2) / aa) AS none, m, n FROM solved),
+scored AS (SELECT series_id, adf_lags, CASE WHEN adf_lags = 1 THEN one ELSE none END AS t, CASE WHEN adf_lags = 1 THEN m ELSE n END AS nobs FROM tested)
+SELECT series_id, round(t, 6) AS adf_stat, adf_lags, nobs,
+  t <= -18.83 OR (t < 2.74 AND CASE WHEN t <= -1.61 THEN 2.1659 + 1.4412 * t + 0.038269 * t * t
+    ELSE 1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t END < -1.6448536269514722) AS stationary
+FROM scored""",
+)
+def stationarity_one_lag(spark, sf_dir):
+    """The test with none or one lagged change, whichever has the lower AIC."""
+    rows = diagnostics.stationarity_test(settle(user_hourly(spark, sf_dir)), KEY, max_lag=1)
+    return rows.select(*KEY, rounded("adf_stat").alias("adf_stat"), "adf_lags", "nobs", "stationary")
+
+
 @register(
     "seasonal_decompose",
     f"""WITH {USER_HOURLY},
@@ -102,11 +132,60 @@ def arima_fit(spark, sf_dir):
     return rounded_params(arima.arima_fit(settle(user_hourly(spark, sf_dir)), KEY, (1, 1, 1)))
 
 
+def css_sql(changes: str) -> str:
+    """Conditional least squares of one autoregressive term on ``changes (series_id, pos, w)``, zero before the first row."""
+    return f"""{changes},
+paired AS (SELECT series_id, pos, w, lag(w) OVER (PARTITION BY series_id ORDER BY pos) AS before FROM changes),
+sums AS (
+  SELECT series_id, count(*) AS n, sum(w * w) AS ww, sum(w * before) AS wb, sum(before * before) AS bb, max_by(w, pos) AS w_last
+  FROM paired GROUP BY 1),
+fitted AS (SELECT *, wb / bb AS phi, (ww - wb / bb * wb) / n AS sigma2 FROM sums)"""
+
+
+ONE_CHANGE = css_sql("""changes AS (
+  SELECT series_id, pos, w FROM (SELECT series_id, pos, value - lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS w FROM user_hourly) WHERE w IS NOT NULL)""")
+DAY_CHANGE = css_sql("""changes AS (
+  SELECT series_id, pos, w FROM (SELECT series_id, pos, value - lag(value, 24) OVER (PARTITION BY series_id ORDER BY pos) AS w FROM user_hourly) WHERE w IS NOT NULL)""")
+FITTED = """SELECT series_id, round(phi, 6) AS phi, round(sigma2, 4) AS sigma2,
+  round(n * (ln(2 * pi() * sigma2) + 1) + 4, 4) AS aic, n, 'ok' AS status FROM fitted"""
+
+
+def one_term(models):
+    return models.select(
+        *KEY,
+        rounded(F.col("params")[0]).alias("phi"),
+        rounded("sigma2", 4).alias("sigma2"),
+        rounded("aic", 4).alias("aic"),
+        "n",
+        "status",
+    )
+
+
+@register("arima_fit_ar", f"WITH {USER_HOURLY}, {ONE_CHANGE} {FITTED}")
+def arima_fit_ar(spark, sf_dir):
+    """ARIMA(1,1,0) for every user."""
+    rows = settle(user_hourly(spark, sf_dir))
+    return one_term(arima.arima_fit(rows, KEY, (1, 1, 0), gate=False, chunk=CHUNK))
+
+
+@register(
+    "arima_forecast_ar",
+    f"""WITH {USER_HOURLY}, {ONE_CHANGE},
+ends AS (SELECT series_id, max(ts) AS last, max_by(value, pos) AS y FROM user_hourly GROUP BY 1)
+SELECT series_id, step, last + step * INTERVAL 1 HOUR AS ts, round(y + w_last * phi * (1 - pow(phi, step)) / (1 - phi), 4) AS yhat
+FROM fitted JOIN ends USING (series_id) CROSS JOIN (SELECT unnest(generate_series(1, 24)) AS step)""",
+)
+def arima_forecast_ar(spark, sf_dir):
+    rows = settle(user_hourly(spark, sf_dir))
+    models = arima.arima_fit(rows, KEY, (1, 1, 0), gate=False, chunk=CHUNK)
+    return arima.forecast_stored(models, KEY, 24).select(*KEY, "step", "ts", rounded("yhat", 4).alias("yhat"))
+
+
 @register("arima_forecast")
 def arima_forecast(spark, sf_dir):
-    rows = settle(user_hourly(spark, sf_dir))
-    models = arima.arima_fit(rows, KEY, (1, 1, 1))
-    out = arima.arima_forecast(rows, models, KEY, 24)
+    """24 hours of every fitted user, from the stored end states alone."""
+    models = arima.arima_fit(settle(user_hourly(spark, sf_dir)), KEY, (1, 1, 1))
+    out = arima.forecast_stored(models, KEY, 24)
     return out.select(*KEY, "model", "step", "ts", rounded("yhat", 4).alias("yhat"))
 
 
@@ -148,10 +227,33 @@ def sarimax_forecast(spark, sf_dir):
     rows = driven(spark, sf_dir)
     models = arima.sarimax_grid_fit(rows, KEY, ORDERS, SEASONAL_ORDERS, exog=["total"])
     best = selection.best_by_aic(models, KEY)
-    out = arima.sarimax_forecast(rows, best, KEY, 10, exog=["total"])
+    future = arima.repeated_regressors(rows, KEY, 10, ["total"])
+    out = arima.forecast_stored(best, KEY, 10, ["total"], future)
     return out.select(*KEY, "step", "ts", rounded("yhat", 4).alias("yhat"))
 
 
+SEASONAL = ((1, 0, 0),), ((0, 1, 0, 24),)
+
+
+@register("sarimax_fit_seasonal", f"WITH {USER_HOURLY}, {DAY_CHANGE} {FITTED}")
+def sarimax_fit_seasonal(spark, sf_dir):
+    """SARIMAX (1,0,0)(0,1,0,24) for every user."""
+    return one_term(arima.sarimax_grid_fit(settle(user_hourly(spark, sf_dir)), KEY, *SEASONAL, chunk=CHUNK))
+
+
+@register(
+    "sarimax_forecast_seasonal",
+    f"""WITH {USER_HOURLY}, {DAY_CHANGE},
+ends AS (SELECT series_id, max(ts) AS last, max(pos) AS last_pos FROM user_hourly GROUP BY 1)
+SELECT e.series_id, step, last + step * INTERVAL 1 HOUR AS ts, round(u.value + pow(phi, step) * w_last, 4) AS yhat
+FROM ends e JOIN fitted f ON f.series_id = e.series_id CROSS JOIN (SELECT unnest(generate_series(1, 10)) AS step)
+JOIN user_hourly u ON u.series_id = e.series_id AND u.pos = last_pos + step - 24""",
+)
+def sarimax_forecast_seasonal(spark, sf_dir):
+    models = arima.sarimax_grid_fit(settle(user_hourly(spark, sf_dir)), KEY, *SEASONAL, chunk=CHUNK)
+    return arima.forecast_stored(models, KEY, 10).select(*KEY, "step", "ts", rounded("yhat", 4).alias("yhat"))
+
+
 @register(
     "best_by_aic",
     f"""WITH {USER_HOURLY}, {AR1_SQL.format('user_hourly')},
@@ -235,6 +337,44 @@ def window_linear_step(spark, sf_dir):
     )
 
 
+@register(
+    "window_linear_two",
+    f"""WITH {USER_HOURLY},
+windows AS (
+  SELECT series_id, lag(value) OVER o AS a, value AS b, lead(value, 1) OVER o AS y1, lead(value, 2) OVER o AS y2
+  FROM user_hourly WINDOW o AS (PARTITION BY series_id ORDER BY pos)),
+pairs AS (
+  SELECT series_id, step, a, b, CASE step WHEN 1 THEN y1 ELSE y2 END AS y
+  FROM windows CROSS JOIN (VALUES (1), (2)) s(step) WHERE a IS NOT NULL AND y2 IS NOT NULL),
+sums AS (
+  SELECT series_id, step, count(*) AS n, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
+    avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM pairs GROUP BY 1, 2),
+solved AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS older, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS newer FROM sums),
+ends AS (SELECT series_id, max(ts) AS last, max_by(value, pos) AS b, max_by(value, pos) FILTER (later) AS a FROM (
+  SELECT *, lead(pos) OVER (PARTITION BY series_id ORDER BY pos) IS NOT NULL AS later FROM user_hourly) GROUP BY 1)
+SELECT s.series_id, s.step, round(older, 6) AS older, round(newer, 6) AS newer, round(my - older * ma - newer * mb, 6) AS intercept,
+  n AS n_windows, last + s.step * INTERVAL 1 HOUR AS ts, round(older * a + newer * b + my - older * ma - newer * mb, 4) AS yhat
+FROM solved s JOIN ends e ON e.series_id = s.series_id""",
+)
+def window_linear_two(spark, sf_dir):
+    """Two hours to the next two: weights, and the forecast from the last two hours."""
+    rows = settle(user_hourly(spark, sf_dir))
+    models = linear.window_linear_fit(rows, KEY, 2, 2, penalty=0.0, chunk=CHUNK)
+    paths = linear.window_linear_forecast(rows, models, KEY, 2)
+    steps = models.select(*KEY, "n_windows", F.posexplode(F.arrays_zip("coefs", "intercepts")).alias("at", "w"))
+    steps = steps.withColumn("step", F.col("at") + 1).join(paths, [*KEY, "step"])
+    return steps.select(
+        *KEY,
+        "step",
+        rounded(F.col("w.coefs")[0]).alias("older"),
+        rounded(F.col("w.coefs")[1]).alias("newer"),
+        rounded("w.intercepts").alias("intercept"),
+        "n_windows",
+        "ts",
+        rounded("yhat", 4).alias("yhat"),
+    )
+
+
 BACKTEST = f"""{USER_HOURLY}, sized AS (SELECT series_id, count(*) AS n FROM user_hourly GROUP BY 1),
 train AS (SELECT u.series_id, u.pos, u.value FROM user_hourly u JOIN sized USING (series_id) WHERE pos < floor(n::DOUBLE * 0.8::DOUBLE)),
 changes AS (SELECT series_id, pos, value - lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS value FROM train),
