@@ -64,6 +64,26 @@ def test_store_round_trip(spark):
     assert {tuple(r) for r in store.fit_missing(wanted, loaded, ["series_id"]).collect()} == {("c", "arima"), ("b", "ar1")}
 
 
+def test_newest_version_wins_and_unfinished_writes_are_invisible(spark):
+    path = fresh_path(spark, "models")
+    assert store.stored_models(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        store.load_models(spark, path)
+    rows = lambda phi: spark.createDataFrame([("a", "ar1", phi), ("b", "ar1", phi)], "series_id string, model string, phi double")
+    assert store.save_models(rows(0.1), path) == 1
+    assert store.save_models(rows(0.2).where("series_id = 'a'"), path) == 2
+    # A write that died before its commit.
+    rows(9.0).selectExpr("*", "'w-dead' AS write").write.mode("append").partitionBy("write", "model").parquet(f"{path}/rows")
+    got = {r.series_id: (r.phi, r.version) for r in store.load_models(spark, path).collect()}
+    assert got == {"a": (0.2, 2), "b": (0.1, 1)}
+    assert {r.phi for r in store.load_models(spark, path, as_of=1).collect()} == {0.1}
+    other = spark.createDataFrame([("a", "window", [1.0])], "series_id string, model string, coefs array<double>")
+    assert store.save_models(other, path) == 3
+    every = {(r.series_id, r.model): (r.phi, r.coefs) for r in store.load_models(spark, path).collect()}
+    assert every == {("a", "ar1"): (0.2, None), ("b", "ar1"): (0.1, None), ("a", "window"): (None, [1.0])}
+    assert store.load_models(spark, path, "window").count() == 1
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_forecast_sink(spark, fmt):
     rows = spark.createDataFrame([("a", 1, 2.5, "m1"), ("a", 1, 3.5, "m2")], "series_id string, step int, yhat double, model string")

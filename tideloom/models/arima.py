@@ -441,17 +441,26 @@ def ar1_forecast(
 
     ``horizon`` may name a column of ``models`` that gives each series its own.
     """
+    return ar1_stored(ar1_ends(df, models, keys, value, pos, ts), keys, horizon, period, ts)
+
+
+def ar1_ends(
+    df: DataFrame, models: DataFrame, keys: Sequence[str], value: str = "value", pos: str = "pos", ts: str = "ts"
+) -> DataFrame:
+    """``models`` with ``level`` and ``last``, the last value and time of their series in ``df``."""
+    ends = df.groupBy(*keys).agg(F.max_by(value, pos).alias("level"), F.max(ts).alias("last"))
+    return attach(models, ends, keys)
+
+
+def ar1_stored(models: DataFrame, keys: Sequence[str], horizon: int | str, period: timedelta = HOUR, ts: str = "ts") -> DataFrame:
+    """``keys, step, ts, yhat`` from rows of ``ar1_ends`` alone."""
     steps = F.col(horizon).cast("int") if isinstance(horizon, str) else F.lit(horizon)
-    last = df.groupBy(*keys).agg(
-        F.max_by(value, pos).alias("_y"), F.max(ts).alias("_last")
-    )
-    rows = spread(attach(models, last, keys), keys)
-    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), steps)))
+    rows = spread(models, keys).withColumn("step", F.explode(F.sequence(F.lit(1), steps)))
     mean = F.col("intercept") / (1 - F.col("phi"))
     path = F.when(
-        F.col("phi") == 1, F.col("_y") + F.col("step") * F.col("intercept")
-    ).otherwise(mean + F.pow("phi", "step") * (F.col("_y") - mean))
-    return rows.select(*keys, "step", shift(F.col("_last"), F.col("step"), period).alias(ts), path.alias("yhat"))
+        F.col("phi") == 1, F.col("level") + F.col("step") * F.col("intercept")
+    ).otherwise(mean + F.pow("phi", "step") * (F.col("level") - mean))
+    return rows.select(*keys, "step", shift(F.col("last"), F.col("step"), period).alias(ts), path.alias("yhat"))
 
 
 def ar_fit(

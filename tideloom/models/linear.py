@@ -92,6 +92,13 @@ def window_linear_forecast(
     ts: str = "ts",
 ) -> DataFrame:
     """``keys, step, ts, yhat`` after the last row of every series, from its last context."""
+    return forecast_contexts(last_contexts(df, keys, context, cols, pos, ts), models, keys, cols, period, ts)
+
+
+def last_contexts(
+    df: DataFrame, keys: Sequence[str], context: int, cols: Sequence[str] = ("value",), pos: str = "pos", ts: str = "ts"
+) -> DataFrame:
+    """``keys, _last, past``: the last ``context`` rows of every series that has as many."""
     newest = keep_last(df.select(*keys, pos, ts, *cols), context, keys, pos)
     packed = newest.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"), F.max(ts).alias("_last")
@@ -101,7 +108,17 @@ def window_linear_forecast(
         past = F.transform("_rows", lambda r: r[cols[0]].cast("double"))
     else:
         past = F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in cols]))
-    windows = full.select(*keys, "_last", past.alias("past"))
+    return full.select(*keys, "_last", past.alias("past"))
+
+
+def forecast_contexts(
+    windows: DataFrame,
+    models: DataFrame,
+    keys: Sequence[str],
+    cols: Sequence[str] = ("value",),
+    period: timedelta = HOUR,
+    ts: str = "ts",
+) -> DataFrame:
     steps = window_linear_predict(windows, models, keys, cols)
     return steps.select(*keys, "step", shift(F.col("_last"), F.col("step"), period).alias(ts), "yhat")
 

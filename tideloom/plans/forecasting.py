@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import DAY
-from tideloom.models import arima, diagnostics, linear, selection
+from tideloom.models import arima, diagnostics, linear, selection, serving
 from tideloom.operators.evaluation import complete_horizons
 from tideloom.operators.ordering import attach, with_length
 from tideloom.operators.rolling import lag1
@@ -29,7 +29,7 @@ from tideloom.plans.base import (
 )
 from tideloom.plans.preparation import AR1_SQL
 from tideloom.plans.registry import register
-from tideloom.session import settle
+from tideloom.session import fresh_path, settle
 
 # ---- 71-75 stationarity, decomposition, autoregression --------------------------------------
 
@@ -132,20 +132,19 @@ def arima_fit(spark, sf_dir):
     return rounded_params(arima.arima_fit(settle(user_hourly(spark, sf_dir)), KEY, (1, 1, 1)))
 
 
-def css_sql(changes: str) -> str:
-    """Conditional least squares of one autoregressive term on ``changes (series_id, pos, w)``, zero before the first row."""
-    return f"""{changes},
-paired AS (SELECT series_id, pos, w, lag(w) OVER (PARTITION BY series_id ORDER BY pos) AS before FROM changes),
-sums AS (
+def css_sql(lag: int, name: str = "fitted") -> str:
+    """Conditional least squares of one autoregressive term on changes over ``lag`` rows, zero before the first."""
+    return f"""{name}_changes AS (
+  SELECT series_id, pos, w FROM (
+    SELECT series_id, pos, value - lag(value, {lag}) OVER (PARTITION BY series_id ORDER BY pos) AS w FROM user_hourly) WHERE w IS NOT NULL),
+{name}_paired AS (SELECT series_id, pos, w, lag(w) OVER (PARTITION BY series_id ORDER BY pos) AS before FROM {name}_changes),
+{name}_sums AS (
   SELECT series_id, count(*) AS n, sum(w * w) AS ww, sum(w * before) AS wb, sum(before * before) AS bb, max_by(w, pos) AS w_last
-  FROM paired GROUP BY 1),
-fitted AS (SELECT *, wb / bb AS phi, (ww - wb / bb * wb) / n AS sigma2 FROM sums)"""
+  FROM {name}_paired GROUP BY 1),
+{name} AS (SELECT *, wb / bb AS phi, (ww - wb / bb * wb) / n AS sigma2 FROM {name}_sums)"""
 
 
-ONE_CHANGE = css_sql("""changes AS (
-  SELECT series_id, pos, w FROM (SELECT series_id, pos, value - lag(value) OVER (PARTITION BY series_id ORDER BY pos) AS w FROM user_hourly) WHERE w IS NOT NULL)""")
-DAY_CHANGE = css_sql("""changes AS (
-  SELECT series_id, pos, w FROM (SELECT series_id, pos, value - lag(value, 24) OVER (PARTITION BY series_id ORDER BY pos) AS w FROM user_hourly) WHERE w IS NOT NULL)""")
+ONE_CHANGE, DAY_CHANGE = css_sql(1), css_sql(24)
 FITTED = """SELECT series_id, round(phi, 6) AS phi, round(sigma2, 4) AS sigma2,
   round(n * (ln(2 * pi() * sigma2) + 1) + 4, 4) AS aic, n, 'ok' AS status FROM fitted"""
 
@@ -337,10 +336,7 @@ def window_linear_step(spark, sf_dir):
     )
 
 
-@register(
-    "window_linear_two",
-    f"""WITH {USER_HOURLY},
-windows AS (
+WINDOW_TWO = """windows AS (
   SELECT series_id, lag(value) OVER o AS a, value AS b, lead(value, 1) OVER o AS y1, lead(value, 2) OVER o AS y2
   FROM user_hourly WINDOW o AS (PARTITION BY series_id ORDER BY pos)),
 pairs AS (
@@ -350,11 +346,16 @@ sums AS (
   SELECT series_id, step, count(*) AS n, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
     avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM pairs GROUP BY 1, 2),
 solved AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS older, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS newer FROM sums),
-ends AS (SELECT series_id, max(ts) AS last, max_by(value, pos) AS b, max_by(value, pos) FILTER (later) AS a FROM (
-  SELECT *, lead(pos) OVER (PARTITION BY series_id ORDER BY pos) IS NOT NULL AS later FROM user_hourly) GROUP BY 1)
+window_ends AS (SELECT series_id, max(ts) AS last, max_by(value, pos) AS b, max_by(value, pos) FILTER (later) AS a FROM (
+  SELECT *, lead(pos) OVER (PARTITION BY series_id ORDER BY pos) IS NOT NULL AS later FROM user_hourly) GROUP BY 1)"""
+
+
+@register(
+    "window_linear_two",
+    f"""WITH {USER_HOURLY}, {WINDOW_TWO}
 SELECT s.series_id, s.step, round(older, 6) AS older, round(newer, 6) AS newer, round(my - older * ma - newer * mb, 6) AS intercept,
   n AS n_windows, last + s.step * INTERVAL 1 HOUR AS ts, round(older * a + newer * b + my - older * ma - newer * mb, 4) AS yhat
-FROM solved s JOIN ends e ON e.series_id = s.series_id""",
+FROM solved s JOIN window_ends e ON e.series_id = s.series_id""",
 )
 def window_linear_two(spark, sf_dir):
     """Two hours to the next two: weights, and the forecast from the last two hours."""
@@ -461,6 +462,50 @@ def forecast_requests(spark, sf_dir):
     return answers.withColumn("yhat", rounded("yhat"))
 
 
+@register(
+    "forecast_requests_routed",
+    f"""WITH {USER_HOURLY}, {AR1_SQL.format('user_hourly')}, {css_sql(1, "hour")}, {css_sql(24, "season")}, {WINDOW_TWO},
+requests AS (
+  SELECT event_id AS request_id, CASE WHEN event_id % 13 = 5 THEN -1 ELSE user_id END AS series_id,
+    CASE event_id % 5 WHEN 0 THEN 'ar1' WHEN 1 THEN 'arima' WHEN 2 THEN 'sarimax' WHEN 3 THEN 'window' ELSE 'transformer' END AS model,
+    event_id // 7 % 25 AS horizon FROM events),
+ends AS (SELECT series_id, max(ts) AS last, max(pos) AS last_pos, max_by(value, pos) AS y FROM user_hourly GROUP BY 1),
+answers AS (
+  SELECT r.*, e.last + horizon * INTERVAL 1 HOUR AS due, e.series_id IS NOT NULL AS known,
+    CASE model WHEN 'ar1' THEN intercept / (1 - a.phi) + pow(a.phi, horizon) * (y - intercept / (1 - a.phi))
+      WHEN 'arima' THEN y + h.w_last * h.phi * (1 - pow(h.phi, horizon)) / (1 - h.phi)
+      WHEN 'sarimax' THEN u.value + pow(s.phi, horizon) * s.w_last
+      WHEN 'window' THEN older * w.a + newer * w.b + my - older * ma - newer * mb END AS path
+  FROM requests r LEFT JOIN ends e ON e.series_id = r.series_id LEFT JOIN ar1 a ON a.series_id = r.series_id
+  LEFT JOIN hour h ON h.series_id = r.series_id LEFT JOIN season s ON s.series_id = r.series_id
+  LEFT JOIN user_hourly u ON u.series_id = r.series_id AND u.pos = last_pos + horizon - 24
+  LEFT JOIN solved v ON v.series_id = r.series_id AND v.step = horizon LEFT JOIN window_ends w ON w.series_id = r.series_id),
+judged AS (
+  SELECT *, CASE WHEN NOT known THEN 'unknown series' WHEN model = 'transformer' THEN 'no such model' WHEN horizon <= 0 THEN 'horizon must be positive'
+    WHEN path IS NULL THEN 'no forecast at this horizon' END AS error FROM answers)
+SELECT request_id, series_id, model, horizon, CASE WHEN error IS NULL THEN 'result' ELSE 'error' END AS status, error,
+  CASE WHEN error IS NULL THEN due END AS ts, CASE WHEN error IS NULL THEN round(path, 4) END AS yhat FROM judged""",
+)
+def forecast_requests_routed(spark, sf_dir):
+    """Every event asks one of four families for its user; the models come from a new store, fitted as asked for."""
+    number = F.col("event_id")
+    family = F.element_at(F.array(*[F.lit(m) for m in ("ar1", "arima", "sarimax", "window", "transformer")]), (number % 5 + 1).cast("int"))
+    requests = events(spark, sf_dir).select(
+        number.alias("request_id"),
+        F.when(number % 13 == 5, F.lit(-1)).otherwise(F.col("user_id")).alias("series_id"),
+        family.alias("model"),
+        (F.floor(number / 7) % 25).alias("horizon"),
+    )
+    families = {
+        "ar1": serving.ar1_family(chunk=CHUNK),
+        "arima": serving.arima_family((1, 1, 0), gate=False, chunk=CHUNK),
+        "sarimax": serving.sarimax_family(*SEASONAL, chunk=CHUNK),
+        "window": serving.window_family(2, 2, penalty=0.0, chunk=CHUNK),
+    }
+    answers = serving.answer_requests(requests, settle(user_hourly(spark, sf_dir)), families, fresh_path(spark, "store"), KEY)
+    return answers.withColumn("yhat", rounded("yhat", 4))
+
+
 @register(
     "complete_horizons",
     f"""WITH {HOURLY_GAPS}, predicted AS (
