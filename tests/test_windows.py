@@ -141,3 +141,51 @@ def test_minibatches_are_a_shuffled_partition(spark):
     order = [r.row_id for r in sorted(rows, key=lambda r: (r.batch, r.slot))]
     assert order != sorted(order)
     assert sampling.minibatch_assign(df, "row_id", 10, seed=1, drop_last=False).count() == 103
+
+
+@pytest.mark.parametrize("chunk", [7, 16, 1000])
+def test_windows_never_cover_a_missing_position(spark, chunk):
+    rng = np.random.default_rng(8)
+    frame = long_frame({"a": rng.normal(size=120), "b": rng.normal(size=40)})
+    kept = frame[(rng.random(len(frame)) > 0.08) | (frame["pos"] < 2)]
+    for stride, first, count in ((1, 0, None), (3, 2, None), (4, 1, 6)):
+        got = windows.cut_windows(to_spark(spark, kept), ["value"], KEY, 4, 2, stride, first, count, chunk=chunk).collect()
+        want = {}
+        for name, part in kept.groupby("series_id"):
+            values = dict(zip(part["pos"], part["value"]))
+            for number in range(200 if count is None else count):
+                start = first + number * stride
+                if all(start + i in values for i in range(6)):
+                    want[name, number, start] = [values[start + i] for i in range(6)]
+        assert {(r.series_id, r.window_id, r.start): [*r.past, *r.future] for r in got} == want and len(got) == len(want)
+
+
+def test_short_windows_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], [5.0, 6.0]), (2, [1.0, 2.0, 3.0, 4.0], [1.0] * 4)], "id int, v array<double>, c array<double>")
+    rows = windows.single_step_expand(df, "v", 3, ["c"]).orderBy("id", "step").collect()
+    assert [(r.id, r.step, r.label) for r in rows] == [(1, None, None), (2, 0, 2.0), (2, 1, 3.0), (2, 2, 4.0)]
+    assert rows[0].v == [1.0, 2.0] and rows[0].c == [5.0, 6.0]
+
+
+def test_pyramid_has_mean_and_peak_of_whole_groups(spark):
+    x = np.random.default_rng(1).normal(size=70)
+    got = windows.pyramid_levels(to_spark(spark, long_frame({"a": x})), KEY, (4, 2)).toPandas()
+    for level, span in enumerate((1, 4, 8)):
+        part = got[got["level"] == level].sort_values("idx")
+        whole = x[: len(x) // span * span].reshape(-1, span)
+        np.testing.assert_allclose(part["mean"], whole.mean(axis=1), atol=1e-12)
+        np.testing.assert_allclose(part["peak"], whole.max(axis=1))
+
+
+def test_draws_do_not_depend_on_the_scale_of_weights(spark):
+    rng = np.random.default_rng(3)
+    weights = rng.random(300) * 2e-7
+    draws = []
+    for factor in (1.0, 2.0**40, 1e9):
+        rows = [(i, float(w * factor)) for i, w in enumerate(weights)] + [(1000, None), (1001, float("nan")), (1002, 0.0), (1003, float("inf"))]
+        got = sampling.weighted_resample(spark.createDataFrame(rows, "row_id long, w double"), "row_id", "w", seed=3).collect()
+        draws.append({r.row_id: r.draws for r in got})
+        assert sum(draws[-1].values()) == 304 and max(draws[-1]) < 1000
+    assert draws[0] == draws[1] == draws[2]
+    nothing = spark.createDataFrame([(1, 0.0), (2, None)], "row_id long, w double")
+    assert sampling.weighted_draws(nothing, "row_id", "w").collect() == []

@@ -26,14 +26,18 @@ SO_FAR = (Window.unboundedPreceding, 0)
 FROM_HERE = (0, Window.unboundedFollowing)
 
 
-def attach(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Add per-series parameters to the rows.
 
     With keys this is a join whose strategy is left to Spark, which knows the sizes; without
-    keys ``params`` is a single row and becomes a scalar subquery.
+    keys ``params`` is a single row and becomes a scalar subquery. The keys are joined as one struct: what is
+    grouped or ordered by series afterwards is then dealt anew, after partial sums, and a hot
+    series stays split where Spark splits it for the join. NULL keys match each other.
     """
     if keys:
-        return df.join(params, list(keys))
+        rest = [c for c in params.columns if c not in keys]
+        keyed = params.select(F.struct(*keys).alias("_keys"), *rest)
+        return df.join(keyed, F.struct(*[F.col(k) for k in keys]) == F.col("_keys"), how).drop("_keys")
     one = params.select(F.struct("*").alias("_params")).scalar()
     names = params.columns
     return df.withColumn("_params", one).select("*", *[F.col(f"_params.{n}") for n in names]).drop("_params")
@@ -41,7 +45,7 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def attach_left(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``attach`` that keeps rows without parameters."""
-    return df.join(params, list(keys), "left") if keys else attach(df, params, keys)
+    return attach(df, params, keys, "left")
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -142,7 +146,7 @@ def earlier_sum(
     before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(at).rowsBetween(*BEFORE)), F.lit(0))
     if levels == 0:
         return df.withColumn(name, before)
-    rows = df.withColumn("_block", chunk_of(at, chunk))
+    rows = df.withColumn("_block", chunk_of(at, chunk)).repartition(*keys, "_block")
     sums = rows.groupBy(*keys, "_block").agg(F.sum(size).alias("_sum"))
     sums = earlier_sum(sums.withColumnRenamed("_block", "_at"), keys, "_at", "_sum", "_earlier", chunk, levels - 1)
     sums = sums.select(*keys, F.col("_at").alias("_block"), F.col("_earlier").alias("_above"))
@@ -184,7 +188,7 @@ def compact_position(
     df: DataFrame, keys: Sequence[str], pos: str = "pos", chunk: int = CHUNK
 ) -> DataFrame:
     """Renumber ``pos`` without holes after rows were filtered out."""
-    rows = df.withColumn("_chunk", chunk_of(pos, chunk))
+    rows = df.withColumn("_chunk", chunk_of(pos, chunk)).repartition(*keys, "_chunk")
     sizes = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     sizes = earlier_sum(sizes, keys, "_chunk", "_n", "_offset", chunk).drop("_n")
     inside = F.row_number().over(chunk_window(keys, pos)) - 1

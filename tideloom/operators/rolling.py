@@ -89,7 +89,8 @@ def _carry(
         window = Window.partitionBy(*keys).orderBy(pos).rowsBetween(*frame)
         return df.withColumns({c: nearest(c, True).over(window) for c in cols})
 
-    rows = df.withColumn("_chunk", chunk_of(pos, chunk))
+    # Rows that a join has put together by series are dealt out by chunk again.
+    rows = df.withColumn("_chunk", chunk_of(pos, chunk)).repartition(*keys, "_chunk")
     edge = F.max_by if forward else F.min_by
     summary = rows.groupBy(*keys, "_chunk").agg(
         *[edge(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in cols]

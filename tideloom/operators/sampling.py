@@ -28,18 +28,26 @@ def uniform(ids: Sequence[str], seed: int) -> Column:
     return digits.cast("bigint").cast("double") / F.lit(HASH_RANGE)
 
 
-def weighted_draws(
-    df: DataFrame, row_id: str, weight: str, seed: int = 0, decimals: int = 6
-) -> DataFrame:
+#: Digits behind the point of a weight, as a share of the largest one.
+SHARE_DIGITS = 20
+
+
+def weighted_draws(df: DataFrame, row_id: str, weight: str, seed: int = 0) -> DataFrame:
     """Draw as many rows as there are, with replacement, in proportion to ``|weight|``.
 
     Returns ``draw_id, row_id``; every row lends its identifier to one draw. Rows lie end to
     end on a line of length ``sum(|weight|)`` and a draw picks the row its point falls on:
     rows and points are sorted together and each point takes the last row start before it.
-    Weights add in fixed point, so the line is the same on every run.
+    Weights are taken as shares of the largest one, so their scale does not matter, and add in
+    fixed point of ``SHARE_DIGITS`` digits, so the line is the same on every run. Rows whose
+    weight is NULL, NaN, infinite or 0 are never drawn; without any other there are no draws.
     """
-    weights = df.select(
-        F.col(row_id), F.abs(F.col(weight)).cast(f"decimal(28,{decimals})").alias("_w")
+    size = F.abs(F.col(weight).cast("double"))
+    finite = (size > 0) & (size < float("inf")) & ~F.isnan(size)
+    sizes = df.select(F.col(row_id), F.when(finite, size).alias("_size")).filter("_size IS NOT NULL")
+    largest = sizes.agg(F.max("_size").alias("_largest"))
+    weights = attach(sizes, largest, []).select(
+        row_id, (F.col("_size") / F.col("_largest")).cast(f"decimal(38,{SHARE_DIGITS})").alias("_w")
     ).filter(F.col("_w") > 0)
     line = running_total(weights, [], [row_id], "_w", "_end")
     starts = line.select(
@@ -48,7 +56,7 @@ def weighted_draws(
         F.col(row_id).alias("_id"),
     )
     total = weights.agg(F.sum("_w").cast("double").alias("_total"))
-    points = attach(df.select(row_id), total, []).select(
+    points = attach(df.select(row_id), total, []).filter("_total IS NOT NULL").select(
         (uniform([row_id], seed) * F.col("_total")).alias("_at"),
         F.lit(1).alias("_kind"),
         F.col(row_id).alias("_id"),
@@ -66,14 +74,12 @@ def weighted_draws(
     )
 
 
-def weighted_resample(
-    df: DataFrame, row_id: str, weight: str, seed: int = 0, decimals: int = 6
-) -> DataFrame:
+def weighted_resample(df: DataFrame, row_id: str, weight: str, seed: int = 0) -> DataFrame:
     """The drawn rows with ``draws``, the number of times each was drawn.
 
     Counting before the join keeps a row that is drawn very often from becoming a hot key.
     """
-    draws = weighted_draws(df, row_id, weight, seed, decimals)
+    draws = weighted_draws(df, row_id, weight, seed)
     return df.join(draws.groupBy(row_id).agg(F.count("*").alias("draws")), row_id)
 
 

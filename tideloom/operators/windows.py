@@ -40,7 +40,9 @@ def cut_windows(
 ) -> DataFrame:
     """``keys, window_id, start, past, future`` for every full window.
 
-    Windows start at ``first, first + stride, …``; ``count`` limits their number per series.
+    Windows start at ``first, first + stride, …``; ``count`` limits their number per series. A
+    position may have no row: windows that would cover it are left out, and the others keep their
+    numbers. Positions must be distinct within a series.
     Both may name a column that is constant in a series. ``past`` and ``future`` are arrays
     of structs with ``cols`` (plain arrays when there is one column).
     """
@@ -54,16 +56,22 @@ def cut_windows(
         F.max(_constant(first)).cast("bigint").alias("_first"),
         (F.max(_constant(count)) if count is not None else F.lit(None)).cast("bigint").alias("_count"),
     )
-    base = F.col("_rows")[0]["_at"]
-    low = F.greatest(F.col("_chunk") * chunk, F.col("_first"))
-    low = F.col("_first") + F.ceil((low - F.col("_first")) / F.lit(stride)) * stride
-    high = F.least(F.col("_chunk") * chunk + (chunk - 1), base + F.size("_rows") - length)
-    high = F.least(high, F.col("_first") + (F.col("_count") - 1) * stride)
-    starts = F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint"), F.lit(stride).cast("bigint")))
-    opened = blocks.select(
-        *keys, "_first", base.alias("_base"), "_rows", F.explode(starts).alias("start")
-    )
-    offset = (F.col("start") - F.col("_base") + 1).cast("int")
+    low, high = F.col("_chunk") * chunk, (F.col("_chunk") + 1) * chunk
+
+    def opens(at: Column) -> Column:
+        """Whether a window begins at the row in place ``at`` (from 1) and no position of it is missing."""
+        start, end = F.get("_rows", at - 1)["_at"], F.get("_rows", at + (length - 2))["_at"]
+        number = (start - F.col("_first")) / F.lit(stride)
+        counted = (start >= F.col("_first")) & (number == F.floor(number))
+        counted = counted & (F.col("_count").isNull() | (number < F.col("_count")))
+        return (start >= low) & (start < high) & counted & (end == start + (length - 1))
+
+    # Positions are distinct and sorted: a window is whole if its last row lies where it should.
+    room = F.size("_rows") - (length - 1)
+    places = F.when(room > 0, F.filter(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), opens))
+    opened = blocks.select(*keys, "_first", "_rows", F.explode(places).alias("_place"))
+    opened = opened.withColumn("start", F.get("_rows", F.col("_place") - 1)["_at"].cast("bigint"))
+    offset = F.col("_place")
 
     def part(start: Column, size: int) -> Column:
         piece = F.slice("_rows", start, F.lit(size))
@@ -258,17 +266,19 @@ def single_step_expand(
 ) -> DataFrame:
     """``pred`` sub-windows per window, the last slot masked and its true value as label.
 
-    ``covariates`` are arrays as long as ``values``; they are cut at the same places.
+    ``covariates`` are arrays as long as ``values``; they are cut at the same places. A window of
+    fewer than ``pred`` values is one row with NULL ``step`` and ``label`` and its arrays as they are.
     """
     length = F.size(values) - F.lit(pred - 1)
-    rows = windows.filter(F.size(values) >= pred).withColumn(
-        "step", F.explode(F.sequence(F.lit(0), F.lit(pred - 1)))
-    )
-    cut = {c: F.slice(c, F.col("step") + 1, length) for c in covariates}
-    label = F.element_at(values, F.col("step") + length)
-    return rows.withColumn("label", label).withColumns(
-        {**cut, values: arrays.masked_subwindow(F.col(values), F.col("step"), length)}
-    )
+    steps = F.when(F.size(values) >= pred, F.sequence(F.lit(0), F.lit(pred - 1)))
+    rows = windows.withColumn("step", F.explode_outer(steps))
+    whole = F.col("step").isNull()
+    at = F.coalesce("step", F.lit(0))
+    size = F.greatest(length, F.lit(1))
+    cut = {c: F.when(whole, F.col(c)).otherwise(F.slice(c, at + 1, size)) for c in covariates}
+    label = F.when(~whole, F.try_element_at(values, at + size))
+    masked = F.when(whole, F.col(values)).otherwise(arrays.masked_subwindow(F.col(values), at, size))
+    return rows.withColumn("label", label).withColumns({**cut, values: masked})
 
 
 def append_predict_token(
@@ -289,40 +299,47 @@ def patching(windows: DataFrame, length: int, column: str = "past", name: str =
     )
 
 
-def pyramid_pool(
+def pyramid_levels(
     df: DataFrame,
     keys: Sequence[str],
     window_sizes: Sequence[int] = (4, 4, 4),
-    how: str = "mean",
     value: str = "value",
     pos: str = "pos",
 ) -> DataFrame:
-    """The series and its coarser copies: ``keys, level, idx, value``.
+    """The series and its coarser copies, averaged and by maximum: ``keys, level, idx, mean, peak``.
 
     A coarse row covers the product of the window sizes up to its level; groups that are not
-    full are dropped. All levels come from one aggregation over the base rows.
+    full are dropped. Each level is made from the sums, counts and maxima of the one below and
+    written: one shuffle per level, of rows that become fewer by the window size each time. The
+    base rows are handed through without one.
     """
-    spans = [1]
-    for w in window_sizes:
-        spans.append(spans[-1] * w)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(level).alias("level"),
-                F.lit(span).alias("span"),
-                F.floor(F.col(pos) / F.lit(span)).cast("bigint").alias("idx"),
-            )
-            for level, span in enumerate(spans)
-        ]
-    )
-    pooled = F.avg(value) if how == "mean" else F.max(value)
-    groups = (
-        df.select(*keys, value, F.explode(cells).alias("_cell"))
-        .select(*keys, value, "_cell.*")
-        .groupBy(*keys, "level", "span", "idx")
-        .agg(pooled.alias(value), F.count("*").alias("_n"))
-    )
-    return groups.filter("_n = span").select(*keys, "level", "idx", value)
+    base = df.select(*keys, F.col(pos).cast("bigint").alias("idx"), F.col(value).alias("_peak"))
+    base = base.select(*keys, "idx", F.col("_peak").cast("double").alias("_sum"), F.col("_peak").isNotNull().cast("bigint").alias("_n"), "_peak")
+    levels, below = [base.withColumn("level", F.lit(0))], base
+    for level, size in enumerate(window_sizes, start=1):
+        group = F.floor(F.col("idx") / F.lit(size)).cast("bigint").alias("idx")
+        pooled = below.groupBy(*keys, group).agg(
+            F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), F.max("_peak").alias("_peak"), F.count("*").alias("_full")
+        )
+        below = settle(pooled.filter(F.col("_full") == size).drop("_full"))
+        levels.append(below.withColumn("level", F.lit(level)))
+    out = levels[0]
+    for rows in levels[1:]:
+        out = out.unionByName(rows)
+    return out.select(*keys, "level", "idx", F.try_divide("_sum", "_n").alias("mean"), F.col("_peak").alias("peak"))
+
+
+def pyramid_pool(
+    df: DataFrame,
+    keys: Sequence[str],
+    window_sizes: Sequence[int] = (4, 4, 4),
+    how: str = "mean",
+    value: str = "value",
+    pos: str = "pos",
+) -> DataFrame:
+    """One kind of ``pyramid_levels``: ``keys, level, idx, value``."""
+    rows = pyramid_levels(df, keys, window_sizes, value, pos)
+    return rows.select(*keys, "level", "idx", F.col("mean" if how == "mean" else "peak").alias(value))
 
 
 def pyramid_gather(

@@ -11,6 +11,7 @@ from tideloom.operators.windows import (
     cut_windows,
     patching,
     pyramid_gather,
+    pyramid_levels,
     pyramid_pool,
     single_step_expand,
     strided_panel_windows,
@@ -145,6 +146,53 @@ def strided_panel_windows_query(spark, sf_dir):
     )
 
 
+# Hours without events are missing rows here, not zeros; positions still count all hours.
+HOLED = f"""{USER_HOURLY_GAPS}, holed AS (SELECT series_id, pos, value FROM user_hourly WHERE value IS NOT NULL OR pos % 5 < 3)"""
+
+
+def holed(spark, sf_dir):
+    return user_hourly(spark, sf_dir, fill=None).filter("value IS NOT NULL OR pos % 5 < 3")
+
+
+def cells(windows, kept):
+    """A row per cell of every window; ``step`` counts from the window's first row."""
+    both = F.posexplode(F.concat("past", "future")).alias("step", "value")
+    return windows.select(*kept, both)
+
+
+@register(
+    "sliding_window_cells",
+    f"""WITH {HOLED}, runs AS (
+  SELECT series_id, pos, value, pos - row_number() OVER (PARTITION BY series_id ORDER BY pos) AS island FROM holed),
+starts AS (
+  SELECT series_id, pos AS start, count(*) OVER (PARTITION BY series_id, island ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS room FROM runs)
+SELECT s.series_id, s.start AS window_id, CAST(h.pos - s.start AS INTEGER) AS step, h.value
+FROM starts s JOIN holed h ON h.series_id = s.series_id AND h.pos >= s.start AND h.pos < s.start + 8 WHERE s.room = 8""",
+)
+def sliding_window_cells(spark, sf_dir):
+    """Windows of six hours and two over rows with holes, cell by cell."""
+    windows = cut_windows(holed(spark, sf_dir), ["value"], KEY, 6, 2, chunk=CHUNK)
+    return cells(windows, ["series_id", "window_id"])
+
+
+@register(
+    "strided_window_cells",
+    f"""WITH {HOLED}, bounds AS (SELECT series_id, 3 AS first, max(pos) + 1 AS n FROM holed GROUP BY 1),
+starts AS (SELECT series_id, first, unnest(generate_series(0, (n - first - 8) // 4 - 1)) AS window_id FROM bounds),
+found AS (
+  SELECT s.series_id, s.window_id, first + window_id * 4 AS start, h.pos, h.value, count(*) OVER (PARTITION BY s.series_id, s.window_id) AS n
+  FROM starts s JOIN holed h ON h.series_id = s.series_id AND h.pos >= first + window_id * 4 AND h.pos < first + window_id * 4 + 8)
+SELECT series_id, window_id, start, CAST(pos - start AS INTEGER) AS step, value FROM found WHERE n = 8""",
+)
+def strided_window_cells(spark, sf_dir):
+    """Every fourth window from position 3 on, cell by cell; holes take windows out, not their numbers."""
+    rows = holed(spark, sf_dir)
+    ends = rows.groupBy(*KEY).agg((F.max("pos") + 1).alias("end"))
+    rows = rows.join(ends, KEY).withColumn("first", F.lit(3).cast("bigint"))
+    windows = strided_panel_windows(rows, KEY, 6, 2, end="end", first="first", stride=4, chunk=CHUNK)
+    return cells(windows, ["series_id", "window_id", "start"])
+
+
 @register(
     "zero_pad_front",
     f"""WITH {GROUPED},
@@ -257,10 +305,7 @@ PYRAMID = f"""{USER_HOURLY}, pyramid AS (
     f"WITH {PYRAMID} SELECT series_id, level, idx, round(mean, 8) AS mean, peak FROM pyramid",
 )
 def pyramid_pool_query(spark, sf_dir):
-    rows = user_hourly(spark, sf_dir)
-    means = pyramid_pool(rows, KEY, how="mean").withColumnRenamed("value", "mean")
-    peaks = pyramid_pool(rows, KEY, how="max").withColumnRenamed("value", "peak")
-    both = means.join(peaks, [*KEY, "level", "idx"])
+    both = pyramid_levels(user_hourly(spark, sf_dir), KEY)
     return both.select(*KEY, "level", "idx", rounded("mean", 8).alias("mean"), "peak")
 
 
