@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import HOUR, shift
@@ -141,9 +143,14 @@ def normal(spark, sf_dir):
     return pairs(spark, sf_dir).select(*KEY, "day", "step", F.col("value").alias("label"), F.col("yhat").alias("mu"), sigma)
 
 
+def written(sql: str) -> str:
+    """The same CTEs, each evaluated once and kept, so that no filter is pushed through their joins."""
+    return re.sub(r"(\w+) AS \(\s*SELECT", r"\1 AS MATERIALIZED (SELECT", sql)
+
+
 @register(
     "gaussian_nll",
-    f"""WITH {NORMAL}
+    f"""WITH {written(NORMAL)}
 SELECT series_id, day, step, round(0.5::DOUBLE * ln(2 * pi()) + ln(sigma) + pow(label - mu, 2) / (2 * sigma * sigma), 6) AS nll,
   round(pow(label - mu, 2), 6) AS se FROM normal WHERE label <> 0""",
 )
@@ -169,7 +176,7 @@ def gaussian_nll_topk(spark, sf_dir):
 
 @register(
     "masked_abs_error",
-    f"WITH {NORMAL} SELECT series_id, day, step, round(abs(label - mu), 6) AS ae FROM normal WHERE label <> 0",
+    f"WITH {written(NORMAL)} SELECT series_id, day, step, round(abs(label - mu), 6) AS ae FROM normal WHERE label <> 0",
 )
 def masked_abs_error(spark, sf_dir):
     rows = evaluation.masked_abs_error(normal(spark, sf_dir))
@@ -214,9 +221,10 @@ def pooled_loss(spark, sf_dir):
 
 @register(
     "forecast_overlay",
-    f"""WITH {USER_HOURLY}, forecast AS (SELECT series_id, ts + INTERVAL 24 HOUR AS ts, value AS yhat FROM user_hourly)
-SELECT COALESCE(a.series_id, f.series_id) AS series_id, COALESCE(a.ts, f.ts) AS ts, a.value, f.yhat
-FROM user_hourly a FULL OUTER JOIN forecast f ON f.series_id = a.series_id AND f.ts = a.ts""",
+    f"""WITH {written(USER_HOURLY)}, both_sides AS (
+  SELECT series_id, ts, value, NULL::DOUBLE AS yhat FROM user_hourly
+  UNION ALL SELECT series_id, ts + INTERVAL 24 HOUR, NULL, value FROM user_hourly)
+SELECT series_id, ts, max(value) AS value, max(yhat) AS yhat FROM both_sides GROUP BY 1, 2""",
 )
 def forecast_overlay(spark, sf_dir):
     rows = user_hourly(spark, sf_dir)
