@@ -1,5 +1,8 @@
+import math
 import re
 import zlib
+from array import array
+from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
@@ -8,7 +11,18 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from tideloom.llm.registry import QUERIES, table
-from tideloom.llm.toxicity import THRESHOLD, calibrate, evidence, fit, grams_of, toxicity
+from tideloom.llm.toxicity import (
+    ORDER,
+    THRESHOLD,
+    Block,
+    Grams,
+    calibrate,
+    evidence,
+    fit,
+    grams_of,
+    toxicity,
+    words_in,
+)
 
 #: Words that the data's toxic documents hold and others do not.
 LEXICON = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "loser", "scum", "moron"}
@@ -72,3 +86,86 @@ def test_calibration_rises(rows):
     x, n0, n1 = np.array(rows, float).T
     knots, p = calibrate(x, n0, n1)
     assert (np.diff(knots) >= 0).all() and (np.diff(p) >= 0).all() and (p >= 0).all() and (p <= 1).all()
+
+
+def plain_kneser_ney(texts):
+    """Log-likelihood ratios by the textbook: ``{gram or context: ratio}`` from ``(text, toxic)``."""
+    counts = [Counter(), Counter()]
+    for text, toxic in texts:
+        for word, n in words_in(text).items():
+            for gram in grams_of(word):
+                counts[toxic][gram] += n
+
+    def discount(values):
+        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return min(max(one / (one + 2 * two) if one else 0.5, 0.1), 0.95)
+
+    level, before = {}, {g for c in counts for g in c}
+    for length in range(ORDER - 1, 0, -1):
+        kinds = defaultdict(set)
+        for g in before:
+            kinds[g[1:]].add(g[0])
+        level[length] = {g: len(s) for g, s in kinds.items()}
+        before = set(level[length])
+
+    def shared(gram):
+        table = level[len(gram)]
+        if len(gram) == 1:
+            return table[gram] / sum(table.values())
+        d, mine = discount(table.values()), {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        return (max(mine[gram] - d, 0) + d * len(mine) * shared(gram[1:])) / sum(mine.values())
+
+    def prob(c, gram):
+        d, mine = discount([n for n in counts[c].values()]), {g: n for g, n in counts[c].items() if g[:-1] == gram[:-1]}
+        if not mine:
+            return shared(gram[1:])
+        return (max(mine.get(gram, 0) - d, 0) + d * len(mine) * shared(gram[1:])) / sum(mine.values())
+
+    def backoff(c, context):
+        mine = [n for g, n in counts[c].items() if g[:-1] == context]
+        return discount(list(counts[c].values())) * len(mine) / sum(mine) if mine else 1.0
+
+    grams = {g for c in counts for g in c}
+    out = {g: math.log(prob(1, g) / prob(0, g)) for g in grams}
+    return out | {c: math.log(backoff(1, c) / backoff(0, c)) for c in {g[:-1] for g in grams}}
+
+
+def test_scores_are_those_of_plain_kneser_ney(spark):
+    texts = [("vile vile scum, vilest day", 1), ("a kind day, days of villages", 0), ("quiet kinds", 0), ("scum of the day", 1), ("the village", 0)]
+    model = fit(spark.createDataFrame(texts, "_text string, _toxic int"))
+    want = plain_kneser_ney(texts)
+    got = {r["key"]: r["llr"] for r in model.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    docs = [(1, "vile villagers"), (2, "unknown xyz"), (3, None), (4, "Scum!")]
+    x = {r["_doc_id"]: r["_x"] for r in evidence(spark.createDataFrame(docs, "doc_id long, text string"), model, "doc_id", "text").collect()}
+    for i, text in docs:
+        grams = [g for w, n in words_in(text).items() for g in grams_of(w) * n]
+        total = sum(want.get(g, want.get(g[:-1], 0.0)) for g in grams)
+        assert x[i] == pytest.approx(total / (len(grams) + 100), abs=1e-12)
+
+
+WORDS = st.lists(st.text(alphabet="abcéжß漢𐐷", min_size=1, max_size=9), max_size=30)
+
+
+@given(WORDS.map(lambda w: sorted(set(w))))
+def test_grams_of_many_words(words):
+    grams = Grams(words)
+    every = [g for w in words for g in grams_of(w)]
+    assert [grams.keys[i] for i in grams.index] == every and grams.sizes.tolist() == [len(w) + 1 for w in words]
+    n = len(grams.context)
+    assert sorted(grams.keys) == sorted(set(every) | {g[:-1] for g in every})
+    assert [grams.keys[c] for c in grams.context] == [g[:-1] for g in grams.keys[:n]]
+
+
+@given(st.lists(WORDS.map(Counter), max_size=6))
+def test_blocks_unpack_to_what_was_packed(docs):
+    places, kinds, at, times = {}, array("q"), array("q"), array("q")
+    for doc in docs:
+        kinds.append(len(doc))
+        at.extend(places.setdefault(w, len(places)) for w in doc)
+        times.extend(doc.values())
+    block = Block.unpacked(*Block.of(places, kinds, at, times).packed())
+    ends = np.cumsum(block.kinds)
+    found = [dict(zip([block.words[i] for i in block.at[e - k : e]], block.times[e - k : e])) for k, e in zip(block.kinds, ends)]
+    assert found == [dict(d) for d in docs]

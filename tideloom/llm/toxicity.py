@@ -26,6 +26,8 @@ NEUTRAL = 100
 PAIRS, CHARACTERS = 1 << 18, 1 << 24
 #: Bins of the length-normalised scores from which the calibration is fitted.
 BINS = 4096
+#: Steps of a unit of the score in sums.
+FINE = float(1 << 40)
 #: A score from here on is predicted toxic.
 THRESHOLD = 0.7
 _OPEN, _CLOSE = "\x02", "\x03"
@@ -69,7 +71,8 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 words[int(toxic)].update(words_in(text))
             if len(words[0]) + len(words[1]) > _REMEMBERED:
                 yield counted()
-        yield counted()
+        if words[0] or words[1]:
+            yield counted()
 
     rows = labelled.mapInPandas(run, "gram string, n0 long, n1 long")
     return rows.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -117,7 +120,12 @@ def fit(labelled: DataFrame) -> DataFrame:
     and one whose context neither has seen not at all. Counts cover all rows of ``labelled``; the
     model is written, a row for every n-gram and context, and never held in one place.
     """
-    grams = settle(count_grams(labelled))
+    return fit_grams(count_grams(labelled))
+
+
+def fit_grams(counted: DataFrame) -> DataFrame:
+    """``fit`` from ``gram, n0, n1``, the n-grams' occurrences by class."""
+    grams = settle(counted)
     sums = [f(c) for c in ("n0", "n1") for f in (F.sum, lambda n: F.count_if(F.col(n) > 0))]
     names = ["all0", "kinds0", "all1", "kinds1"]
     context = F.substring("gram", 1, ORDER - 1).alias("context")
@@ -140,9 +148,52 @@ def fit(labelled: DataFrame) -> DataFrame:
     return settle(known.unionByName(new))
 
 
-def _pressed(values: array) -> bytes:
+class Grams:
+    """The n-grams of many words at once.
+
+    ``keys`` are the distinct n-grams, then the distinct contexts (n-grams without their last
+    character). ``index`` numbers the n-grams of all words in order, ``sizes`` of them to a word, and
+    ``context`` gives the place in ``keys`` of each distinct n-gram's context.
+    """
+
+    def __init__(self, words: Sequence[str]):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.sizes = lengths + 1
+        text = "".join([_OPEN * (ORDER - 1) + w + _CLOSE for w in words])
+        letters, codes = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)
+        first = np.cumsum(lengths + ORDER) - (lengths + ORDER)
+        at = np.repeat(first - (np.cumsum(self.sizes) - self.sizes), self.sizes) + np.arange(self.sizes.sum())
+        spelled = np.stack([codes[at + i] for i in range(ORDER)], axis=1)
+        grams, self.index = _distinct(spelled)
+        contexts, of = _distinct(grams[:, :-1])
+        self.context = of + len(grams)
+        self.keys = [*_strings(letters[grams]), *_strings(letters[contexts])]
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of small numbers, and for each row its place among them."""
+    if not len(rows):
+        return rows, np.empty(0, np.int64)
+    if rows.max() >= 1 << 16:
+        found, index = np.unique(rows, axis=0, return_inverse=True)
+        return found, index.ravel()
+    packed = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        packed = packed << np.uint64(16) | column.astype(np.uint64)
+    found, index = np.unique(packed, return_inverse=True)
+    shifts = np.arange(rows.shape[1] - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
+    return (found[:, None] >> shifts & np.uint64(0xFFFF)).astype(np.int64), index
+
+
+def _strings(codes: np.ndarray) -> list[str]:
+    """Each row of code points as a string."""
+    text, width = codes.astype("<u4").tobytes().decode("utf-32-le"), codes.shape[1]
+    return [text[i : i + width] for i in range(0, len(text), width)]
+
+
+def _pressed(values: np.ndarray) -> bytes:
     """Small numbers as bytes: all lowest ones first, then the higher ones, which are mostly zero."""
-    return zlib.compress(np.array(values, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return zlib.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpressed(data: bytes) -> np.ndarray:
@@ -150,28 +201,67 @@ def _unpressed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
-def _blocks(named: DataFrame) -> DataFrame:
-    """Blocks of ``(_doc_id, _text)``: the documents' ids, the block's distinct words, and how often each has which.
+class Block:
+    """The words of some documents: the distinct ones, sorted, and how often each document has which.
 
-    Document n has the next ``_kinds[n]`` entries of ``_at``, places in ``_words``, and of ``_times``;
-    these three are ``_pressed``.
+    Document n has the next ``kinds[n]`` entries of ``at``, rising places in ``words``, and of ``times``.
     """
+
+    FIELDS = ("_words", "_kinds", "_at", "_times")
+
+    def __init__(self, words: list[str], kinds: np.ndarray, at: np.ndarray, times: np.ndarray):
+        self.words, self.kinds, self.at, self.times = words, kinds, at, times
+
+    @classmethod
+    def of(cls, places: dict[str, int], kinds: array, at: array, times: array) -> Block:
+        """From documents' words in any order, each word given by its place."""
+        words = sorted(places)
+        rank = np.empty(len(words), np.int64)
+        rank[[places[w] for w in words]] = np.arange(len(words))
+        kinds_, at_, times_ = (np.array(x, np.int64) for x in (kinds, at, times))
+        at_ = rank[at_]
+        order = np.lexsort((at_, np.repeat(np.arange(len(kinds_)), kinds_)))
+        return cls(words, kinds_, at_[order], times_[order])
+
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.kinds)), self.kinds)
+
+    def packed(self) -> list[bytes]:
+        steps = np.diff(self.at, prepend=0)
+        first = (np.cumsum(self.kinds) - self.kinds)[self.kinds > 0]
+        steps[first] = self.at[first]
+        return [zlib.compress("\n".join(self.words).encode(), 1), *map(_pressed, (self.kinds, steps, self.times))]
+
+    @staticmethod
+    def words_of(data: bytes) -> list[str]:
+        text = zlib.decompress(data).decode()
+        return text.split("\n") if text else []
+
+    @classmethod
+    def unpacked(cls, words: bytes, *rest: bytes) -> Block:
+        kinds, steps, times = map(_unpressed, rest)
+        total = np.cumsum(steps)
+        first = np.cumsum(kinds) - kinds
+        before = np.concatenate(([0], total))[first]
+        return cls(cls.words_of(words), kinds, total - np.repeat(before, kinds), times)
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    """Written blocks of ``(_doc_id, _text)``: ``_block``, the documents' ``_ids``, and a packed ``Block``."""
     ids = F.array("_doc_id").alias("_ids")
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("_kinds", "_at", "_times")]
-    words = F.lit(None).cast("array<string>").alias("_words")
-    schema = named.select(F.lit(0).cast("long").alias("_block"), ids, words, *empty).schema
+    fields = [F.lit(None).cast("binary").alias(c) for c in Block.FIELDS]
+    schema = named.select(F.lit(0).cast("long").alias("_block"), ids, *fields).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         places: dict[str, int] = {}
-        held, kinds, at, times, size = [], array("i"), array("i"), array("q"), 0
+        held, kinds, at, times, size = [], array("q"), array("q"), array("q"), 0
 
         def packed() -> pa.RecordBatch:
-            one = [pa.array([number], pa.int64())]
-            for values in (pa.concat_arrays(held), pa.array(list(places), pa.string())):
-                one.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-            one += [pa.array([_pressed(values)], pa.binary()) for values in (kinds, at, times)]
-            return pa.RecordBatch.from_arrays(one, names=["_block", "_ids", "_words", "_kinds", "_at", "_times"])
+            values = pa.concat_arrays(held)
+            one = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)]
+            one += [pa.array([data], pa.binary()) for data in Block.of(places, kinds, at, times).packed()]
+            return pa.RecordBatch.from_arrays(one, names=["_block", "_ids", *Block.FIELDS])
 
         for batch in batches:
             first = 0
@@ -186,59 +276,83 @@ def _blocks(named: DataFrame) -> DataFrame:
                     held.append(batch["_doc_id"].slice(first, row + 1 - first))
                     yield packed()
                     number, first, size = number + 1, row + 1, 0
-                    places, held, kinds, at, times = {}, [], array("i"), array("i"), array("q")
+                    places, held, kinds, at, times = {}, [], array("q"), array("q"), array("q")
             if first < batch.num_rows:
                 held.append(batch["_doc_id"].slice(first))
         if held:
             yield packed()
 
-    return named.mapInArrow(run, schema)
+    return settle(named.mapInArrow(run, schema))
+
+
+def block_grams(blocks: DataFrame, label: DataFrame) -> DataFrame:
+    """``count_grams`` of the documents that ``label (_doc_id, _toxic)`` names, once for each of its rows.
+
+    Only ids are joined with labels; blocks are then met by number, so no text is shuffled again.
+    """
+    ids = blocks.select("_block", F.posexplode("_ids").alias("_place", "_doc_id"))
+    named = ids.join(label, "_doc_id").groupBy("_block").agg(F.collect_list(F.struct("_place", "_toxic")).alias("_labels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = Block.unpacked(*[batch[c][row].as_py() for c in Block.FIELDS])
+                labels = batch["_labels"][row].values
+                place, toxic = (np.asarray(labels.field(c).to_numpy(zero_copy_only=False)).astype(np.int64) for c in ("_place", "_toxic"))
+                grams, owners = Grams(block.words), block.owners()
+                counts = []
+                for kind in (0, 1):
+                    weight = np.bincount(place[toxic == kind], minlength=len(block.kinds))[owners] * block.times
+                    of_word = np.bincount(block.at, weight, len(block.words))
+                    counts.append(np.bincount(grams.index, np.repeat(of_word, grams.sizes), len(grams.context)).astype(np.int64))
+                seen = np.flatnonzero(counts[0] + counts[1])
+                found = pa.array([grams.keys[i] for i in seen], pa.string())
+                yield pa.RecordBatch.from_arrays([found, *[pa.array(c[seen]) for c in counts]], names=["gram", "n0", "n1"])
+
+    rows = blocks.join(named, "_block").mapInArrow(run, "gram string, n0 long, n1 long")
+    return rows.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _keys_of(blocks: DataFrame) -> DataFrame:
-    """``_block, key``: the distinct n-grams and contexts of every block's words."""
+    """``_block, _at, key``: the ``Grams.keys`` of every block's words, numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words in zip(batch["_block"], batch["_words"]):
-                keys = {gram for word in words.as_py() for gram in grams_of(word)}
-                keys |= {gram[:-1] for gram in keys}
-                found = pa.array(list(keys), pa.string())
+                found = pa.array(Grams(Block.words_of(words.as_py())).keys, pa.string())
                 numbers = pa.array(np.full(len(found), block.as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([numbers, found], names=["_block", "key"])
+                places = pa.array(np.arange(len(found)), pa.int32())
+                yield pa.RecordBatch.from_arrays([numbers, places, found], names=["_block", "_at", "key"])
 
-    return blocks.select("_block", "_words").mapInArrow(run, "_block long, key string")
+    return blocks.select("_block", "_words").mapInArrow(run, "_block long, _at int, key string")
 
 
-def evidence(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_doc_id, _x``: the log-likelihood ratio of each whole text per character, ``NEUTRAL`` ones added.
+def weighed(blocks: DataFrame, model: DataFrame) -> DataFrame:
+    """``_doc_id, _x`` of the documents in ``blocks``, as ``evidence`` gives them.
 
-    Documents are written in blocks of a bounded number of words. A block's distinct n-grams and
-    contexts are joined with the model, in which a key meets each block once at most, so a
-    frequent one weighs little; a task holds the model's rows for one block.
+    A block's distinct n-grams and contexts are joined with the model, in which a key meets each
+    block once at most, so a frequent one weighs little; a task holds the model's numbers for one
+    block. Only their places in the block travel back to it, not the keys.
     """
-    blocks = settle(_blocks(docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))))
     found = _keys_of(blocks).join(model, "key").groupBy("_block")
-    found = found.agg(F.collect_list(F.struct("key", "llr")).alias("_model"))
+    found = found.agg(F.collect_list(F.struct(F.col("_at").alias("at"), "llr")).alias("_model"))
     joined = blocks.join(found, "_block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
+                block = Block.unpacked(*[batch[c][row].as_py() for c in Block.FIELDS])
+                grams = Grams(block.words)
+                llr = np.full(len(grams.keys), np.nan)
                 part = batch["_model"][row].values
-                llr = {}
                 if part is not None:
-                    llr = dict(zip(part.field("key").to_pylist(), part.field("llr").to_pylist()))
-
-                def of(word: str) -> float:
-                    return sum(llr[g] if g in llr else llr.get(g[:-1], 0.0) for g in grams_of(word))
-
-                words = batch["_words"][row].as_py()
-                ratios, sizes = np.array([of(w) for w in words], float), np.array([len(w) + 1 for w in words], float)
-                kinds, at, times = (_unpressed(batch[c][row].as_py()) for c in ("_kinds", "_at", "_times"))
-                owner = np.repeat(np.arange(len(kinds)), kinds)
-                total = np.bincount(owner, times * ratios[at], len(kinds))
-                size = np.bincount(owner, times * sizes[at], len(kinds))
+                    llr[part.field("at").to_numpy()] = part.field("llr").to_numpy()
+                llr = np.where(np.isnan(llr[: len(grams.context)]), llr[grams.context], llr[: len(grams.context)])
+                word = np.repeat(np.arange(len(block.words)), grams.sizes)
+                ratios = np.bincount(word, np.nan_to_num(llr)[grams.index], len(block.words))
+                owner = block.owners()
+                total = np.bincount(owner, block.times * ratios[block.at], len(block.kinds))
+                size = np.bincount(owner, block.times * grams.sizes[block.at], len(block.kinds))
                 x = pa.array(total / (size + NEUTRAL), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch["_ids"][row].values, x], names=["_doc_id", "_x"])
 
@@ -246,6 +360,14 @@ def evidence(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> D
     return joined.mapInArrow(run, out)
 
 
+def evidence(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_doc_id, _x``: the log-likelihood ratio of each whole text per character, ``NEUTRAL`` ones added.
+
+    Documents are written in blocks of a bounded number of words (``Block``) and ``weighed``.
+    """
+    return weighed(_blocks(docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))), model)
+
+
 def calibrate(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots ``x, p`` of a rising curve from scores to probabilities, by pooling adjacent violators.
 
@@ -285,20 +407,22 @@ def toxicity(
     are equal and low. Rows of one text score alike. Only the columns named are read.
     """
     label = labels.select(F.col(id_col).alias("_doc_id"), F.col(toxic_col).alias("_toxic")).where("_toxic IN (0, 1)")
-    label = label.where(~held_out(F.col("_doc_id"))).hint("shuffle_hash")
-    texts = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"))
+    label = settle(label.where(~held_out(F.col("_doc_id"))))
+    blocks = _blocks(docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text")))
     apart = F.pmod(F.crc32(F.col("_doc_id").cast("string")), F.lit(12)) < 3
-    teach = texts.where(~held_out(F.col("_doc_id")) & ~apart).join(label, "_doc_id").select("_text", "_toxic")
-    found = settle(evidence(docs, fit(teach), id_col, text_col))
+    found = settle(weighed(blocks, fit_grams(block_grams(blocks, label.where(~apart)))))
     seen = found.where(apart).join(label, "_doc_id")
     ends = found.agg(F.min("_x"), F.max("_x")).first()
     low, high = (ends[0] or 0.0), (ends[1] or 0.0)
     width = (high - low) / BINS or 1.0
     bin_of = F.least(F.floor((F.col("_x") - low) / width), F.lit(BINS - 1)).cast("int").alias("bin")
     bins = seen.groupBy(bin_of).agg(
-        F.count_if(F.col("_toxic") == 0).alias("n0"), F.count_if(F.col("_toxic") == 1).alias("n1"), F.avg("_x").alias("x")
+        F.count_if(F.col("_toxic") == 0).alias("n0"),
+        F.count_if(F.col("_toxic") == 1).alias("n1"),
+        # Whole numbers add up alike in any order.
+        (F.sum(F.round(F.col("_x") * FINE).cast("decimal(38,0)")).cast("double") / F.count("*") / FINE).alias("x"),
     )
-    bins = bins.toArrow()
+    bins = bins.orderBy("bin").toArrow()
     knots = calibrate(*(bins[c].to_numpy().astype(float) for c in ("x", "n0", "n1")))
 
     @F.pandas_udf("double")
