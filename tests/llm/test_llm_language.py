@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -78,3 +82,21 @@ def test_edge_cases(spark):
     assert identify(docs.limit(0), model).count() == 0
     none = fit(train.where("lang = 'xx'"))
     assert {r["_lang_pred"] for r in identify(docs, none).collect()} == {"und"}
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """The driver finds the package by its path; Python workers start in another folder without it."""
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config(
+    "spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from tideloom.llm.queries import QUERIES
+print("ROWS", QUERIES["op7_language"](spark, "/root/testdata/sf0.001").where("lang_pred <> 'und'").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("ROWS")[1]) > 100

@@ -164,6 +164,10 @@ def _batches(words: Sequence[str], models: int) -> Iterator[np.ndarray]:
         at += len(part)
 
 
+#: Steps of one expected occurrence in sums.
+FINE = float(1 << 20)
+
+
 class LanguageModel:
     """Log probabilities of the pieces (rows) under the languages (columns)."""
 
@@ -229,10 +233,12 @@ def _improved(words: DataFrame, languages: list[str], pieces: list[str], logs: n
                 column = logs[:, languages.index(lang)]
                 found = lattice.expected(part["word"].tolist(), part["n"].to_numpy(), column)
                 seen = np.flatnonzero(found)
-                yield pd.DataFrame({"lang": lang, "piece": seen, "n": found[seen]})
+                yield pd.DataFrame({"lang": lang, "piece": seen, "n": np.rint(found[seen] * FINE)})
 
     rows = words.mapInPandas(expect, "lang string, piece long, n double")
-    rows = rows.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    # Whole numbers add up alike in any order.
+    total = (F.sum(F.col("n").cast("decimal(28,0)")).cast("double") / FINE).alias("n")
+    rows = rows.groupBy("lang", "piece").agg(total).toArrow().to_pandas()
     found = np.zeros(logs.shape)
     column = rows["lang"].map({lang: i for i, lang in enumerate(languages)}).to_numpy(np.int64)
     found[rows["piece"].to_numpy(np.int64), column] = rows["n"].to_numpy()
@@ -244,8 +250,8 @@ def _improved(words: DataFrame, languages: list[str], pieces: list[str], logs: n
 class _Scorer:
     """Scores texts, remembering the scores of words and of tokens."""
 
-    def __init__(self, model: LanguageModel):
-        self.lattice, self.logs = Lattice(model.pieces), model.logs
+    def __init__(self, pieces: Sequence[str], logs: np.ndarray):
+        self.lattice, self.logs = Lattice(pieces), logs
         self._forget()
 
     def _forget(self) -> None:
@@ -296,15 +302,16 @@ def identify(
     total probability ``_score``. A null text, or one without a letter, is ``und`` with score 0.
     Every row is judged alone, so repeated rows agree. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values: a class of this package would be sent by name, which workers need not know.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.logs))
     inside = text_col if text_col in keep else None
     read = [] if inside else [F.col(text_col).alias("_text")]
     named = docs.select(*packed(keep), F.col(id_col).alias("_doc_id"), *read)
     out = [c for c in named.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = _Scorer(model)
+        languages, pieces, logs = shared.value
+        scorer = _Scorer(pieces, logs)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -316,7 +323,7 @@ def identify(
                         scores.append(0.0)
                         continue
                     best = int(row.argmax())
-                    langs.append(model.languages[best])
+                    langs.append(languages[best])
                     scores.append(float(1 / np.exp(row - row[best]).sum()))
                 columns = {name: part[name] for name in out}
                 columns |= {"_lang_pred": pa.array(langs, pa.string()), "_score": pa.array(scores, pa.float64())}
