@@ -1,11 +1,12 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import example, given
 from hypothesis import strategies as st
 
-from tideloom.llm.pii import KINDS, Mapped, disguised_spans, find_pii, luhn, plain_spans, redacted
+from tideloom.llm.pii import KINDS, Mapped, disguised_spans, find_pii, luhn, normalise, plain_spans, redacted
 from tideloom.llm.registry import QUERIES, table
 
 PATTERNS = {
@@ -131,3 +132,12 @@ def test_query_matches_the_regexes(spark):
         assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
         assert [r[f"n_{k}"] for k in KINDS] == [sum(s[2] == k for s in want) for k in KINDS]
         assert set(line.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_runs_of_white_space_cost_their_length():
+    for text in ("dot" + " " * 200_000 + "x", "a at " + " \t" * 100_000, "(" + " " * 200_000 + "at", " " * 200_000 + "(dot) (at) one two"):
+        start = time.perf_counter()
+        normalise(text)
+        assert time.perf_counter() - start < 0.5
+    text = "or ann  (at) mail   (dot) com, joe (at)  (at) x"
+    assert [text[a:b] for a, b, _ in disguised_spans(text, [])] == ["ann  (at) mail   (dot) com"]

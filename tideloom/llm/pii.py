@@ -134,8 +134,10 @@ _LEAST = 7
 _TOP = "com|org|net|edu|gov|mil|info|biz|io|ai|app|dev|tv|de|fr|nl|uk|eu|ca|au|jp|cn|br|ch|pl|ru|se|example|test|invalid"
 _OPEN, _SHUT = r"[(\[{<]\s*", r"\s*[)\]}>]"
 _BARE_AT = rf"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)*\s+dot\s+(?:{_TOP})\b)"
-_AT = re.compile(rf"\s*{_OPEN}(?:at|@){_SHUT}\s*|{_BARE_AT}", re.IGNORECASE)
-_DOT = re.compile(rf"\s*{_OPEN}(?:dot|point|\.){_SHUT}\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
+#: White space ahead of a bracket, all of it: a run is looked at from its start only.
+_AHEAD = r"(?:(?<!\s)\s+)?"
+_AT = re.compile(rf"{_AHEAD}{_OPEN}(?:at|@){_SHUT}\s*|{_BARE_AT}", re.IGNORECASE)
+_DOT = re.compile(rf"{_AHEAD}{_OPEN}(?:dot|point|\.){_SHUT}\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 _BRACKETED = re.compile(rf"{_OPEN}(?:at|@|dot|point|\.){_SHUT}", re.IGNORECASE)
 _WORD = "|".join(_DIGITS)
 _TOKEN = rf"(?:(?:{_WORD})(?![A-Za-z])|[0-9.])"
