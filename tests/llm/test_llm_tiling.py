@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from brute import tiled
 from hypothesis import given, settings
@@ -51,3 +53,20 @@ def test_empty_tables_repeats_and_clashes(spark):
     b = spark.createDataFrame([(1, ITEM, 2)], "item_id long, text string, _coverage int")
     rows = contamination(d, b, keep=("doc_id", "text", "_items")).collect()
     assert sorted((r["_kept"]["_items"] or "", r["_contaminated"]) for r in rows) == [("", False), ("a", True), ("b", True)]
+
+
+def test_a_long_reordered_item_is_tiled_fast():
+    rng = np.random.default_rng(4)
+    item = rng.integers(0, 1 << 40, 4000, dtype=np.uint64)
+    parts = [item[i : i + 20] for i in range(0, 4000, 20)]
+    doc = np.concatenate([parts[i] for i in rng.permutation(200)])
+    start = time.perf_counter()
+    assert tile(item, doc, 5) == 4000
+    assert time.perf_counter() - start < 1
+
+
+def test_words_that_repeat_all_over():
+    item, doc = np.full(300, 7, np.uint64), np.full(5000, 7, np.uint64)
+    assert tile(item, doc, 5) == 300
+    item[::50] = 9
+    assert tile(item, doc, 5) == 294

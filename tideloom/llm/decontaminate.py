@@ -53,50 +53,74 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> int:
 
     The longest run that both share and that no tile has marked is a tile, and is marked in
     both; and so on, down to ``least`` words, ties going to the earliest place in the item and
-    then in the document. Hashes of every ``length`` words, compared by running sums, tell for
-    one length after another whether a run of that length is left; equal hashes are confirmed
-    word by word.
+    then in the document. The longest length left is found by bisection, as a shared run holds
+    shorter ones; running hashes tell whether one of a given length is left, at one subtraction and
+    product for a place, and equal hashes are confirmed word by word.
     """
     least = min(least, len(item))
-    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
-    covered = 0
     if not least or len(doc) < least:
         return 0
     # Only the surroundings of a seed can be in a tile.
     near = np.flatnonzero(np.isin(rolling(doc, least), rolling(item, least)))
     if not len(near):
         return 0
-    mask = np.zeros(len(doc), bool)
-    for j in range(least):
-        mask[near + j] = True
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-    longest = min(len(item), int((edges[1::2] - edges[::2]).max()))
-    for length in range(longest, least - 1, -1):
-        while len(item) - covered >= length:
-            found = _run(item, doc, free_item, free_doc, mask, length)
-            if found is None:
-                break
+    reach = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(reach, near, 1)
+    np.add.at(reach, near + least, -1)
+    free_item, free_doc = np.ones(len(item), bool), np.cumsum(reach[:-1]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], free_doc.view(np.int8), [0]))))
+    bound = min(len(item), int((edges[1::2] - edges[::2]).max()))
+    mine, theirs, covered = Running(item), Running(doc), 0
+
+    def shared(length: int) -> tuple[int, int] | None:
+        return _run(mine, theirs, _free(free_item, length), _free(free_doc, length), length)
+
+    while bound >= least and len(item) - covered >= least:
+        low, high = least - 1, bound
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (low, middle - 1) if shared(middle) is None else (middle, high)
+        if low < least:
+            break
+        while (found := shared(low)) is not None:
             i, j = found
-            free_item[i : i + length] = False
-            free_doc[j : j + length] = False
-            mask[j : j + length] = False
-            covered += length
+            free_item[i : i + low] = False
+            free_doc[j : j + low] = False
+            covered += low
+        bound = low - 1
     return covered
 
 
-def _run(item, doc, free_item, free_doc, mask, length: int) -> tuple[int, int] | None:
-    """The first unmarked run of ``length`` words that item and document share."""
-    mine, theirs = _free(free_item, length), _free(free_doc & mask, length)
+class Running:
+    """Karp-Rabin hashes of all runs of words, from sums up to every place."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        back = pow(self.BASE, -1, 1 << 64)
+        powers, self.back = (np.full(len(words) + 1, b, np.uint64) for b in (self.BASE, back))
+        powers[0] = self.back[0] = 1
+        powers, self.back = np.multiply.accumulate(powers), np.multiply.accumulate(self.back)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)))
+
+    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[starts + length] - self.sums[starts]) * self.back[starts]
+
+
+def _run(item: Running, doc: Running, mine: np.ndarray, theirs: np.ndarray, length: int) -> tuple[int, int] | None:
+    """The first run of ``length`` words that begins at one of ``mine`` and, in the document, of ``theirs``."""
     if not len(mine) or not len(theirs):
         return None
-    own = rolling(item, length)[mine]
-    hashes = _at(doc, theirs, length)
+    own, hashes = item.at(mine, length), doc.at(theirs, length)
     order = np.argsort(hashes, kind="stable")
-    place = np.searchsorted(hashes[order], own)
-    for i, h, p in zip(mine, own, place):
-        while p < len(order) and hashes[order[p]] == h:
+    ranked = hashes[order]
+    place = np.searchsorted(ranked, own)
+    equal = ranked[np.minimum(place, len(ranked) - 1)] == own
+    for i, h, p in zip(mine[equal], own[equal], place[equal]):
+        while p < len(order) and ranked[p] == h:
             j = theirs[order[p]]
-            if np.array_equal(item[i : i + length], doc[j : j + length]):
+            if np.array_equal(item.words[i : i + length], doc.words[j : j + length]):
                 return int(i), int(j)
             p += 1
     return None
@@ -110,12 +134,6 @@ def _free(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] == sums[: len(sums) - length])
 
 
-def _at(doc: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The hashes of the runs at ``starts``; only the stretch of the document around them is hashed."""
-    low, high = int(starts[0]), int(starts[-1]) + length
-    return rolling(doc[low:high], length)[starts - low]
-
-
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
