@@ -4,6 +4,7 @@ import zlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tideloom.llm.registry import QUERIES, table
 from tideloom.llm.sharding import Ring, shard_documents
 
 SCHEMA = "doc_id long, text string"
@@ -81,3 +82,37 @@ def test_one_more_shard_moves_little():
         homes.append(home)
     moved = sum(homes[0][p][1] != homes[1][p][1] for p in loads) / len(loads)
     assert moved < 0.2
+
+
+def test_groups_stay_whole_where_a_shard_has_room(spark):
+    rng = random.Random(3)
+    rows = [(i, "w" * rng.randrange(50, 150)) for i in range(3000)]
+    rows = [(i, f"{i} {t}") for i, t in rows]
+    rows += [(5000 + i, f"group {i % 40} " + "x" * 2000) for i in range(240)]
+    rng.shuffle(rows)
+    got = sharded(spark, rows)
+    loads, mean, most = check(rows, got)
+    assert max(loads) <= 1.001 * mean + most and min(loads) >= 0.9 * mean
+    texts, where = dict(rows), {}
+    for r in got:
+        where.setdefault(texts[r["_doc_id"]], set()).add(r["_shard"])
+    assert all(len(v) == 1 for v in where.values())
+
+
+def test_query_over_all_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    got = QUERIES["op3_shard"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    slots, loads, where = {}, {}, {}
+    for r in got:
+        data = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+        assert (r["law"], r["grown_shard"]) == ("bytes", None) and 0 <= r["shard"] < 16
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
+        where.setdefault(data, set()).add(r["shard"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert all(len(v) == 1 for v in where.values())
+    mean = sum(loads.values()) / 16
+    assert max(loads.values()) <= mean * 1.001 + max(r["size"] for r in got)
