@@ -1,8 +1,10 @@
 """The training-text pipeline: language, near duplicates, contamination, mixture, shards.
 
 Every stage takes and returns the columns of ``documents``, whatever they are, and keeps all rows
-that its decision does not concern; the last adds the shard of each row. A stage drops rows as its
-operator's docstring says: null and empty texts are ``und`` and go in the first stage.
+that its decision does not concern; the last adds the shard of each row. Null and empty texts go in
+the first stage; given to a later one they have no near duplicate, hold no benchmark item, have size
+0 in the mixture and size 1 in a shard. An empty table stays empty, rows that repeat an id are judged
+by their texts, and further columns are handed through whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +34,24 @@ def _free(name: str, taken: list[str]) -> str:
     return found
 
 
+#: Languages whose texts go on (None: all that the labels teach), and the least share of the
+#: probability that the predicted one must have.
+WANTED: tuple[str, ...] | None = None
+LEAST_SCORE = 0.5
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts whose language cannot be told: null, empty, or without a letter."""
+    """Keep texts of a wanted language that the model tells apart: its score is ``LEAST_SCORE`` or more.
+
+    Null, empty and letterless texts are ``und`` with score 0 and go, as do texts that fit several
+    languages alike. Without labels there are no languages and nothing is kept. Repeated rows agree.
+    """
     configure(spark)
     found = identify(docs, fit(docs), keep=docs.columns)
-    return found.where(F.col("_lang_pred") != UNKNOWN).select("_kept.*")
+    told = (F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= LEAST_SCORE)
+    if WANTED is not None:
+        told = told & F.col("_lang_pred").isin(*WANTED)
+    return found.where(told).select("_kept.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
