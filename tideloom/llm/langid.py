@@ -209,7 +209,8 @@ def fit(
                 for token, n in tokens.items():
                     for word in words_in(token):
                         found[word] += n
-                yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
 
     words = labelled.mapInPandas(count, "lang string, word string, n long")
     words = settle(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -233,7 +234,8 @@ def _improved(words: DataFrame, languages: list[str], pieces: list[str], logs: n
                 column = logs[:, languages.index(lang)]
                 found = lattice.expected(part["word"].tolist(), part["n"].to_numpy(), column)
                 seen = np.flatnonzero(found)
-                yield pd.DataFrame({"lang": lang, "piece": seen, "n": np.rint(found[seen] * FINE)})
+                if len(seen):
+                    yield pd.DataFrame({"lang": lang, "piece": seen, "n": np.rint(found[seen] * FINE)})
 
     rows = words.mapInPandas(expect, "lang string, piece long, n double")
     # Whole numbers add up alike in any order.
