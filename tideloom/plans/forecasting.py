@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import DAY
-from tideloom.models import arima, diagnostics, linear, selection, serving
+from tideloom.models import arima, backtest, diagnostics, linear, selection, serving
 from tideloom.operators.evaluation import complete_horizons
 from tideloom.operators.ordering import attach, with_length
 from tideloom.operators.rolling import lag1
@@ -430,6 +430,56 @@ def model_select(spark, sf_dir):
     return best.select(*KEY, "model", rounded("rmse", 4).alias("rmse"))
 
 
+FOLDS = f"""{USER_HOURLY}, sized AS (SELECT series_id, count(*) AS n FROM user_hourly GROUP BY 1),
+folds AS (
+  SELECT series_id, fold, CAST(floor(n::DOUBLE * share::DOUBLE) AS BIGINT) AS origin FROM sized CROSS JOIN (VALUES (0, 0.6), (1, 0.7), (2, 0.8)) s(fold, share)),
+lagged AS (
+  SELECT series_id, pos, value, lag(value) OVER o AS b1, lag(value, 24) OVER o AS b24 FROM user_hourly WINDOW o AS (PARTITION BY series_id ORDER BY pos)),
+changed AS (
+  SELECT *, value - b1 AS w1, value - b24 AS w24, lag(value - b1) OVER o AS v1, lag(value - b24) OVER o AS v24
+  FROM lagged WINDOW o AS (PARTITION BY series_id ORDER BY pos)),
+fits AS (
+  SELECT f.series_id, fold, origin, regr_slope(value, b1) AS phi, regr_intercept(value, b1) AS c, sum(w1 * v1) / sum(v1 * v1) AS phi1,
+    sum(w24 * v24) / sum(v24 * v24) AS phi24, max_by(value, pos) AS y, max_by(w1, pos) AS w1, max_by(w24, pos) AS w24
+  FROM folds f JOIN changed x ON x.series_id = f.series_id AND x.pos < origin GROUP BY 1, 2, 3),
+ahead AS (
+  SELECT t.*, u.pos - origin + 1 AS step, u.value, before.value AS day_before
+  FROM fits t JOIN user_hourly u ON u.series_id = t.series_id AND u.pos >= origin AND u.pos < origin + 24
+  JOIN user_hourly before ON before.series_id = t.series_id AND before.pos = u.pos - 24),
+paths AS (
+  SELECT series_id, fold, 'ar(1)' AS model, value, c / (1 - phi) + pow(phi, step) * (y - c / (1 - phi)) AS yhat FROM ahead
+  UNION ALL SELECT series_id, fold, 'arima(1,1,0)', value, y + w1 * phi1 * (1 - pow(phi1, step)) / (1 - phi1) FROM ahead
+  UNION ALL SELECT series_id, fold, 'arima(1,0,0)(0,1,0,24)', value, day_before + pow(phi24, step) * w24 FROM ahead
+  UNION ALL SELECT series_id, fold, 'repeat(24)', value, day_before FROM ahead)"""
+CANDIDATES = [backtest.Autoregression(1), backtest.Arima((1, 1, 0)), backtest.Arima((1, 0, 0), (0, 1, 0, 24)), backtest.Repeat(24)]
+
+
+def rolling_folds(spark, sf_dir):
+    return backtest.backtest(settle(user_hourly(spark, sf_dir)), CANDIDATES, KEY, 24, (0.6, 0.7, 0.8), chunk=CHUNK)
+
+
+@register(
+    "rolling_backtest",
+    f"""WITH {FOLDS}
+SELECT series_id, model, fold, count(*) AS steps, round(sum(pow(value - yhat, 2)), 4) AS squares FROM paths GROUP BY 1, 2, 3""",
+)
+def rolling_backtest(spark, sf_dir):
+    """Four families on three rolling origins of every user, a day ahead each."""
+    rows = rolling_folds(spark, sf_dir)
+    return rows.select(*KEY, "model", "fold", F.col("steps").cast("long").alias("steps"), rounded("squares", 4).alias("squares"))
+
+
+@register(
+    "model_select_rolling",
+    f"""WITH {FOLDS}, scores AS (SELECT series_id, model, {steady_sql('sqrt(avg(pow(value - yhat, 2)))')} AS rmse FROM paths GROUP BY 1, 2)
+SELECT series_id, model, rmse FROM scores QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY rmse, model) = 1""",
+)
+def model_select_rolling(spark, sf_dir):
+    """The family with the lowest error over all origins; the first by name of equal ones."""
+    scores = backtest.backtest_scores(rolling_folds(spark, sf_dir), KEY)
+    return selection.model_select(scores.withColumn("rmse", steady("rmse")), KEY)
+
+
 @register(
     "forecast_requests",
     f"""WITH {HOURLY}, {AR1_SQL.format('hourly')},
