@@ -330,6 +330,41 @@ def test_window_linear_matches_least_squares(spark, features):
     assert ahead["ts"].tolist() == pd.date_range(part["ts"].max(), periods=4, freq="h")[1:].tolist()
 
 
+def test_window_linear_of_five_channels_with_marks(spark):
+    rng = np.random.default_rng(12)
+    n, context, horizon = 260, 4, 3
+    names = ["c1", "c2", "c3", "c4", "c5"]
+    values = rng.normal(size=(n, 5)).cumsum(axis=0) * 0.1 + rng.normal(size=(n, 5))
+    angle = 2 * np.pi * np.arange(n) / 24
+    frame = pd.DataFrame(values, columns=names)
+    frame["sin"], frame["cos"] = np.sin(angle), np.cos(angle)
+    frame = pd.concat([pd.DataFrame({"series_id": "a", "pos": np.arange(n)}), frame], axis=1)
+    tiny = frame.head(3).assign(series_id="tiny")
+    df = to_spark(spark, pd.concat([frame, tiny]))
+    models = linear.window_linear_fit(df, KEY, context, horizon, target=names, penalty=0.0, chunk=50, marks=["sin", "cos"])
+    rows = {r.series_id: r for r in models.collect()}
+    assert rows["tiny"].coefs is None and rows["tiny"].status == "failed: too few rows" and rows["a"].status == "ok"
+    marks = np.column_stack([np.sin(angle), np.cos(angle)])
+    starts = range(n - context - horizon + 1)
+    design = np.array(
+        [np.r_[values[s : s + context].T.ravel(), marks[s + context : s + context + horizon].T.ravel(), 1.0] for s in starts]
+    )
+    future = np.array([values[s + context : s + context + horizon].T.ravel() for s in starts])
+    beta, *_ = np.linalg.lstsq(design, future, rcond=None)
+    np.testing.assert_allclose(np.array(rows["a"].coefs), beta[:-1].T, atol=1e-7)
+    np.testing.assert_allclose(rows["a"].intercepts, beta[-1], atol=1e-7)
+    windows = cut_windows(df, [*names, "sin", "cos"], KEY, context, horizon, stride=40)
+    got = linear.window_linear_predict(windows, models, KEY, names, names, ["sin", "cos"]).toPandas()
+    got = got.sort_values(["window_id", "channel", "step"])
+    picked = [s for s in starts if s % 40 == 0]
+    np.testing.assert_allclose(got["yhat"], (design[picked] @ beta).ravel(), atol=1e-7)
+    np.testing.assert_allclose(got["value"], future[picked].ravel())
+    short = cut_windows(df.where("series_id = 'tiny'"), names, KEY, 2, 1)
+    assert linear.window_linear_predict(short, models, KEY, names, names).count() == 0
+    failed = linear.window_linear_predict(short, models, KEY, names, names, keep_failed=True).collect()
+    assert [(r.series_id, r.step, r.yhat, r.status) for r in failed] == [("tiny", None, None, "failed: too few rows")]
+
+
 def test_requests_are_routed(spark):
     series = spark.createDataFrame([("a",), ("b",)], "series_id string")
     models = spark.createDataFrame([("a", "ar1")], "series_id string, model string")

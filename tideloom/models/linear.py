@@ -22,31 +22,48 @@ from tideloom.models.solve import ridge
 from tideloom.operators.ordering import attach, keep_last, spread
 
 
+def _listed(target: str | Sequence[str]) -> list[str]:
+    return [target] if isinstance(target, str) else list(target)
+
+
 def window_linear_fit(
     df: DataFrame,
     keys: Sequence[str],
     context: int,
     horizon: int,
-    target: str = "value",
+    target: str | Sequence[str] = "value",
     features: Sequence[str] = (),
     penalty: float = 1e-6,
     pos: str = "pos",
     chunk: int | None = None,
+    marks: Sequence[str] = (),
 ) -> DataFrame:
-    """``coefs[step]`` and ``intercepts[step]`` per series.
-
-    Coefficients run channel by channel (target first), oldest row of the context first.
-    Needs series of at least ``context + horizon + 1`` rows; shorter ones get NULL.
+    """``coefs, intercepts, n_windows, status`` per series.
+
+    ``coefs`` has a row for every target and step, target by target. Coefficients run channel by
+    channel over the context (targets first, then ``features``), oldest row first, then over the
+    steps to come of every one of ``marks``: channels that are known ahead, such as the calendar.
+    All targets share one Gram matrix, which the lag moments give; marks are cross moments like
+    any other. Needs series of at least ``context + horizon + 1`` rows; shorter ones, and those
+    with missing values, get NULL and say so in ``status``.
     """
-    cols = [target, *features]
+    targets = _listed(target)
+    context_cols = [*targets, *features]
+    cols = [*context_cols, *[m for m in marks if m not in context_cols]]
     table = lag_moments(df, cols, keys, context + horizon - 1, pos, chunk)
     fields = [
         *[df.schema[k] for k in keys],
         T.StructField("coefs", T.ArrayType(T.ArrayType(T.DoubleType()))),
         T.StructField("intercepts", T.ArrayType(T.DoubleType())),
         T.StructField("n_windows", T.LongType()),
+        T.StructField("status", T.StringType()),
     ]
-    key_names = list(keys)
+    key_names, width = list(keys), len(targets) * horizon
+    ahead, back = range(-horizon, 0), range(context)
+    terms = [(c, ahead) for c in range(len(targets))] + [(c, back) for c in range(len(context_cols))]
+    terms += [(cols.index(m), ahead) for m in marks]
+    # Within a channel lags run from the newest row back, and steps from the furthest on.
+    order = np.concatenate([np.arange(len(lags))[::-1] + at for at, (_, lags) in zip(_starts(terms), terms)])
 
     def solve(batches):
         for batch in batches:
@@ -56,24 +73,32 @@ def window_linear_fit(
                 moments = SeriesMoments(row.n, row.sums, row.moments, row.head, row.tail)
                 low, high = context - 1, moments.n - 1 - horizon
                 count = high - low + 1
+                if not np.isfinite(moments.moments).all():
+                    out.append([*label, None, None, max(count, 0), "failed: missing values"])
+                    continue
                 if count < 2:
-                    out.append([*label, None, None, max(count, 0)])
+                    out.append([*label, None, None, max(count, 0), "failed: too few rows"])
                     continue
-                terms = [(0, range(-horizon, 0))] + [(c, range(context)) for c in range(len(cols))]
                 sums = moments.lag_sums(terms, low, high)
                 gram = moments.gram(terms, low, high) - np.outer(sums, sums) / count
-                coefs = ridge(gram[horizon:, horizon:], gram[horizon:, :horizon], penalty)
-                constant = (sums[:horizon] - coefs.T @ sums[horizon:]) / count
-                # Lags -h … -1 are steps h … 1; lag 0 is the newest row of the context.
-                by_step = coefs.T[::-1].reshape(horizon, len(cols), context)[:, :, ::-1]
-                out.append(
-                    [*label, by_step.reshape(horizon, -1).tolist(), constant[::-1].tolist(), count]
-                )
+                sums, gram = sums[order], gram[np.ix_(order, order)]
+                coefs = ridge(gram[width:, width:], gram[width:, :width], penalty)
+                constant = (sums[:width] - coefs.T @ sums[width:]) / count
+                out.append([*label, coefs.T.tolist(), constant.tolist(), count, "ok"])
             yield pd.DataFrame(out, columns=[f.name for f in fields])
 
     return spread(table, keys).mapInPandas(solve, T.StructType(fields))
 
 
+def _starts(terms: Sequence[tuple[int, range]]) -> np.ndarray:
+    return np.cumsum([0, *[len(lags) for _, lags in terms]])[:-1]
+
+
+def _field(rows: str, name: str) -> Column:
+    """One field of an array of structs, as numbers."""
+    return F.transform(rows, lambda r: r[name].cast("double"))
+
+
 def flatten_past(cols: Sequence[str], past: str = "past") -> Column:
     """A window's context in coefficient order."""
     if len(cols) == 1:
@@ -124,19 +149,43 @@ def forecast_contexts(
 
 
 def window_linear_predict(
-    windows: DataFrame, models: DataFrame, keys: Sequence[str], cols: Sequence[str] = ("value",)
+    windows: DataFrame,
+    models: DataFrame,
+    keys: Sequence[str],
+    cols: Sequence[str] = ("value",),
+    target: str | Sequence[str] | None = None,
+    marks: Sequence[str] = (),
+    keep_failed: bool = False,
 ) -> DataFrame:
-    """Forecast of every window: one row per step, with the actual where ``future`` has it."""
-    rows = attach(windows, models, keys).filter(F.col("coefs").isNotNull())
-    past = flatten_past(cols)
-    scored = F.zip_with("coefs", "intercepts", lambda weights, constant: dot(weights, past) + constant)
-    rows = rows.withColumn("_path", scored)
+    """Forecast of every window: one row per step, with the actual where ``future`` has it.
+
+    ``cols`` are the channels of the context, targets first. A list of targets gives a row per
+    target and step, the target's name in ``channel``; ``marks`` are read from ``future``. Windows of
+    series without a model are left out, or with ``keep_failed`` are rows without a step that carry the
+    model's ``status`` (``no model`` where there is no row at all).
+    """
+    targets = [cols[0]] if target is None else _listed(target)
+    several = target is not None and not isinstance(target, str)
+    rows = attach(windows, models.select(*keys, "coefs", "intercepts", "status"), keys, "left" if keep_failed else "inner")
+    if not keep_failed:
+        rows = rows.filter(F.col("coefs").isNotNull())
+    known = [_field("future", m) for m in marks]
+    inputs = F.concat(flatten_past(cols), *known) if known else flatten_past(cols)
+    scored = F.zip_with("coefs", "intercepts", lambda weights, constant: dot(weights, inputs) + constant)
+    horizon = F.floor(F.size("_path") / F.lit(len(targets))).cast("int")
+    rows = rows.withColumn("_path", scored).withColumn("_horizon", horizon)
     if "future" in windows.columns:
-        first = F.col("future") if len(cols) == 1 else F.transform("future", lambda r: r[cols[0]])
-        rows = rows.withColumn("_actual", first)
+        plain = len(cols) == 1 and not marks
+        actuals = [F.col("future") if plain else _field("future", c) for c in targets]
+        rows = rows.withColumn("_actual", F.array(*actuals))
     else:
-        rows = rows.withColumn("_actual", F.lit(None).cast("array<double>"))
+        rows = rows.withColumn("_actual", F.lit(None).cast("array<array<double>>"))
     kept = [c for c in windows.columns if c not in ("past", "future")]
-    steps = rows.select(*kept, "_actual", F.posexplode("_path").alias("_at", "yhat"))
-    actual = F.try_element_at("_actual", F.col("_at") + 1)
-    return steps.select(*kept, (F.col("_at") + 1).alias("step"), actual.alias("value"), "yhat")
+    explode = F.posexplode_outer if keep_failed else F.posexplode
+    steps = rows.select(*kept, "status", "_actual", "_horizon", explode("_path").alias("_at", "yhat"))
+    at = F.floor(F.col("_at") / F.col("_horizon")).cast("int")
+    step = (F.col("_at") % F.col("_horizon") + 1).cast("int")
+    names = [F.element_at(F.array(*[F.lit(t) for t in targets]), at + 1).alias("channel")] if several else []
+    actual = F.try_element_at(F.try_element_at("_actual", at + 1), step)
+    status = [F.coalesce("status", F.lit("no model")).alias("status")] if keep_failed else []
+    return steps.select(*kept, *names, step.alias("step"), actual.alias("value"), "yhat", *status)

@@ -89,7 +89,7 @@ def window_family(
         return models.withColumn("status", F.when(usable, "ok").otherwise("failed: too few rows"))
 
     def forecast(models: DataFrame, keys: Sequence[str]) -> DataFrame:
-        fitted = models.select(*keys, "coefs", "intercepts")
+        fitted = models.select(*keys, "coefs", "intercepts", "status")
         windows = models.select(*keys, F.col("last").alias("_last"), F.col("context").alias("past"))
         steps = linear.forecast_contexts(windows, fitted, keys, period=period)
         return steps.join(models.select(*keys, "_ahead"), list(keys)).where("step <= _ahead").drop("_ahead")

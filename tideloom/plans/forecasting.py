@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tideloom.operators.rolling import lag1
 from tideloom.operators.splits import fraction
 from tideloom.operators.windows import cut_windows, future_index
 from tideloom.plans.base import (
+    CHANNELS,
     CHUNK,
     DAILY,
     HOURLY,
@@ -26,6 +29,7 @@ from tideloom.plans.base import (
     steady,
     steady_sql,
     user_hourly,
+    wide,
 )
 from tideloom.plans.preparation import AR1_SQL
 from tideloom.plans.registry import register
@@ -430,6 +434,18 @@ def model_select(spark, sf_dir):
     return best.select(*KEY, "model", rounded("rmse", 4).alias("rmse"))
 
 
+@register("window_linear_channels")
+def window_linear_channels(spark, sf_dir):
+    """All channels of the hour to all channels of the next three, with the hour of day known ahead."""
+    angle = F.hour("ts") * F.lit(2 * math.pi / 24)
+    rows = settle(wide(spark, sf_dir, fill=0.0).withColumns({"hour_sin": F.sin(angle), "hour_cos": F.cos(angle)}).withColumn("series_id", F.lit("all")))
+    marks = ["hour_sin", "hour_cos"]
+    models = linear.window_linear_fit(rows, KEY, 6, 3, target=CHANNELS, penalty=1e-6, chunk=CHUNK, marks=marks)
+    windows = cut_windows(rows, [*CHANNELS, *marks], KEY, 6, 3, stride=3, chunk=CHUNK)
+    scored = linear.window_linear_predict(windows, models, KEY, CHANNELS, CHANNELS, marks, keep_failed=True)
+    return scored.select(*KEY, "window_id", "channel", "step", "value", rounded("yhat", 4).alias("yhat"), "status")
+
+
 FOLDS = f"""{USER_HOURLY}, sized AS (SELECT series_id, count(*) AS n FROM user_hourly GROUP BY 1),
 folds AS (
   SELECT series_id, fold, CAST(floor(n::DOUBLE * share::DOUBLE) AS BIGINT) AS origin FROM sized CROSS JOIN (VALUES (0, 0.6), (1, 0.7), (2, 0.8)) s(fold, share)),
