@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions.calendar import calendar_fraction
@@ -131,6 +131,35 @@ def tail_align(
     return rows.filter(F.col(pos) >= 0).drop("n_rows", "_keep")
 
 
+#: The column that takes in what has no column of its own.
+OTHER = "other"
+
+
+def channel_label(key: str) -> Column:
+    """A series' name as a column name: dots and backticks become underscores."""
+    return F.translate(F.col(key).cast("string"), ".`", "__")
+
+
+def channel_names(df: DataFrame, key: str = "series_id", limit: int = 64) -> list[str]:
+    """The names of the series found in ``df``, in order: columns for ``as_channels``.
+
+    At most ``limit`` of them, those with the most rows; if there are more, or rows without a name,
+    ``OTHER`` comes last and stands for the rest. The driver receives ``limit + 1`` short rows.
+    """
+    counts = df.groupBy(channel_label(key).alias("_name")).agg(F.count("*").alias("_n"))
+    top = counts.where("_name IS NOT NULL").orderBy(F.desc("_n"), "_name").limit(limit + 1)
+    found = [r["_name"] for r in top.collect()]
+    rest = len(found) > limit or not counts.where("_name IS NULL").isEmpty()
+    names = sorted(set(found[:limit]) - {OTHER})
+    return names + [OTHER] if rest or OTHER in found else names
+
+
+def as_channels(df: DataFrame, names: Sequence[str], key: str = "series_id") -> DataFrame:
+    """``key`` as one of ``names``: rows of any other series, or of none, belong to ``OTHER``."""
+    label = channel_label(key)
+    return df.withColumn(key, F.when(label.isin(*names), label).otherwise(F.lit(OTHER)))
+
+
 def panel_pivot(
     df: DataFrame, series: Sequence[str], key: str = "series_id", ts: str = "ts", value: str = "value"
 ) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import DAY, HOUR
-from tideloom.operators.panel import dense_grid, resample_sum
+from tideloom.operators.panel import as_channels, channel_names, dense_grid, resample_sum
 
-# The event types of the test tables.
+# The event types of the test tables, which the SQL twins name. Queries take them from the data.
 CHANNELS = ["click", "error", "purchase", "signup", "view"]
 KEY = ["series_id"]
 # Small chunks, so that series of the test tables span several.
@@ -43,6 +43,11 @@ def steady_sql(expression: str) -> str:
     return f"round({expression} + 1e-9::DOUBLE, 6)"
 
 
+def channels(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The event types of the data, a bounded number of them by name."""
+    return channel_names(events(spark, sf_dir), "event_type")
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select(F.col("event_type").alias("series_id"), "ts", "event_id", "value")
 
@@ -61,10 +66,10 @@ def user_hourly(spark: SparkSession, sf_dir: str, fill: float | None = 0.0) -> D
 
 
 def wide(spark: SparkSession, sf_dir: str, fill: float | None = 0.0) -> DataFrame:
-    """One row per hour; ``pos`` is the hour's number."""
-    rows = hourly(spark, sf_dir, fill)
-    out = rows.groupBy("ts", "pos").pivot("series_id", CHANNELS).agg(F.first("value"))
-    return out
+    """One row per hour with a column per event type found; ``pos`` is the hour's number."""
+    names = channels(spark, sf_dir)
+    rows = as_channels(hourly(spark, sf_dir, fill), names)
+    return rows.groupBy("ts", "pos").pivot("series_id", names).agg(F.sum("value"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

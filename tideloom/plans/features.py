@@ -17,6 +17,7 @@ from tideloom.plans.base import (
     USER_HOURLY,
     USER_HOURLY_GAPS,
     WIDE_GAPS,
+    channels,
     events,
     hourly,
     hourly_sparse,
@@ -257,8 +258,10 @@ FROM derived CROSS JOIN size"""
 @register("feature_matrix", feature_matrix_sql())
 def feature_matrix_query(spark, sf_dir):
     # The filter, the quartiles and the fill all read the table, so it is built once.
-    rows = feature_matrix(settle(wide(spark, sf_dir, fill=None)), CHANNELS, chunk=CHUNK)
-    return rows.select("ts", "pos", *[rounded(c).alias(c) for c in feature_names(CHANNELS)], "split")
+    table = settle(wide(spark, sf_dir, fill=None))
+    names = table.columns[2:]
+    rows = feature_matrix(table, names, chunk=CHUNK)
+    return rows.select("ts", "pos", *[rounded(c).alias(c) for c in feature_names(names)], "split")
 
 
 # ---- 50-58 resampling and panels -----------------------------------------------------------
@@ -350,5 +353,9 @@ CROSS JOIN (SELECT DISTINCT series_id FROM hourly_sparse) k
 LEFT JOIN hourly_sparse v ON v.ts = s.ts AND v.series_id = k.series_id""",
 )
 def panel_pivot(spark, sf_dir):
-    matrix = panel.panel_pivot(hourly_sparse(spark, sf_dir), CHANNELS)
-    return panel.panel_unpivot(matrix, CHANNELS).select("ts", "series_id", "value")
+    names = channels(spark, sf_dir)
+    rows = panel.as_channels(hourly_sparse(spark, sf_dir), names)
+    # Series that share a column are added first; there is one value for every tick and column.
+    rows = rows.groupBy("ts", "series_id").agg(F.sum("value").alias("value"))
+    matrix = panel.panel_pivot(rows, names)
+    return panel.panel_unpivot(matrix, names).select("ts", "series_id", "value")

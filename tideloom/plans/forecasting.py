@@ -15,7 +15,6 @@ from tideloom.operators.rolling import lag1
 from tideloom.operators.splits import fraction
 from tideloom.operators.windows import cut_windows, future_index
 from tideloom.plans.base import (
-    CHANNELS,
     CHUNK,
     DAILY,
     HOURLY,
@@ -438,11 +437,13 @@ def model_select(spark, sf_dir):
 def window_linear_channels(spark, sf_dir):
     """All channels of the hour to all channels of the next three, with the hour of day known ahead."""
     angle = F.hour("ts") * F.lit(2 * math.pi / 24)
-    rows = settle(wide(spark, sf_dir, fill=0.0).withColumns({"hour_sin": F.sin(angle), "hour_cos": F.cos(angle)}).withColumn("series_id", F.lit("all")))
+    table = wide(spark, sf_dir, fill=0.0)
+    names = table.columns[2:]
+    rows = settle(table.withColumns({"hour_sin": F.sin(angle), "hour_cos": F.cos(angle), "series_id": F.lit("all")}))
     marks = ["hour_sin", "hour_cos"]
-    models = linear.window_linear_fit(rows, KEY, 6, 3, target=CHANNELS, penalty=1e-6, chunk=CHUNK, marks=marks)
-    windows = cut_windows(rows, [*CHANNELS, *marks], KEY, 6, 3, stride=3, chunk=CHUNK)
-    scored = linear.window_linear_predict(windows, models, KEY, CHANNELS, CHANNELS, marks, keep_failed=True)
+    models = linear.window_linear_fit(rows, KEY, 6, 3, target=names, penalty=1e-6, chunk=CHUNK, marks=marks)
+    windows = cut_windows(rows, [*names, *marks], KEY, 6, 3, stride=3, chunk=CHUNK)
+    scored = linear.window_linear_predict(windows, models, KEY, names, names, marks, keep_failed=True)
     return scored.select(*KEY, "window_id", "channel", "step", "value", rounded("yhat", 4).alias("yhat"), "status")
 
 

@@ -9,6 +9,7 @@ from tideloom.functions.times import HOUR, shift
 from tideloom.models.arima import ar1_fit
 from tideloom.operators import filters, scaling, splits
 from tideloom.operators.ordering import row_position, tail_n, with_length
+from tideloom.operators.panel import as_channels
 from tideloom.operators.windows import (
     strided_panel_windows,
     window_mean_scale,
@@ -24,6 +25,7 @@ from tideloom.plans.base import (
     USER_HOURLY,
     WIDE,
     WIDE_GAPS,
+    channels,
     events,
     hourly_sparse,
     rounded,
@@ -37,7 +39,6 @@ from tideloom.plans.registry import register
 from tideloom.session import fresh_path
 from tideloom.sources import files, store
 
-WIDE_SCHEMA = "ts TIMESTAMP_NTZ, " + ", ".join(f"{c} DOUBLE" for c in CHANNELS)
 USER_CHANNELS_SQL = ", ".join(
     f"CAST(SUM(CAST(value AS DECIMAL(28,2))) FILTER (WHERE event_type = '{c}') AS DOUBLE) AS {c}" for c in CHANNELS
 )
@@ -45,11 +46,12 @@ USER_CHANNELS_SQL = ", ".join(
 
 def user_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per user and hour with a column per event type, gaps left open."""
-    rows = events(spark, sf_dir)
+    names = channels(spark, sf_dir)
+    rows = as_channels(events(spark, sf_dir), names, "event_type")
     amount = F.col("value").cast("decimal(28,2)")
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")
     return rows.groupBy(hour, "user_id").agg(
-        *[F.sum(F.when(F.col("event_type") == c, amount)).cast("double").alias(c) for c in CHANNELS]
+        *[F.sum(F.when(F.col("event_type") == c, amount)).cast("double").alias(c) for c in names]
     )
 
 
@@ -63,8 +65,9 @@ USER_TABLE = f"""user_table AS (
 @register("csv_scan", f"WITH {USER_TABLE} SELECT ts, user_id, {', '.join(CHANNELS)} FROM user_table")
 def csv_scan(spark, sf_dir):
     path = fresh_path(spark, "csv")
-    user_table(spark, sf_dir).select("ts", "user_id", *CHANNELS).write.option("header", True).csv(path)
-    schema = "ts TIMESTAMP_NTZ, user_id BIGINT, " + ", ".join(f"{c} DOUBLE" for c in CHANNELS)
+    rows = user_table(spark, sf_dir)
+    rows.write.option("header", True).csv(path)
+    schema = "ts TIMESTAMP_NTZ, user_id BIGINT, " + ", ".join(f"`{c}` DOUBLE" for c in rows.columns[2:])
     return files.csv_scan(spark, path, schema)
 
 
@@ -80,12 +83,14 @@ def csv_multi_union(spark, sf_dir):
     first, second = fresh_path(spark, "csv"), fresh_path(spark, "csv")
     border = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     rows.filter(F.col("ts") < border).select("ts", "user_id", "click", "error").write.option("header", True).csv(first)
-    rows.filter(F.col("ts") >= border).select("ts", "user_id", "click", "view").write.option("header", True).csv(second)
+    # The second file also has every event type that the tables are not known to have.
+    more = ["click", "view", *[c for c in rows.columns[2:] if c not in CHANNELS]]
+    rows.filter(F.col("ts") >= border).select("ts", "user_id", *more).write.option("header", True).csv(second)
     return files.csv_multi_union(
         spark,
         {
             first: "ts TIMESTAMP_NTZ, user_id BIGINT, click DOUBLE, error DOUBLE",
-            second: "ts TIMESTAMP_NTZ, user_id BIGINT, click DOUBLE, view DOUBLE",
+            second: "ts TIMESTAMP_NTZ, user_id BIGINT, " + ", ".join(f"`{c}` DOUBLE" for c in more),
         },
     )
 
@@ -93,9 +98,11 @@ def csv_multi_union(spark, sf_dir):
 @register("csv_locale", f"WITH {WIDE_GAPS} SELECT ts, {', '.join(CHANNELS)} FROM wide")
 def csv_locale(spark, sf_dir):
     path = fresh_path(spark, "csv")
-    text = [F.regexp_replace(F.col(c).cast("string"), r"\.", ",").alias(c) for c in CHANNELS]
-    wide(spark, sf_dir, fill=None).select("ts", *text).write.option("header", True).option("sep", ";").csv(path)
-    return files.csv_locale(spark, path, "ts", CHANNELS)
+    rows = wide(spark, sf_dir, fill=None).drop("pos")
+    names = rows.columns[1:]
+    text = [F.regexp_replace(F.col(c).cast("string"), r"\.", ",").alias(c) for c in names]
+    rows.select("ts", *text).write.option("header", True).option("sep", ";").csv(path)
+    return files.csv_locale(spark, path, "ts", names)
 
 
 @register(
@@ -220,14 +227,17 @@ def time_sort(spark, sf_dir):
 
 @register("column_roles", f"WITH {WIDE} SELECT ts, click, error, view FROM wide")
 def column_roles(spark, sf_dir):
-    return filters.column_roles(wide(spark, sf_dir), "ts", target="click", features=["error", "view"])
+    rows = wide(spark, sf_dir)
+    more = [c for c in rows.columns[2:] if c not in CHANNELS]
+    return filters.column_roles(rows, "ts", target="click", features=["error", "view", *more])
 
 
 @register("require_columns", f"WITH {USER_TABLE} SELECT ts, user_id, click, view FROM user_table")
 def require_columns(spark, sf_dir):
     rows = user_table(spark, sf_dir)
-    checked = filters.require_columns(rows, ["ts", "user_id", "click", "view"], context_length=24, prediction_length=6)
-    return checked.select("ts", "user_id", "click", "view")
+    needed = ["ts", "user_id", "click", "view", *[c for c in rows.columns[2:] if c not in CHANNELS]]
+    checked = filters.require_columns(rows, needed, context_length=24, prediction_length=6)
+    return checked.select(*needed)
 
 
 @register(
@@ -237,8 +247,10 @@ def require_columns(spark, sf_dir):
     + " FROM user_table",
 )
 def numeric_cast(spark, sf_dir):
-    rows = filters.numeric_cast(user_table(spark, sf_dir), ["user_id", *CHANNELS])
-    return rows.select("ts", "user_id", *[F.col(c).cast("double").alias(c) for c in CHANNELS])
+    rows = user_table(spark, sf_dir)
+    names = rows.columns[2:]
+    rows = filters.numeric_cast(rows, ["user_id", *names])
+    return rows.select("ts", "user_id", *[F.col(c).cast("double").alias(c) for c in names])
 
 
 def quartile_sql(cols, source: str) -> str:
@@ -259,7 +271,8 @@ def inside_sql(cols) -> str:
 SELECT ts, user_id, {', '.join(CHANNELS)} FROM user_table CROSS JOIN bounds WHERE {inside_sql(CHANNELS)}""",
 )
 def iqr_filter(spark, sf_dir):
-    return filters.iqr_filter(user_table(spark, sf_dir), CHANNELS)
+    rows = user_table(spark, sf_dir)
+    return filters.iqr_filter(rows, rows.columns[2:])
 
 
 @register(
