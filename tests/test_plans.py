@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from plans import hot_spots
+
 from tideloom.plans import ORACLES, QUERIES
 from tideloom.plans.base import hourly_sparse, ticks
 from tideloom.operators.filters import date_slice
@@ -76,3 +78,21 @@ def test_chunks_are_shuffled_after_a_keyed_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "SortMergeJoin" in plan
     assert "_chunk" in next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
+# ``tools/plans.py`` searches all queries; these had an aggregate or a window on a join by series.
+JOINED = [
+    "ffill", "bfill", "scale_minmax", "scale_standard", "unscale_standard", "best_by_aic", "model_select", "model_select_rolling",
+    "mse_aligned", "mse_positional", "sarimax_forecast", "arima_fit", "strided_window_cells", "forecast_requests_routed",
+]
+
+
+@pytest.mark.parametrize("name", JOINED)
+def test_no_series_meets_one_task_behind_a_join(spark, name):
+    assert hot_spots(spark, lambda: QUERIES[name](spark, SF)) == []
+
+
+def test_the_search_finds_what_it_looks_for(spark):
+    rows = spark.range(100).selectExpr("id % 2 AS series_id", "id AS value")
+    ends = rows.groupBy("series_id").max("value")
+    assert hot_spots(spark, lambda: rows.join(ends, "series_id").groupBy("series_id").count())

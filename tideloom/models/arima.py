@@ -201,7 +201,7 @@ def fit_orders(
     ready = starts.filter("status = 'ok'").select(*keys, "_id", F.col("order").alias("code"), "params", "mean", F.lit(True).alias("free"))
     solved = refine(df, ready, cols, keys, halo, common, pos, chunk or CHUNK)
     solved = solved.select(*keys, "_id", *[F.col(c).alias(f"_{c}") for c in ("params", "squares", "common_squares", "residuals", "status")])
-    rows = starts.join(solved, [*keys, "_id"], "left").join(_ends(df, cols, keys, halo, pos, ts), list(keys))
+    rows = attach(starts.join(solved, [*keys, "_id"], "left"), _ends(df, cols, keys, halo, pos, ts), keys)
     code = F.col("order")
     counted = F.col("n") + code[1] + code[4] * code[6] - F.lit(common)
     size = code[0] + code[2] + code[3] + code[5] + F.lit(len(exog))
@@ -297,7 +297,7 @@ def end_states(
     halo = usable.agg(F.max(code[0] + code[1] + (code[3] + code[4]) * code[6])).first()[0] or 0
     asked = usable.select(*keys, "_id", code.alias("code"), "params", "mean", F.lit(False).alias("free"))
     found = refine(df, asked, cols, keys, halo, 0, pos, chunk).select(*keys, "_id", "residuals")
-    rows = usable.join(found, [*keys, "_id"]).join(_ends(df, cols, keys, halo, pos, ts), list(keys))
+    rows = attach(usable.join(found, [*keys, "_id"]), _ends(df, cols, keys, halo, pos, ts), keys)
     return rows.drop("_id").withColumn("status", F.lit("ok"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.times import HOUR
 from tideloom.models import arima, linear
-from tideloom.operators.ordering import CHUNK
+from tideloom.operators.ordering import CHUNK, attach
 from tideloom.session import settle
 from tideloom.sources import store
 
@@ -107,7 +107,7 @@ def fit_wanted(rows: DataFrame, wanted: DataFrame, families: Mapping[str, Family
     missing = settle(store.fit_missing(wanted.select(*keys, "model").distinct(), store.stored_models(spark, path, keys), keys))
     for name in sorted(r["model"] for r in missing.select("model").distinct().collect()):
         asked = missing.where(F.col("model") == name).select(*keys)
-        fitted = families[name].fit(rows.join(asked, list(keys), "left_semi"), list(keys))
+        fitted = families[name].fit(attach(rows, asked, keys, "left_semi"), list(keys))
         fitted = asked.join(fitted, list(keys), "left").withColumn("status", F.coalesce("status", F.lit("failed: no rows")))
         store.save_models(fitted.withColumn("model", F.lit(name)), path)
 

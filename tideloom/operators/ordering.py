@@ -32,7 +32,7 @@ def attach(df: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "in
     With keys this is a join whose strategy is left to Spark, which knows the sizes; without
     keys ``params`` is a single row and becomes a scalar subquery. The keys are joined as one struct: what is
     grouped or ordered by series afterwards is then dealt anew, after partial sums, and a hot
-    series stays split where Spark splits it for the join. NULL keys match each other.
+    series stays split where Spark splits it for the join.
     """
     if keys:
         rest = [c for c in params.columns if c not in keys]
