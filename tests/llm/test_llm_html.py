@@ -1,3 +1,4 @@
+import time
 from itertools import product
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tideloom.llm.html_extract import DEFAULT, blocks_of, extract, fit, min_cut
+from tideloom.llm.html_extract import DEFAULT, MARKS, blocks_of, extract, features, fit, label, min_cut
 from tideloom.llm.registry import QUERIES, table
 
 COSTS = st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=7)
@@ -98,3 +99,53 @@ def test_articles_of_the_given_pages(spark):
             marked += 1
             right += found["text"] == " ".join(b.text for b in blocks if b.main and not b.boiler)
     assert marked and right >= 0.99 * marked
+
+
+def labels_of(html, beta=DEFAULT):
+    blocks = blocks_of(html)
+    alone = features(blocks) @ beta > 0
+    return [b.text for b in blocks], label(blocks, beta).tolist(), alone.tolist()
+
+
+PROSE = "The river rose in the night, and the people of the town left their houses. They came back in spring."
+
+
+def test_the_cut_keeps_what_the_threshold_would_lose():
+    """A page without marks: a short line amid paragraphs is content, a list of links far away is not."""
+    menu = "<div><ul>" + "".join(f"<li><a href=x>Page {i}</a>" for i in range(5)) + "</ul></div>"
+    html = f"{menu}<div><div><p>{PROSE}</p><p>No one</p><p>{PROSE}</p><p>{PROSE}</p></div></div>{menu}"
+    texts, cut, alone = labels_of(html)
+    at = texts.index("No one")
+    assert cut[at] and not alone[at]
+    assert [t for t, kept in zip(texts, cut) if kept] == [PROSE, "No one", PROSE, PROSE]
+
+
+def test_an_unmarked_advert_inside_an_article_goes():
+    advert = "<div><div><a href=x>Buy now cheap</a></div></div>"
+    texts, cut, _ = labels_of(f"<article><p>{PROSE}</p>{advert}<p>{PROSE}</p></article>", np.array([3.14, -9.0, 1.5, -4, 4, 5.2, -1.1, 3.6, -1, 0, -1, -3.1]))
+    assert [t for t, kept in zip(texts, cut) if kept] == [PROSE, PROSE]
+
+
+def test_pages_without_their_marks(spark):
+    """Learned from pages with marks, the cut finds the same articles in pages stripped of them."""
+    sf = "/root/testdata/sf0.01"
+    beta = fit(table(spark, sf, "pages"))
+    assert (beta[MARKS] == DEFAULT[MARKS]).all()
+    hits = alike = total = 0
+    for page in table(spark, sf, "pages").collect():
+        blocks = blocks_of(page["html"])
+        want = [b.main and not b.boiler for b in blocks]
+        for b in blocks:
+            b.main = b.boiler = False
+        found = label(blocks, beta)
+        hits += sum(f == w for f, w in zip(found, want))
+        alike += sum(f == (x > 0) for f, x in zip(found, features(blocks) @ beta))
+        total += len(blocks)
+    assert hits >= 0.99 * total
+
+
+def test_deep_pages_take_linear_time():
+    start = time.perf_counter()
+    assert len(blocks_of("<div>x" * 24_000)) == 24_000
+    assert len(blocks_of("<div>" * 24_000 + "</p>x" * 24_000)) == 24_000
+    assert time.perf_counter() - start < 3

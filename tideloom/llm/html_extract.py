@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -18,8 +18,11 @@ from tideloom.llm.registry import packed, register, table
 
 #: About so many pages are drawn by a hash of their ids to fit the classifier of blocks.
 FIT_PAGES = 2000
-#: Cost of giving neighbours in page order, and blocks of one container, different labels.
-ADJACENT, PROXIMATE = 0.6, 0.9
+#: Cost of giving neighbours in page order, and blocks of one container, different labels. Neighbours
+#: cost less the more steps through the tree lie between them, and less where the page's own marks change.
+ADJACENT, PROXIMATE, CHANGE = 0.6, 0.9, 0.5
+#: Steps between blocks that stand side by side in one container.
+BESIDE = 2
 #: Nothing inside these elements is text of the page.
 SILENT = frozenset("script style template noscript svg math canvas iframe object audio video".split())
 #: Elements that never hold the article.
@@ -58,6 +61,11 @@ class _Node:
     up: int
     boiler: bool
     main: bool
+    #: The nearest element that is not inline, itself included: its number, name, parent and depth.
+    at: int = 0
+    name: str = ""
+    over: int = 0
+    depth: int = 1
 
 
 @dataclass
@@ -72,6 +80,8 @@ class Block:
     main: bool
     linked: int
     letters: int = field(default=0)
+    #: Steps through the tree from the block before.
+    distance: int = field(default=0)
 
 
 class _Reader(HTMLParser):
@@ -88,20 +98,34 @@ class _Reader(HTMLParser):
         self.pieces: list[str] = []
         self.linked = 0
         self.blocks: list[Block] = []
+        self.tags: Counter = Counter()
+        #: Parent and depth of every element that is not inline, by number, and where the last block stands.
+        self.tree: dict[int, tuple[int, int]] = {0: (0, 1)}
+        self.last: int | None = None
 
     def end_block(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
                 node = self.open[-1]
-                inner = [n for n in self.open if n.tag not in INLINE]
-                at = inner[-1]
-                container = at.up if at.tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th") else at.number
-                block = Block(text, container, at.tag, len(inner), node.boiler, node.main, self.linked)
+                lines = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "td", "th")
+                container = node.over if node.name in lines else node.at
+                block = Block(text, container, node.name, node.depth, node.boiler, node.main, self.linked)
                 block.letters = sum(map(str.isalpha, text))
+                block.distance = 0 if self.last is None else self.steps(self.last, node.at)
+                self.last = node.at
                 self.blocks.append(block)
             self.pieces, self.linked = [], 0
 
+    def steps(self, a: int, b: int) -> int:
+        """Steps through the tree between two elements; over all blocks no more than there are tags."""
+        taken = 0
+        while a != b:
+            if self.tree[a][1] < self.tree[b][1]:
+                a, b = b, a
+            a, taken = self.tree[a][0], taken + 1
+        return taken
+
     def parse_starttag(self, i):
         self.place = i
         return super().parse_starttag(i)
@@ -135,7 +159,12 @@ class _Reader(HTMLParser):
         self.count += 1
         inside = tag in MAIN or (up.main and not boiler)
         outside = boiler or hidden or (up.boiler and tag not in MAIN)
-        self.open.append(_Node(tag, self.count, up.number, outside, inside))
+        node = _Node(tag, self.count, up.number, outside, inside, up.at, up.name, up.over, up.depth)
+        if tag not in INLINE:
+            node.at, node.name, node.over, node.depth = self.count, tag, up.number, up.depth + 1
+            self.tree[self.count] = (up.at, up.depth + 1)
+        self.open.append(node)
+        self.tags[tag] += 1
         if tag in SILENT:
             self.silent += 1
         if tag == "a":
@@ -160,6 +189,7 @@ class _Reader(HTMLParser):
 
     def close_to(self, at: int) -> None:
         for node in self.open[at:]:
+            self.tags[node.tag] -= 1
             self.silent -= node.tag in SILENT
             self.links -= node.tag == "a"
             self.head -= node.tag in ("head", "title")
@@ -170,7 +200,8 @@ class _Reader(HTMLParser):
             return
         if tag not in INLINE:
             self.end_block()
-        for at in range(len(self.open) - 1, 0, -1):
+        # An end tag of nothing that is open is not searched for.
+        for at in range(len(self.open) - 1, 0, -1) if self.tags[tag] else ():
             if self.open[at].tag == tag:
                 self.close_to(at)
                 return
@@ -227,7 +258,9 @@ def weak_labels(blocks: Sequence[Block]) -> list[int | None]:
 
 
 #: Weights where no page labels itself, and to which few labels are pulled: prose is long, closed by marks and free of links.
-DEFAULT = np.array([4.0, -4.0, 2.0, -6.0, 6.0, 0.5, -1.0, 0.5, 0.0, 0.0, -1.0, -1.5])
+DEFAULT = np.array([4.0, -4.0, 2.0, -4.0, 4.0, 0.5, -1.0, 0.5, 0.0, 0.0, -1.0, -1.5])
+#: The page's own marks among the features. They are the labels of the fit, so no weight is learned for them.
+MARKS = [3, 4]
 
 
 def train(design: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -313,12 +346,17 @@ def label(blocks: Sequence[Block], beta: np.ndarray) -> np.ndarray:
     logit = features(blocks) @ beta
     content, boiler = np.logaddexp(0, logit), np.logaddexp(0, -logit)
     edges, last = [], {}
+
+    def join(a: int, b: int, cost: float) -> None:
+        same = blocks[a].boiler == blocks[b].boiler and blocks[a].main == blocks[b].main
+        edges.append((a, b, cost if same else cost * CHANGE))
+
     for i, b in enumerate(blocks):
-        if i and blocks[i - 1].boiler == b.boiler and blocks[i - 1].main == b.main:
-            edges.append((i - 1, i, ADJACENT))
+        if i:
+            join(i - 1, i, ADJACENT * BESIDE / max(BESIDE, b.distance))
         before = last.get(b.container)
-        if before is not None and blocks[before].boiler == b.boiler and blocks[before].main == b.main:
-            edges.append((before, i, PROXIMATE))
+        if before is not None:
+            join(before, i, PROXIMATE)
         last[b.container] = i
     return min_cut(content, boiler, edges)
 
@@ -327,7 +365,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
     """Weights of the block classifier, learned from pages that mark their article themselves.
 
     About ``fit_pages`` pages are drawn by a hash of their ids (all, where there are fewer); blocks
-    inside an article or main element are positive, those in chrome negative. The sample being
+    inside an article or main element are positive, those in chrome negative; the weights learned are of
+    the text alone (``MARKS`` are left out), so they tell blocks apart on pages without marks. The sample being
     bounded, its distinct feature rows are counted over the cluster and fitted on the driver. Where
     no page marks both kinds, ``DEFAULT`` weights serve.
     """
@@ -341,7 +380,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_p
             rows, ys = [], []
             for html in batch["_html"]:
                 blocks = blocks_of(html.as_py())
-                for x, y in zip(features(blocks).round(2).tolist(), weak_labels(blocks)):
+                seen = features(blocks).round(2)
+                seen[:, MARKS] = 0.0
+                for x, y in zip(seen.tolist(), weak_labels(blocks)):
                     if y is not None:
                         rows.append(x)
                         ys.append(y)
@@ -370,9 +411,10 @@ def extract(
     A page is cut into blocks where elements other than inline ones begin and end. Scripts,
     styles, comments, the head and markup are never text; character references are decoded; white
     space inside a block becomes one space. A logistic classifier of the blocks gives each its
-    terminal capacities, and neighbours in page order and in one container, as far as both stand
-    inside or both outside the page's marked chrome and article, are joined by smoothness edges;
-    the minimum cut separates content from boilerplate. The content blocks are joined in page
+    terminal capacities, and neighbours in page order and in one container are joined by smoothness
+    edges, weaker with the distance in the tree and across the borders of marked chrome or article;
+    the minimum cut separates content from boilerplate. So a short line between paragraphs stays
+    with them though alone it would look like boilerplate. The content blocks are joined in page
     order by one space.
 
     A null, empty or text-free page has the empty text, and so has a page of boilerplate only.
