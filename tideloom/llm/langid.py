@@ -305,15 +305,16 @@ def identify(
     Every row is judged alone, so repeated rows agree. An empty table gives an empty result.
     """
     # Plain values: a class of this package would be sent by name, which workers need not know.
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.logs))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, model.logs, {}))
     inside = text_col if text_col in keep else None
     read = [] if inside else [F.col(text_col).alias("_text")]
     named = docs.select(*packed(keep), F.col(id_col).alias("_doc_id"), *read)
     out = [c for c in named.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, pieces, logs = shared.value
-        scorer = _Scorer(pieces, logs)
+        # The tasks that one worker runs after another share its copy, and what it has learned so far.
+        languages, pieces, logs, kept = shared.value
+        scorer = kept["scorer"] = kept.get("scorer") or _Scorer(pieces, logs)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
