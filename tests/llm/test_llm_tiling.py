@@ -70,3 +70,28 @@ def test_words_that_repeat_all_over():
     assert tile(item, doc, 5) == 300
     item[::50] = 9
     assert tile(item, doc, 5) == 294
+
+
+def test_a_large_benchmark_is_joined(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    docs = DOCS + [(None, ITEM), (1, "another text"), (1, ITEM), (20, "one two three four five and so on"), (21, "short")]
+    items = ITEMS + [(10, "other words under an id that repeats"), (None, ITEM), (15, "short")]
+    for i in range(40):
+        item = [f"t{rng.integers(60)}" for _ in range(rng.integers(3, 30))]
+        items.append((100 + i, " ".join(item)))
+        docs.append((100 + i, " ".join(["lead", *item[len(item) // 2 :], "gap", *item[: len(item) // 2]])))
+    keep = ("doc_id", "text")
+
+    def rows():
+        d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        b = spark.createDataFrame(items, "item_id long, text string")
+        out = contamination(d, b, keep=keep)
+        return sorted(((r["_doc_id"], r["_kept"]["text"], r["_contaminated"], r["_coverage"], r["_items"]) for r in out.collect()), key=repr)
+
+    held = rows()
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 0)
+    assert rows() == held and any(r[2] for r in held)
+    plain = found(spark, docs, items)
+    monkeypatch.undo()
+    assert found(spark, docs, items) == plain
+    assert found(spark, [], ITEMS) == {}

@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from tideloom.llm.registry import packed, register, table
 from tideloom.llm.textual import rolling, words_of
+from tideloom.session import settle
 
 #: Words that documents and benchmark items must share in a row, and the shortest tile.
 SEED_WORDS = 5
 #: Share of an item's words, in percent, that tiles must cover.
 COVERAGE = 80
-#: Benchmark items that are held in memory at once, and the most words of one such block.
+#: Bytes of benchmark texts up to which every task may hold them all; a larger benchmark is joined.
+HELD_BYTES = 64_000_000
+#: Benchmark items that are sent to the tasks at once, and the most words of one such block.
 BLOCK_ITEMS, BLOCK_WORDS = 50_000, 4_000_000
+#: Bits of the filter that tells which seeds of documents a larger benchmark may hold: 16 MB whatever its size.
+FILTER_BITS = 1 << 27
 
 
 @dataclass
@@ -153,11 +158,12 @@ def contamination(
     document; an item of fewer words is one tile. ``_coverage`` is the largest share (0 to 100,
     rounded down) among the items that share a seed with the document.
 
-    Documents are read once per block of benchmark items, whole, and stay where they are: a block
-    of at most ``BLOCK_ITEMS`` items and about ``BLOCK_WORDS`` words goes to every task, its seeds
-    being the build side of a map-side join. A benchmark of any size is worked off block by
-    block. Every decision concerns one document, so repeated rows and skew cost nothing and a
-    lost task is simply run again.
+    The size of the benchmark is looked up first. One of up to ``HELD_BYTES`` goes to every task in
+    blocks, its seeds being the build side of a map-side join: documents are read whole and stay where
+    they are (``_held``). A larger one is joined: seeds of documents that a filter of fixed size lets
+    through meet the items' seeds by an ordinary join, and each pair of a text and an item that
+    share one is tiled where the join brings them together (``_joined``). Both give the same
+    rows, and every decision concerns one text.
 
     Words are lower-cased (A-Z) runs other than white space. Null, empty or blank documents and
     items match nothing, and such a document is clean with coverage 0. Repeated items are listed
@@ -167,19 +173,101 @@ def contamination(
     read = [] if inside else [F.col(text_col).alias("_text")]
     named = docs.select(*packed(keep), F.col(id_col).alias("_doc_id"), *read)
     out = [c for c in named.columns if c != "_text"]
-    found = named.withColumns({"_coverage": F.lit(0).cast("int"), "_items": F.array().cast("array<long>")})
-    for block in _blocks(benchmark, item_col, item_text_col):
-        found = _tiled(found, inside, block, seed_words, coverage)
+    items = benchmark.select(F.col(item_col).cast("long").alias("_item"), F.col(item_text_col).alias("_words"))
+    items = items.where("_item IS NOT NULL AND _words IS NOT NULL")
+    bytes_ = items.agg(F.sum(F.octet_length("_words"))).first()[0] or 0
+    text = f"_kept.`{inside}`" if inside else "_text"
+    found = _held(named, inside, items, seed_words, coverage) if bytes_ <= HELD_BYTES else _joined(named, text, items, seed_words, coverage)
     flag = F.size("_items") > 0
-    items = F.array_sort(F.array_distinct("_items"))
-    return found.select(*out, flag.alias("_contaminated"), "_coverage", items.alias("_items"))
+    listed = F.array_sort(F.array_distinct("_items"))
+    return found.select(*out, flag.alias("_contaminated"), "_coverage", listed.alias("_items"))
+
+
+def _held(docs: DataFrame, inside: str | None, items: DataFrame, seed_words: int, coverage: int) -> DataFrame:
+    found = docs.withColumns({"_coverage": F.lit(0).cast("int"), "_items": F.array().cast("array<long>")})
+    for block in _blocks(items):
+        found = _tiled(found, inside, block, seed_words, coverage)
+    return found
+
+
+def _seeds(words: np.ndarray, seed_words: int) -> np.ndarray:
+    """Hashes of the seeds of an item: of all its words if it has fewer."""
+    return np.unique(rolling(words, min(seed_words, max(1, len(words)))))
+
+
+def _joined(docs: DataFrame, text: str, items: DataFrame, seed_words: int, coverage: int) -> DataFrame:
+    """``docs`` with ``_coverage`` and ``_items``, by joins of seeds and then of texts with items.
+
+    Texts are known by two hashes and their length, and each distinct one is worked on once.
+    """
+    key = [F.xxhash64(text).alias("_a"), F.crc32(F.col(text).cast("binary")).alias("_b"), F.octet_length(text).alias("_c")]
+    by = ["_a", "_b", "_c"]
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, words in zip(batch["_item"].to_pylist(), words_of(x.as_py() for x in batch["_words"])):
+                own = _seeds(words, seed_words).view(np.int64)
+                if len(words):
+                    size = pa.array(np.full(len(own), min(seed_words, len(words))), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own), size, pa.array(np.full(len(own), row), pa.int64())], names=["_seed", "_size", "_item"]
+                    )
+
+    seeds = settle(items.mapInArrow(seeded, "_seed long, _size int, _item long"))
+    # Bitmaps number positive values without gaps.
+    at = F.pmod("_seed", F.lit(FILTER_BITS)) + 1
+    bitmap = F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    filled = seeds.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(bitmap).collect()
+    lengths = sorted(r["_size"] for r in seeds.select("_size").distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in filled})
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Buckets are numbered from 1, the bits of one from 0.
+        width = 8 * 4096
+        bits = np.zeros((FILTER_BITS // width + 2, 4096), np.uint8)
+        for bucket, data in shared.value.items():
+            bits[bucket, : len(data)] = np.frombuffer(data, np.uint8)
+        for batch in batches:
+            for n, words in enumerate(words_of(x.as_py() for x in batch["_text"])):
+                own = np.unique(np.concatenate([rolling(words, k) for k in lengths] or [np.empty(0, np.uint64)])).view(np.int64)
+                place = own % FILTER_BITS
+                inside = place % width
+                own = own[bits[place // width + 1, inside // 8] >> (inside % 8).astype(np.uint8) & 1 == 1]
+                if len(own):
+                    same = [pa.array([batch[c][n].as_py()] * len(own), batch[c].type) for c in by]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(own)], names=[*by, "_seed"])
+
+    texts = docs.select(*key, F.col(text).alias("_text")).where("_text IS NOT NULL")
+    offered = texts.mapInArrow(possible, "_a long, _b long, _c int, _seed long").distinct()
+    pairs = settle(offered.join(seeds, "_seed").select(*by, "_item").distinct())
+    # One copy of each text that shares a seed with an item.
+    asked = texts.join(pairs.select(*by).distinct(), by, "left_semi").dropDuplicates(by)
+    met = pairs.join(asked, by).join(items.dropDuplicates(), "_item")
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs_, own = (words_of(x.as_py() for x in batch[c]) for c in ("_text", "_words"))
+            # An id may come with several texts; those that share no seed with the document stay out.
+            share = []
+            for doc, item in zip(docs_, own):
+                met = len(item) and np.isin(_seeds(item, seed_words), rolling(doc, min(seed_words, max(1, len(item))))).any()
+                share.append(100 * tile(item, doc, seed_words) // len(item) if met else 0)
+            columns = {c: batch[c] for c in (*by, "_item")}
+            yield pa.RecordBatch.from_pydict(columns | {"_share": pa.array(share, pa.int32())})
+
+    scored = met.repartition("_item", *by).mapInArrow(tiles, "_a long, _b long, _c int, _item long, _share int")
+    hit = F.collect_set(F.when(F.col("_share") >= coverage, F.col("_item")))
+    best = settle(scored.groupBy(*by).agg(F.max("_share").alias("_coverage"), hit.alias("_items")))
+    keyed = docs.select("*", *key).join(best, by, "left").drop(*by)
+    return keyed.withColumns(
+        {"_coverage": F.coalesce("_coverage", F.lit(0)), "_items": F.coalesce("_items", F.array().cast("array<long>"))}
+    )
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks, streamed to the driver one partition at a time."""
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull())
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items of a benchmark of bounded size, in blocks."""
     held, words = [], 0
-    for item, text in rows.toLocalIterator():
+    for item, text in items.collect():
         held.append((item, text))
         words += len(text) // 4
         if len(held) >= BLOCK_ITEMS or words >= BLOCK_WORDS:
