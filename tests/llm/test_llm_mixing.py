@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
+from tideloom.llm import mixing
 from tideloom.llm.mixing import mix_sources, route, targets
 
 SCHEMA = "doc_id long, text string, source string"
@@ -17,6 +18,7 @@ SCHEMA = "doc_id long, text string, source string"
 def test_targets_match_repeated_resharing(sizes):
     weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
     assert targets(sizes, weights) == pytest.approx(brute_targets(sizes, weights))
+from tideloom.llm.registry import QUERIES, table
 
 
 def best_flow(supply, quota, repeats):
@@ -107,3 +109,17 @@ def test_documents_of_several_sources(spark):
     total = sum(len(words(t)) for _, t, _ in rows)
     assert abs(sum(r["_taken"] for r in got) - total) <= 3
     assert {r["_pattern"] for r in got} == {'["a"]', '["a","b"]', "[null]"}
+
+
+def test_every_part_goes_through_the_flow(spark, monkeypatch):
+    calls, plain = [], mixing._flow
+
+    def noted(supply, quota, repeats):
+        calls.append((set(supply), plain(supply, quota, repeats)))
+        return calls[-1][1]
+
+    monkeypatch.setattr(mixing, "_flow", noted)
+    got = QUERIES["op2_mix_sources"](spark, "/root/testdata/sf0.001").collect()
+    sources = {r["source"] for r in table(spark, "/root/testdata/sf0.001", "documents").select("source").distinct().collect()}
+    assert {p for patterns, _ in calls for p in patterns} == {(s,) for s in sources}
+    assert sum(r["taken"] for r in got) == sum(w for _, given in calls for members in given.values() for w in members.values())

@@ -116,7 +116,7 @@ def _flow(supply: dict, quota: dict, repeats: int) -> dict:
 def route(supply: dict, quota: dict, repeats: int = REPEATS) -> dict:
     """``{pattern: {member: words}}``: the min-cost flow, solved apart for each connected part.
 
-    A source that shares no document with another is a part with one edge, whose flow is plain.
+    A source that shares no document with another is a part with one pattern and one member.
     """
     of: dict = {}
 
@@ -137,11 +137,7 @@ def route(supply: dict, quota: dict, repeats: int = REPEATS) -> dict:
     given: dict = {}
     for patterns in parts.values():
         members = {m for p in patterns for m in p}
-        if len(patterns) == 1 and len(members) == 1:
-            (pattern,), (member,) = patterns, members
-            given[pattern] = {member: min(quota[member], repeats * supply[pattern])}
-        else:
-            given |= _flow({p: supply[p] for p in patterns}, {m: quota[m] for m in members}, repeats)
+        given |= _flow({p: supply[p] for p in patterns}, {m: quota[m] for m in members}, repeats)
     return given
 
 
