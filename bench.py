@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -56,6 +57,7 @@ def main() -> None:
         # A few megabytes per stage: sized by bytes, most stages would run on one core.
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tideloom-bench-"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
