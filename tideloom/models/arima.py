@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tideloom.functions.times import HOUR, shift
 from tideloom.models.diagnostics import stationarity_test
 from tideloom.models.moments import SeriesMoments, lag_moments
-from tideloom.models.scan import Model, refine
+from tideloom.models.scan import Model, _Row, blocks_of, fit_whole, levels_of, refine
 from tideloom.models.solve import ArmaShape, difference, fit_arma, integrate, ridge
 from tideloom.operators.ordering import CHUNK, attach, chunk_window, drop_halo, keep_last, spread, with_halo
 from tideloom.session import settle
@@ -46,6 +46,13 @@ MODEL_FIELDS = [
     T.StructField("tail", T.ArrayType(T.ArrayType(T.DoubleType()))),
     T.StructField("last", T.TimestampNTZType()),
 ]
+SOLVED_FIELDS = [
+    *[f for f in MODEL_FIELDS if f.name in ("order", "params", "mean", "n")],
+    T.StructField("squares", T.DoubleType()),
+    T.StructField("common_squares", T.DoubleType()),
+    T.StructField("residuals", T.ArrayType(T.DoubleType())),
+    T.StructField("status", T.StringType()),
+]
 START_FIELDS = [*[f for f in MODEL_FIELDS if f.name in ("order", "params", "mean", "n", "status")], T.StructField("_id", T.IntegerType())]
 
 
@@ -86,29 +93,28 @@ def differenced(
     return rows.withColumn(pos, F.col(pos) - reach)
 
 
+def _start(moments: SeriesMoments, shape: ArmaShape) -> tuple[np.ndarray | None, str]:
+    """A starting point and the status: ``ok``, or why there is none."""
+    if not np.isfinite(moments.moments).all():
+        return None, "failed: missing values"
+    if moments.n < shape.size + 3:
+        return None, "failed: too few rows"
+    if moments.moments[0, 0] <= 1e-12:
+        return None, "failed: constant series"
+    params, _ = fit_arma(moments, shape)
+    return params, "ok" if params is not None else "failed: no stable solution"
+
+
 def _starter(keys: Sequence[str], orders: Sequence[tuple], ids: Sequence[int], regressors: int, names: list[str]):
     key_names = list(keys)
 
     def fit_row(row):
         order, seasonal = orders[row.order_id]
         label = [getattr(row, k) for k in key_names]
-        code = [*order, *seasonal]
         moments = SeriesMoments(row.n, row.sums, row.moments, row.head, row.tail)
-        shape = ArmaShape(order, seasonal, regressors)
-
-        def result(params, status):
-            return [*label, code, params, row.mean, moments.n, status, ids[row.order_id]]
-
-        if not np.isfinite(moments.moments).all():
-            return result(None, "failed: missing values")
-        if moments.n < shape.size + 3:
-            return result(None, "failed: too few rows")
-        if moments.moments[0, 0] <= 1e-12:
-            return result(None, "failed: constant series")
-        params, _ = fit_arma(moments, shape)
-        if params is None:
-            return result(None, "failed: no stable solution")
-        return result(params.tolist(), "ok")
+        params, status = _start(moments, ArmaShape(order, seasonal, regressors))
+        params = None if params is None else params.tolist()
+        return [*label, [*order, *seasonal], params, row.mean, moments.n, status, ids[row.order_id]]
 
     def solve(batches):
         for batch in batches:
@@ -117,6 +123,42 @@ def _starter(keys: Sequence[str], orders: Sequence[tuple], ids: Sequence[int], r
     return solve
 
 
+def _whole_fits(
+    blocks: DataFrame, keys: Sequence[str], orders: Sequence[tuple[tuple, tuple]], regressors: int, constant: bool, lags: int, common: int
+) -> DataFrame:
+    """``SOLVED_FIELDS`` of all orders for series that one block holds: starting point and fit in one task."""
+    schema = T.StructType([*[blocks.schema[k] for k in keys], *SOLVED_FIELDS])
+    key_names = list(keys)
+
+    def fit(levels: np.ndarray, order: tuple, seasonal: tuple) -> list:
+        code, shape = (*order, *seasonal), ArmaShape(order, seasonal, regressors)
+        _, d, _, _, D, _, s = code
+        w = np.array([difference(x, d, D, s) for x in levels])
+        mean = 0.0
+        if constant and not d and not D and not regressors and w.size:
+            mean = float(w[0].mean())
+            w[0] -= mean
+        reach = max(lags, s * (1 + seasonal[0]) + order[0])
+        params, status = _start(SeriesMoments.of(w, reach), shape)
+        if params is None:
+            return [list(code), None, mean, w.shape[1], None, None, None, status]
+        model, sums, residuals, status = fit_whole(Model(code, params, mean, regressors), levels, common, True)
+        if not len(sums):
+            return [list(code), None, mean, w.shape[1], None, None, None, status]
+        return [list(code), model.params.tolist(), mean, w.shape[1], sums[0], sums[1], residuals.tolist(), status]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for values in batch.itertuples(index=False, name=None):
+                row = _Row(dict(zip(batch.columns, values)))
+                label, levels = [getattr(row, k) for k in key_names], levels_of(row)
+                out += [[*label, *fit(levels, *o)] for o in orders]
+            yield pd.DataFrame(out, columns=schema.fieldNames())
+
+    return spread(blocks, keys).mapInPandas(run, schema)
+
+
 def _starts(
     df: DataFrame,
     keys: Sequence[str],
@@ -126,7 +168,6 @@ def _starts(
     lags: int,
     pos: str,
     chunk: int | None,
-    only: DataFrame | None,
 ) -> DataFrame:
     """``START_FIELDS`` per series and order, from lag moments; ``_id`` is the order's place in ``orders``."""
     schema = T.StructType([*[df.schema[k] for k in keys], *START_FIELDS])
@@ -145,8 +186,6 @@ def _starts(
         reach = max([lags, *[season * (1 + s[0]) + o[0] for _, (o, s) in group]])
         table = lag_moments(rows, cols, keys, reach, pos, chunk)
         table = attach(table, means, keys) if centred else table.withColumn("mean", F.lit(0.0))
-        if only is not None:
-            table = table.join(only, list(keys), "left_semi")
         table = table.withColumn("order_id", F.explode(F.lit(list(range(len(group))))))
         solve = _starter(keys, [o for _, o in group], [at for at, _ in group], len(exog), schema.fieldNames())
         part = spread(table, [*keys, "order_id"]).mapInPandas(solve, schema)
@@ -192,37 +231,70 @@ def fit_orders(
     sample; it is NULL where that sample has no rows. A model that has not converged has status
     ``not converged``. ``residuals`` and ``tail`` are the last values that a forecast looks back
     on, ``last`` the time of the last row. ``lags`` bounds the search for a starting point
-    and has no part in the result. ``only`` lists the series to solve: it is joined to the moments,
-    one row per series, not to the data.
+    and has no part in the result. ``only`` lists the series to solve.
+
+    Series that one chunk holds are read once and fitted where it lies; only those of several
+    chunks take the distributed passes of ``_long_fits``.
     """
     cols = [value, *exog]
     halo, common = _order_code(orders)
-    starts = _starts(df, keys, orders, cols, constant, lags, pos, chunk, only)
-    ready = starts.filter("status = 'ok'").select(*keys, "_id", F.col("order").alias("code"), "params", "mean", F.lit(True).alias("free"))
-    solved = refine(df, ready, cols, keys, halo, common, pos, chunk or CHUNK)
-    solved = solved.select(*keys, "_id", *[F.col(c).alias(f"_{c}") for c in ("params", "squares", "common_squares", "residuals", "status")])
-    rows = attach(starts.join(solved, [*keys, "_id"], "left"), _ends(df, cols, keys, halo, pos, ts), keys)
+    blocks = blocks_of(df, cols, keys, halo, pos, chunk or CHUNK)
+    if only is not None:
+        blocks = blocks.join(only, list(keys), "left_semi")
+    sizes = blocks.groupBy(*keys).agg(F.max("_chunk").alias("_last"))
+    whole = blocks.join(sizes.where("_last = 0"), list(keys), "left_semi")
+    solved = _whole_fits(whole, keys, orders, len(exog), constant, lags, common)
+    long = settle(sizes.where("_last > 0").select(*keys))
+    if not long.isEmpty():
+        solved = solved.unionByName(_long_fits(df, blocks, long, keys, orders, cols, constant, lags, common, pos, chunk))
+    # Fits are dear and their rows few: written, so that nothing below fits twice.
+    rows = attach(settle(solved), _ends(df, cols, keys, halo, pos, ts), keys)
     code = F.col("order")
     counted = F.col("n") + code[1] + code[4] * code[6] - F.lit(common)
     size = code[0] + code[2] + code[3] + code[5] + F.lit(len(exog))
-    noise = F.greatest(F.col("_common_squares") / counted, F.lit(1e-300))
+    noise = F.greatest(F.col("common_squares") / counted, F.lit(1e-300))
     aic = F.when(counted > 0, counted * (F.log(F.lit(2 * math.pi) * noise) + 1) + 2 * (size + 1))
     return rows.select(
         *keys,
         F.lit(model).alias("model"),
         "order",
-        F.col("_params").alias("params"),
-        F.when(F.col("_params").isNotNull(), F.col("mean")).alias("mean"),
-        F.greatest(F.col("_squares") / F.col("n"), F.lit(1e-300)).alias("sigma2"),
+        "params",
+        F.when(F.col("params").isNotNull(), F.col("mean")).alias("mean"),
+        F.greatest(F.col("squares") / F.col("n"), F.lit(1e-300)).alias("sigma2"),
         aic.alias("aic"),
         "n",
-        F.coalesce("_status", "status").alias("status"),
-        F.col("_residuals").alias("residuals"),
-        F.when(F.col("_params").isNotNull(), F.col("tail")).alias("tail"),
+        "status",
+        "residuals",
+        F.when(F.col("params").isNotNull(), F.col("tail")).alias("tail"),
         "last",
     )
 
 
+def _long_fits(
+    df: DataFrame,
+    blocks: DataFrame,
+    long: DataFrame,
+    keys: Sequence[str],
+    orders: Sequence[tuple[tuple, tuple]],
+    cols: Sequence[str],
+    constant: bool,
+    lags: int,
+    common: int,
+    pos: str,
+    chunk: int | None,
+) -> DataFrame:
+    """``SOLVED_FIELDS`` for series of several chunks: starting points from lag moments, then ``refine``."""
+    starts = _starts(attach(df, long, keys, "left_semi"), keys, orders, cols, constant, lags, pos, chunk)
+    ready = starts.filter("status = 'ok'").select(*keys, "_id", F.col("order").alias("code"), "params", "mean", F.lit(True).alias("free"))
+    found = refine(blocks.join(long, list(keys), "left_semi"), ready, keys, len(cols) - 1, common)
+    found = found.withColumnsRenamed({"params": "_params", "status": "_status"})
+    rows = starts.join(found, [*keys, "_id"], "left")
+    return rows.select(
+        *keys, "order", F.col("_params").alias("params"), "mean", "n", "squares", "common_squares", "residuals",
+        F.coalesce("_status", "status").alias("status"),
+    )
+
+
 def arima_fit(
     df: DataFrame,
     keys: Sequence[str],
@@ -296,7 +368,8 @@ def end_states(
     code = F.col("order")
     halo = usable.agg(F.max(code[0] + code[1] + (code[3] + code[4]) * code[6])).first()[0] or 0
     asked = usable.select(*keys, "_id", code.alias("code"), "params", "mean", F.lit(False).alias("free"))
-    found = refine(df, asked, cols, keys, halo, 0, pos, chunk).select(*keys, "_id", "residuals")
+    blocks = blocks_of(df, cols, keys, halo, pos, chunk)
+    found = refine(blocks, asked, keys, len(exog), 0).select(*keys, "_id", "residuals")
     rows = attach(usable.join(found, [*keys, "_id"]), _ends(df, cols, keys, halo, pos, ts), keys)
     return rows.drop("_id").withColumn("status", F.lit("ok"))
 

@@ -125,6 +125,19 @@ class SeriesMoments:
         self.head = np.array([np.asarray(h, dtype=float) for h in head])
         self.tail = np.array([np.asarray(t, dtype=float) for t in tail])
 
+    @classmethod
+    def of(cls, values: np.ndarray, max_lag: int) -> SeriesMoments:
+        """Those of a series held whole: a row of ``values`` per channel."""
+        width, n = values.shape
+        padded = np.hstack([np.zeros((width, max_lag)), values])
+        cells = [None] * (width * width)
+        for b in range(width):
+            lagged = np.lib.stride_tricks.sliding_window_view(padded[b], max_lag + 1)[:, ::-1] if n else np.zeros((0, max_lag + 1))
+            for a, products in enumerate(values @ lagged):
+                cells[a * width + b] = products
+        reach = 2 * max_lag + 1
+        return cls(n, values.sum(axis=1), cells, values[:, :reach], values[:, -reach:])
+
     def _run(self, channel: int, low: int, high: int) -> np.ndarray:
         """Values at positions ``[low, high)``, which lie within the head or within the tail."""
         if high <= self.head.shape[1]:

@@ -280,7 +280,7 @@ def blocks_of(df: DataFrame, cols: Sequence[str], keys: Sequence[str], halo: int
     return settle(own.select(*keys, "_chunk", F.col("_rows")[0][pos].alias("_start"), "_lead", levels.alias("_levels")))
 
 
-def _levels(row) -> np.ndarray:
+def levels_of(row) -> np.ndarray:
     return np.array([np.asarray(c, dtype=float) for c in row._levels])
 
 
@@ -334,7 +334,7 @@ class Scan:
         """``keys, _id, _chunk, _state``: the state ahead of every chunk, flattened."""
 
         def end_from_zero(row, model):
-            levels = _levels(row)
+            levels = levels_of(row)
             empty = np.zeros((model.carried, 1 + model.shape.size))
             run = model.run(levels, row._start, row._lead, empty)
             return [len(run), last_rows(empty, run).ravel().tolist()]
@@ -389,7 +389,7 @@ class Scan:
 
         def exact(row, model):
             past = np.asarray(row._state, dtype=float).reshape(model.carried, 1 + model.shape.size)
-            run = model.run(_levels(row), row._start, row._lead, past)
+            run = model.run(levels_of(row), row._start, row._lead, past)
             found = sums_of(run, row._start + row._lead, common)
             return [found.tolist(), last_rows(past, run)[:, 0].tolist()]
 
@@ -434,7 +434,7 @@ def _whole(blocks: DataFrame, models: DataFrame, keys: Sequence[str], regressors
             for values in batch.itertuples(index=False, name=None):
                 row = _Row(dict(zip(batch.columns, values)))
                 start = Model.of(row.code, row.params, row.mean, regressors)
-                model, sums, residuals, status = fit_whole(start, _levels(row), common, bool(row.free))
+                model, sums, residuals, status = fit_whole(start, levels_of(row), common, bool(row.free))
                 label = [getattr(row, k) for k in key_names]
                 if not len(sums):
                     out.append([*label, row._id, None, None, None, None, status])
@@ -476,23 +476,15 @@ def _advance(state: DataFrame, found: DataFrame, keys: Sequence[str], regressors
 
 
 def refine(
-    df: DataFrame,
-    models: DataFrame,
-    cols: Sequence[str],
-    keys: Sequence[str],
-    halo: int,
-    common: int,
-    pos: str,
-    chunk: int,
+    blocks: DataFrame, models: DataFrame, keys: Sequence[str], regressors: int, common: int
 ) -> DataFrame:
     """``RESULT`` of ``models (keys, _id, code, params, mean, free)``: exact least squares from ``params``.
 
-    Models that are not ``free`` are evaluated as they stand. Series of one chunk are fitted in
-    one task; longer ones by passes of ``Scan`` over all of them at once, two a move, until
-    every model has converged or used up its moves. ``halo`` is the largest of the models'.
+    ``blocks``: ``blocks_of`` the series, with the largest halo of the models. Models that are not
+    ``free`` are evaluated as they stand. Series of one chunk are fitted in one task; longer ones by
+    passes of ``Scan`` over all of them at once, two a move, until every model has converged or
+    used up its moves.
     """
-    regressors = len(cols) - 1
-    blocks = blocks_of(df, cols, keys, halo, pos, chunk)
     counts = blocks.groupBy(*keys).agg(F.max("_chunk").alias("_last"))
     models = settle(models.join(counts, list(keys)))
     result = _whole(blocks, models.where("_last = 0").drop("_last"), keys, regressors, common)
