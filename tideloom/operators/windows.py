@@ -68,7 +68,15 @@ def cut_windows(
 
     # Positions are distinct and sorted: a window is whole if its last row lies where it should.
     room = F.size("_rows") - (length - 1)
-    places = F.when(room > 0, F.filter(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), opens))
+    searched = F.filter(F.sequence(F.lit(1), F.greatest(room, F.lit(1))), opens)
+    # Where no position is missing, places follow from positions.
+    base = F.col("_rows")[0]["_at"]
+    begin = F.greatest(low, F.col("_first"), base)
+    begin = F.col("_first") + F.ceil((begin - F.col("_first")) / F.lit(stride)) * stride
+    end = F.least(high - 1, base + F.size("_rows") - length, F.col("_first") + (F.col("_count") - 1) * stride)
+    counted = F.when(begin <= end, F.sequence((begin - base + 1).cast("int"), (end - base + 1).cast("int"), F.lit(stride)))
+    dense = F.element_at("_rows", -1)["_at"] - base + 1 == F.size("_rows")
+    places = F.when((room > 0) & dense, counted).when(room > 0, searched)
     opened = blocks.select(*keys, "_first", "_rows", F.explode(places).alias("_place"))
     opened = opened.withColumn("start", F.get("_rows", F.col("_place") - 1)["_at"].cast("bigint"))
     offset = F.col("_place")
