@@ -240,9 +240,9 @@ def fit_orders(
     halo, common = _order_code(orders)
     blocks = blocks_of(df, cols, keys, halo, pos, chunk or CHUNK)
     if only is not None:
-        blocks = blocks.join(only, list(keys), "left_semi")
+        blocks = attach(blocks, only, keys, "left_semi")
     sizes = blocks.groupBy(*keys).agg(F.max("_chunk").alias("_last"))
-    whole = blocks.join(sizes.where("_last = 0"), list(keys), "left_semi")
+    whole = attach(blocks, sizes.where("_last = 0"), keys, "left_semi")
     solved = _whole_fits(whole, keys, orders, len(exog), constant, lags, common)
     long = settle(sizes.where("_last > 0").select(*keys))
     if not long.isEmpty():
@@ -286,7 +286,7 @@ def _long_fits(
     """``SOLVED_FIELDS`` for series of several chunks: starting points from lag moments, then ``refine``."""
     starts = _starts(attach(df, long, keys, "left_semi"), keys, orders, cols, constant, lags, pos, chunk)
     ready = starts.filter("status = 'ok'").select(*keys, "_id", F.col("order").alias("code"), "params", "mean", F.lit(True).alias("free"))
-    found = refine(blocks.join(long, list(keys), "left_semi"), ready, keys, len(cols) - 1, common)
+    found = refine(attach(blocks, long, keys, "left_semi"), ready, keys, len(cols) - 1, common)
     found = found.withColumnsRenamed({"params": "_params", "status": "_status"})
     rows = starts.join(found, [*keys, "_id"], "left")
     return rows.select(

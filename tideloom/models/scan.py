@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.models.solve import ArmaShape, inverse_series, lag_polynomial, ridge
-from tideloom.operators.ordering import with_halo
+from tideloom.operators.ordering import attach, with_halo
 from tideloom.session import settle
 
 #: Chunk states that one task composes; the blocks of a series are composed by one more.
@@ -491,7 +491,7 @@ def refine(
     long = models.where("_last > 0").drop("_last")
     if long.isEmpty():
         return result
-    blocks = blocks.join(counts.where("_last > 0"), list(keys), "left_semi")
+    blocks = attach(blocks, counts.where("_last > 0"), keys, "left_semi")
     scan = Scan(settle(blocks), keys, regressors, common)
     nothing = {n: F.lit(None).cast(t) for n, t in STATE if n in ("params", "move", "sums", "residuals")}
     state = long.select(*keys, "_id", "code", "mean", "free", F.col("params").alias("trial"))

@@ -179,7 +179,7 @@ FROM fitted JOIN ends USING (series_id) CROSS JOIN (SELECT unnest(generate_serie
 )
 def arima_forecast_ar(spark, sf_dir):
     rows = settle(user_hourly(spark, sf_dir))
-    models = arima.arima_fit(rows, KEY, (1, 1, 0), gate=False, chunk=CHUNK)
+    models = arima.arima_fit(rows, KEY, (1, 1, 0), gate=False)
     return arima.forecast_stored(models, KEY, 24).select(*KEY, "step", "ts", rounded("yhat", 4).alias("yhat"))
 
 
@@ -252,7 +252,7 @@ FROM ends e JOIN fitted f ON f.series_id = e.series_id CROSS JOIN (SELECT unnest
 JOIN user_hourly u ON u.series_id = e.series_id AND u.pos = last_pos + step - 24""",
 )
 def sarimax_forecast_seasonal(spark, sf_dir):
-    models = arima.sarimax_grid_fit(settle(user_hourly(spark, sf_dir)), KEY, *SEASONAL, chunk=CHUNK)
+    models = arima.sarimax_grid_fit(settle(user_hourly(spark, sf_dir)), KEY, *SEASONAL)
     return arima.forecast_stored(models, KEY, 10).select(*KEY, "step", "ts", rounded("yhat", 4).alias("yhat"))
 
 
@@ -565,8 +565,8 @@ def forecast_requests_routed(spark, sf_dir):
     )
     families = {
         "ar1": serving.ar1_family(chunk=CHUNK),
-        "arima": serving.arima_family((1, 1, 0), gate=False, chunk=CHUNK),
-        "sarimax": serving.sarimax_family(*SEASONAL, chunk=CHUNK),
+        "arima": serving.arima_family((1, 1, 0), gate=False),
+        "sarimax": serving.sarimax_family(*SEASONAL),
         "window": serving.window_family(2, 2, penalty=0.0, chunk=CHUNK),
     }
     answers = serving.answer_requests(requests, settle(user_hourly(spark, sf_dir)), families, fresh_path(spark, "store"), KEY)
