@@ -9,7 +9,7 @@ from tideloom.llm.registry import register, table
 from tideloom.session import settle
 
 #: Counters of the frequent-item summary, and how many of the digests it reports are set apart.
-#: Every digest held by more than 1 row in 750 is among them; the broadcast never exceeds 256 rows.
+#: The broadcast never exceeds 256 rows; a digest beyond them is shuffled like the rest, and holds less than 1 row in 256.
 COUNTERS = 1024
 HEAVY = 256
 
