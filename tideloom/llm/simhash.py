@@ -134,8 +134,9 @@ def hamming_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     parts = F.transform(kept, lambda m, i: F.struct(i.alias("tag"), F.col("fp").bitwiseAND(m).alias("part")))
     keyed = spread(fps, ["fp"]).select("fp", F.explode(parts).alias("k")).select("fp", "k.*")
     sizes = keyed.groupBy("tag", "part").agg(F.count("*").alias("n")).where("n > 1")
-    # Written, as both paths below read it; few variants are shared.
-    shared = settle(keyed.join(sizes, ["tag", "part"]))
+    # Written, as both paths below read it; few variants are shared. Spark sizes the variants by the
+    # fingerprints they come from and would broadcast them all; the hint keeps them shuffled.
+    shared = settle(keyed.hint("merge").join(sizes, ["tag", "part"]))
     small = shared.where(F.col("n") <= COMPARED).repartition("tag", "part").groupBy("tag", "part")
     small = small.agg(F.collect_list("fp").alias("fps")).withColumn("wildcard", wildcards[F.col("tag")])
     links = small.select(F.explode(_pairs(F.col("fps"), F.col("wildcard"), distance)).alias("l")).select("l.*")
