@@ -105,6 +105,12 @@ def _start(moments: SeriesMoments, shape: ArmaShape) -> tuple[np.ndarray | None,
     return params, "ok" if params is not None else "failed: no stable solution"
 
 
+def filter_reach(order: tuple, seasonal: tuple, lags: int) -> int:
+    """Terms of the residual filter in the search: all of them where no moving average makes it endless."""
+    (p, _, q), (P, _, Q, s) = order, seasonal
+    return max(lags, s * (1 + P) + p) if q or Q else max(p + P * s, 1)
+
+
 def _starter(keys: Sequence[str], orders: Sequence[tuple], ids: Sequence[int], regressors: int, names: list[str]):
     key_names = list(keys)
 
@@ -138,8 +144,7 @@ def _whole_fits(
         if constant and not d and not D and not regressors and w.size:
             mean = float(w[0].mean())
             w[0] -= mean
-        reach = max(lags, s * (1 + seasonal[0]) + order[0])
-        params, status = _start(SeriesMoments.of(w, reach), shape)
+        params, status = _start(SeriesMoments.of(w, filter_reach(order, seasonal, lags)), shape)
         if params is None:
             return [list(code), None, mean, w.shape[1], None, None, None, status]
         model, sums, residuals, status = fit_whole(Model(code, params, mean, regressors), levels, common, True)
@@ -183,7 +188,7 @@ def _starts(
         means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
         if centred:
             rows = attach(rows, means, keys).withColumn(value, F.col(value) - F.col("mean"))
-        reach = max([lags, *[season * (1 + s[0]) + o[0] for _, (o, s) in group]])
+        reach = max(filter_reach(o, s, lags) for _, (o, s) in group)
         table = lag_moments(rows, cols, keys, reach, pos, chunk)
         table = attach(table, means, keys) if centred else table.withColumn("mean", F.lit(0.0))
         table = table.withColumn("order_id", F.explode(F.lit(list(range(len(group))))))

@@ -12,15 +12,16 @@ Spark adds the chunks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideloom.operators.ordering import CHUNK, keep_first, keep_last, spread, with_halo
+from tideloom.operators.ordering import CHUNK, attach, spread, with_halo
 from tideloom.session import settle
 
 
@@ -28,14 +29,58 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
-def _edge(rows: DataFrame, cols: Sequence[str], keys: Sequence[str], pos: str, name: str) -> DataFrame:
-    """The given rows of a series, in order, as one array per channel."""
-    packed = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows")
-    )
-    return packed.select(
-        *keys, F.array(*[F.transform("_rows", lambda r: r[c]) for c in cols]).alias(name)
-    )
+def chunk_groups(batches: Iterator[pa.RecordBatch], by: Sequence[str], cols: Sequence[str]) -> Iterator[tuple[list, dict[str, np.ndarray]]]:
+    """``label, columns`` of every run of rows that agree in ``by``.
+
+    The rows must be sorted by ``by``. A run may go on in the next batch; no more than one run and
+    one batch are held.
+    """
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        if not len(table):
+            continue
+        ends = np.unique(np.concatenate([pc.run_end_encode(table[c].chunk(0)).run_ends.to_numpy() for c in by]))
+        starts = np.concatenate([[0], ends[:-1]])
+        yield from _runs(table, by, cols, starts[:-1], ends[:-1])
+        held = table.slice(starts[-1])
+    if held is not None:
+        yield from _runs(held, by, cols, [0], [len(held)])
+
+
+def _runs(table: pa.Table, by: Sequence[str], cols: Sequence[str], starts, ends):
+    values = {c: table[c].to_numpy() for c in cols}
+    labels = [table[c] for c in by]
+    for low, high in zip(starts, ends):
+        yield [c[int(low)].as_py() for c in labels], {c: v[low:high] for c, v in values.items()}
+
+
+def lagged_products(values: np.ndarray, home: int, max_lag: int, picked: np.ndarray | None = None) -> np.ndarray:
+    """``[a, b, d]``: sums of ``a[u] * b[u-d]`` over the rows behind the ``home`` first (``picked`` of them)."""
+    width = values.shape[1]
+    padded = np.vstack([np.zeros((max_lag - home, width)), values])
+    own = values[home:] if picked is None else values[home:][picked]
+    out = np.empty((width, width, max_lag + 1))
+    for b in range(width):
+        lagged = np.lib.stride_tricks.sliding_window_view(padded[:, b], max_lag + 1)[:, ::-1]
+        out[:, b] = own.T @ (lagged if picked is None else lagged[picked])
+    return out
+
+
+def summed(parts: DataFrame, by: Sequence[str], name: str, size: int) -> DataFrame:
+    """Arrays of ``size`` cells added cell by cell, those of a task before they are shuffled."""
+    if size > 256:
+        cells = parts.select(*by, F.posexplode(name).alias("_at", "_v")).groupBy(*by, "_at").agg(F.sum("_v").alias("_v"))
+        cells = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_v"))).alias(name))
+        return cells.withColumn(name, F.transform(name, lambda c: c["_v"]))
+    cells = parts.groupBy(*by).agg(*[F.sum(F.col(name)[i]).alias(f"_{i}") for i in range(size)])
+    return cells.select(*by, F.array(*[f"_{i}" for i in range(size)]).alias(name))
+
+
+def cut_up(flat: Column, pieces: int, size: int) -> Column:
+    """An array as ``pieces`` arrays of ``size`` cells."""
+    return F.array(*[F.slice(flat, i * size + 1, F.lit(size)) for i in range(pieces)])
 
 
 def lag_moments(
@@ -50,67 +95,85 @@ def lag_moments(
 
     ``cols`` must be free of NULL and ``pos`` dense. ``head`` holds the first and ``tail`` the
     last ``2 * max_lag + 1`` rows (fewer in a shorter series).
+
+    A chunk gives one short row with its sums and its first and last rows. That of a series within
+    one chunk is the answer already; the others are added up by series.
     """
     chunk = chunk or max(CHUNK, 4 * max_lag)
-    width = len(cols)
-    # Products, totals and both edges read the same rows, which are often differenced or centred.
-    df = settle(df.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols]))
+    width, reach, names, key_names = len(cols), 2 * max_lag + 1, list(cols), list(keys)
+    cells = width * width * (max_lag + 1)
+    df = df.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols])
     rows = with_halo(df, chunk, before=max_lag, pos=pos, keys=keys)
+    doubles = T.ArrayType(T.DoubleType())
     fields = [
         *_key_fields(df, keys),
-        T.StructField("cell", T.IntegerType()),
-        T.StructField("products", T.ArrayType(T.DoubleType())),
+        T.StructField("_chunk", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("_cells", doubles),
+        T.StructField("head", T.ArrayType(doubles)),
+        T.StructField("tail", T.ArrayType(doubles)),
     ]
-    names = list(cols)
-    key_names = list(keys)
-
-    def multiply(group: pa.Table) -> pa.Table:
-        order = np.argsort(group[pos].to_numpy())
-        values = np.column_stack([group[c].to_numpy()[order] for c in names])
-        home = int((~group["_home"].to_numpy()).sum())
-        own = values[home:]
-        cells, products = [], []
-        if len(own):
-            padded = np.vstack([np.zeros((max_lag - home, width)), values])
-            for b in range(width):
-                lagged = np.lib.stride_tricks.sliding_window_view(padded[:, b], max_lag + 1)[:, ::-1]
-                products.extend((own.T @ lagged).tolist())
-                cells.extend(a * width + b for a in range(width))
-        label = [pa.array([group[k][0].as_py()] * len(cells), group.schema.field(k).type) for k in key_names]
-        columns = [*label, pa.array(cells, pa.int32()), pa.array(products, pa.list_(pa.float64()))]
-        return pa.table(columns, names=[f.name for f in fields])
-
-    partial = (
-        spread(rows, [*keys, "_chunk"])
-        .groupBy(*keys, "_chunk")
-        .applyInArrow(multiply, T.StructType(fields))
-    )
-    by_lag = (
-        partial.select(*keys, "cell", F.posexplode("products").alias("lag", "product"))
-        .groupBy(*keys, "cell", "lag")
-        .agg(F.sum("product").alias("product"))
-    )
-    table = by_lag.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("cell", "lag", "product"))).alias("_all")
-    )
-    flat = F.transform("_all", lambda r: r["product"])
-    table = table.select(
+    kinds = [pa.list_(pa.float64())] + [pa.list_(pa.list_(pa.float64()))] * 2
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, schema = [], None
+
+        def packed() -> pa.RecordBatch:
+            label = [pa.array([r[i] for r in out], schema.field(k).type) for i, k in enumerate([*key_names, "_chunk"])]
+            rest = zip(zip(*[r[len(label) + 1 :] for r in out]), kinds)
+            n = pa.array([r[len(label)] for r in out], pa.int64())
+            return pa.RecordBatch.from_arrays([*label, n, *[pa.array(list(v), t) for v, t in rest]], [f.name for f in fields])
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal schema
+            for batch in batches:
+                schema = batch.schema
+                yield batch
+
+        for label, found in chunk_groups(seen(), [*key_names, "_chunk"], ["_home", pos, *names]):
+            home = int((~found["_home"].astype(bool)).sum())
+            values = np.column_stack([found[c] for c in names])
+            own, place = values[home:], found[pos][home:]
+            if not len(own):
+                continue
+            products = lagged_products(values, home, max_lag)
+            flat = np.concatenate([np.nansum(own, axis=0), products.ravel()])
+            out.append([*label, len(own), flat.tolist(), own[place < reach].T.tolist(), own[-reach:].T.tolist()])
+            if len(out) == 256:
+                yield packed()
+                out.clear()
+        if out:
+            yield packed()
+
+    # Sorted and cut up in one pass over a task's rows: a call for every chunk would cost more than its products.
+    sorted_rows = spread(rows, [*keys, "_chunk"]).sortWithinPartitions(*keys, "_chunk", pos)
+    parts = settle(sorted_rows.mapInArrow(multiply, T.StructType(fields)))
+    # Positions are dense: a first chunk that is not full is its whole series.
+    alone = (F.col("_chunk") == 0) & (F.col("n") < chunk)
+    several = parts.where(~alone)
+    sums = summed(several, keys, "_cells", width + cells)
+    ends = several.groupBy(*keys).agg(F.max("_chunk").alias("_last"), F.sum("n").alias("n"))
+    near = attach(several.select(*keys, "_chunk", "head", "tail"), ends.select(*keys, "_last"), keys)
+    span = -(-reach // chunk)
+    near = near.where((F.col("_chunk") < span) | (F.col("_chunk") >= F.col("_last") - span))
+    near = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "head", "tail"))).alias("_parts"))
+
+    def joined(name: str) -> list[Column]:
+        return [F.flatten(F.transform("_parts", lambda r: r[name][c])) for c in range(width)]
+
+    newest = [F.slice(x, F.greatest(F.size(x) - (reach - 1), F.lit(1)), F.lit(reach)) for x in joined("tail")]
+    near = near.select(*keys, F.array(*joined("head")).alias("head"), F.array(*newest).alias("tail"))
+    added = sums.join(ends.select(*keys, "n"), list(keys)).join(near, list(keys))
+    table = parts.where(alone).select(*keys, "n", "_cells", "head", "tail").unionByName(added)
+    products = F.slice("_cells", width + 1, F.lit(cells))
+    return table.select(
         *keys,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(width * width - 1)),
-            lambda i: F.slice(flat, i * (max_lag + 1) + 1, F.lit(max_lag + 1)),
-        ).alias("moments"),
-    )
-    totals = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.array(*[F.sum(c) for c in cols]).alias("sums")
+        cut_up(products, width * width, max_lag + 1).alias("moments"),
+        "n",
+        F.slice("_cells", 1, F.lit(width)).alias("sums"),
+        "head",
+        "tail",
     )
-    reach = 2 * max_lag + 1
-    head = _edge(keep_first(df, reach, pos), cols, keys, pos, "head")
-    tail = _edge(keep_last(df, reach, keys, pos), cols, keys, pos, "tail")
-    out = table
-    for part in (totals, head, tail):
-        out = out.join(part, list(keys))
-    return out
 
 
 class SeriesMoments:

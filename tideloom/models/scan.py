@@ -28,7 +28,7 @@ from tideloom.session import settle
 #: Chunk states that one task composes; the blocks of a series are composed by one more.
 BLOCK = 512
 #: Rows that one step of the recursion solves at once.
-_STEP = 256
+_STEP = 64
 #: A fit has converged when the next move would lower the sum of squares by less than this part.
 TOLERANCE = 1e-14
 #: The part of a move that must stay inside the stable region.
@@ -54,17 +54,24 @@ def lagged(taps: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def recur(ma: np.ndarray, inputs: np.ndarray, past: np.ndarray) -> np.ndarray:
+def stepper(ma: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``recur`` multiplies a step's inputs and the rows ahead of it with."""
+    r, size = len(ma) - 1, min(_STEP, rows)
+    response = inverse_series(np.concatenate([ma, np.zeros(size)])[:size])
+    # Row i is the response backwards from place i: windows of one array.
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([response[::-1], np.zeros(size - 1)]), size)
+    solve = np.ascontiguousarray(windows[::-1])
+    reach = np.add.outer(np.arange(size), r - np.arange(r))
+    return solve, solve @ np.where(reach <= r, ma[np.minimum(reach, r)], 0.0)
+
+
+def recur(ma: np.ndarray, inputs: np.ndarray, past: np.ndarray, steps: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Columns ``z`` with ``sum(ma[j] * z[t-j]) = inputs[t]``, after the ``past`` rows (oldest first)."""
     r = len(ma) - 1
     if r == 0 or not len(inputs):
         return inputs.copy()
-    size = min(_STEP, len(inputs))
-    response = inverse_series(np.concatenate([ma, np.zeros(size)])[:size])
-    at = np.subtract.outer(np.arange(size), np.arange(size))
-    solve = np.where(at >= 0, response[np.maximum(at, 0)], 0.0)
-    reach = np.add.outer(np.arange(size), r - np.arange(r))
-    carry = solve @ np.where(reach <= r, ma[np.minimum(reach, r)], 0.0)
+    solve, carry = steps or stepper(ma, len(inputs))
+    size = len(solve)
     out = np.empty((r + len(inputs), inputs.shape[1]))
     out[:r] = past
     for low in range(0, len(inputs), size):
@@ -133,7 +140,9 @@ class Model:
         w[0, max(reach - start, 0) :] -= self.mean
         k = self.regressors
         n = w[0] - self.params[:k] @ w[1:]
-        e = recur(ma, lagged(ar, n)[lead:, None], past[:, :1])
+        inputs = lagged(ar, n)[lead:, None]
+        steps = stepper(ma, len(inputs)) if len(ma) > 1 and len(inputs) else None
+        e = recur(ma, inputs, past[:, :1], steps)
         if not slopes:
             return e
         shape, s, r = self.shape, max(self.code[6], 1), self.carried
@@ -147,7 +156,7 @@ class Model:
         inputs += [back(s_ma, known, i, r) for i in range(1, shape.q + 1)]
         inputs += [back(plain_ar, n, i * s, lead) for i in range(1, shape.P + 1)]
         inputs += [back(plain_ma, known, i * s, r) for i in range(1, shape.Q + 1)]
-        return np.hstack([e, recur(ma, np.array(inputs).reshape(len(inputs), len(e)).T, past[:, 1:])])
+        return np.hstack([e, recur(ma, np.array(inputs).reshape(len(inputs), len(e)).T, past[:, 1:], steps)])
 
     def step(self) -> np.ndarray:
         """The transition of the flattened state by one row without input."""
@@ -384,7 +393,13 @@ class Scan:
 
     def sums(self, trials: DataFrame) -> DataFrame:
         """``keys, _id, _sums, _residuals``: ``sums_of`` every trial, and its last residuals."""
-        common, states = self.common, self.incoming(trials)
+        common = self.common
+        # Models without moving-average terms look back on no residuals: their chunks stand alone.
+        carried = F.col("code")[2] + F.col("code")[5] * F.col("code")[6] > 0
+        looking_back, free = trials.where(carried), trials.where(~carried)
+        states = self._numbered(free).select(*self.by, "_chunk", F.array().cast(DOUBLES).alias("_state"))
+        if not looking_back.isEmpty():
+            states = states.unionByName(self.incoming(looking_back))
         ends = self.blocks.groupBy(*self.keys).agg(F.max("_chunk").alias("_last"))
 
         def exact(row, model):

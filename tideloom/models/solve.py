@@ -40,6 +40,14 @@ def product_of(length: int, *factors: np.ndarray | None) -> np.ndarray:
 
 def inverse_series(poly: np.ndarray) -> np.ndarray:
     """Power series of ``1 / poly`` (leading coefficient 1), doubling the known terms."""
+    lags = np.flatnonzero(poly[1:]) + 1
+    if len(lags) <= 1:
+        # One term: a geometric series.
+        series = np.zeros(len(poly))
+        step = int(lags[0]) if len(lags) else len(poly)
+        count = len(series[::step])
+        series[::step] = np.cumprod(np.concatenate([[1.0], np.full(count - 1, -poly[step] if len(lags) else 0.0)]))
+        return series
     out = np.ones(1)
     while len(out) < len(poly):
         size = min(2 * len(out), len(poly))
@@ -75,8 +83,11 @@ class ArmaShape:
         return self.regressors + self.p + self.q + self.P + self.Q
 
     def parts(self, params: np.ndarray):
-        cuts = np.cumsum([self.regressors, self.p, self.q, self.P])
-        return np.split(np.asarray(params, dtype=float), cuts)
+        params, parts, low = np.asarray(params, dtype=float), [], 0
+        for count in (self.regressors, self.p, self.q, self.P):
+            parts.append(params[low : low + count])
+            low += count
+        return [*parts, params[low:]]
 
     def factors(self, params: np.ndarray, length: int) -> list[np.ndarray | None]:
         """Series of the four parts of the residual filter; ``None`` for an absent part."""
@@ -94,8 +105,13 @@ class ArmaShape:
 
     def filter_and_slopes(self, params: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """The residual filter and its derivative by every ARMA parameter."""
-        ar, ma, s_ar, s_ma = self.factors(params, length)
-        taps = product_of(length, ar, ma, s_ar, s_ma)
+        factors = self.factors(params, length)
+        taps = product_of(length, *factors)
+        return taps, self.slopes(factors, taps, length)
+
+    def slopes(self, factors: list[np.ndarray | None], taps: np.ndarray, length: int) -> np.ndarray:
+        """The derivative of the residual filter ``taps``, the product of ``factors``, by every ARMA parameter."""
+        ar, ma, s_ar, s_ma = factors
         sources = (
             (self.p, 1, (ma, s_ar, s_ma)),
             (self.q, 1, (taps, ma)),
@@ -110,7 +126,7 @@ class ArmaShape:
                 if k * step <= length:
                     slopes[row, k * step :] = -series[: length + 1 - k * step]
                 row += 1
-        return taps, slopes
+        return slopes
 
     def admissible(self, params: np.ndarray) -> bool:
         _, phi, theta, s_phi, s_theta = self.parts(params)
@@ -148,18 +164,29 @@ class SquaredResiduals:
         self.lags = moments.max_lag
         terms = [(channel, range(self.lags + 1)) for channel in range(1 + shape.regressors)]
         self.block = moments.gram(terms, 0, moments.n - 1)
+        self.last = None
 
     def weights(self, params: np.ndarray, taps: np.ndarray) -> np.ndarray:
         """Weight of every lagged value in the residual."""
+        if not self.shape.regressors:
+            return taps
         return np.kron(np.append(1.0, -params[: self.shape.regressors]), taps)
 
+    def _filter(self, params: np.ndarray) -> tuple[list[np.ndarray | None], np.ndarray]:
+        """The filter's factors and their product; a move starts where a value was just asked for."""
+        if self.last is None or not np.array_equal(self.last[0], params):
+            factors = self.shape.factors(params, self.lags)
+            self.last = params.copy(), factors, product_of(self.lags, *factors)
+        return self.last[1], self.last[2]
+
     def value(self, params: np.ndarray) -> float:
-        r = self.weights(params, self.shape.filter(params, self.lags))
+        r = self.weights(params, self._filter(params)[1])
         return float(r @ self.block @ r)
 
     def move(self, params: np.ndarray) -> np.ndarray:
         """Gauss-Newton step."""
-        taps, slopes = self.shape.filter_and_slopes(params, self.lags)
+        factors, taps = self._filter(params)
+        slopes = self.shape.slopes(factors, taps, self.lags)
         regressors = self.shape.regressors
         by_beta = [np.kron(-np.eye(1 + regressors)[1 + k], taps) for k in range(regressors)]
         by_arma = [self.weights(params, slope) for slope in slopes]
@@ -266,11 +293,27 @@ def adf_statistic(moments: SeriesMoments, max_lag: int) -> tuple[float, int, int
         aic = nobs * (np.log(2 * np.pi * rss / nobs) + 1) + 2 * len(used)
         return beta[level] / error, aic
 
-    common = sample(max_lag, max_lag + 1)
-    level, constant = max_lag + 1, max_lag + 2
-    choices = [
-        (regress(common, [*range(1, k + 1), level, constant])[1], k) for k in range(max_lag + 1)
-    ]
+    def choices_of(gram: np.ndarray) -> list[tuple[float, int]]:
+        """``aic, lags`` of every candidate. They are nested: one factor has the residuals of all."""
+        level, constant = max_lag + 1, max_lag + 2
+        nested = [level, constant, *range(1, max_lag + 1)]
+        scale = np.sqrt(np.diag(gram))
+        try:
+            if not scale.all():
+                raise np.linalg.LinAlgError
+            unit = gram / np.outer(scale, scale)
+            factor = np.linalg.cholesky(unit[np.ix_(nested, nested)])
+            if np.diag(factor).min() < 1e-4:
+                raise np.linalg.LinAlgError
+        except np.linalg.LinAlgError:
+            return [(regress(gram, [*range(1, k + 1), level, constant])[1], k) for k in range(max_lag + 1)]
+        explained = np.cumsum(np.linalg.solve(factor, unit[nested, 0]) ** 2)[1:]
+        nobs = gram[-1, -1]
+        rss = np.maximum(gram[0, 0] * (1.0 - explained), 1e-300)
+        aic = nobs * (np.log(2 * np.pi * rss / nobs) + 1) + 2 * (np.arange(max_lag + 1) + 2)
+        return list(zip(aic.tolist(), range(max_lag + 1)))
+
+    choices = choices_of(sample(max_lag, max_lag + 1))
     lags = min(choices)[1]
     stat, _ = regress(sample(lags, lags + 1), list(range(1, lags + 3)))
     return float(stat), lags, moments.n - 1 - lags
