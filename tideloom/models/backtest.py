@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.models.arima import difference_weights
-from tideloom.models.moments import SeriesMoments
+from tideloom.models.moments import SeriesMoments, chunk_groups, cut_up, lagged_products, summed
 from tideloom.models.solve import ArmaShape, fit_arma, forecast_arma, integrate, ridge
 from tideloom.operators.ordering import CHUNK, attach, chunk_window, drop_halo, keep_first, spread, with_halo
 from tideloom.operators.splits import fraction
@@ -192,42 +192,44 @@ def prefix_moments(
     segment = sum([(F.col(pos) >= o).cast("int") for o in origins], F.lit(0)).alias("_segment")
     marked = rows.select(*keys, pos, *cols, segment, F.array(*origins).alias("_origins"))
     halo = with_halo(marked.drop("_origins"), chunk, before=max_lag, pos=pos, keys=keys)
+    cells = width * width * (max_lag + 1)
     fields = [
         *[rows.schema[k] for k in keys],
         T.StructField("_segment", T.IntegerType()),
-        T.StructField("cell", T.IntegerType()),
         T.StructField("products", T.ArrayType(T.DoubleType())),
     ]
 
-    def multiply(group: pa.Table) -> pa.Table:
-        order = np.argsort(group[pos].to_numpy())
-        values = np.column_stack([group[c].to_numpy()[order] for c in names])
-        parts = group["_segment"].to_numpy()[order]
-        home = int((~group["_home"].to_numpy()).sum())
-        padded = np.vstack([np.zeros((max_lag - home, width)), values])
-        own, parts = values[home:], parts[home:]
-        segments, cells, products = [], [], []
-        for b in range(width if len(own) else 0):
-            lagged = np.lib.stride_tricks.sliding_window_view(padded[:, b], max_lag + 1)[:, ::-1]
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal kinds
+            for batch in batches:
+                kinds = [*[batch.schema.field(k).type for k in key_names], pa.int32(), pa.list_(pa.float64())]
+                yield batch
+
+        def packed(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*out), kinds)], [f.name for f in fields])
+
+        out = []
+        for label, found in chunk_groups(seen(), [*key_names, "_chunk"], ["_home", "_segment", *names]):
+            home = int((~found["_home"].astype(bool)).sum())
+            values, parts = np.column_stack([found[c] for c in names]), found["_segment"][home:]
             for part in np.unique(parts[parts < folds]):
-                mine = parts == part
-                products.extend((own[mine].T @ lagged[mine]).tolist())
-                cells.extend(a * width + b for a in range(width))
-                segments.extend([part] * width)
-        label = [pa.array([group[k][0].as_py()] * len(cells), group.schema.field(k).type) for k in key_names]
-        columns = [*label, pa.array(segments, pa.int32()), pa.array(cells, pa.int32()), pa.array(products, pa.list_(pa.float64()))]
-        return pa.table(columns, names=[f.name for f in fields])
-
-    partial = spread(halo, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInArrow(multiply, T.StructType(fields))
+                out.append([*label[:-1], int(part), lagged_products(values, home, max_lag, parts == part).ravel().tolist()])
+            if len(out) >= 256:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
+
+    sorted_rows = spread(halo, [*keys, "_chunk"]).sortWithinPartitions(*keys, "_chunk", pos)
+    partial = sorted_rows.mapInArrow(multiply, T.StructType(fields))
     # A segment counts in every fold that ends behind it.
     later = F.explode(F.sequence(F.col("_segment"), F.lit(folds - 1))).alias("_fold")
-    lags = partial.select(*keys, "_segment", "cell", F.posexplode("products").alias("lag", "product"))
-    lags = lags.groupBy(*keys, "_segment", "cell", "lag").agg(F.sum("product").alias("product"))
-    lags = lags.select(*keys, later, "cell", "lag", "product").groupBy(*keys, "_fold", "cell", "lag").agg(F.sum("product").alias("product"))
-    table = lags.groupBy(*keys, "_fold").agg(F.array_sort(F.collect_list(F.struct("cell", "lag", "product"))).alias("_all"))
-    flat = F.transform("_all", lambda r: r["product"])
-    cut = F.transform(F.sequence(F.lit(0), F.lit(width * width - 1)), lambda i: F.slice(flat, i * (max_lag + 1) + 1, F.lit(max_lag + 1)))
-    table = table.select(*keys, "_fold", cut.alias("moments"))
+    added = summed(partial, [*keys, "_segment"], "products", cells)
+    added = summed(added.select(*keys, later, "products"), [*keys, "_fold"], "products", cells)
+    table = added.select(*keys, "_fold", cut_up(F.col("products"), width * width, max_lag + 1).alias("moments"))
     sums = marked.where(F.col("_segment") < folds).groupBy(*keys, "_segment")
     sums = sums.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in cols])
     sums = sums.select(*keys, later, "n", *cols).groupBy(*keys, "_fold")
