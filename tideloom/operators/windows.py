@@ -7,7 +7,7 @@ are shuffled about once, not once per window they fall into.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +46,28 @@ def cut_windows(
     Both may name a column that is constant in a series. ``past`` and ``future`` are arrays
     of structs with ``cols`` (plain arrays when there is one column).
     """
-    length = context + horizon
+    opened = _opened(df, cols, keys, context + horizon, stride, first, count, pos, chunk)
+    place, names = F.col("_place"), {c: c for c in cols}
+
+    def part(start: Column, size: int) -> Column:
+        return F.slice("_c0", start, F.lit(size)) if len(cols) == 1 else _part(cols, names, start, size)
+
+    past, future = part(place, context).alias("past"), part(place + context, horizon).alias("future")
+    return opened.select(*keys, "window_id", "start", past, future)
+
+
+def _opened(
+    df: DataFrame,
+    cols: Sequence[str],
+    keys: Sequence[str],
+    length: int,
+    stride: int,
+    first: int | str,
+    count: int | str | None,
+    pos: str,
+    chunk: int | None,
+) -> DataFrame:
+    """``keys, window_id, start, _place, _c0, _c1…`` for every full window: its place in its chunk's arrays."""
     chunk = chunk or max(CHUNK, 4 * length)
     rows = with_halo(df, chunk, after=length - 1, pos=pos, keys=keys)
     entry = F.struct(F.col(pos).alias("_at"), *cols)
@@ -77,23 +98,19 @@ def cut_windows(
     counted = F.when(begin <= end, F.sequence((begin - base + 1).cast("int"), (end - base + 1).cast("int"), F.lit(stride)))
     dense = F.element_at("_rows", -1)["_at"] - base + 1 == F.size("_rows")
     places = F.when((room > 0) & dense, counted).when(room > 0, searched)
-    opened = blocks.select(*keys, "_first", "_rows", F.explode(places).alias("_place"))
-    opened = opened.withColumn("start", F.get("_rows", F.col("_place") - 1)["_at"].cast("bigint"))
-    offset = F.col("_place")
+    # One array per column, made once per block: a window then copies its own cells and no others.
+    channels = [F.col("_rows").getField(c).alias(f"_c{i}") for i, c in enumerate(cols)]
+    opened = blocks.select(*keys, "_first", F.col("_rows").getField("_at").alias("_at"), *channels, places.alias("_places"))
+    opened = opened.withColumn("_place", F.explode("_places")).drop("_places")
+    start = F.get("_at", F.col("_place") - 1).cast("bigint")
+    number = F.floor((start - F.col("_first")) / F.lit(stride))
+    return opened.select(*keys, number.alias("window_id"), start.alias("start"), "_place", *[f"_c{i}" for i in range(len(cols))])
 
-    def part(start: Column, size: int) -> Column:
-        piece = F.slice("_rows", start, F.lit(size))
-        if len(cols) == 1:
-            return F.transform(piece, lambda r: r[cols[0]])
-        return F.transform(piece, lambda r: F.struct(*[r[c].alias(c) for c in cols]))
 
-    return opened.select(
-        *keys,
-        F.floor((F.col("start") - F.col("_first")) / F.lit(stride)).alias("window_id"),
-        "start",
-        part(offset, context).alias("past"),
-        part(offset + context, horizon).alias("future"),
-    )
+def _part(cols: Sequence[str], names: Mapping[str, str], start: Column, size: int) -> Column:
+    """Cells of an opened window as an array of structs: ``names`` gives a field's column."""
+    pieces = [F.slice(f"_c{list(cols).index(c)}", start, F.lit(size)).alias(n) for n, c in names.items()]
+    return F.arrays_zip(*pieces)
 
 
 def strided_panel_windows(
@@ -164,13 +181,8 @@ def windows_with_marks(
     start = F.coalesce(*[F.when(F.col("split") == s.name, s.low) for s in spans])
     rows = label_spans(rows.withColumns(marks), spans, pos)
     rows = rows.withColumn(pos, (F.col(pos) - start).cast("bigint"))
-    windows = cut_windows(
-        rows, [*cols, *raw, *marks], [*keys, "split"], seq_len, pred_len, pos=pos, chunk=chunk
-    )
-
-    def part(name: str, picked: dict[str, str]) -> Column:
-        return F.transform(name, lambda r: F.struct(*[r[c].alias(n) for n, c in picked.items()]))
-
+    held, place = [*cols, *raw, *marks], F.col("_place")
+    windows = _opened(rows, held, [*keys, "split"], seq_len + pred_len, 1, 0, None, pos, chunk)
     channels = {c: c for c in cols}
     future = {c: f"{c}_raw" for c in cols} if inverse else channels
     names = {m: m for m in marks}
@@ -178,10 +190,10 @@ def windows_with_marks(
         *keys,
         "split",
         "window_id",
-        part("past", channels).alias("past"),
-        part("future", future).alias("future"),
-        part("past", names).alias("past_marks"),
-        part("future", names).alias("future_marks"),
+        _part(held, channels, place, seq_len).alias("past"),
+        _part(held, future, place + seq_len, pred_len).alias("future"),
+        _part(held, names, place, seq_len).alias("past_marks"),
+        _part(held, names, place + seq_len, pred_len).alias("future_marks"),
     )
 
 

@@ -35,8 +35,8 @@ from tideloom.plans.registry import register
 
 def total(column, field: str | None = None):
     """Sum of an array, or of one field of an array of structs."""
-    values = F.transform(column, lambda r: F.coalesce(r[field] if field else r, F.lit(0.0)))
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    values = F.col(column).getField(field) if field else F.col(column)
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
 
 
 @register(
