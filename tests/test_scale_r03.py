@@ -72,6 +72,11 @@ def test_lag_moments_of_one_and_of_several_chunks_agree(spark):
             assert np.allclose(getattr(found, field), getattr(direct, field)), (name, field)
 
 
+def test_lag_moments_leave_out_rows_without_a_key(spark):
+    rows = to_spark(spark, long_frame({"a": arma(20), "b": arma(20, seed=1)})).withColumn("series_id", F.expr("nullif(series_id, 'b')"))
+    assert [r["series_id"] for r in lag_moments(rows, ["value"], KEY, 2).collect()] == ["a"]
+
+
 def test_lag_moments_call_python_once_a_task_not_once_a_chunk(spark):
     rows = to_spark(spark, long_frame({"a": arma(40)}))
     halo_calls = []

@@ -94,7 +94,7 @@ def lag_moments(
     """One row per series: ``n``, ``sums[a]``, ``moments[a*m+b][d]``, ``head[a]``, ``tail[a]``.
 
     ``cols`` must be free of NULL and ``pos`` dense. ``head`` holds the first and ``tail`` the
-    last ``2 * max_lag + 1`` rows (fewer in a shorter series).
+    last ``2 * max_lag + 1`` rows (fewer in a shorter series). Rows without a key are left out.
 
     A chunk gives one short row with its sums and its first and last rows. That of a series within
     one chunk is the answer already; the others are added up by series.
@@ -103,6 +103,8 @@ def lag_moments(
     width, reach, names, key_names = len(cols), 2 * max_lag + 1, list(cols), list(keys)
     cells = width * width * (max_lag + 1)
     df = df.select(*keys, pos, *[F.col(c).cast("double").alias(c) for c in cols])
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
     rows = with_halo(df, chunk, before=max_lag, pos=pos, keys=keys)
     doubles = T.ArrayType(T.DoubleType())
     fields = [
