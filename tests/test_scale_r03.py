@@ -1,8 +1,10 @@
 """Steps that failed or slowed on larger tables: joins of generated rows, short series in bulk."""
 
+from datetime import timedelta
+
 import numpy as np
 import pytest
-from helpers import arma, collected, long_frame, to_spark
+from helpers import START, arma, collected, long_frame, to_spark
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import HOUR
@@ -11,7 +13,7 @@ from tideloom.models import backtest, moments, scan
 from tideloom.models.arima import NO_SEASON, filter_reach, fit_orders
 from tideloom.models.moments import SeriesMoments, lag_moments
 from tideloom.models.solve import ArmaShape, adf_statistic, inverse_series
-from tideloom.operators import windows
+from tideloom.operators import panel, windows
 from tideloom.operators.evaluation import gaussian_nll, masked_abs_error
 from tideloom.operators.panel import dense_grid
 
@@ -133,3 +135,45 @@ def test_windows_are_cut_from_plain_arrays(spark):
     first = cut.where("window_id = 20").first()
     assert [tuple(r) for r in first["past"]] == [(20.0, 40.0), (21.0, 42.0), (22.0, 44.0)]
     assert [tuple(r) for r in first["future"]] == [(23.0, 46.0), (24.0, 48.0)]
+
+
+def test_the_ticks_of_a_grid_are_not_joined(spark):
+    rows = to_spark(spark, long_frame({"a": arma(50), "b": arma(50, seed=1)}).drop(columns="pos"))
+    above, *_ = plan(dense_grid(rows, KEY, HOUR)).split("Generate")
+    assert not any(step in above for step in ("Join", "Exchange", "Sort"))
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_a_grid_keeps_shared_ticks_and_leaves_out_rows_without_a_place(spark, monkeypatch, block):
+    monkeypatch.setattr(panel, "GRID_BLOCK", block)
+    rows = [("a", 0, 1.0), ("a", 4, 2.0), ("a", 4, 3.0), ("b", 9, None), (None, 3, 5.0), ("c", None, 6.0), ("b", 2, 7.0)]
+    df = spark.createDataFrame([(k, None if h is None else START.to_pydatetime() + timedelta(hours=h), v) for k, h, v in rows], "series_id string, ts timestamp_ntz, value double")
+    off = spark.createDataFrame([("b", START.to_pydatetime() + timedelta(hours=5, minutes=1), 8.0)], df.schema)
+    got = [(r["series_id"], r["pos"], r["value"]) for r in dense_grid(df.union(off), KEY, HOUR, fill=None).collect()]
+    found = {("a", 0): [1.0], ("a", 4): [2.0, 3.0], ("b", 2): [7.0]}
+    expected = [(k, pos, v) for k in ("a", "b", "c", None) for pos in range(10) for v in found.get((k, pos), [None])]
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+    filled = [r["value"] for r in dense_grid(df.union(off), KEY, HOUR).collect()]
+    assert len(filled) == 41 and sum(filled) == 13.0
+
+
+@pytest.mark.parametrize("near", [0, 4096])
+def test_gathered_base_rows_are_joined_by_their_place_alone(spark, monkeypatch, near):
+    """Levels that end early, a long way behind, with a hole, or that a series does not have."""
+    sizes, pyramid = {"a": (23, 5, 1), "b": (90, 2, 1), "c": (3, 0, 0), None: (8, 2, 1)}, []
+    for key, counts in sizes.items():
+        pyramid += [(key, level, idx, 100.0 * level + idx) for level, n in enumerate(counts) for idx in range(n) if (key, level, idx) != ("a", 1, 2)]
+    df = spark.createDataFrame(pyramid, "series_id string, level int, idx long, value double")
+    monkeypatch.setattr(windows, "STAND_INS", near, raising=False)
+    joined = []
+    keep = windows.attach
+    monkeypatch.setattr(windows, "attach", lambda df, *rest: joined.append(df.columns) or keep(df, *rest))
+    got = {(r["series_id"], r["idx"]): (r["value_0"], r["value_1"], r["value_2"]) for r in windows.pyramid_gather(df, KEY, (4, 2)).collect()}
+    assert not near or not joined
+    expected = {}
+    for key, (n, one, two) in sizes.items():
+        for i in range(n):
+            up = min(i // 4, one - 1)
+            known = key is not None and one and (key, up) != ("a", 2)
+            expected[key, i] = (float(i), 100.0 + up if known else None, 200.0 + min(up // 2, two - 1) if known else None)
+    assert got == expected

@@ -21,6 +21,9 @@ from tideloom.operators.scaling import fit_standard, scale
 from tideloom.operators.splits import MONTH_DAYS, calendar_spans, label_spans
 from tideloom.session import settle
 
+#: Places behind the end of a pyramid's level that are filled without looking at the rows below.
+STAND_INS = 4096
+
 
 def _constant(value: int | str) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
@@ -371,32 +374,45 @@ def pyramid_gather(
     """Each base row with its ancestor's value at every level (``value_0``, ``value_1``, …).
 
     The ancestor of row ``i`` one level up is ``min(i // w, size - 1)``. Levels are joined
-    from the coarsest down, so the base rows are joined once. The pyramid is written first:
-    every level is a filter on it.
+    from the coarsest down, so the base rows are joined once, on ``i // w`` alone: where a level
+    ends early, its last row is copied to the places that are asked for behind it. The pyramid
+    is written first: every level is a filter on it.
     """
     pyramid = settle(pyramid)
-    sizes = pyramid.groupBy(*keys).agg(
-        *[
-            (F.max(F.when(F.col("level") == level, F.col("idx"))) + 1).alias(f"_size_{level}")
-            for level in range(1, len(window_sizes) + 1)
-        ]
-    )
+    depth = range(len(window_sizes) + 1)
+    ends = pyramid.groupBy(*keys).agg(*[F.max(F.when(F.col("level") == level, F.col("idx"))).alias(f"_end_{level}") for level in depth])
+    ends = settle(ends)
+
+    def above(idx: str, level: int) -> Column:
+        return F.floor(F.col(idx) / F.lit(window_sizes[level])).cast("bigint")
+
+    def asked_behind(level: int) -> DataFrame:
+        """``keys, _own, _idx``: the last place of a level and those behind it that the level below asks for."""
+        behind = ends.select(*keys, F.col(f"_end_{level}").alias("_own"), above(f"_end_{level - 1}", level - 1).alias("_last"))
+        behind = behind.filter(F.col("_last") > F.col("_own"))
+        near = F.col("_last") - F.col("_own") <= STAND_INS
+        asked = behind.filter(near).select(*keys, "_own", F.explode(F.sequence(F.col("_own") + 1, F.col("_last"))).alias("_idx"))
+        far = behind.filter(~near).drop("_last")
+        if far.isEmpty():
+            return asked
+        # Far behind there may be holes: only the places that rows lie under.
+        below = pyramid.filter(F.col("level") == level - 1).select(*keys, above("idx", level - 1).alias("_idx"))
+        below = attach(below, far, keys).filter(F.col("_idx") > F.col("_own"))
+        return asked.unionByName(below.select(*keys, "_own", "_idx").distinct())
 
     def level_rows(level: int) -> DataFrame:
-        rows = pyramid.filter(F.col("level") == level)
-        return rows.select(*keys, F.col("idx").alias(f"_idx_{level}"), F.col(value).alias(f"value_{level}"))
-
-    gathered = level_rows(len(window_sizes))
-    for level in range(len(window_sizes) - 1, -1, -1):
-        up = level + 1
-        rows = attach(level_rows(level), sizes.select(*keys, f"_size_{up}"), keys)
-        ancestor = F.least(
-            F.floor(F.col(f"_idx_{level}") / F.lit(window_sizes[level])), F.col(f"_size_{up}") - 1
-        ).cast("bigint")
-        rows = rows.withColumn(f"_idx_{up}", ancestor)
-        gathered = rows.join(gathered, [*keys, f"_idx_{up}"], "left").drop(f"_size_{up}", f"_idx_{up}")
-    values = [f"value_{level}" for level in range(len(window_sizes) + 1)]
-    return gathered.select(*keys, F.col("_idx_0").alias("idx"), *values)
+        rows = pyramid.filter(F.col("level") == level).select(*keys, F.col("idx").alias("_own"), F.col(value).alias(f"value_{level}"))
+        placed = rows.withColumn("_idx", F.col("_own"))
+        if level:
+            placed = placed.unionByName(rows.join(asked_behind(level), [*keys, "_own"]))
+        return placed.withColumnRenamed("_idx", f"_idx_{level}")
+
+    top = len(window_sizes)
+    gathered = level_rows(top).drop("_own")
+    for level in range(top - 1, -1, -1):
+        rows = level_rows(level).withColumn(f"_idx_{level + 1}", above("_own", level)).drop("_own")
+        gathered = rows.join(gathered, [*keys, f"_idx_{level + 1}"], "left").drop(f"_idx_{level + 1}")
+    return gathered.select(*keys, F.col("_idx_0").alias("idx"), *[f"value_{level}" for level in depth])
 
 
 def future_index(
