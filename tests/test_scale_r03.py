@@ -3,18 +3,20 @@
 from datetime import timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import START, arma, collected, long_frame, to_spark
 from pyspark.sql import functions as F
 
 from tideloom.functions.times import HOUR
 from tideloom.llm import simhash
-from tideloom.models import backtest, moments, scan
+from tideloom.models import arima, backtest, moments, scan, serving
 from tideloom.models.arima import NO_SEASON, filter_reach, fit_orders
 from tideloom.models.moments import SeriesMoments, lag_moments
 from tideloom.models.solve import ArmaShape, adf_statistic, inverse_series
 from tideloom.operators import panel, windows
 from tideloom.operators.evaluation import gaussian_nll, masked_abs_error
+from tideloom.operators.ordering import keep_last
 from tideloom.operators.panel import dense_grid
 
 KEY = ["series_id"]
@@ -177,3 +179,30 @@ def test_gathered_base_rows_are_joined_by_their_place_alone(spark, monkeypatch,
             known = key is not None and one and (key, up) != ("a", 2)
             expected[key, i] = (float(i), 100.0 + up if known else None, 200.0 + min(up // 2, two - 1) if known else None)
     assert got == expected
+
+
+def test_last_rows_are_found_without_a_shuffle_of_all(spark):
+    rows = to_spark(spark, long_frame({"a": arma(50), "b": arma(30, seed=1)})).select(*KEY, "pos", "value")
+    newest = keep_last(rows, 3, KEY)
+    assert "SortMergeJoin" not in plan(newest)
+    assert collected(newest)["pos"].tolist() == [47, 48, 49, 27, 28, 29]
+
+
+@pytest.mark.parametrize("chunk", [None, 64])
+def test_a_fit_reads_the_ends_of_its_series_with_their_blocks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(arima, "_ends", lambda *given: pytest.fail("a pass for the ends alone"))
+    series = {"a": np.cumsum(arma(128, 0.5)), "b": np.cumsum(arma(65, 0.2, seed=3))}
+    rows = long_frame(series)
+    for r in fit_orders(to_spark(spark, rows), KEY, [((1, 1, 0), NO_SEASON)], "m", chunk=chunk).collect():
+        assert np.array_equal(r["tail"], [series[r["series_id"]][-2:]])
+        assert r["last"] == rows[rows["series_id"] == r["series_id"]]["ts"].max()
+
+
+@pytest.mark.parametrize("chunk", [8, 8192])
+def test_first_order_models_and_their_ends_come_from_one_pass(spark, monkeypatch, chunk):
+    rows = to_spark(spark, long_frame({"a": arma(50, 0.5), "b": arma(30, 0.2, seed=1), "one": np.array([2.0])}))
+    apart = collected(arima.ar1_ends(rows, arima.ar1_fit(rows, KEY, chunk=chunk), KEY), KEY)
+    monkeypatch.setattr(arima, "ar1_ends", lambda *given: pytest.fail("a pass for the ends alone"))
+    fitted = serving.ar1_family(chunk=chunk).fit(rows, KEY)
+    assert list(collected(fitted, KEY)["status"]) == ["ok", "ok", "failed: too few rows"]
+    pd.testing.assert_frame_equal(collected(fitted.select(*apart.columns), KEY), apart)

@@ -238,14 +238,16 @@ def fit_orders(
     on, ``last`` the time of the last row. ``lags`` bounds the search for a starting point
     and has no part in the result. ``only`` lists the series to solve.
 
-    Series that one chunk holds are read once and fitted where it lies; only those of several
-    chunks take the distributed passes of ``_long_fits``.
+    Series that one chunk holds are read once, their ends too, and fitted where it lies; only those
+    of several chunks take the distributed passes of ``_long_fits``.
     """
     cols = [value, *exog]
     halo, common = _order_code(orders)
-    blocks = blocks_of(df, cols, keys, halo, pos, chunk or CHUNK)
+    packed = blocks_of(df, cols, keys, halo, pos, chunk or CHUNK, F.col(ts) if ts in df.columns else F.lit(None))
     if only is not None:
-        blocks = attach(blocks, only, keys, "left_semi")
+        packed = attach(packed, only, keys, "left_semi")
+    blocks = packed.drop("_tail", "_time")
+    ends = packed.groupBy(*keys).agg(F.max_by(F.struct(F.col("_tail").alias("tail"), F.col("_time").alias("last")), "_chunk").alias("_end"))
     sizes = blocks.groupBy(*keys).agg(F.max("_chunk").alias("_last"))
     whole = attach(blocks, sizes.where("_last = 0"), keys, "left_semi")
     solved = _whole_fits(whole, keys, orders, len(exog), constant, lags, common)
@@ -253,7 +255,7 @@ def fit_orders(
     if not long.isEmpty():
         solved = solved.unionByName(_long_fits(df, blocks, long, keys, orders, cols, constant, lags, common, pos, chunk))
     # Fits are dear and their rows few: written, so that nothing below fits twice.
-    rows = attach(settle(solved), _ends(df, cols, keys, halo, pos, ts), keys)
+    rows = attach(settle(solved), ends.select(*keys, "_end.*"), keys)
     code = F.col("order")
     counted = F.col("n") + code[1] + code[4] * code[6] - F.lit(common)
     size = code[0] + code[2] + code[3] + code[5] + F.lit(len(exog))
@@ -493,15 +495,20 @@ def sarimax_forecast(
 
 
 def ar1_fit(
-    df: DataFrame, keys: Sequence[str], value: str = "value", pos: str = "pos", chunk: int = CHUNK
+    df: DataFrame, keys: Sequence[str], value: str = "value", pos: str = "pos", chunk: int = CHUNK, ends: str | None = None
 ) -> DataFrame:
-    """Least squares of a value on the one before it: ``phi``, ``intercept``, ``n_pairs``."""
-    rows = with_halo(df.select(*keys, pos, value), chunk, before=1, pos=pos, keys=keys)
+    """Least squares of a value on the one before it: ``phi``, ``intercept``, ``n_pairs``.
+
+    With ``ends``, the name of the time, also the columns of ``ar1_ends``, from the same pass.
+    """
+    times = [] if ends is None else [ends]
+    rows = with_halo(df.select(*keys, pos, value, *times), chunk, before=1, pos=pos, keys=keys)
     rows = drop_halo(rows.withColumn("_before", F.lag(value).over(chunk_window(keys, pos))))
     return rows.groupBy(*keys).agg(
         F.regr_slope(value, "_before").alias("phi"),
         F.regr_intercept(value, "_before").alias("intercept"),
         F.regr_count(value, "_before").alias("n_pairs"),
+        *[c for name in times for c in (F.max_by(value, pos).alias("level"), F.max(name).alias("last"))],
     )
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,20 +273,32 @@ def fit_whole(model: Model, levels: np.ndarray, common: int, free: bool) -> tupl
 # ---- tables ---------------------------------------------------------------------------------
 
 
-def blocks_of(df: DataFrame, cols: Sequence[str], keys: Sequence[str], halo: int, pos: str, chunk: int) -> DataFrame:
+def blocks_of(
+    df: DataFrame, cols: Sequence[str], keys: Sequence[str], halo: int, pos: str, chunk: int, time: Column | None = None
+) -> DataFrame:
     """``keys, _chunk, _start, _lead, _levels``: a written row per chunk, with an array per channel.
 
-    ``pos`` must be dense. NULL cells become NaN.
+    ``pos`` must be dense. NULL cells become NaN. With ``time`` there are also ``_tail``, the last
+    ``halo`` rows (one at least) as one array per channel, and ``_time``, the chunk's last time: those of
+    a series' last chunk are the series' own.
     """
-    rows = with_halo(df.select(*keys, pos, *cols), chunk, before=halo, pos=pos, keys=keys)
+    times = [] if time is None else [time.cast("timestamp_ntz").alias("_time")]
+    rows = with_halo(df.select(*keys, pos, *cols, *times), chunk, before=halo, pos=pos, keys=keys)
     packed = rows.groupBy(*keys, "_chunk").agg(
-        F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"), F.count_if(~F.col("_home")).alias("_lead")
+        F.array_sort(F.collect_list(F.struct(pos, *cols))).alias("_rows"),
+        F.count_if(~F.col("_home")).alias("_lead"),
+        *[F.max("_time").alias("_time") for _ in times],
     )
     missing = F.lit(float("nan"))
     levels = F.array(*[F.transform("_rows", lambda r: F.coalesce(r[c].cast("double"), missing)) for c in cols])
     # A chunk without rows of its own is only the halo behind the end of a series.
     own = packed.filter(F.size("_rows") > F.col("_lead"))
-    return settle(own.select(*keys, "_chunk", F.col("_rows")[0][pos].alias("_start"), "_lead", levels.alias("_levels")))
+    ends = []
+    if time is not None:
+        newest = F.element_at("_rows", -1)[pos] - max(halo, 1)
+        own = own.withColumn("_newest", F.filter("_rows", lambda r: r[pos] > newest))
+        ends = [F.array(*[F.transform("_newest", lambda r: r[c].cast("double")) for c in cols]).alias("_tail"), "_time"]
+    return settle(own.select(*keys, "_chunk", F.col("_rows")[0][pos].alias("_start"), "_lead", levels.alias("_levels"), *ends))
 
 
 def levels_of(row) -> np.ndarray:

@@ -42,7 +42,7 @@ def ar1_family(period: timedelta = HOUR, chunk: int = CHUNK) -> Family:
     """First-order autoregression with a constant, by least squares."""
 
     def fit(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        models = arima.ar1_ends(rows, arima.ar1_fit(rows, keys, chunk=chunk), keys)
+        models = arima.ar1_fit(rows, keys, chunk=chunk, ends="ts")
         usable = F.col("phi").isNotNull() & F.col("level").isNotNull()
         return models.withColumn("status", F.when(usable, "ok").otherwise("failed: too few rows"))
 
